@@ -11,13 +11,23 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+#: The quote marks that begin a line.
+MARKS = "^[ \\t]*(?:>[ \\t]?)+"
+
+
 def passages(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, passages array<struct<level, text>>, body): runs of lines of one level, and the text without quotes."""
-    lines = messages.withColumn("_l", F.expr(rf"transform(split(coalesce(text, ''), '\n', -1), x -> struct(length(regexp_extract(x, r'^\s*((?:>\s?)+)', 1)) - length(replace(regexp_extract(x, r'^\s*((?:>\s?)+)', 1), '>', '')) AS level, regexp_replace(x, r'^\s*(?:>\s?)+', '') AS text))"))
-    starts = lines.withColumn("_s", F.expr("filter(sequence(0, size(_l) - 1), i -> i = 0 OR _l[i].level <> _l[greatest(i, 1) - 1].level)"))
-    runs = starts.withColumn("passages", F.expr("transform(_s, (s, k) -> struct(_l[s].level AS level, array_join(transform(slice(_l, s + 1, if(k + 1 < size(_s), _s[k + 1], size(_l)) - s), x -> x.text), '\\n') AS text))"))
-    body = F.when(F.size("_s") == 1, F.when(F.expr("_l[0].level = 0"), F.col("text")).otherwise("")).otherwise(F.expr(r"trim(BOTH '\n' FROM array_join(transform(filter(passages, p -> p.level = 0), p -> p.text), '\n'))"))
-    return runs.select("conv_id", "turn", "role", "passages", body.alias("body"))
+    lines = r"split(coalesce(text, ''), '\n', -1)"
+    level = "length(replace(replace(regexp_extract({}, '" + MARKS + "', 0), ' ', ''), '\t', ''))"
+    new = f"before IS NOT NULL AND {level.format('line')} <> {level.format('before')}"
+    # each array is the argument of a higher-order function once; inside a lambda it would be computed for each element
+    marked = rf"zip_with({lines}, concat(array(cast(null AS string)), {lines}), (line, before) -> concat(if({new}, '\u0001b', ''), replace(line, '\u0001', '\u0001e')))"
+    runs = rf"split(array_join({marked}, '\n'), '\n\u0001b', -1)"
+    plain = rf"replace(regexp_replace(run, '(?m){MARKS}', ''), '\u0001e', '\u0001')"
+    out = messages.withColumn("passages", F.expr(f"transform({runs}, run -> struct({level.format('run')} AS level, {plain} AS text))"))
+    body = r"trim(BOTH '\n' FROM array_join(transform(filter(passages, p -> p.level = 0), p -> p.text), '\n'))"
+    quoted = "exists(passages, p -> p.level > 0)"
+    return out.select("conv_id", "turn", "role", "passages", F.expr(f"CASE WHEN {quoted} THEN {body} ELSE text END").alias("body"))
 
 
 def normalised(text: str):
@@ -69,26 +79,26 @@ l AS (
   SELECT conv_id, turn, pos, lines[pos] AS line FROM (
     SELECT conv_id, turn, string_split(m.text, chr(10)) AS lines, unnest(range(1, len(string_split(m.text, chr(10))) + 1)) AS pos FROM m)),
 v AS (
-  SELECT conv_id, turn, pos, len(regexp_replace(regexp_extract(line, '^\s*((?:>\s?)+)', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '^\s*(?:>\s?)+', '') AS text FROM l),
+  SELECT conv_id, turn, pos, len(regexp_replace(regexp_extract(line, '^[ \t]*((?:>[ \t]?)+)', 1), '[^>]', '', 'g')) AS level, regexp_replace(line, '^[ \t]*(?:>[ \t]?)+', '') AS text FROM l),
 s AS (SELECT *, CASE WHEN level IS DISTINCT FROM lag(level) OVER (PARTITION BY conv_id, turn ORDER BY pos) THEN 1 ELSE 0 END AS starts FROM v),
-g AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id, turn ORDER BY pos) - 1 AS at FROM s),
-p AS (SELECT conv_id, turn, at, any_value(level) AS level, string_agg(text, chr(10) ORDER BY pos) AS text FROM g GROUP BY conv_id, turn, at),
+g AS (SELECT *, sum(starts) OVER (PARTITION BY conv_id, turn ORDER BY pos) - 1 AS run FROM s),
+p AS (SELECT conv_id, turn, run, any_value(level) AS level, string_agg(text, chr(10) ORDER BY pos) AS text FROM g GROUP BY conv_id, turn, run),
 b AS (
-  SELECT conv_id, turn, max(at) AS last, coalesce(string_agg(text, chr(10) ORDER BY at) FILTER (WHERE level = 0), '') AS body, count(*) FILTER (WHERE level > 0) AS n
+  SELECT conv_id, turn, max(run) AS last, coalesce(string_agg(text, chr(10) ORDER BY run) FILTER (WHERE level = 0), '') AS body, count(*) FILTER (WHERE level > 0) AS n
   FROM p GROUP BY conv_id, turn),
 own AS (
   SELECT conv_id, turn, trim(regexp_replace(lower(said), '\s+', ' ', 'g')) AS said FROM (
     SELECT conv_id, turn, text AS said FROM p WHERE level = 0 UNION SELECT conv_id, turn, unnest(string_split(text, chr(10))) FROM p WHERE level = 0)),
 near AS (SELECT conv_id, said, min(turn) AS near_turn FROM own WHERE said <> '' GROUP BY conv_id, said),
 f AS (SELECT said, min(struct_pack(conv_id := conv_id, turn := near_turn)) AS f FROM near GROUP BY said),
-q AS (SELECT conv_id, turn, level, at, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS said FROM p WHERE level > 0),
+q AS (SELECT conv_id, turn, level, run, trim(regexp_replace(lower(text), '\s+', ' ', 'g')) AS said FROM p WHERE level > 0),
 j AS (
-  SELECT q.conv_id, q.turn, level, at,
+  SELECT q.conv_id, q.turn, level, run,
     CASE WHEN near_turn < q.turn THEN struct_pack(conv_id := q.conv_id, turn := near_turn)
          WHEN f.f.conv_id <> q.conv_id THEN f.f END AS source
   FROM q LEFT JOIN near ON near.conv_id = q.conv_id AND near.said = q.said LEFT JOIN f ON f.said = q.said WHERE q.said <> ''),
 k AS (
-  SELECT conv_id, turn, count(*) AS quotes, min(struct_pack(level := level, at := -at, source := source)) FILTER (WHERE source IS NOT NULL) AS best
+  SELECT conv_id, turn, count(*) AS quotes, min(struct_pack(level := level, run := -run, source := source)) FILTER (WHERE source IS NOT NULL) AS best
   FROM j GROUP BY conv_id, turn),
 r AS (
   SELECT m.conv_id, m.turn, m.m.role AS role, CASE WHEN b.n = 0 THEN m.m.text ELSE trim(b.body, chr(10)) END AS content,

@@ -17,13 +17,16 @@ BOUNDARY = ("0", "4", "8", "c")
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
-    """Adds chunks array<struct<text, lines>>."""
-    lines = docs.withColumn("_lines", F.split(F.coalesce("text", F.lit("")), "\n", -1))
-    lines = lines.withColumn("_hashes", F.expr("transform(_lines, x -> md5(x))"))
-    flagged = "transform(_hashes, (x, i) -> i = 0 OR right(md5(concat(_hashes[greatest(i, 1) - 1], x)), 1) IN ({}))".format(", ".join(f"'{c}'" for c in BOUNDARY))
-    starts = lines.withColumn("_flags", F.expr(flagged)).withColumn("_starts", F.expr("filter(sequence(0, size(_lines) - 1), i -> _flags[i])"))
-    cut = "transform(_starts, (s, k) -> slice(_lines, s + 1, if(k + 1 < size(_starts), _starts[k + 1], size(_lines)) - s))"
-    return starts.withColumn("_chunks", F.expr(cut)).drop("_lines", "_hashes", "_flags", "_starts")
+    """Adds _chunks array<string>: the text's chunks, in which U+0001 is escaped as U+0001 e; joined by line feeds they are the text.
+
+    Each array is the argument of one higher-order function, never read inside a lambda, where it would be computed anew for each element.
+    """
+    lines = "split(coalesce(text, ''), '\\n', -1)"
+    last = ", ".join(f"'{c}'" for c in BOUNDARY)
+    begins = f"before IS NOT NULL AND right(md5(concat(md5(before), md5(line))), 1) IN ({last})"
+    marked = f"zip_with({lines}, concat(array(cast(null AS string)), {lines}), (line, before) -> concat(if({begins}, '\u0001b', ''), replace(line, '\u0001', '\u0001e')))"
+    # the second array has one element more: its line is null, and array_join leaves it out
+    return docs.withColumn("_chunks", F.expr(f"split(array_join({marked}, '\\n'), '\\n\u0001b', -1)"))
 
 
 def repeated_chunks(docs: DataFrame, min_lines: int = 2) -> DataFrame:
@@ -32,8 +35,8 @@ def repeated_chunks(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     version is a hash of the text, so that rows with equal ids and different texts stay apart.
     """
     cut = with_chunks(docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where("doc_id is not null and text is not null"))
-    each = cut.select("doc_id", "version", F.posexplode("_chunks").alias("chunk", "lines")).where(F.size("lines") >= min_lines).where("exists(lines, x -> x <> '')")
-    each = each.select("doc_id", "version", "chunk", F.concat_ws("\n", "lines").alias("bytes"))
+    each = cut.select("doc_id", "version", F.posexplode("_chunks").alias("chunk", "bytes"))
+    each = each.where(F.length("bytes") - F.length(F.replace("bytes", F.lit("\n"), F.lit(""))) >= min_lines - 1).where(F.length(F.replace("bytes", F.lit("\n"), F.lit(""))) > 0)
     hashed = each.select("doc_id", "version", "chunk", F.xxhash64("bytes").alias("h"), "bytes")
     same = hashed.groupBy("h", "bytes").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "chunk")).alias("first"))
     # of chunks that share a hash but not their bytes (never seen) none is removed
@@ -53,7 +56,7 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     gone = settle(repeated_chunks(docs, min_lines)).groupBy("doc_id", "version").agg(F.collect_set("chunk").alias("_gone"))
     rows = docs.select("doc_id", F.xxhash64("text").alias("version"), F.col("text"), F.struct(*columns).alias("_row"))
     cut = with_chunks(rows.join(gone, ["doc_id", "version"], "left"))
-    kept = F.expr("concat_ws('\\n', flatten(transform(filter(transform(_chunks, (c, i) -> struct(c AS c, i AS i)), x -> NOT array_contains(_gone, x.i)), x -> x.c)))")
+    kept = F.expr("replace(array_join(filter(_chunks, (c, i) -> NOT array_contains(_gone, i)), '\\n'), '\u0001e', '\u0001')")
     text = F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text"))
     out = [text.alias("text") if c == "text" else F.when(F.col("_gone").isNotNull(), F.length(text).cast("long")).otherwise(F.col("_row.n_chars")).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in columns]
     return cut.select(*out, F.when(F.col("_gone").isNotNull(), F.size("_gone")).otherwise(0).alias("removed_chunks"))
