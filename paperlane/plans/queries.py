@@ -184,8 +184,8 @@ _KEYWORDS = f"""t0 AS (SELECT doc_id, {_RAW.format("text", "text")} FROM documen
 t AS (SELECT doc_id, pos, {_STEM} AS term FROM t0 WHERE {_KEPT}),
 c AS (SELECT doc_id, term, count(*) AS n, min(pos) AS place FROM t GROUP BY doc_id, term HAVING term NOT IN ({T.quoted(T.NOISE)})),
 r AS (SELECT *, n > 1 AND length(term) > 3 AS repeated FROM c WHERE (n > 1 AND length(term) > 3) OR length(term) > 5),
-z AS (SELECT *, bool_or(repeated) OVER (PARTITION BY doc_id) AS some FROM r),
-kw AS (SELECT doc_id, term, n, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN repeated THEN n * length(term) ELSE length(term) END DESC, place) AS rank FROM z WHERE repeated OR NOT some QUALIFY rank <= 12)"""
+z AS (SELECT *, bool_or(repeated) OVER (PARTITION BY doc_id) AS found FROM r),
+kw AS (SELECT doc_id, term, n, row_number() OVER (PARTITION BY doc_id ORDER BY CASE WHEN repeated THEN n * length(term) ELSE length(term) END DESC, place) AS rank FROM z WHERE repeated OR NOT found QUALIFY rank <= 12)"""
 
 
 @query(f"WITH {_KEYWORDS} SELECT doc_id, rank, term, n FROM kw")
