@@ -113,10 +113,10 @@ class Words:
         return out
 
     def unrepeated(self) -> Words:
-        """Without the words that equal their predecessor in the text."""
-        new = np.ones(len(self), bool)
-        new[1:] = self.hashes[1:] != self.hashes[:-1]
-        new[self.at[:-1][np.diff(self.at) > 0]] = True
+        """Without the words that equal one of the two before them in the text."""
+        new, text = np.ones(len(self), bool), self.texts()
+        for back in (1, 2):
+            new[back:] &= (self.hashes[back:] != self.hashes[:-back]) | (text[back:] != text[:-back])
         return self.subset(np.flatnonzero(new))
 
     def texts(self) -> np.ndarray:

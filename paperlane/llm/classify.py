@@ -37,6 +37,15 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fo
     return np.frombuffer(b"".join(encoded), np.uint8), at, rows["y"].to_numpy(np.int64)
 
 
+def slices(raw: np.ndarray, at: np.ndarray, size: int = 1_000_000) -> Iterator[tuple[np.ndarray, np.ndarray, slice]]:
+    """The sample in slices of about size bytes (bytes, offsets, numbers of its texts), to hold only one slice's words at a time."""
+    i, n = 0, len(at) - 1
+    while i < n:
+        j = min(n, max(i + 1, int(np.searchsorted(at, at[i] + size, "right")) - 1))
+        yield raw[at[i] : at[j]], at[i : j + 1] - at[i], slice(i, j)
+        i = j
+
+
 def score(docs: DataFrame, model: Model, score_chunk: Callable, folds: int, fold: int, threshold: float) -> DataFrame:
     """(doc_id, held_out, score, predicted) for each row of docs; the model goes to the tasks as a broadcast of fixed size."""
     shared = docs.sparkSession.sparkContext.broadcast(model)

@@ -6,7 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import classify
-from .subword import Features, Model, Trainer, bags
+from .subword import Features, Model, Trainer, bags, joined
 
 FEATURES = Features(sizes=(2, 3), plain=False, pairs=True)
 FOLDS, FOLD, THRESHOLD = 5, 0, 0.3
@@ -18,8 +18,11 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     raw, at, y = classify.training_rows(docs, labels, "quality", FOLDS, FOLD)
     trainer = Trainer(DIM)
     if len(y):
-        words = FEATURES.words(raw, at)
-        b, w, bag_at = bags(FEATURES, words, words.texts(), len(y))
+        parts = []
+        for own, own_at, _ in classify.slices(raw, at):
+            words = FEATURES.words(own, own_at)
+            parts.append(bags(FEATURES, words, words.texts(), len(own_at) - 1))
+        b, w, bag_at = joined(parts)
         for _ in range(EPOCHS):
             trainer.epoch(b, w, bag_at, y, np.arange(len(y)), BATCH)
     return trainer.model(FEATURES)

@@ -107,6 +107,15 @@ def bags(features: Features, words: Words, owner: np.ndarray, n_bags: int) -> tu
     return (key[first] & (2**BITS - 1)).astype(np.int32), w.astype(np.float32), np.searchsorted(key[first] >> BITS, np.arange(n_bags + 1))
 
 
+def joined(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Several bags() as one."""
+    if not parts:
+        return np.zeros(0, np.int32), np.zeros(0, np.float32), np.zeros(1, np.int64)
+    b, w, at = zip(*parts, strict=True)
+    sizes = np.concatenate([np.diff(x) for x in at])
+    return np.concatenate(b), np.concatenate(w), np.concatenate([[0], np.cumsum(sizes)])
+
+
 class Trainer:
     """Vectors of the buckets and a two-class softmax on their bags' means; steps scaled per parameter (Adagrad)."""
 

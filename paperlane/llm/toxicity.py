@@ -2,8 +2,8 @@
 
 Misspelt words share their n-gram vectors with the words that the model has seen. A few words
 make a long document toxic, so averages are taken over windows of WINDOW words; the document's
-label first teaches all its windows, then only the window that scores highest. A word said again at
-once counts once, so that no single word fills a window.
+label first teaches all its windows, then only the window that scores highest. A word said again
+within two words counts once, so that no repetition fills a window.
 """
 
 from __future__ import annotations
@@ -12,7 +12,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 
 from . import classify
-from .subword import Features, Model, Trainer, Words, bags
+from .subword import Features, Model, Trainer, Words, bags, joined
 
 FEATURES = Features(sizes=(4, 5), plain=True, pairs=False)
 FOLDS, FOLD, THRESHOLD = 4, 2, 0.3
@@ -44,32 +44,31 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     """A model of labels.toxic, fitted to rows that aren't held out. Without any labelled text it says 0.5."""
     raw, at, y = classify.training_rows(docs, labels, "toxic", FOLDS, FOLD)
     trainer = Trainer(DIM)
-    if len(y):
-        words = FEATURES.words(raw, at).unrepeated()
-        first, end, wat = _windows(words)
-        label = np.repeat(y, np.diff(wat))
-        toxic, clean = np.flatnonzero(label == 1), np.flatnonzero(label == 0)
-        clean = trainer.rng.permutation(clean)[: max(CLEAN_RATIO * len(toxic), 1000)]
-
-        def made(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    parts = [(own, own_at, y[s]) for own, own_at, s in classify.slices(raw, at)]
+    counts = np.zeros(2, np.int64)
+    for own, own_at, label in parts:
+        counts += np.bincount(label, np.diff(_windows(FEATURES.words(own, own_at).unrepeated())[2]), 2).astype(np.int64)
+    share = min(1.0, max(CLEAN_RATIO * counts[1], 1000) / max(counts[0], 1))
+    for epoch in range(1 + WORST_EPOCHS if len(y) else 0):
+        made, labels_made, model = [], [], trainer.model(FEATURES)
+        for own, own_at, label in parts:
+            words = FEATURES.words(own, own_at).unrepeated()
+            first, end, wat = _windows(words)
+            each = np.repeat(label, np.diff(wat))
+            if epoch == 0:
+                which = np.flatnonzero((each == 1) | (trainer.rng.random(len(each)) < share))
+            else:
+                order = np.lexsort((-_window_logits(model, words)[0], np.repeat(np.arange(len(label)), np.diff(wat))))
+                rank = np.arange(len(order)) - np.repeat(wat[:-1], np.diff(wat))
+                which = order[rank < np.where(each == 1, 1, HARD)]
             n = end[which] - first[which]
             ends = np.cumsum(n)
             take = np.repeat(first[which] - (ends - n), n) + np.arange(int(ends[-1]) if len(ends) else 0)
-            chosen = words.subset(take)
-            return bags(FEATURES, chosen, np.repeat(np.arange(len(which)), n), len(which))
-
-        which = np.sort(np.concatenate([toxic, clean]))
-        b, w, bag_at = made(which)
-        for _ in range(EPOCHS):
-            trainer.epoch(b, w, bag_at, label[which], np.arange(len(which)), BATCH)
-        some = np.flatnonzero(np.diff(wat))
-        for _ in range(WORST_EPOCHS):
-            values, _at = _window_logits(trainer.model(FEATURES), words)
-            order = np.lexsort((-values, np.repeat(np.arange(len(y)), np.diff(wat))))
-            rank = np.arange(len(order)) - np.repeat(wat[:-1], np.diff(wat))
-            worst = order[rank < np.where(label == 1, 1, HARD)]
-            b, w, bag_at = made(worst)
-            trainer.epoch(b, w, bag_at, label[worst], np.arange(len(worst)), 64)
+            made.append(bags(FEATURES, words.subset(take), np.repeat(np.arange(len(which)), n), len(which)))
+            labels_made.append(each[which])
+        b, w, bag_at = joined(made)
+        for _ in range(EPOCHS if epoch == 0 else 1):
+            trainer.epoch(b, w, bag_at, np.concatenate(labels_made), np.arange(len(bag_at) - 1), BATCH if epoch == 0 else 64)
     return trainer.model(FEATURES)
 
 
