@@ -213,10 +213,14 @@ def summary_hits(spark, d):
 _BLOCKS = r"(?i)</(?:p|div|li|tr|h[1-6]|section|article|ul|ol|table|blockquote)\s*>"
 
 
-def _plain_sql(x: str) -> str:
-    out = f"regexp_replace(regexp_replace(regexp_replace({x}, '{_BLOCKS}', chr(10), 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')"
+def _decoded_sql(out: str) -> str:
     for name, char in (("nbsp", "chr(32)"), ("copy", "'©'"), ("middot", "'·'"), ("quot", "chr(34)"), ("#39", "chr(39)"), ("apos", "chr(39)"), ("lt", "'<'"), ("gt", "'>'"), ("amp", "'&'")):
         out = f"replace({out}, '&{name};', {char})"
+    return out
+
+
+def _plain_sql(x: str) -> str:
+    out = _decoded_sql(f"regexp_replace(regexp_replace(regexp_replace({x}, '{_BLOCKS}', chr(10), 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')")
     return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({out}, '[ \t]{{2,}}', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 
@@ -227,7 +231,7 @@ for _tag in ("script", "style", "noscript", "head", "svg"):
 
 @query(rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g') AS title, string_split(regexp_replace({_STRIPPED}, '(?is)<h[12]\b[^>]*>(.*?)</h[12]\s*>', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM pages),
 b AS (SELECT page_id, title, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM a),
-c AS (SELECT page_id, trim(title) AS title, i, CASE WHEN i > 1 THEN {_plain_sql("split_part(part, chr(2), 1)")} END AS heading, {_plain_sql("CASE WHEN i > 1 THEN substr(part, instr(part, chr(2)) + 1) ELSE part END")} AS text FROM b),
+c AS (SELECT page_id, trim({_decoded_sql("title")}) AS title, i, CASE WHEN i > 1 THEN {_plain_sql("split_part(part, chr(2), 1)")} END AS heading, {_plain_sql("CASE WHEN i > 1 THEN substr(part, instr(part, chr(2)) + 1) ELSE part END")} AS text FROM b),
 d AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS number FROM c WHERE text <> '')
 SELECT page_id AS doc_id, title, number, CASE WHEN coalesce(heading, '') <> '' THEN 'section “' || CASE WHEN length(heading) > 48 THEN rtrim(left(heading, 45)) || '…' ELSE heading END || '”' ELSE 'section ' || number END AS label, text FROM d""")
 def html_sections(spark, d):

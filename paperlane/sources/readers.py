@@ -37,18 +37,22 @@ def sniff(name: Column, content: Column) -> Column:
     )
 
 
-def _plain(html: Column) -> Column:
-    out = F.regexp_replace(html, r"(?i)</(?:p|div|li|tr|h[1-6]|section|article|ul|ol|table|blockquote)\s*>", "\n")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
+def _decoded(out: Column) -> Column:
     # named entities; the ampersand last, so that nothing is decoded twice
     for name, char in (("nbsp", " "), ("copy", "©"), ("middot", "·"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
         out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return T.tidy(out)
+    return out
+
+
+def _plain(html: Column) -> Column:
+    out = F.regexp_replace(html, r"(?i)</(?:p|div|li|tr|h[1-6]|section|article|ul|ol|table|blockquote)\s*>", "\n")
+    out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
+    return T.tidy(_decoded(out))
 
 
 def html_sections(raw: DataFrame) -> DataFrame:
     """pages of raw (doc_id, html), and title: split at h1 and h2, whose text is the label only; scripts, styles, head dropped; empty sections too."""
-    title = T.tidy(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " "))
+    title = T.tidy(_decoded(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")))
     body = F.col("html")
     for tag in ("script", "style", "noscript", "head", "svg"):
         body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
