@@ -21,9 +21,9 @@ from pyspark.sql import DataFrame, Window, functions as F
 from .bytetext import group_starts, groups
 from .metric_join import _rows, _unit, usable
 
-PIVOTS, LENGTH = 128, 24
+PIVOTS, LENGTH = 128, 40
 #: Share of a block that is ranked exactly for a query, and the least number of vectors.
-CANDIDATES, LEAST = 0.2, 400
+CANDIDATES, LEAST = 0.25, 400
 BLOCK, QUERY_BLOCK = 8192, 2048
 
 
