@@ -21,7 +21,9 @@ from .bytetext import Words, chunks, mix, text_buffer
 
 SPACE = "▁"
 #: Distinct words whose ids a worker remembers.
-MEMORY_WORDS = 1_000_000
+MEMORY_WORDS = 1_500_000
+#: Bytes of text handled at once: the more, the fewer words are looked up again.
+CHUNK = 4_000_000
 _ONLY_SPACE = np.zeros(256, bool)
 _ONLY_SPACE[32] = True
 _IDENTITY = np.arange(256, dtype=np.uint8)
@@ -51,6 +53,13 @@ class Codec:
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
                 normal[piece] = i
         self.ids, self.bpe = normal, bpe
+        # two ASCII characters that stand together in no piece are never joined, so a word can be cut between them
+        self.joins = np.zeros((256, 256), bool)
+        self.joins[128:], self.joins[:, 128:] = True, True
+        for piece in normal:
+            for a, b in zip(piece, piece[1:]):
+                if a < "\x80" and b < "\x80":
+                    self.joins[ord(a), ord(b)] = True
         self.scores = np.array([model.get_score(i) for i in range(n)])
         self.longest = max(map(len, normal))
         keys = {}
@@ -169,6 +178,7 @@ class Codec:
         newline = raw == 10
         breaks = newline.copy()
         breaks[1:] |= newline[:-1]
+        breaks[1:] |= ~self.joins[raw[:-1], raw[1:]]
         words = Words(raw, at, _ONLY_SPACE, _IDENTITY, breaks)
         n, text = len(words), words.texts()
         gap = words.starts - np.concatenate([[0], words.ends[:-1]]) if n else np.zeros(0, np.int64)
@@ -189,11 +199,13 @@ class Codec:
             data, at_new = raw.tobytes(), where[new]
             spelled = [(SPACE if g > 0 else "") + data[a:b].decode() for a, b, g in zip(words.starts[at_new].tolist(), words.ends[at_new].tolist(), gap[at_new].tolist(), strict=True)]
             code[new] = self._learn(unique[new], place[new], spelled)
-        # runs of spaces before a word (all but the last, which is the word's own), and at the end of a text
-        runs = np.where(gap > 1, gap - 1, 0)
-        run_ids = {int(k): np.array([self.ids[x] for x in self._merged(SPACE * int(k))] if k < 200 else self._long_run(int(k)), np.int32) for k in np.unique(np.concatenate([runs, tail])) if k}
         size = (self.at[code + 1] - self.at[code])[inverse]
         start = self.at[code][inverse]
+        # runs of spaces before a word (all but the last, which is the word's own unless it joins nothing there), and at the end of a text
+        bare = (gap > 1) & (self.flat[start] == self.ids[SPACE]) if n else np.zeros(0, bool)
+        runs = np.where(gap > 1, gap - 1 + bare, 0)
+        size, start = size - bare, start + bare
+        run_ids = {int(k): np.array([self.ids[x] for x in self._merged(SPACE * int(k))] if k < 200 else self._long_run(int(k)), np.int32) for k in np.unique(np.concatenate([runs, tail])) if k}
         run_size = np.array([len(run_ids[k]) if k else 0 for k in runs.tolist()], np.int64)
         tail_size = np.array([len(run_ids[k]) if k else 0 for k in tail.tolist()], np.int64)
         ends = np.concatenate([[0], np.cumsum(size + run_size)])
@@ -251,7 +263,7 @@ def encode(docs: DataFrame, model: str, bpe: bool = True) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _, _ in chunks(batches):
+        for rows, _, _ in chunks(batches, CHUNK):
             ids, at = codec(model, bpe).encode(rows.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(at, pa.int32()), pa.array(ids), mask=rows.column("text").is_null())
             yield pa.RecordBatch.from_arrays([rows.column("doc_id"), lists], ["doc_id", "ids"])
@@ -279,7 +291,7 @@ def digests(docs: DataFrame, model: str, bpe: bool = True) -> DataFrame:
     """(doc_id, n_tokens, ids_crc32, text_crc32, same) for every row: of encode()'s ids, and of the text that decode() makes of them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows, _, _ in chunks(batches):
+        for rows, _, _ in chunks(batches, CHUNK):
             c = codec(model, bpe)
             ids, at = c.encode(rows.column("text"))
             texts = c.decode(ids, at).to_pylist()
