@@ -41,20 +41,21 @@ def _undoubled(w: str) -> str:
 def stem_sql(w: str) -> str:
     """The word with one English ending folded; the first rule that leaves three characters wins (portable)."""
     rules = [("ies", "y"), ("sses", "ss"), ("xes", "x"), ("ches", "ch"), ("shes", "sh"), ("ing", None), ("ed", None), ("ly", ""), ("s", "")]
-    out = f"CASE WHEN length({w}) <= 3 OR translate({w}, '0123456789', '') = '' THEN {w}"
+    # nothing else can end in one of the endings; digits can't either
+    out = f"CASE WHEN length({w}) <= 3 OR right({w}, 1) NOT IN ('s', 'g', 'd', 'y') THEN {w}"
     for ending, put in rules:
         rest = f"left({w}, length({w}) - {len(ending)})"
         out += f" WHEN right({w}, {len(ending)}) = '{ending}' AND length({w}) >= {len(ending) + 3} THEN " + (_undoubled(rest) if put is None else f"{rest} || '{put}'" if put else rest)
     return out + f" ELSE {w} END"
 
 
-TOKEN = r"[a-z0-9][a-z0-9'’\-]*"
+TOKEN = r"[a-z0-9]++(?:['’\-]++[a-z0-9]++)*+"
 
 
 def raw_tokens(text: str) -> Column:
-    """array<string>: the words of a text, lower-cased, their outer quotes and hyphens stripped; empty ones out."""
+    """array<string>: the words of a text, lower-cased, without outer quotes and hyphens."""
     pattern = TOKEN.replace("\\", "\\\\").replace("'", "\\'")
-    return F.expr(f"transform(regexp_extract_all(lower({text}), '{pattern}', 0), x -> rtrim('\\'-’', x))")
+    return F.expr(f"regexp_extract_all(lower({text}), '{pattern}', 0)")
 
 
 def kept_sql(w: str, stopwords: bool = False) -> str:

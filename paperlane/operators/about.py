@@ -12,8 +12,8 @@ KEYWORDS, LABELS, OPENING_WORDS = 12, 6, 60
 
 def keywords(pages: DataFrame, limit: int = KEYWORDS) -> DataFrame:
     """(doc_id, rank, term, n): repeated long terms by count times length; if none, the longest. Ties go to the term that comes first."""
-    raw = pages.select("doc_id", "page_pos", F.posexplode(T.raw_tokens("text")).alias("pos", "w")).where(T.kept_sql("w"))
-    terms = raw.select("doc_id", F.struct("page_pos", "pos").alias("at"), F.expr(T.stem_sql("w")).alias("term"))
+    raw = pages.select("doc_id", "page_pos", F.posexplode_outer(T.raw_tokens("text")).alias("pos", "w")).where(T.kept_sql("w"))
+    terms = raw.select("doc_id", (F.shiftleft(F.col("page_pos").cast("long"), 32) + F.col("pos")).alias("at"), F.expr(T.stem_sql("w")).alias("term"))
     counted = terms.groupBy("doc_id", "term").agg(F.count("*").alias("n"), F.min("at").alias("at")).where(~F.col("term").isin(*dict.fromkeys(T.NOISE)))
     scored = counted.withColumn("size", F.length("term")).withColumn("repeated", (F.col("n") > 1) & (F.col("size") > 3)).where("repeated or size > 5")
     # repeated terms come before all others; others count only where there are none
@@ -32,16 +32,14 @@ def openings(pages: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.coalesce(F.min("first")["o"], F.lit("")).alias("opening"), F.transform(labels, lambda x: x["label"]).alias("labels"))
 
 
-def summary_hits(pages: DataFrame, limit: int = 5) -> DataFrame:
+def summary_hits(pages: DataFrame, limit: int = 5, one_page: bool = False) -> DataFrame:
     """(doc_id, passage_idx, rank): the passages that a summary is written from, found by the document's own keywords (stemmed again, as any question is); failing that, the first three."""
-    parts = P.passages(pages)
+    parts = P.passages(pages, one_page=one_page)
     terms = keywords(pages).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k"))
     questions = terms.select("doc_id", F.array_join(F.transform("k", lambda x: x["term"]), " ").alias("question"))
     asked = questions.select("doc_id", F.posexplode(F.array_distinct(T.tokens("question"))).alias("pos", "term"))
     n_terms = asked.groupBy("doc_id").agg(F.count("*").alias("n_terms"))
-    lengths = P.passage_lengths(parts)
-    stats, posted = P.document_stats(lengths), P.postings(parts).join(asked, ["doc_id", "term"])
-    weighed = posted.join(P.idf(P.document_frequency(posted), stats).select("doc_id", "term", "idf"), ["doc_id", "term"]).join(stats, "doc_id").join(lengths, ["doc_id", "passage_idx"])
+    weighed = P.term_matches(parts, asked.select("doc_id", "term")).join(asked, ["doc_id", "term"])
     s = F.col("idf") * F.col("tf") * 2.4 / (F.col("tf") + 1.4 * (0.28 + 0.72 * F.col("len") / F.col("avg_len")))
     sums = weighed.withColumn("s", s).groupBy("doc_id", "passage_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("m"))
     scored = sums.join(n_terms, "doc_id").withColumn("score", F.aggregate("m", F.lit(0.0), lambda a, x: a + x["s"]) * (0.6 + 0.4 * F.size("m") / F.col("n_terms")))

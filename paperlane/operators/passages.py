@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from math import gcd
+
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -14,29 +16,42 @@ def pages_of(documents: DataFrame) -> DataFrame:
     return documents.select("doc_id", F.lit(0).alias("page_pos"), F.lit(1).alias("number"), F.lit("part 1").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def passages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP) -> DataFrame:
+def passages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, one_page: bool = False) -> DataFrame:
     """(doc_id, passage_idx, number, label, text): overlapping windows of each page's words; a short page is one passage, verbatim.
 
     Windows are numbered through a document. A page's windows follow from its word count alone, so their
-    numbers come from a running sum over its pages, not over its windows.
+    numbers come from a running sum over its pages, not over its windows. With one_page every row of pages is a
+    document of its own, and nothing is shuffled.
+
+    Text is cut to blocks of as many words as divide both the width and the step of a window; a window joins a
+    few blocks, so that a long page costs no more for each word than a short one. Arrays are exploded with their
+    empties, which are filtered after: an inner explode is given a filter on the array's size before it, and that
+    computes the array from the text again.
     """
     step = max(20, size - overlap)
-    trimmed = pages.withColumn("text", F.regexp_replace("text", r"^\s+|\s+$", "")).where("text <> ''").withColumn("_w", T.words("text")).withColumn("_n", F.size("_w"))
+    unit = gcd(size, step)
+    blocks = F.expr(rf"regexp_extract_all(regexp_replace(text, r'\s+', ' '), r'[^ ]++(?: [^ ]++){{0,{unit - 1}}}+', 0)")
+    cut = pages.select("doc_id", "page_pos", "number", "label", "text", blocks.alias("_b"))
+    words = F.when(F.size("_b") > 0, (F.size("_b") - 1) * unit + F.size(F.split(F.element_at("_b", -1), " "))).otherwise(0)
     short = F.col("_n") <= size + overlap // 2
-    full = F.when(short, 1).otherwise(F.ceil((F.col("_n") - size) / step).cast("int") + 1)
+    full = F.ceil((F.col("_n") - size) / step).cast("int") + 1
     # a tail of under 30 words is dropped unless it is all there is
-    last = F.col("_n") - (full - 1) * step
-    counted = trimmed.withColumn("_k", F.when(~short & (F.least(last, F.lit(size)) < 30), F.greatest(full - 1, F.lit(1))).otherwise(full))
-    offset = F.coalesce(F.sum("_k").over(Window.partitionBy("doc_id").orderBy("page_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    placed = counted.withColumn("_before", offset)
-    rows = placed.select("doc_id", "number", "label", "text", "_w", "_n", "_before", short.alias("_short"), F.explode(F.sequence(F.lit(0), F.col("_k") - 1)).alias("_i"))
-    window = F.array_join(F.slice("_w", F.col("_i") * step + 1, F.lit(size)), " ")
-    return rows.select("doc_id", (F.col("_before") + F.col("_i")).cast("int").alias("passage_idx"), "number", "label", F.when(F.col("_short"), F.col("text")).otherwise(window).alias("text"))
+    last = F.least(F.col("_n") - (full - 1) * step, F.lit(size))
+    count = F.when(last < 30, F.greatest(full - 1, F.lit(1))).otherwise(full)
+    window = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice("_b", i * (step // unit) + 1, F.lit(size // unit)), " "))
+    whole = F.array(F.regexp_replace("text", r"^\s+|\s+$", ""))
+    windows = F.when(F.col("_n") == 0, F.array().cast("array<string>")).when(short, whole).otherwise(window)
+    made = cut.withColumn("_n", words).select("doc_id", "page_pos", "number", "label", windows.alias("_w"))
+    if one_page:
+        return made.select("doc_id", "number", "label", F.posexplode_outer("_w").alias("passage_idx", "text")).where("text is not null").select("doc_id", "passage_idx", "number", "label", "text")
+    before = F.coalesce(F.sum(F.size("_w")).over(Window.partitionBy("doc_id").orderBy("page_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rows = made.withColumn("_before", before).select("doc_id", "number", "label", "_before", F.posexplode_outer("_w").alias("_i", "text")).where("text is not null")
+    return rows.select("doc_id", (F.col("_before") + F.col("_i")).cast("int").alias("passage_idx"), "number", "label", "text")
 
 
 def token_rows(passages_: DataFrame, stopwords: bool = False) -> DataFrame:
     """(doc_id, passage_idx, pos, term), exploded before stemming so that stems are plain generated code."""
-    raw = passages_.select("doc_id", "passage_idx", F.posexplode(T.raw_tokens("text")).alias("pos", "w")).where(T.kept_sql("w", stopwords))
+    raw = passages_.select("doc_id", "passage_idx", F.posexplode_outer(T.raw_tokens("text")).alias("pos", "w")).where(T.kept_sql("w", stopwords))
     return raw.select("doc_id", "passage_idx", "pos", F.expr(T.stem_sql("w")).alias("term"))
 
 
@@ -64,3 +79,24 @@ def idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     """(doc_id, term, df, idf), within each document."""
     joined = df.join(stats, "doc_id")
     return joined.select("doc_id", "term", "df", F.log(1 + (F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+
+
+def term_matches(passages_: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(doc_id, passage_idx, term, tf, len, n_passages, avg_len, idf) of the postings whose term is in wanted ((term) or (doc_id, term), distinct).
+
+    One pass over the tokens: of a passage's other terms only their number goes through the shuffle.
+    """
+    raw = passages_.select("doc_id", "passage_idx", F.explode_outer(T.raw_tokens("text")).alias("w"))
+    tokens = raw.select("doc_id", "passage_idx", F.expr(f"CASE WHEN {T.kept_sql('w')} THEN {T.stem_sql('w')} END").alias("token"))
+    asked = wanted.withColumnRenamed("term", "token").withColumn("term", F.col("token"))
+    marked = tokens.join(asked, [c for c in asked.columns if c != "term"], "left")
+    counted = marked.groupBy("doc_id", "passage_idx", "term").agg(F.count("token").alias("tf")).repartition("doc_id")
+    # from here on everything is within a document, and stays where it is
+    held = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))
+    each = counted.groupBy("doc_id", "passage_idx").agg(F.greatest(F.sum("tf"), F.lit(1)).alias("len"), held.alias("held"))
+    document = Window.partitionBy("doc_id")
+    each = each.withColumn("n_passages", F.count("*").over(document)).withColumn("avg_len", F.avg("len").over(document))
+    rows = each.select("doc_id", "passage_idx", "len", "n_passages", "avg_len", F.inline("held"))
+    df = F.count("*").over(Window.partitionBy("doc_id", "term"))
+    rows = rows.withColumn("df", df)
+    return rows.select("doc_id", "passage_idx", "term", "tf", "len", "n_passages", "avg_len", F.log(1 + (F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))

@@ -22,15 +22,11 @@ def question_terms(questions: DataFrame) -> DataFrame:
     return q.select("query_id", F.posexplode("terms").alias("pos", "term"), F.size("terms").alias("n_terms"), "phrase")
 
 
-def _scored(questions: DataFrame, pages: DataFrame) -> DataFrame:
+def _scored(questions: DataFrame, pages: DataFrame, one_page: bool) -> DataFrame:
     """A row for each (question, passage) with a common term. The question terms are the small side of an equi-join on the term."""
-    parts = P.passages(pages)
-    lengths = P.passage_lengths(parts)
-    posted, stats = P.postings(parts), P.document_stats(lengths)
+    parts = P.passages(pages, one_page=one_page)
     terms = question_terms(questions)
-    wanted = posted.join(terms, "term")
-    df = P.document_frequency(posted.join(terms.select("term").distinct(), "term", "left_semi"))
-    weighed = wanted.join(P.idf(df, stats).select("doc_id", "term", "idf"), ["doc_id", "term"]).join(stats, "doc_id").join(lengths, ["doc_id", "passage_idx"])
+    weighed = P.term_matches(parts, terms.select("term").distinct()).join(terms, "term")
     norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
     weighed = weighed.withColumn("s", F.col("idf") * F.col("tf") * (K1 + 1) / norm)
     sums = weighed.groupBy("query_id", "doc_id", "passage_idx", "n_terms", "phrase").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "s"))).alias("m"))
@@ -43,21 +39,22 @@ def _scored(questions: DataFrame, pages: DataFrame) -> DataFrame:
     return joined.withColumn("score", F.col("raw") * boost * (0.6 + 0.4 * F.col("coverage")))
 
 
-def search(questions: DataFrame, pages: DataFrame, limit: int = HITS) -> DataFrame:
+def search(questions: DataFrame, pages: DataFrame, limit: int = HITS, one_page: bool = False) -> DataFrame:
     """hits(query_id, doc_id, rank, passage_idx, label, number, text, score, coverage, matched): the best passages of each document for each question.
 
     Scores are ranked unrounded; ties go to the passage whose first matched term stands first in the question, then to the earlier passage.
+    one_page says that every row of pages is a document of its own.
     """
     order = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "first_pos", "passage_idx")
-    ranked = _scored(questions, pages).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    ranked = _scored(questions, pages, one_page).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
     return ranked.select("query_id", "doc_id", "rank", "passage_idx", "label", "number", "text", F.round("score", 3).alias("score"), "coverage", "matched")
 
 
-def confidence(questions: DataFrame, pages: DataFrame, hits: DataFrame | None = None) -> DataFrame:
+def confidence(questions: DataFrame, pages: DataFrame, hits: DataFrame | None = None, one_page: bool = False) -> DataFrame:
     """(query_id, doc_id, found, coverage, score, reason) for each document with a hit: does it answer the question at all?"""
-    hits = search(questions, pages, 1) if hits is None else hits.where("rank = 1")
+    hits = search(questions, pages, 1, one_page) if hits is None else hits.where("rank = 1")
     terms = question_terms(questions)
-    held = P.postings(P.passages(pages)).join(terms, "term").groupBy("query_id", "doc_id").agg(F.countDistinct("term").alias("present"), F.first("n_terms").alias("n_terms"))
+    held = P.term_matches(P.passages(pages, one_page=one_page), terms.select("term").distinct()).join(terms, "term").groupBy("query_id", "doc_id").agg(F.countDistinct("term").alias("present"), F.first("n_terms").alias("n_terms"))
     both = hits.select("query_id", "doc_id", "score").join(held, ["query_id", "doc_id"]).withColumn("share", F.col("present") / F.col("n_terms"))
     found = (F.col("share") >= 0.4) & (F.col("score") >= 0.5)
     return both.select("query_id", "doc_id", found.alias("found"), F.round("share", 2).alias("coverage"), "score", F.when(found, "ok").otherwise("weak").alias("reason"))

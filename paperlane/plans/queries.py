@@ -110,12 +110,12 @@ def tidy_documents(spark, d):
 
 @query(f"WITH {_PASSAGES} SELECT doc_id, passage_idx, text FROM p")
 def passages(spark, d):
-    return P.passages(_pages(spark, d)).select("doc_id", "passage_idx", "text")
+    return P.passages(_pages(spark, d), one_page=True).select("doc_id", "passage_idx", "text")
 
 
 @query(f"WITH {_TOKENS} SELECT doc_id, passage_idx, pos, term FROM k")
 def tokens(spark, d):
-    return P.token_rows(P.passages(_pages(spark, d)))
+    return P.token_rows(P.passages(_pages(spark, d), one_page=True))
 
 
 @query(f"WITH d AS (SELECT doc_id, {_RAW.format('text', 'text')} FROM documents) SELECT doc_id, count(*) AS raw_tokens, count(*) FILTER (WHERE {_KEPT}) AS kept_tokens FROM d GROUP BY doc_id")
@@ -126,34 +126,34 @@ def stopword_share(spark, d):
 
 @query(f"WITH {_INDEX} SELECT doc_id, term, passage_idx, tf FROM posted")
 def postings(spark, d):
-    return P.postings(P.passages(_pages(spark, d)))
+    return P.postings(P.passages(_pages(spark, d), one_page=True))
 
 
 @query(f"WITH {_INDEX} SELECT doc_id, passage_idx, len FROM lengths")
 def passage_lengths(spark, d):
-    return P.passage_lengths(P.passages(_pages(spark, d)))
+    return P.passage_lengths(P.passages(_pages(spark, d), one_page=True))
 
 
 @query(f"WITH {_INDEX} SELECT doc_id, n_passages, round(avg_len, 6) AS avg_len FROM stats")
 def document_stats(spark, d):
-    return P.document_stats(P.passage_lengths(P.passages(_pages(spark, d)))).withColumn("avg_len", F.round("avg_len", 6))
+    return P.document_stats(P.passage_lengths(P.passages(_pages(spark, d), one_page=True))).withColumn("avg_len", F.round("avg_len", 6))
 
 
 @query(f"WITH {_INDEX} SELECT doc_id, term, df, round(idf, 6) AS idf FROM idf")
 def term_idf(spark, d):
-    parts = P.passages(_pages(spark, d))
+    parts = P.passages(_pages(spark, d), one_page=True)
     return P.idf(P.document_frequency(P.postings(parts)), P.document_stats(P.passage_lengths(parts))).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {_search(_ONE)} SELECT query_id, doc_id, rank, passage_idx, round(score, 3) AS score, round(coverage, 6) AS coverage, matched FROM hits")
 def bm25_all_documents(spark, d):
-    hits = retrieve.search(_question(spark), _pages(spark, d))
+    hits = retrieve.search(_question(spark), _pages(spark, d), one_page=True)
     return hits.select("query_id", "doc_id", "rank", "passage_idx", "score", F.round("coverage", 6).alias("coverage"), F.array_join("matched", " ").alias("matched"))
 
 
 @query(f"WITH {_search(_MANY)} SELECT query_id, doc_id, rank, passage_idx, round(score, 3) AS score, matched FROM hits")
 def bm25_benchmark_questions(spark, d):
-    return retrieve.search(_benchmark(spark, d), _pages(spark, d)).select("query_id", "doc_id", "rank", "passage_idx", "score", F.array_join("matched", " ").alias("matched"))
+    return retrieve.search(_benchmark(spark, d), _pages(spark, d), one_page=True).select("query_id", "doc_id", "rank", "passage_idx", "score", F.array_join("matched", " ").alias("matched"))
 
 
 @query(f"""WITH {_search(_MANY)},
@@ -161,7 +161,7 @@ present AS (SELECT query_id, doc_id, count(DISTINCT term) / any_value(n_terms) A
 b AS (SELECT query_id, doc_id, round(score, 3) AS score, share FROM hits JOIN present USING (query_id, doc_id) WHERE rank = 1)
 SELECT query_id, doc_id, share >= 0.4 AND score >= 0.5 AS found, round(share, 2) AS coverage, score, CASE WHEN share >= 0.4 AND score >= 0.5 THEN 'ok' ELSE 'weak' END AS reason FROM b""")
 def confidence(spark, d):
-    return retrieve.confidence(_benchmark(spark, d), _pages(spark, d))
+    return retrieve.confidence(_benchmark(spark, d), _pages(spark, d), one_page=True)
 
 
 @query(rf"""WITH {_search(_ONE)},
@@ -177,7 +177,7 @@ SELECT 'q' AS query_id, h.doc_id, h.rank, CASE WHEN len(words) <= 46 THEN text E
 FROM h LEFT JOIN best USING (doc_id, rank)""")
 def snippets(spark, d):
     q = _question(spark)
-    return retrieve.snippets(retrieve.search(q, _pages(spark, d)), q).select("query_id", "doc_id", "rank", "snippet")
+    return retrieve.snippets(retrieve.search(q, _pages(spark, d), one_page=True), q).select("query_id", "doc_id", "rank", "snippet")
 
 
 _KEYWORDS = f"""t0 AS (SELECT doc_id, {_RAW.format("text", "text")} FROM documents),
@@ -207,7 +207,7 @@ y AS (SELECT doc_id, passage_idx, min(pos) AS first_pos, list_sum(list(s ORDER B
 f AS (SELECT doc_id, passage_idx, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, first_pos, passage_idx) AS rank FROM y QUALIFY rank <= 5)
 SELECT doc_id, passage_idx, rank FROM f UNION ALL SELECT doc_id, passage_idx, passage_idx + 1 FROM p WHERE passage_idx < 3 AND doc_id NOT IN (SELECT doc_id FROM f)""")
 def summary_hits(spark, d):
-    return about.summary_hits(_pages(spark, d))
+    return about.summary_hits(_pages(spark, d), one_page=True)
 
 
 _BLOCKS = r"(?i)</(?:p|div|li|tr|h[1-6]|section|article|ul|ol|table|blockquote)\s*>"
@@ -281,13 +281,13 @@ def answer_support(spark, d):
 
 @query(f"WITH {_search(_ONE)} SELECT query_id, doc_id, string_agg('[' || rank || '] (part 1)' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS extracts FROM hits GROUP BY query_id, doc_id")
 def extract_blocks(spark, d):
-    return answers.extract_blocks(retrieve.search(_question(spark), _pages(spark, d)))
+    return answers.extract_blocks(retrieve.search(_question(spark), _pages(spark, d), one_page=True))
 
 
 @query(f"WITH {_search(_ONE)}, x AS (SELECT query_id, doc_id, string_agg('[' || rank || '] (part 1)' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS e FROM hits GROUP BY query_id, doc_id) SELECT query_id, doc_id, '{answers.ANSWER_RULES}' AS system, 'Extracts:' || chr(10) || chr(10) || e || chr(10) || chr(10) || 'Question: {QUESTION}' AS user FROM x")
 def prompts(spark, d):
     q = _question(spark)
-    m = answers.messages(answers.extract_blocks(retrieve.search(q, _pages(spark, d))), q)
+    m = answers.messages(answers.extract_blocks(retrieve.search(q, _pages(spark, d), one_page=True)), q)
     return m.select("query_id", "doc_id", F.col("messages")[0]["content"].alias("system"), F.col("messages")[1]["content"].alias("user"))
 
 

@@ -57,20 +57,21 @@ def html_sections(raw: DataFrame) -> DataFrame:
     for tag in ("script", "style", "noscript", "head", "svg"):
         body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
     marked = F.regexp_replace(F.regexp_replace(body, r"[\u0001\u0002]", ""), r"(?is)<h[12]\b[^>]*>(.*?)</h[12]\s*>", "\u0001$1\u0002")
-    rows = raw.select("doc_id", title.alias("title"), F.posexplode(F.split(marked, "\u0001")).alias("page_pos", "part"))
+    rows = raw.select("doc_id", title.alias("title"), F.posexplode_outer(F.split(marked, "\u0001")).alias("page_pos", "part"))
     headed = F.contains(F.col("part"), F.lit("\u0002")) & (F.col("page_pos") > 0)
     heading = F.when(headed, _plain(F.substring_index("part", "\u0002", 1)))
     text = _plain(F.when(headed, F.expr("substring(part, instr(part, '\u0002') + 1)")).otherwise(F.col("part")))
-    rows = rows.select("doc_id", "title", "page_pos", heading.alias("heading"), text.alias("text")).where("text <> ''")
-    number = F.row_number().over(Window.partitionBy("doc_id").orderBy("page_pos"))
-    return rows.withColumn("number", number).select("doc_id", "title", (F.col("number") - 1).alias("page_pos"), "number", T.section_label(F.col("number"), F.col("heading")).alias("label"), "text")
+    rows = rows.select("doc_id", "title", "page_pos", heading.alias("heading"), text.alias("text"))
+    # numbered before the filter, which would else be computed from the raw page a second time
+    number = F.count(F.when(F.col("text") != "", 1)).over(Window.partitionBy("doc_id").orderBy("page_pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
+    return rows.withColumn("number", number).where("text <> ''").select("doc_id", "title", (F.col("number") - 1).alias("page_pos"), "number", T.section_label(F.col("number"), F.col("heading")).alias("label"), "text")
 
 
 def text_parts(raw: DataFrame) -> DataFrame:
     """pages of raw (doc_id, text): Markdown sections if the text has headings (what precedes the first is dropped), else parts of twelve paragraphs."""
     tidied = raw.select("doc_id", T.tidy(F.col("text")).alias("text"))
     heading = r"^\s{0,3}#{1,3}\s+(.*\S)\s*$"
-    lines = tidied.select("doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "line")).withColumn("h", F.col("line").rlike(heading))
+    lines = tidied.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).withColumn("h", F.col("line").rlike(heading))
     sections = lines.withColumn("k", F.sum(F.col("h").cast("int")).over(Window.partitionBy("doc_id").orderBy("pos"))).where("k > 0")
     sections = sections.groupBy("doc_id", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
     text = T.tidy(F.array_join(F.transform("x", lambda x: x["line"]), "\n"))
