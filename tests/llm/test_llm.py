@@ -199,3 +199,75 @@ def test_pipeline(spark):
     assert good.columns == docs.columns and 0 < good.count() < docs.count()
     out = c.run(spark, sf).toPandas()
     assert set(out.doc_id) <= set(good.toPandas().doc_id) and (out.groupby("sequence_id").length.sum() <= 4096).all()
+
+
+def awkward(spark):
+    """Null ids and texts, repeated rows, one id with two texts, a very long text, and columns named like those that operators use inside."""
+    long = " ".join(f"w{i % 977}x{i % 1013}" for i in range(120_000))
+    run = "\n".join(f"shared line {i} of a run" for i in range(40))
+    said = [(None, "no id"), (None, None), (1, None), (2, ""), (3, " \n\t"), (4, "same text of more than five words"), (4, "same text of more than five words"), (5, "same text of more than five words"), (6, "one text"), (6, "another text of the same id"), (7, long), (8, long + " end"), (9, run), (10, run), (None, run)]
+    extra = [c for c in ("_gone", "_chunks", "_row", "version", "cls", "root", "key", "sig", "component_id", "kept", "removed_chunks", "score", "held_out", "h", "y", "n")]
+    made = [(i, t, None, "s", None, *[None] * len(extra)) for i, t in said]
+    return spark.createDataFrame(made, "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in extra)), said
+
+
+def test_awkward_documents(spark):
+    docs, said = awkward(spark)
+    ids = sorted(str(i) for i, _ in said)
+    labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (5, 0, 1), (None, 1, 1), (7, None, None), (99, 1, 1)], "doc_id long, quality int, toxic int")
+    listed = lambda df: sorted(str(r.doc_id) for r in df.select("doc_id").collect())
+    for name, score in (("quality", quality.score_quality), ("toxicity", toxicity.score_toxicity)):
+        got = score(docs, labels)
+        assert listed(got) == ids, name
+        assert all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3) for r in got.collect())
+    near = near_dedup.near_duplicates(docs).collect()
+    assert sorted(str(r.doc_id) for r in near) == ids
+    of = {(r.doc_id, r.n_shingles): r.component_id for r in near}
+    assert of[4, 3] == of[5, 3] == 4 and {of[k] for k in of if k[0] in (7, 8)} == {7} and {r.component_id for r in near if r.doc_id in (9, 10)} == {9}
+    assert all(r.component_id is None and r.kept for r in near if r.doc_id is None)
+    cut = line_dedup.dedup_lines(docs)
+    assert sorted(cut.columns) == sorted(docs.columns) and listed(cut) == ids
+    texts = {(r.doc_id, r.text) for r in cut.collect()}
+    assert {(i, t) for i, t in said if i != 10} <= texts and (10, said[12][1]) not in texts
+    packed = packing.pack_documents(docs, queries.tokenizer_path("word_bpe_49k.json")).collect()
+    assert sorted(str(r.doc_id) for r in packed if r.start == 0) == ids
+    assert sum(r.length for r in packed) == sum(r.doc_tokens for r in packed if r.start == 0)
+    coded = sentencepiece_codec.encode(docs, queries.tokenizer_path("piece_bpe_32k.model"))
+    assert sorted(map(str, sentencepiece_codec.decode(coded, queries.tokenizer_path("piece_bpe_32k.model")).collect())) == sorted(map(str, docs.select("doc_id", "text").collect()))
+    assert licenses.scan_licenses(docs).count() == 0
+
+
+def test_awkward_vectors(spark):
+    v = [(None, [1.0, 0.0]), (0, [1.0, 0.0]), (0, [1.0, 0.0]), (1, [2.0, 0.0]), (2, [-0.0, 1.0]), (3, [0.0, 1.0]), (4, None), (5, []), (6, [0.0, 0.0]), (7, [None, 1.0]), (8, [float("inf"), 1.0]), (20, [1.0, 1e-3])]
+    df = spark.createDataFrame([(i, x, None, "x", 1) for i, x in v], "vec_id long, embedding array<double>, label int, node string, home int")
+    got = metric_join.near_vectors(df).collect()
+    assert len(got) == len(v)
+    assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(None, 0, None), (0, 3, 0), (1, 3, 0), (2, 1, 2), (3, 1, 2), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 0, 8), (20, 3, 0)}
+    near = permutation_index.nearest(df, df.where("vec_id = 20"), k=3).orderBy("rank").collect()
+    assert [(r.rank, r.vec_id, r.score) for r in near] == [(1, 1, 2.0), (2, 0, 1.0), (3, 0, 1.0)]
+
+
+def test_awkward_stages(spark):
+    import corpus_pipeline as c
+
+    docs, said = awkward(spark)
+    docs = docs.select("doc_id", "text", "lang", "source", "n_chars")
+    sf = "/root/testdata/sf0.001"
+    for stage in (c.keep_good, c.keep_clean, c.drop_repeated_lines, c.drop_near_copies):
+        for df in (docs, docs.where("false")):
+            out = stage(spark, df, sf)
+            assert out.columns == docs.columns and out.count() <= df.count()
+    left = sorted(str(r.doc_id) for r in c.drop_near_copies(spark, docs, sf).collect())
+    assert left == sorted(str(i) for i, _ in said if i not in (5, 8, 10))
+    assert c.pack(spark, docs, sf).where("start = 0").count() == len(said)
+    assert c.pack(spark, docs.where("false"), sf).count() == 0
+
+
+def test_stage_links_from_eighty_percent(spark):
+    import corpus_pipeline as c
+
+    words = [f"w{i}" for i in range(200)]
+    other = [*words[:180], *(f"x{i}" for i in range(20))]  # 176 of 216 shingles: 0.815
+    far = [*words[:175], *(f"y{i}" for i in range(25))]  # 171 of 221 with the first: 0.774; 171 of 221 with the second
+    docs = documents(spark, [" ".join(words), " ".join(other), " ".join(far)])
+    assert {r.doc_id for r in c.drop_near_copies(spark, docs, "").collect()} == {0, 2}
