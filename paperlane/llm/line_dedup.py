@@ -54,11 +54,14 @@ def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     """
     columns = [c for c in docs.columns if c != "removed_chunks"]
     gone = settle(repeated_chunks(docs, min_lines)).groupBy("doc_id", "version").agg(F.collect_set("chunk").alias("_gone"))
-    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), F.col("text"), F.struct(*columns).alias("_row"))
+    # the text isn't in _row as well: both would go through the shuffle
+    rest = F.struct(F.lit(0), *[c for c in columns if c not in ("doc_id", "text")]).alias("_row")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("version"), F.col("text"), rest)
     cut = with_chunks(rows.join(gone, ["doc_id", "version"], "left"))
     kept = F.expr("replace(array_join(filter(_chunks, (c, i) -> NOT array_contains(_gone, i)), '\\n'), '\u0001e', '\u0001')")
     text = F.when(F.col("_gone").isNotNull(), kept).otherwise(F.col("text"))
-    out = [text.alias("text") if c == "text" else F.when(F.col("_gone").isNotNull(), F.length(text).cast("long")).otherwise(F.col("_row.n_chars")).alias(c) if c == "n_chars" else F.col(f"_row.`{c}`").alias(c) for c in columns]
+    made = {"doc_id": F.col("doc_id"), "text": text, "n_chars": F.when(F.col("_gone").isNotNull(), F.length(text).cast("long")).otherwise(F.col("_row.n_chars"))}
+    out = [made.get(c, F.col(f"_row.`{c}`")).alias(c) for c in columns]
     return cut.select(*out, F.when(F.col("_gone").isNotNull(), F.size("_gone")).otherwise(0).alias("removed_chunks"))
 
 
