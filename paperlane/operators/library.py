@@ -53,3 +53,17 @@ def default_models(engines: DataFrame, saved: DataFrame) -> DataFrame:
     small = F.coalesce(*[F.when(F.contains("name", F.lit(h)), k) for k, h in enumerate(SMALL_MODELS)], F.lit(len(SMALL_MODELS)))
     order = Window.partitionBy("id").orderBy(F.when(F.col("name") == F.col("model"), 0).otherwise(1), small, F.when(small == len(SMALL_MODELS), F.length("name")).otherwise(0), "pos")
     return rows.withColumn("k", F.row_number().over(order)).where("k = 1").select("id", F.col("name").alias("model"))
+
+
+def page_by_label(wanted: DataFrame, pages: DataFrame) -> DataFrame:
+    """(query_id, doc_id, number, label) for each row of wanted (query_id, doc_id, wanted): the page of its document that a citation names.
+
+    The page of that number, if it is all digits; else the first whose label contains it, whatever the case; else
+    the first. A document without pages has none. One join on the document, and an aggregate of one row per query.
+    """
+    clean = wanted.select("query_id", "doc_id", F.lower(F.regexp_replace(F.trim(F.coalesce("wanted", F.lit(""))), "^“|”$", "")).alias("w"))
+    both = clean.join(pages.select("doc_id", "page_pos", "number", "label"), "doc_id")
+    numbered = F.col("w").rlike(r"^[0-9]{1,9}$") & (F.try_to_number(F.col("w"), F.lit("999999999")) == F.col("number"))
+    place = F.when(numbered & (F.col("number") != 0), 0).when(F.contains(F.lower(F.coalesce("label", F.lit(""))), F.col("w")), 1).otherwise(2)
+    best = both.groupBy("query_id", "doc_id").agg(F.min(F.struct(place.alias("place"), "page_pos", "number", "label")).alias("b"))
+    return best.select("query_id", "doc_id", "b.number", "b.label")

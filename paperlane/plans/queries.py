@@ -352,3 +352,15 @@ def sse_round_trip(spark, d):
     e = _t(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit("\n")).alias("response"))
     lines = e.select("stream_id", "seq", F.concat(F.lit("data: "), F.to_json(F.struct("response"))).alias("line"))
     return events.read_lines(lines).select("stream_id", "seq", "text")
+
+
+@query("""WITH c AS (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY conv_id, turn),
+w AS (SELECT DISTINCT conv_id, CASE conv_id % 3 WHEN 0 THEN '2' WHEN 1 THEN 'assist' ELSE 'nowhere' END AS w FROM c),
+j AS (SELECT c.conv_id, turn, role || ' ' || turn AS label, CASE WHEN w = '2' AND turn = 2 THEN 0 WHEN contains(lower(role || ' ' || turn), w) THEN 1 ELSE 2 END AS place FROM c JOIN w ON w.conv_id = c.conv_id)
+SELECT conv_id AS doc_id, turn AS number, label FROM j QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY place, turn) = 1""")
+def page_by_label(spark, d):
+    c = _t(spark, d, "conversations").groupBy("conv_id", "turn").agg(F.min("role").alias("role"))
+    turns = c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_pos"), F.col("turn").alias("number"), F.concat("role", F.lit(" "), F.col("turn").cast("string")).alias("label"))
+    asked = F.when(F.col("doc_id") % 3 == 0, " 2").when(F.col("doc_id") % 3 == 1, "“Assist”").otherwise("nowhere")
+    wanted = turns.select(F.col("doc_id").alias("query_id"), "doc_id", asked.alias("wanted")).distinct()
+    return library.page_by_label(wanted, turns).select("doc_id", "number", "label")

@@ -37,6 +37,21 @@ def sniff(name: Column, content: Column) -> Column:
     )
 
 
+#: The bytes 80 to 9f as Latin-1 reads them and as Windows-1252 does, and those that Windows-1252 leaves undefined.
+_C1 = [chr(b) for b in range(0x80, 0xA0)]
+_WINDOWS = [bytes([b]).decode("cp1252", "ignore") for b in range(0x80, 0xA0)]
+_UNDEFINED = "".join(c for c, w in zip(_C1, _WINDOWS, strict=True) if not w)
+
+
+def decode_text(content: Column) -> Column:
+    """A file's text: UTF-8, without its byte order mark, if it is valid; else Windows-1252; else, if a byte is undefined there, Latin-1."""
+    utf8 = content.cast("string")
+    latin = F.decode(content, "ISO-8859-1")
+    windows = F.translate(latin, "".join(c for c, w in zip(_C1, _WINDOWS, strict=True) if w), "".join(_WINDOWS))
+    marked = F.when(F.startswith(utf8, F.lit("\ufeff")), F.substr(utf8, F.lit(2))).otherwise(utf8)
+    return F.when(F.is_valid_utf8(utf8), marked).when(latin.rlike(f"[{_UNDEFINED}]"), latin).otherwise(windows)
+
+
 def _decoded(out: Column) -> Column:
     # named entities; the ampersand last, so that nothing is decoded twice
     for name, char in (("nbsp", " "), ("copy", "©"), ("middot", "·"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("amp", "&")):

@@ -6,14 +6,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.passages import passages
-from ..sources.readers import sniff, text_parts
+from ..sources.readers import decode_text, sniff, text_parts
 
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """A stream of (doc_id, text) of the text files that appear in folder."""
     files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length long, content binary").load(folder)
     named = files.select(F.element_at(F.split("path", "/"), -1).alias("name"), "content")
-    return named.where(sniff(F.col("name"), F.col("content")) == "text").select(F.substring(F.sha2("name", 256), 1, 16).alias("doc_id"), F.decode("content", "UTF-8").alias("text"))
+    return named.where(sniff(F.col("name"), F.col("content")) == "text").select(F.substring(F.sha2("name", 256), 1, 16).alias("doc_id"), decode_text(F.col("content")).alias("text"))
 
 
 def ingest(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:

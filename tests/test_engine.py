@@ -128,3 +128,21 @@ def test_streaming_ingest(spark, tmp_path):
     q = ingest.ingest(ingest.text_files(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["alpha beta"]
+
+
+@pytest.mark.parametrize("data", [b"plain", b"", "caf\u00e9 \u20ac".encode(), b"\xef\xbb\xbfmarked", "\u00a3 5 \u2014 \u201cna\u00efve\u201d".encode("cp1252"), b"\x81 caf\xe9 \x93"])
+def test_decode_text(spark, data):
+    want = None
+    for encoding in ("utf-8-sig", "cp1252", "latin-1"):
+        try:
+            want = data.decode(encoding)
+            break
+        except UnicodeDecodeError:
+            pass
+    assert one(spark, readers.decode_text(F.col("c")), c=bytearray(data)) == want
+
+
+def test_page_by_label(spark):
+    pages = spark.createDataFrame([(1, 0, 1, "page 1"), (1, 1, 2, "page 2 (Costs)"), (1, 2, 3, None)], "doc_id long, page_pos int, number int, label string")
+    wanted = spark.createDataFrame([("a", 1, "3"), ("b", 1, " “costs” "), ("c", 1, "none"), ("d", 1, None), ("e", 2, "1"), ("f", 1, "99999999999")], "query_id string, doc_id long, wanted string")
+    assert {r.query_id: r.number for r in library.page_by_label(wanted, pages).collect()} == {"a": 3, "b": 2, "c": 1, "d": 1, "f": 1}
