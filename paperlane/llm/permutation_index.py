@@ -6,7 +6,12 @@ adds up, over the files of its own pivots, what each posting saves of the footru
 between the two orders (an absent pivot has place LENGTH), so it touches postings only; the
 CANDIDATES nearest by footrule in each block are then ranked by their exact inner product.
 
-Every vector is indexed. Vectors are dealt into blocks by a hash of their id and the queries into
+Equal vectors are one in the index, with the least ids that a result can hold; pivots are drawn from
+distinct vectors. As nearness is the inner product, whatever the lengths, orders are taken on the
+sphere of a large length M: a vector v has the component sqrt(M^2 - |v|^2) added, a query 0. M is the
+length that LONG of a block exceed, and those are always ranked exactly, so a few huge vectors don't make all others alike.
+
+Every vector is indexed. Vectors are dealt into blocks by their hash and the queries into
 blocks of their own; a task has one block of each, at any size of the table.
 """
 
@@ -19,17 +24,54 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .bytetext import group_starts, groups
+from .graph import stored
 from .metric_join import _rows, _unit, usable
 
 PIVOTS, LENGTH = 128, 40
 #: Share of a block that is ranked exactly for a query, and the least number of vectors.
 CANDIDATES, LEAST = 0.25, 400
 BLOCK, QUERY_BLOCK = 8192, 2048
+#: Share of a block's longest vectors that are ranked for every query.
+LONG = 0.01
+#: Parts in which the ids of one vector are first cut to the least, so that no task reads all of them.
+PARTS = 64
+
+
+def lengths(rows: np.ndarray) -> np.ndarray:
+    top = np.abs(rows).max(1)
+    return top * np.linalg.norm(rows / top[:, None], axis=1)
+
+
+def lifted(rows: np.ndarray, long: float) -> np.ndarray:
+    """Unit vectors in one dimension more; those of vectors no longer than long have products with asking() in order of the inner products."""
+    rows = rows / long
+    rest = np.sqrt(np.maximum(0, 1 - (rows * rows).sum(1)))
+    return _unit(np.column_stack([rows, rest]))
 
 
-def orders(rows: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
+def asking(rows: np.ndarray) -> np.ndarray:
+    return np.column_stack([_unit(rows), np.zeros(len(rows))])
+
+
+def orders(unit: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
     """The numbers of each row's nearest pivots, nearest first."""
-    return np.argsort(-(_unit(rows) @ pivots.T), axis=1, kind="stable")[:, :length]
+    return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :length]
+
+
+def candidates(order: np.ndarray, asked: np.ndarray, pivots: int, share: float, always: np.ndarray) -> Iterator[np.ndarray]:
+    """For each asked order the rows nearest by footrule and those of always, rising; ties go to the earlier row."""
+    n, length = order.shape
+    flat = np.argsort(order.ravel(), kind="stable")
+    post_row, post_weight = (flat // length).astype(np.int32), (length - flat % length).astype(np.int16)
+    file_at = np.searchsorted(order.ravel()[flat], np.arange(pivots + 1))
+    take = min(n, max(LEAST, int(np.ceil(share * n))))
+    late = np.arange(n)
+    for own in asked:
+        saved = np.zeros(n, np.int16)
+        for place, p in enumerate(own):
+            s = slice(file_at[p], file_at[p + 1])
+            saved[post_row[s]] += np.minimum(post_weight[s], length - place)
+        yield np.union1d(np.argpartition(late - saved.astype(np.int64) * n, take - 1)[:take], always) if take < n else late
 
 
 def _searcher(pivots: np.ndarray, k: int, share: float):
@@ -40,32 +82,36 @@ def _searcher(pivots: np.ndarray, k: int, share: float):
         for table in groups(batches, keys):
             starts = group_starts(table, keys)
             for a, b in zip(starts[:-1], starts[1:], strict=True):
-                part = table.slice(a, b - a)
+                part = table.slice(a, b - a).combine_chunks()
                 asks = part.column("asks").to_numpy()
                 ids, rows = part.column("vec_id").to_numpy(), _rows(part.column("vector"))
                 qi, vi = np.flatnonzero(asks), np.flatnonzero(~asks)
                 if not len(qi) or not len(vi):
                     continue
                 vi = vi[np.argsort(ids[vi], kind="stable")]
-                vectors, vec_ids = np.ascontiguousarray(rows[vi]), ids[vi]
-                order = orders(vectors, pivots, length)
-                flat = np.argsort(order.ravel(), kind="stable")
-                post_row, post_weight = (flat // length).astype(np.int32), (length - flat % length).astype(np.int16)
-                file_at = np.searchsorted(order.ravel()[flat], np.arange(len(pivots) + 1))
-                n = min(len(vi), max(LEAST, int(np.ceil(share * len(vi)))))
+                vectors, least = np.ascontiguousarray(rows[vi]), ids[vi]
+                held = part.column("held").take(pa.array(vi)).combine_chunks()
+                held_at = np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy())])
+                held = held.flatten()
+                held_id, held_n = held.field("vec_id").to_numpy(), np.minimum(held.field("n").to_numpy(), k)
+                sizes = lengths(vectors)
+                long = np.quantile(sizes, 1 - LONG, method="higher")
+                points = lifted(pivots, long)
+                order, asked = orders(lifted(vectors, long), points, length), orders(asking(rows[qi]), points, length)
                 out_q, out_v, out_s = [], [], []
-                for q, own in zip(qi, orders(rows[qi], pivots, length), strict=True):
-                    saved = np.zeros(len(vi), np.int16)
-                    for place, p in enumerate(own):
-                        s = slice(file_at[p], file_at[p + 1])
-                        saved[post_row[s]] += np.minimum(post_weight[s], length - place)
-                    best = np.argpartition(-saved, n - 1)[:n] if n < len(vi) else np.arange(len(vi))
-                    best = np.sort(best[vec_ids[best] != ids[q]])
+                for q, best in zip(qi, candidates(order, asked, len(pivots), share, np.flatnonzero(sizes > long)), strict=True):
                     exact = (vectors[best] * rows[q]).sum(1)
-                    top = np.lexsort((vec_ids[best], -exact))[:k] if len(best) <= 4 * k else _top(exact, vec_ids[best], k)
+                    # one more than k: a vector may have the query's own id alone
+                    top = _top(exact, least[best], k + 1)
+                    near, score = best[top], exact[top]
+                    size = held_at[near + 1] - held_at[near]
+                    at = np.repeat(held_at[near] - np.cumsum(size) + size, size) + np.arange(size.sum())
+                    times = np.where(held_id[at] == ids[q], 0, held_n[at])
+                    found, score = np.repeat(held_id[at], times), np.repeat(np.repeat(score, size), times)
+                    top = np.lexsort((found, -score))[:k]
                     out_q.append(np.full(len(top), ids[q]))
-                    out_v.append(vec_ids[best][top])
-                    out_s.append(exact[top])
+                    out_v.append(found[top])
+                    out_s.append(score[top])
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
 
     return run
@@ -73,8 +119,7 @@ def _searcher(pivots: np.ndarray, k: int, share: float):
 
 def _top(exact: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """The k first by falling score, ties by id."""
-    least = np.partition(exact, len(exact) - k)[len(exact) - k]
-    some = np.flatnonzero(exact >= least)
+    some = np.arange(len(exact)) if len(exact) <= k else np.flatnonzero(exact >= np.partition(exact, len(exact) - k)[len(exact) - k])
     return some[np.lexsort((ids[some], -exact[some]))[:k]]
 
 
@@ -86,13 +131,20 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     Ties go to the smaller vec_id; repeated rows are candidates each. All vectors must have one length.
     Empty tables give an empty result.
     """
-    fine = usable(vectors)
-    centres = fine.withColumn("h", F.xxhash64("vec_id")).orderBy("h", "vec_id").limit(PIVOTS).select("vector").toPandas()["vector"]
-    points = _unit(np.array([list(v) for v in centres])) if len(centres) else np.zeros((0, 1))
+    fine = usable(vectors).withColumn("node", F.xxhash64("vector"))
+    # of each distinct vector the k + 1 least ids, with their numbers of rows: cut in parts, then together
+    each = fine.groupBy("node", "vec_id").agg(F.count("*").alias("n")).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS)))
+    for keys in (["node", "part"], ["node"]):
+        each = each.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).where(F.col("place") <= k + 1).drop("place")
+    held = each.groupBy("node").agg(F.min("vec_id").alias("vec_id"), F.collect_list(F.struct("vec_id", "n")).alias("held"))
+    nodes = stored(fine.groupBy("node").agg(F.first("vector").alias("vector")).join(held, "node"))
+    centres = nodes.withColumn("h", F.hash("node")).orderBy("h", "node").limit(PIVOTS).select("vector").toPandas()["vector"]
+    points = np.array([list(v) for v in centres]) if len(centres) else np.zeros((0, 1))
     asked = usable(queries)
-    blocks, query_blocks = max(1, -(-fine.count() // BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
-    own = fine.select("vec_id", "vector", F.lit(False).alias("asks"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
-    ask = asked.select("vec_id", "vector", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("query_block"))
+    blocks, query_blocks = max(1, -(-nodes.count() // BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
+    own = nodes.select("vec_id", "held", "vector", F.lit(False).alias("asks"), F.pmod("node", F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
+    none = F.lit(None).cast(own.schema["held"].dataType).alias("held")
+    ask = asked.select("vec_id", none, "vector", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("query_block"))
     dealt = own.unionByName(ask.select(own.columns)).repartition("block", "query_block").sortWithinPartitions("block", "query_block")
     found = dealt.mapInArrow(_searcher(points, k, share), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")

@@ -271,3 +271,25 @@ def test_stage_links_from_eighty_percent(spark):
     far = [*words[:175], *(f"y{i}" for i in range(25))]  # 171 of 221 with the first: 0.774; 171 of 221 with the second
     docs = documents(spark, [" ".join(words), " ".join(other), " ".join(far)])
     assert {r.doc_id for r in c.drop_near_copies(spark, docs, "").collect()} == {0, 2}
+
+
+def test_recall_with_copies_and_lengths(spark):
+    x = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()
+    e = np.array(x.embedding.to_list(), float)
+    r = np.random.default_rng(4)
+    copies = e.copy()
+    copies[r.permutation(len(e))[: len(e) // 3]] = e[7]
+    longer = e * r.lognormal(0, 0.5, len(e))[:, None]
+    outlier = e * np.append(100, r.uniform(0.8, 1.2, len(e) - 1))[:, None]
+    for name, v in (("copies", copies), ("lengths", longer), ("outlier", outlier)):
+        df = spark.createDataFrame([(i, y.tolist()) for i, y in enumerate(v)], "vec_id long, embedding array<double>")
+        got = permutation_index.nearest(df, df.where("vec_id % 20 = 0")).toPandas()
+        assert (got.groupby("query_id").vec_id.nunique() == 20).all()
+        hits = {True: [], False: []}
+        for q in range(0, len(v), 20):
+            s = (v * v[q]).sum(1)
+            s[q] = -np.inf
+            want = np.lexsort((np.arange(len(v)), -s))[:20]
+            hits[bool((v[q] == e[7]).all())].append(len(set(want) & set(got[got.query_id == q].vec_id)) / 20)
+        assert np.mean(hits[False]) >= 0.9, name
+        assert not hits[True] or np.mean(hits[True]) == 1
