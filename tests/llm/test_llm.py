@@ -293,3 +293,23 @@ def test_recall_with_copies_and_lengths(spark):
             hits[bool((v[q] == e[7]).all())].append(len(set(want) & set(got[got.query_id == q].vec_id)) / 20)
         assert np.mean(hits[False]) >= 0.9, name
         assert not hits[True] or np.mean(hits[True]) == 1
+
+
+def test_stage_removes_passages_inside_lines(spark):
+    import corpus_pipeline as c
+
+    new = iter(range(100_000))
+    say = lambda n: " ".join(f"w{next(new)}" for _ in range(n))
+    shared = [say(60) for _ in range(40)]
+    texts = [f"{say(40)} {p} {say(40)}" for p in shared] + [f"{say(30)}  {p} {say(30)}\n\n{say(9)}\x01e" for p in shared]
+    lines = [say(6) for _ in range(2)]
+    texts += ["\n".join([say(5), *lines, say(5)]) for _ in range(2)] + ["\n".join([say(5), lines[0], say(5)]), shared[0], None, "", " \n"]
+    docs = documents(spark, texts)
+    got = {x.doc_id: x.text for x in c.drop_repeated_lines(spark, docs, "").collect()}
+    assert [got[i] for i in range(40)] == texts[:40] and got[81].split("\n") == [x for i, x in enumerate(texts[81].split("\n")) if i in (0, 3)]
+    assert got[80] == texts[80] and got[82] == texts[82] and [got[i] for i in range(84, 87)] == texts[84:]
+    left = [sum(w in got[i].split() for w in texts[i - 40].split()[40:100]) for i in range(40, 80)]
+    assert max(left) < 60 and sum(left) / len(left) < 20  # the ends of a passage stay
+    for i in range(40, 80):  # and nothing else goes
+        own = texts[i].split()
+        assert own[:30] + own[90:] == [w for w in got[i].split() if w in own[:30] + own[90:]]
