@@ -4,13 +4,16 @@ A message's lines are parsed into quote levels (the number of leading ``>`` mark
 one level are passages; a quoted passage is normalised (lower case, single spaces) and hashed, and
 joined to the messages that say the same at level 0. A message replies to the message that its
 quotation nearest to level 1 points at: in its own conversation if it is there, else the first that said it anywhere;
+of a quotation that nobody said as a whole passage or line, to the message that most of its lines in a row were first said in;
 without a found quotation, to the turn numbered one less, if it exists. Conversations are built in reply order, without quotes.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
+#: Turns of a conversation that are numbered together.
+TURNS = 1000
 #: The quote marks that begin a line.
 MARKS = "^[ \\t]*(?:>[ \\t]?)+"
 
@@ -34,6 +37,36 @@ def normalised(text: str):
     return F.expr(rf"trim(regexp_replace(lower({text}), r'\s+', ' '))")
 
 
+def _lines(parsed: DataFrame, level: str) -> DataFrame:
+    """(conv_id, turn, level, at, line, said, h): the lines, without blank ones, of the passages at of such a level."""
+    rows = parsed.select("conv_id", "turn", F.posexplode("passages").alias("at", "p")).where(level)
+    rows = rows.select("conv_id", "turn", "p.level", "at", F.posexplode(F.expr(r"filter(split(p.text, '\n', -1), x -> x rlike '\\S')")).alias("line", "text"))
+    return rows.select("conv_id", "turn", "level", "at", "line", normalised("text").alias("said")).withColumn("h", F.xxhash64("said"))
+
+
+def _partly_quoted(parsed: DataFrame) -> DataFrame:
+    """(conv_id, turn, at, part): for each quoted passage the message that holds the most of its lines in a row, by where each line was said first."""
+    asked, own = _lines(parsed, "p.level > 0"), _lines(parsed, "p.level = 0").withColumn("place", F.col("at").cast("long") * 1_000_000 + F.col("line"))
+    near = own.groupBy("conv_id", "h", "said").agg(F.min(F.struct("turn", "place")).alias("n"))
+    first = near.groupBy("h", "said").agg(F.min(F.struct("conv_id", "n")).alias("f"))
+    here = F.when(F.col("n.turn") < F.col("turn"), F.struct("conv_id", "n.turn", "n.place"))
+    there = F.when(F.expr("f.conv_id <> conv_id"), F.struct("f.conv_id", "f.n.turn", "f.n.place"))
+    held = asked.join(near, ["conv_id", "h", "said"], "left").join(first, ["h", "said"], "left").withColumn("s", F.coalesce(here, there)).where("s is not null")
+    source = F.struct(F.col("s.conv_id").alias("conv_id"), F.col("s.turn").alias("turn")).alias("source")
+    runs = held.groupBy("conv_id", "turn", "at", source, (F.col("s.place") - F.col("line")).alias("run")).agg((-F.count("*")).alias("few"))
+    best = F.min(F.struct("few", (F.col("source.conv_id") != F.col("conv_id")).alias("away"), "source"))
+    return runs.groupBy("conv_id", "turn", "at").agg(best.alias("b")).select("conv_id", "turn", "at", F.col("b.source").alias("part"))
+
+
+def positions(messages: DataFrame) -> DataFrame:
+    """messages with position, from 1 in order of turn in each conversation: counted by ranges of turns, so that no task holds a long one."""
+    ranged = messages.withColumn("_range", F.floor(F.col("turn") / TURNS))
+    before = F.sum("_n").over(Window.partitionBy("conv_id").orderBy("_range")) - F.col("_n")
+    offsets = ranged.groupBy("conv_id", "_range").agg(F.count("*").alias("_n")).select("conv_id", "_range", before.alias("_before"))
+    place = F.row_number().over(Window.partitionBy("conv_id", "_range").orderBy("turn"))
+    return ranged.withColumn("_place", place).join(offsets, ["conv_id", "_range"]).withColumn("position", F.col("_before") + F.col("_place")).drop("_range", "_place", "_before")
+
+
 def link_replies(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, role, body, quotes, reply_conv, reply_turn): the message that each message replies to.
 
@@ -52,7 +85,8 @@ def link_replies(messages: DataFrame) -> DataFrame:
     joined = quoted.join(near, ["conv_id", "h", "said"], "left").join(first, ["h", "said"], "left")
     here = F.when(F.col("near_turn") < F.col("turn"), F.struct(F.col("conv_id"), F.col("near_turn").alias("turn")))
     there = F.when(F.expr("f.conv_id <> conv_id"), F.struct(F.col("f.conv_id"), F.col("f.near_turn").alias("turn")))
-    found = joined.withColumn("source", F.coalesce(here, there)).groupBy("conv_id", "turn").agg(F.count("*").alias("quotes"), F.min(F.when(F.col("source").isNotNull(), F.struct("level", (-F.col("at")).alias("at"), "source"))).alias("best"))
+    joined = joined.join(_partly_quoted(parsed), ["conv_id", "turn", "at"], "left")
+    found = joined.withColumn("source", F.coalesce(here, there, "part")).groupBy("conv_id", "turn").agg(F.count("*").alias("quotes"), F.min(F.when(F.col("source").isNotNull(), F.struct("level", (-F.col("at")).alias("at"), "source"))).alias("best"))
     previous = clean.select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("turn").alias("previous"))
     out = parsed.join(found, ["conv_id", "turn"], "left").join(previous, ["conv_id", "turn"], "left")
     reply = F.coalesce(F.col("best.source"), F.when(F.col("previous").isNotNull(), F.struct(F.col("conv_id"), F.col("previous").alias("turn"))))

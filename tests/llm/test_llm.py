@@ -313,3 +313,11 @@ def test_stage_removes_passages_inside_lines(spark):
     for i in range(40, 80):  # and nothing else goes
         own = texts[i].split()
         assert own[:30] + own[90:] == [w for w in got[i].split() if w in own[:30] + own[90:]]
+
+
+def test_trimmed_quotes_and_positions(spark, monkeypatch):
+    monkeypatch.setattr(conversations, "TURNS", 2)
+    said = [(1, 0, "u", "one a\ntwo b\nthree c\n\nfour d\nfive e"), (1, 1, "a", "so\nthree c"), (1, 2, "u", "> two b\n> three c\n> four d\nyes"), (1, 3, "a", "plain"), (1, 7, "u", "> four d\n> five e\nno"), (2, 0, "u", "> Three C\n>\n> four d\n> unknown\nwell")]
+    df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
+    got = {(r.conv_id, r.turn): (r.position, r.reply_conv, r.reply_turn) for r in conversations.positions(conversations.link_replies(df)).collect()}
+    assert got == {(1, 0): (1, None, None), (1, 1): (2, 1, 0), (1, 2): (3, 1, 0), (1, 3): (4, 1, 2), (1, 7): (5, 1, 0), (2, 0): (1, 1, 0)}
