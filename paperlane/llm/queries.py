@@ -62,9 +62,8 @@ def op9_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    built = conversations.build_conversations(table(spark, sf_dir, "conversations"))
-    rows = built.select("conv_id", F.posexplode("messages").alias("position", "m"))
-    return rows.select("conv_id", (F.col("position") + 1).cast("long").alias("position"), "m.turn", "m.role", "m.content", "m.reply_conv", "m.reply_turn")
+    linked = conversations.positions(conversations.link_replies(table(spark, sf_dir, "conversations")))
+    return linked.select("conv_id", "position", "turn", "role", F.col("body").alias("content"), "reply_conv", "reply_turn")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
