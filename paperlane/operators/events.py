@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
@@ -32,14 +35,24 @@ def changed_progress(progress: DataFrame) -> DataFrame:
 def assemble_uploads(slices: DataFrame) -> DataFrame:
     """(upload_id, arrival, accepted, expected) of slices (upload_id, arrival, offset, size): a slice counts only if it begins where what came before it ends.
 
-    A refused slice leaves the state as it is, so this is a fold over an upload's slices in order of arrival, not a running sum.
+    A refused slice leaves the state as it is, so this is a fold over an upload's slices in order of arrival, not a running
+    sum. The slices stream through it sorted; what is held is the number of bytes received.
     """
-    ordered = slices.groupBy("upload_id").agg(F.array_sort(F.collect_list(F.struct("arrival", "offset", "size"))).alias("s"))
-    start = F.struct(F.lit(0).cast("long").alias("received"), F.array().cast("array<struct<arrival:long,accepted:boolean,expected:long>>").alias("out"))
-
-    def take(state, x):
-        ok = x["offset"] == state["received"]
-        row = F.struct(x["arrival"].cast("long").alias("arrival"), ok.alias("accepted"), state["received"].alias("expected"))
-        return F.struct((state["received"] + F.when(ok, x["size"]).otherwise(0)).alias("received"), F.concat(state["out"], F.array(row)).alias("out"))
-
-    return ordered.select("upload_id", F.explode(F.aggregate("s", start, take, lambda s: s["out"])).alias("x")).select("upload_id", "x.*")
+    kind = slices.schema["upload_id"].dataType.simpleString()
+    rows = slices.select("upload_id", F.col("arrival").cast("long").alias("arrival"), F.col("offset").cast("long").alias("offset"), F.col("size").cast("long").alias("size"))
+
+    def fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        upload, received, begun = None, 0, False
+        for batch in batches:
+            accepted, expected = [], []
+            for u, offset, size in zip(batch.column("upload_id").to_pylist(), batch.column("offset").to_pylist(), batch.column("size").to_pylist(), strict=True):
+                if not begun or u != upload:
+                    upload, received, begun = u, 0, True
+                accepted.append(None if offset is None else offset == received)
+                expected.append(received)
+                if offset == received:
+                    received += size
+            yield pa.RecordBatch.from_arrays([batch.column("upload_id"), batch.column("arrival"), pa.array(accepted, pa.bool_()), pa.array(expected, pa.int64())], ["upload_id", "arrival", "accepted", "expected"])
+
+    ordered = rows.repartition("upload_id").sortWithinPartitions("upload_id", "arrival", "offset", "size")
+    return ordered.mapInArrow(fold, f"upload_id {kind}, arrival long, accepted boolean, expected long")

@@ -146,3 +146,10 @@ def test_page_by_label(spark):
     pages = spark.createDataFrame([(1, 0, 1, "page 1"), (1, 1, 2, "page 2 (Costs)"), (1, 2, 3, None)], "doc_id long, page_pos int, number int, label string")
     wanted = spark.createDataFrame([("a", 1, "3"), ("b", 1, " “costs” "), ("c", 1, "none"), ("d", 1, None), ("e", 2, "1"), ("f", 1, "99999999999")], "query_id string, doc_id long, wanted string")
     assert {r.query_id: r.number for r in library.page_by_label(wanted, pages).collect()} == {"a": 3, "b": 2, "c": 1, "d": 1, "f": 1}
+
+
+def test_uploads_are_not_collected(spark):
+    made = spark.range(20_000).selectExpr("'u' AS upload_id", "id AS arrival", "id AS offset", "1L AS size")
+    out = events.assemble_uploads(made)
+    assert "collect_list" not in out._jdf.queryExecution().toString()
+    assert out.where("accepted and expected = arrival").count() == 20_000
