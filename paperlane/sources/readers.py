@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 
-PARAGRAPHS, CSV_LINES, CSV_ROWS = 12, 25, 20_000
+PARAGRAPHS, CSV_LINES = 12, 25
 
 # Kinds of file by suffix.
 SUFFIXES = {
@@ -99,11 +99,12 @@ def text_parts(raw: DataFrame) -> DataFrame:
     return sections.unionByName(parts).select("doc_id", (F.col("number") - 1).alias("page_pos"), "number", "label", "text")
 
 
-def csv_pages(rows: DataFrame, columns: list[str], order: list[str], doc_id: Column) -> DataFrame:
-    """pages of a table of strings: each row as ``Header: value, …`` without blank cells, 25 rows a part, 20,000 rows at most."""
+def csv_pages(rows: DataFrame, columns: list[str], order: list[str], doc_id: Column, limit: int | None = None) -> DataFrame:
+    """pages of a table of strings: each row as ``Header: value, …`` without blank cells, 25 rows a part; of a document the first limit rows, or all."""
     cells = F.array(*[F.struct(F.lit(c).alias("h"), F.trim(F.coalesce(F.col(c).cast("string"), F.lit(""))).alias("v")) for c in columns])
     line = F.array_join(F.transform(F.filter(cells, lambda x: x["v"] != ""), lambda x: F.concat(x["h"], F.lit(": "), x["v"])), ", ")
-    numbered = rows.select(doc_id.alias("doc_id"), line.alias("line"), *order).where("line <> ''").withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order))).where(F.col("rn") <= CSV_ROWS)
+    numbered = rows.select(doc_id.alias("doc_id"), line.alias("line"), *order).where("line <> ''").withColumn("rn", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
+    numbered = numbered if limit is None else numbered.where(F.col("rn") <= limit)
     parts = numbered.groupBy("doc_id", F.floor((F.col("rn") - 1) / CSV_LINES).cast("int").alias("page_pos")).agg(F.min("rn").alias("a"), F.max("rn").alias("b"), F.array_sort(F.collect_list(F.struct("rn", "line"))).alias("x"))
     label = F.concat(F.lit("rows "), F.col("a").cast("string"), F.lit("–"), F.col("b").cast("string"))
     return parts.select("doc_id", "page_pos", (F.col("page_pos") + 1).alias("number"), label.alias("label"), F.array_join(F.transform("x", lambda x: x["line"]), "\n").alias("text"))

@@ -153,3 +153,10 @@ def test_uploads_are_not_collected(spark):
     out = events.assemble_uploads(made)
     assert "collect_list" not in out._jdf.queryExecution().toString()
     assert out.where("accepted and expected = arrival").count() == 20_000
+
+
+def test_csv_parts_hold_every_row(spark):
+    made = spark.range(20_030).selectExpr("id", "'d' AS doc")
+    pages = readers.csv_pages(made, ["id"], ["id"], F.col("doc"))
+    assert pages.agg(F.max("number")).first()[0] == 802 and pages.where("number = 802").first().text.endswith("id: 20029")
+    assert readers.csv_pages(made, ["id"], ["id"], F.col("doc"), limit=20_000).count() == 800
