@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame
 from .bytetext import SPACES, Words, chunks, text_buffer
 
 WINDOW = 4096
-#: A block is packed when its remainders have so many tokens, or so many tokens are held at all.
+#: A block is packed when its remainders have so many tokens, or so many tokens are held at all; a document has at least its end id.
 BLOCK_TOKENS, HELD_TOKENS = 600_000, 4_000_000
+#: Remainders are dealt in bundles: neighbours of a block are joined until they have so many tokens, so a block has a bounded number of items.
+BUNDLE = 64
 #: Distinct words whose ids a task remembers.
 MEMORY_WORDS = 1_500_000
 
@@ -64,7 +66,7 @@ class WordTokenizer:
 
     Words are told apart by 64-bit hashes; those not met before are encoded together, and cut apart at
     the ids that end a pretoken. When more than MEMORY_WORDS are known, the memory starts anew. A text
-    with characters outside _PLAIN goes to the tokenizer whole.
+    with characters outside _PLAIN, or that holds the content of an added token, goes to the tokenizer whole.
     """
 
     def __init__(self, path: str):
@@ -72,7 +74,7 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.ends = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.ends[[i for piece, i in self.tokenizer.get_vocab().items() if piece.endswith("</w>")]] = True
         self.forget()
@@ -94,7 +96,7 @@ class WordTokenizer:
     def encode(self, column: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, offsets), each text followed by the id end."""
         texts = column.to_pylist()
-        odd = [i for i, t in enumerate(texts) if t and _PLAIN.fullmatch(t) is None]
+        odd = [i for i, t in enumerate(texts) if t and (_PLAIN.fullmatch(t) is None or any(a in t for a in self.added))]
         if odd:
             mask = np.zeros(len(texts), bool)
             mask[odd] = True
@@ -167,13 +169,23 @@ def differencing(lengths: np.ndarray, windows: int) -> np.ndarray:
     return out
 
 
+def bundles(lengths: np.ndarray, size: int) -> np.ndarray:
+    """The bundle of each item: runs of items shorter than size are joined until they reach it, so that there are few bundles of less."""
+    short = lengths < size
+    before = np.cumsum(np.where(short, lengths, 0)) - np.where(short, lengths, 0)
+    key = np.where(short, before // size, len(lengths) + np.cumsum(~short))
+    return np.unique(key, return_inverse=True)[1]
+
+
 def pack(lengths: np.ndarray, capacity: int) -> np.ndarray:
     """Windows for items of at most capacity each, as few and as equal as differencing finds."""
-    windows = max(1, -(-int(lengths.sum()) // capacity))
+    bundle = bundles(lengths, min(BUNDLE, max(1, capacity // 2)))
+    sizes = np.bincount(bundle, lengths).astype(np.int64)
+    windows = max(1, -(-int(sizes.sum()) // capacity))
     while True:
-        out = differencing(lengths, windows)
-        if np.bincount(out, lengths, windows).max() <= capacity:
-            return out
+        out = differencing(sizes, windows)
+        if np.bincount(out, sizes, windows).max() <= capacity:
+            return out[bundle]
         windows += max(1, windows // 120)
 
 
@@ -231,6 +243,7 @@ def _packer(path: str, capacity: int, end: int, with_ids: bool, with_crc: bool):
 def pack_documents(docs: DataFrame, tokenizer: str, capacity: int = WINDOW, end: int = 2, with_ids: bool = True, with_crc: bool = False) -> DataFrame:
     """Pieces of all documents of docs (doc_id, text), packed into sequences of at most capacity tokens.
 
+    Ids are those of the tokenizer's file as it is, so the content of an added token in a text is that token's id.
     Every row is packed, rows with equal ids or texts each on their own; a null or empty text is the
     end id alone; a null doc_id stays null. Every id of a row lies in exactly one piece. sequence_id is
     unique over all tasks; offset begins at 0 and has no gap. ids (array<int>) and ids_crc32 are optional.

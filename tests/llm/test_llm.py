@@ -84,8 +84,7 @@ def test_packing_round_trip(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
-    texts = [*made_texts(), "Straße café İstanbul ΣΑΣ", "it's we've !'s 12'34 a b\x0bq\x1c", "<|endoftext|> a,b. c. d,", "ŉ Ω µ ÿ́"]
+    texts = [*made_texts(), "hello <|endoftext|> world", "a<|startoftext|>b", "A <|ENDOFTEXT|> x", "< |endoftext|>", "Straße café İstanbul ΣΑΣ", "it's we've !'s 12'34 a b\x0bq\x1c", "<|endoftext|> a,b. c. d,", "ŉ Ω µ ÿ́"]
     got = packing.pack_documents(documents(spark, texts), path, with_crc=True).toPandas()
     for doc, p in got.groupby("doc_id"):
         p = p.sort_values("start")
@@ -105,6 +104,18 @@ def test_differencing_is_even():
     assert sums.max() <= 4096 and sums.mean() > 0.97 * 4096
 
 
+def test_many_tiny_documents_stay_small():
+    import tracemalloc
+
+    tracemalloc.start()
+    for sizes in (np.ones(600_000, np.int64), np.random.default_rng(2).integers(1, 90, 13_000)):
+        window = packing.pack(sizes, 4096)
+        sums = np.bincount(window, sizes)
+        assert sums.max() <= 4096 and len(sums) <= -(-sizes.sum() // 4096) + 2
+    assert tracemalloc.get_traced_memory()[1] < 300e6
+    tracemalloc.stop()
+
+
 @pytest.mark.parametrize(("name", "label"), [("op2_toxicity", "toxic"), ("op3_quality", "quality")])
 def test_held_out_accuracy(spark, name, label):
     sf = "/root/testdata/sf0.1"
