@@ -157,10 +157,93 @@ def test_recall(spark):
 
 
 def test_licenses(spark):
-    texts = [None, "", "x y. Released under the MIT License.\nmore", "licensed UNDER the apache license version 2 0", "Licensed under CC BY-NC 4.0.", "This work is licensed under the GNU Lesser General Public License, version 3.", "nothing of the kind is said under the sun"]
-    got = {(r.doc_id, r.license): texts[r.doc_id][r.first_char : r.end_char] for r in licenses.scan_licenses(documents(spark, texts)).collect()}
-    assert got[2, "MIT"] == "Released under the MIT License" and got[4, "CC-BY-NC-4.0"] == "Licensed under CC BY-NC 4.0"
-    assert sorted(got) == [(2, "MIT"), (3, "Apache-2.0"), (4, "CC-BY-NC-4.0"), (5, "GPL-3.0-only")]
+    said = {
+        "x y. Released under the MIT License.\nmore": "MIT",
+        "Released under MIT License": "MIT",
+        "licensed UNDER the apache license version 2 0": "Apache-2.0",
+        "Licensed under CC BY-NC 4.0.": "CC-BY-NC-4.0",
+        "Licensed under CC BY-NC-SA 4.0.": "CC-BY-NC-SA-4.0",
+        "Licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License": "CC-BY-ND-4.0",
+        "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License": "CC-BY-ND-4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 3.0 Unported License.": "CC-BY-SA-3.0",
+        "This work is licensed under the GNU General Public License, version 3.": "GPL-3.0-only",
+        "This work is licensed under the GNU General Public License, version 3, or (at your option) any later version.": "GPL-3.0-or-later",
+        "This work is licensed under the GNU General Public License, version 2.": "GPL-2.0-only",
+        "This work is licensed under the GNU Lesser General Public License, version 3.": "LGPL-3.0-only",
+        "This work is licensed under the GNU Lesser General Public License, version 2.1.": "LGPL-2.1-only",
+        "This work is licensed under the GNU Affero General Public License, version 3.": "AGPL-3.0-only",
+        "This work is not licensed under the GNU General Public License, version 3.": None,
+        "This is not released under the MIT License.": None,
+        "Released under the MIX License.": None,
+        "# SPDX-License-Identifier: BSD-2-Clause": "BSD-2-Clause",
+        "nothing of the kind is said under the sun": None,
+    }
+    texts = [None, "", *said]
+    got = {r.doc_id: r for r in licenses.scan_licenses(documents(spark, texts)).collect()}
+    assert {t: got[i].license if i in got else None for i, t in enumerate(texts) if i > 1} == said
+    assert texts[2][got[2].first_char : got[2].end_char] == "Released under the MIT License"
+    assert texts[5][got[5].first_char : got[5].end_char] == "Licensed under CC BY-NC 4.0" and {0, 1}.isdisjoint(got)
+
+
+def plain_scan(text):
+    """Every template at every place, by whole alignments in plain Python: (license, first word, end) of the places kept."""
+    import re
+
+    from paperlane.llm.license_templates import TEMPLATES
+
+    spans = [m.span() for m in re.finditer("[0-9A-Za-z\x80-\U0010ffff]+", text)]
+    words, hits = [text[a:b].lower() for a, b in spans], []
+    for m, (name, template) in enumerate(TEMPLATES):
+        own = re.findall("[0-9a-z]+", template.lower())
+        digits = any(w.isdigit() for w in own)
+        none = (-1, 0)
+        row, tops = [none] * (len(words) + 1), [none] * (len(words) + 1)
+        for w in own:
+            made = [none]
+            for j, x in enumerate(words):
+                best = max(row[j + 1], (made[j][0] - 1, made[j][1]))
+                if w == x:
+                    best = max(best, (row[j][0] + 1, row[j][1]), (1, j))
+                made.append(best if best[0] > 0 else none)
+            row = made
+            tops = [max(a, b) for a, b in zip(tops, row)]
+        for end, (score, begin) in enumerate(tops):
+            if score <= 0:
+                continue
+            equal = (score + end - begin) / 2
+            inside, rest = words[begin:end], text[spans[end - 1][1] :]
+            if equal < 0.9 * len(own) - 1e-9 or equal < 0.9 * (end - begin) - 1e-9 or licenses.telling(inside, digits) != licenses.telling(own, digits):
+                continue
+            if licenses.DENYING & set(words[max(0, begin - 3) : begin]) or (inside[-1].isdigit() and re.match(r"\.[1-9]", rest)):
+                continue
+            later = name.endswith("-only") and re.match(r"[^.;\n]{0,80}?\blater\b", rest)
+            hits.append((-equal * equal / (end - begin), -equal / len(own), m, begin, end, name.removesuffix("-only") + "-or-later" if later else name))
+    kept = []
+    for x in sorted(hits):
+        if all(x[4] <= y[3] or y[4] <= x[3] for y in kept):
+            kept.append(x)
+    return sorted((x[5], x[3], x[4]) for x in kept)
+
+
+def test_licenses_against_whole_alignments(spark):
+    from paperlane.llm.license_templates import TEMPLATES
+
+    r = random.Random(8)
+    filler = "the of under license version work this and is public software 2 0 3 general or by in".split()
+    texts = []
+    for k in range(36):
+        name, text = TEMPLATES[k] if k < 26 else r.choice(TEMPLATES)
+        words = text.split()
+        for _ in range(r.choice([0, 1, 2, len(words) // 12, len(words) // 7])):
+            at = r.randrange(len(words))
+            words[at : at + 1] = r.choice([[], [r.choice(filler)], [words[at], r.choice(filler)], ["qq"]])
+        around = lambda: [r.choice([*filler, "x1", "x2", "x3"]) for _ in range(r.randint(0, 30))]
+        texts.append(" ".join([*around(), "zz", *words, "zz", *around()]))
+    got = {i: [] for i in range(len(texts))}
+    for x in licenses.scan_licenses(documents(spark, texts)).collect():
+        got[x.doc_id].append((x.license, x.first_word, x.end_word))
+    want = {i: plain_scan(t) for i, t in enumerate(texts)}
+    assert {i: sorted(v) for i, v in got.items()} == want and sum(map(len, want.values())) > 15
 
 
 def test_sentencepiece(spark):
