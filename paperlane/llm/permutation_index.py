@@ -1,18 +1,17 @@
 """Approximate nearest neighbours by a permutation index.
 
-A vector is represented by the order of its LENGTH nearest pivots. A block of vectors posts each
-vector, with the pivot's place in its order, in the inverted file of each of these pivots. A query
-adds up, over the files of its own pivots, what each posting saves of the footrule distance
-between the two orders (an absent pivot has place LENGTH), so it touches postings only; the
-CANDIDATES nearest by footrule in each block are then ranked by their exact inner product.
-
-Equal vectors are one in the index, with the least ids that a result can hold; pivots are drawn from
-distinct vectors. As nearness is the inner product, whatever the lengths, orders are taken on the
-sphere of a large length M: a vector v has the component sqrt(M^2 - |v|^2) added, a query 0. M is the
-length that LONG of a block exceed, and those are always ranked exactly, so a few huge vectors don't make all others alike.
-
-Every vector is indexed. Vectors are dealt into blocks by their hash and the queries into
-blocks of their own; a task has one block of each, at any size of the table.
+Pivots stand around the mean of the vectors, at both ends of the axes of random orthonormal frames. A vector is
+represented by the order of its nearest pivots, half of all. A block of vectors posts each vector in the inverted
+file of each of these pivots, with what the pivot's place in its order is worth; as half of the vectors are in a file,
+it is stored by row, absent ones as 0. A query adds up, over the files of its own nearest pivots, what each posting
+saves of the footrule distance between the two orders. As nearness is the inner product, whatever the lengths, what a
+vector saves beyond the block's mean counts by its length. The vectors first by that are ranked by their exact inner product.
+
+Frames are exact in one respect in which single vectors aren't: the products with a frame's axes hold all of a vector, so
+the orders lose only what ranks lose. Hence a few hundred pivots and a rerank of few vectors do.
+
+Equal vectors are one in the index, with the least ids that a result can hold. Every vector is indexed. Vectors are dealt
+into blocks by their hash and the queries, a stated set, into blocks of their own; a task has one block of each.
 """
 
 from __future__ import annotations
@@ -27,58 +26,57 @@ from .bytetext import group_starts, groups
 from .graph import stored
 from .metric_join import _rows, _unit, usable
 
-PIVOTS, LENGTH = 128, 40
-#: Share of a block that is ranked exactly for a query, and the least number of vectors.
-CANDIDATES, LEAST = 0.25, 400
-BLOCK, QUERY_BLOCK = 8192, 2048
-#: Share of a block's longest vectors that are ranked for every query.
-LONG = 0.01
+#: There are at least so many pivots; in high dimensions as many as one frame has.
+PIVOTS = 240
+#: Vectors whose mean is the middle of the pivots, drawn by a hash.
+SAMPLE = 2000
+#: Of a block, this share and so many for each result are ranked exactly.
+SHARE, EACH = 0.03, 2
+BLOCK, QUERY_BLOCK = 8192, 8192
 #: Parts in which the ids of one vector are first cut to the least, so that no task reads all of them.
 PARTS = 64
 
 
-def lengths(rows: np.ndarray) -> np.ndarray:
-    top = np.abs(rows).max(1)
-    return top * np.linalg.norm(rows / top[:, None], axis=1)
-
-
-def lifted(rows: np.ndarray, long: float) -> np.ndarray:
-    """Unit vectors in one dimension more; those of vectors no longer than long have products with asking() in order of the inner products."""
-    rows = rows / long
-    rest = np.sqrt(np.maximum(0, 1 - (rows * rows).sum(1)))
-    return _unit(np.column_stack([rows, rest]))
-
-
-def asking(rows: np.ndarray) -> np.ndarray:
-    return np.column_stack([_unit(rows), np.zeros(len(rows))])
-
-
-def orders(unit: np.ndarray, pivots: np.ndarray, length: int) -> np.ndarray:
-    """The numbers of each row's nearest pivots, nearest first."""
-    return np.argsort(-(unit @ pivots.T), axis=1, kind="stable")[:, :length]
-
-
-def candidates(order: np.ndarray, asked: np.ndarray, pivots: int, share: float, always: np.ndarray) -> Iterator[np.ndarray]:
-    """For each asked order the rows nearest by footrule and those of always, rising; ties go to the earlier row."""
-    n, length = order.shape
-    flat = np.argsort(order.ravel(), kind="stable")
-    post_row, post_weight = (flat // length).astype(np.int32), (length - flat % length).astype(np.int16)
-    file_at = np.searchsorted(order.ravel()[flat], np.arange(pivots + 1))
-    take = min(n, max(LEAST, int(np.ceil(share * n))))
-    late = np.arange(n)
-    for own in asked:
-        saved = np.zeros(n, np.int16)
-        for place, p in enumerate(own):
-            s = slice(file_at[p], file_at[p + 1])
-            saved[post_row[s]] += np.minimum(post_weight[s], length - place)
-        yield np.union1d(np.argpartition(late - saved.astype(np.int64) * n, take - 1)[:take], always) if take < n else late
-
-
-def _searcher(pivots: np.ndarray, k: int, share: float):
-    length = min(LENGTH, len(pivots))
-
+def frames(dim: int, pivots: int = PIVOTS, seed: int = 5) -> np.ndarray:
+    """Unit axes, each with its opposite, of as many random orthonormal frames as make so many pivots."""
+    r = np.random.default_rng(seed)
+    axes = [np.linalg.qr(r.normal(size=(dim, dim)))[0].T for _ in range(-(-pivots // (2 * dim)))]
+    return np.concatenate([x for a in axes for x in (a, -a)])
+
+
+def files(products: np.ndarray) -> np.ndarray:
+    """By pivot, what each row's posting is worth: the number of the order's places from its own on; 0 for the farther half of the pivots."""
+    n, pivots = products.shape
+    length = pivots // 2
+    worth = np.zeros((pivots, n), np.int16)
+    order = np.argsort(-products, axis=1, kind="stable")[:, :length]
+    worth[order, np.arange(n)[:, None]] = np.arange(length, 0, -1, dtype=np.int16)
+    return worth
+
+
+def candidates(posted: np.ndarray, lengths: np.ndarray, asked: np.ndarray, count: int) -> Iterator[np.ndarray]:
+    """For each asked query the rows first by what they save of the footrule beyond the mean, times their length; ties go to the earlier row."""
+    pivots, n = posted.shape
+    # what all places together are worth fits
+    sums = np.int16 if pivots // 2 <= 255 else np.int32
+    saved, one = np.empty(n, sums), np.empty(n, np.int16)
+    for own in asked.T:
+        if count >= n:
+            yield np.arange(n)
+            continue
+        saved[:] = 0
+        for pivot in np.flatnonzero(own):
+            np.add(saved, np.minimum(posted[pivot], own[pivot], out=one), out=saved)
+        key = (saved - saved.mean()) * lengths
+        cut = np.partition(key, n - count)[n - count]
+        above = np.flatnonzero(key > cut)
+        yield np.union1d(above, np.flatnonzero(key == cut)[: count - len(above)])
+
+
+def _searcher(middle: np.ndarray, k: int, share: float, each: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys = ["block", "query_block"]
+        axes = frames(len(middle))
         for table in groups(batches, keys):
             starts = group_starts(table, keys)
             for a, b in zip(starts[:-1], starts[1:], strict=True):
@@ -94,12 +92,11 @@ def _searcher(pivots: np.ndarray, k: int, share: float):
                 held_at = np.concatenate([[0], np.cumsum(held.value_lengths().to_numpy())])
                 held = held.flatten()
                 held_id, held_n = held.field("vec_id").to_numpy(), np.minimum(held.field("n").to_numpy(), k)
-                sizes = lengths(vectors)
-                long = np.quantile(sizes, 1 - LONG, method="higher")
-                points = lifted(pivots, long)
-                order, asked = orders(lifted(vectors, long), points, length), orders(asking(rows[qi]), points, length)
+                away = vectors - middle
+                posted, asked = files(away @ axes.T), files(_unit(rows[qi]) @ axes.T)
+                count = int(np.ceil(share * len(vi))) + each * k
                 out_q, out_v, out_s = [], [], []
-                for q, best in zip(qi, candidates(order, asked, len(pivots), share, np.flatnonzero(sizes > long)), strict=True):
+                for q, best in zip(qi, candidates(posted, np.linalg.norm(away, axis=1), asked, count), strict=True):
                     exact = (vectors[best] * rows[q]).sum(1)
                     # one more than k: a vector may have the query's own id alone
                     top = _top(exact, least[best], k + 1)
@@ -123,29 +120,32 @@ def _top(exact: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     return some[np.lexsort((ids[some], -exact[some]))[:k]]
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = CANDIDATES) -> DataFrame:
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = SHARE, each: int = EACH) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries the k rows of vectors found with the largest inner product.
 
     Both have (vec_id, embedding); other columns are ignored. Rows with the query's own vec_id are no candidates.
-    Vectors that are null or zero or hold null or non-finite components, and rows without an id, take no part.
-    Ties go to the smaller vec_id; repeated rows are candidates each. All vectors must have one length.
-    Empty tables give an empty result.
+    Vectors that are null or zero or hold null or non-finite components, and rows without an id, take no part, nor do those
+    whose number of components isn't that of most vectors (of equals the smaller one). Ties go to the smaller vec_id;
+    repeated rows are candidates each. Empty tables give an empty result.
     """
-    fine = usable(vectors).withColumn("node", F.xxhash64("vector"))
+    fine, asked = usable(vectors), usable(queries)
+    dim = fine.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "d").first()
+    if dim is None:
+        return asked.where("false").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
+    fine, asked = (x.where(F.size("vector") == dim.d).withColumn("node", F.xxhash64("vector")) for x in (fine, asked))
     # of each distinct vector the k + 1 least ids, with their numbers of rows: cut in parts, then together
-    each = fine.groupBy("node", "vec_id").agg(F.count("*").alias("n")).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS)))
+    ids = fine.groupBy("node", "vec_id").agg(F.count("*").alias("n")).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS)))
     for keys in (["node", "part"], ["node"]):
-        each = each.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).where(F.col("place") <= k + 1).drop("place")
-    held = each.groupBy("node").agg(F.min("vec_id").alias("vec_id"), F.collect_list(F.struct("vec_id", "n")).alias("held"))
+        ids = ids.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy("vec_id"))).where(F.col("place") <= k + 1).drop("place")
+    held = ids.groupBy("node").agg(F.min("vec_id").alias("vec_id"), F.collect_list(F.struct("vec_id", "n")).alias("held"))
     nodes = stored(fine.groupBy("node").agg(F.first("vector").alias("vector")).join(held, "node"))
-    centres = nodes.withColumn("h", F.hash("node")).orderBy("h", "node").limit(PIVOTS).select("vector").toPandas()["vector"]
-    points = np.array([list(v) for v in centres]) if len(centres) else np.zeros((0, 1))
-    asked = usable(queries)
+    sample = nodes.withColumn("h", F.hash("node")).orderBy("h", "node").limit(SAMPLE).select("vector").toPandas()["vector"]
+    middle = np.array([list(v) for v in sample]).mean(0)
     blocks, query_blocks = max(1, -(-nodes.count() // BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
     own = nodes.select("vec_id", "held", "vector", F.lit(False).alias("asks"), F.pmod("node", F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
     none = F.lit(None).cast(own.schema["held"].dataType).alias("held")
     ask = asked.select("vec_id", none, "vector", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("query_block"))
     dealt = own.unionByName(ask.select(own.columns)).repartition("block", "query_block").sortWithinPartitions("block", "query_block")
-    found = dealt.mapInArrow(_searcher(points, k, share), "query_id long, vec_id long, score double")
+    found = dealt.mapInArrow(_searcher(middle, k, share, each), "query_id long, vec_id long, score double")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -144,6 +144,47 @@ def test_vectors(spark):
         assert p.sort_values("rank").vec_id.tolist() == [i for _, i in want]
 
 
+def test_vectors_in_many_blocks(spark, monkeypatch):
+    monkeypatch.setattr(metric_join, "OWN_BLOCK", 40)
+    monkeypatch.setattr(metric_join, "VISITOR_BLOCK", 50)
+    r = np.random.default_rng(9)
+    for spread, dim in ((0.12, 6), (1.0, 3), (0.02, 5)):
+        v = r.normal(size=(9, dim))[r.integers(0, 9, 500)] + spread * r.normal(size=(500, dim))
+        v[:200] = v[0] + 0.03 * r.normal(size=(200, dim))  # one cell too large for a task
+        unit = v / np.linalg.norm(v, axis=1, keepdims=True)
+        near = unit @ unit.T >= 0.95
+        np.fill_diagonal(near, False)
+        root = np.arange(500)
+        while (new := np.array([min(root[i], root[near[i]].min(initial=500)) for i in range(500)])).tolist() != root.tolist():
+            root = new
+        df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "vec_id long, embedding array<double>")
+        got = {x.vec_id: tuple(x)[1:] for x in metric_join.near_vectors(df).collect()}
+        assert got == {i: (int(near[i].sum()), int(root[i]), bool(root[i] == i)) for i in range(500)}
+
+
+def test_vectors_of_unequal_length(spark):
+    v = [(0, [1.0, 0.0]), (1, [1.0, 0.1]), (2, [1.0, 0.0, 0.0]), (3, [1.0]), (20, [1.0, 0.0])]
+    df = spark.createDataFrame(v, "vec_id long, embedding array<double>")
+    assert {(r.vec_id, r.n_links, r.component_id) for r in metric_join.near_vectors(df).collect()} == {(0, 2, 0), (1, 2, 0), (20, 2, 0), (2, 0, 2), (3, 0, 3)}
+    got = permutation_index.nearest(df, df.where("vec_id % 20 = 0")).collect()
+    assert sorted((r.query_id, r.rank, r.vec_id) for r in got) == [(0, 1, 1), (0, 2, 20), (20, 1, 0), (20, 2, 1)]
+
+
+def test_recall_on_a_large_table(spark):
+    """51,282 vectors in blocks, 3.5 % of each ranked exactly; 256 queries against brute force."""
+    df = spark.read.parquet("/root/testdata/check_l/embeddings.parquet")
+    asked = df.where("vec_id % 200 = 0")
+    got = permutation_index.nearest(df, asked).toPandas()
+    x = df.toPandas()
+    ids, e = x.vec_id.to_numpy(), np.array(x.embedding.to_list(), float)
+    hits = []
+    for q, p in got.groupby("query_id"):
+        s = e @ e[np.flatnonzero(ids == q)[0]]
+        s[ids == q] = -np.inf
+        hits.append(len(set(ids[np.argsort(-s)[:20]]) & set(p.vec_id)) / 20)
+    assert len(hits) > 200 and np.mean(hits) > 0.95
+
+
 def test_recall(spark):
     got = queries.op4_nearest(spark, "/root/testdata/sf0.1").toPandas()
     x = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").toPandas()
