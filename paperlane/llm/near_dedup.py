@@ -8,8 +8,10 @@ common bucket. In the buckets the whole signatures are compared; near pairs make
 whose links are then confirmed on the full shingle sets.
 
 Texts with equal sets are one class from the start, so that exact copies cost nothing more. Links
-are never expanded: a bucket or a candidate group returns a spanning forest of its links, and a
-group too large for one task is dealt out as pairs of blocks, which together still compare all.
+are never expanded: a bucket or a candidate group returns a spanning forest of its links. In a
+candidate group too large for one task every text is first compared with the group's root, in blocks; only
+those not linked with it are then compared with all, in pairs of blocks. So a group of copies of one
+text costs as much as it has texts, and no link is lost: two texts both linked with the root need no comparison.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .bytetext import Words, chunks, forest, group_starts, groups, mix
-from .graph import components, settle, stored
+from .graph import components, join_counted, settle, stored
 
 SYMBOLS, CHUNKS = 32, 8
 WIDTH = SYMBOLS // CHUNKS
@@ -94,7 +96,7 @@ def _summaries(size: int):
         for rows, raw, at in chunks(batches):
             sets, sat = shingle_sets(raw, at, size)
             f1, f2 = fingerprints(sets, sat)
-            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(sat)), pa.array(f1), pa.array(f2), _binary(signatures(sets, sat))], ["doc_id", "n_shingles", "cls", "cls2", "sig"])
+            yield pa.RecordBatch.from_arrays([rows.column("doc_id"), pa.array(np.diff(sat)), pa.array(f1), pa.array(f2), _binary(signatures(sets, sat))], ["doc_id", "n_shingles", "h1", "h2", "sig"])
 
     return run
 
@@ -132,31 +134,40 @@ def _near_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([pa.array(x[x != y]), pa.array(y[x != y])], ["a", "b"])
 
 
-def _group_sets(size: int):
+def _sets(size: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The shingle set of each member, once for every pair of blocks that its block is in."""
+        """The shingle set of each candidate; rows that share its id but not its set are left out."""
         for rows, raw, at in chunks(batches):
             sets, sat = shingle_sets(raw, at, size)
-            f1, _ = fingerprints(sets, sat)
-            want, root, nb = (rows.column(c).to_numpy() for c in ("cls", "root", "nb"))
-            out: list[tuple] = []
-            for i in np.flatnonzero(f1 == want):
-                own = int(np.uint64(want[i].view(np.uint64)) >> np.uint64(17)) % int(nb[i])
-                packed = sets[sat[i] : sat[i + 1]].tobytes()
-                out += [(int(root[i]), min(own, j), max(own, j), int(want[i]), packed) for j in range(int(nb[i]))]
-                if len(out) >= 512:
-                    yield _records(out)
-                    out = []
-            if out:
-                yield _records(out)
+            h1, h2 = fingerprints(sets, sat)
+            own = np.flatnonzero((h1 == rows.column("h1").to_numpy()) & (h2 == rows.column("h2").to_numpy()))
+            for p in range(0, len(own), 512):
+                some = own[p : p + 512]
+                taken = rows.select(["root", "nb", "cls"]).take(pa.array(some))
+                packed = pa.array([sets[sat[i] : sat[i + 1]].tobytes() for i in some.tolist()], pa.binary())
+                yield pa.RecordBatch.from_arrays([*taken.columns, packed], ["root", "nb", "cls", "shingles"])
 
     return run
 
 
-def _records(out: list[tuple]) -> pa.RecordBatch:
-    columns = list(zip(*out, strict=True))
-    kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["root", "bi", "bj", "cls", "shingles"])
+def _with_root(percent: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """(cls, root, linked) of a block of a group's texts: whether each is linked with the root, whose set is in every block."""
+        keys = ["root", "block"]
+        for table in groups(batches, keys):
+            starts, cls, root = group_starts(table, keys), table.column("cls").to_numpy(), table.column("root").to_numpy()
+            packed, hub = table.column("shingles"), table.column("hub").to_numpy(zero_copy_only=False)
+            linked = np.zeros(len(cls), bool)
+            for a, b in zip(starts[:-1], starts[1:], strict=True):
+                first = np.frombuffer(packed[a + int(hub[a:b].argmax())].as_py(), np.uint64)
+                for i in range(a, b):
+                    own = np.frombuffer(packed[i].as_py(), np.uint64)
+                    if 100 * min(len(own), len(first)) >= percent * max(len(own), len(first)):
+                        both = len(np.intersect1d(own, first, assume_unique=True))
+                        linked[i] = 100 * both >= percent * (len(own) + len(first) - both)
+            yield pa.RecordBatch.from_arrays([pa.array(x[~hub]) for x in (cls, root, linked)], ["cls", "root", "linked"])
+
+    return run
 
 
 def _confirm(percent: int):
@@ -205,36 +216,61 @@ def _linked(sets: list[np.ndarray], percent: int) -> np.ndarray:
     return np.triu(100 * both >= percent * (sizes[:, None] + sizes[None, :] - both), 1)
 
 
+def _links(sets: DataFrame, percent: int) -> DataFrame:
+    """(a, b): links of the candidate groups in sets (root, nb, cls, shingles), enough to connect all that are linked."""
+    blocks = ["root", "bi", "bj"]
+    one = sets.where("nb = 1").select("root", F.lit(0).alias("bi"), F.lit(0).alias("bj"), "cls", "shingles")
+    # large groups: with the root first
+    large = sets.where("nb > 1")
+    block = F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")
+    hubs = large.where("cls = root").select("root", "cls", "shingles", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("block"), F.lit(True).alias("hub"))
+    beside = large.where("cls <> root").select("root", "cls", "shingles", block.alias("block"), F.lit(False).alias("hub")).unionByName(hubs)
+    known = settle(beside.repartition("root", "block").sortWithinPartitions("root", "block").mapInArrow(_with_root(percent), "cls long, root long, linked boolean"))
+    # the rest with all of their group
+    left = known.where("not linked").select("cls", "root")
+    rest_blocks = left.groupBy("root").agg(F.ceil(F.count("*") / GROUP_BLOCK).cast("int").alias("rb"))
+    again = large.join(rest_blocks, "root")
+    bi = F.pmod(F.xxhash64("cls"), F.col("rb")).cast("int")
+    rest = again.join(left, ["cls", "root"], "left_semi").select("root", bi.alias("bi"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("bj"), "cls", "shingles")
+    every = again.select("root", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("bi"), block.alias("bj"), "cls", "shingles")
+    dealt = one.unionByName(rest).unionByName(every)
+    found = dealt.repartition(*blocks).sortWithinPartitions(*blocks).mapInArrow(_confirm(percent), "a long, b long")
+    return found.unionByName(known.where("linked").select(F.col("cls").alias("a"), F.col("root").alias("b")))
+
+
 def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 85) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for each row of docs (doc_id, text; other columns are ignored).
 
     Two texts are linked if their shingle sets have 100 * intersection >= percent * union. Texts that
     are null, empty or without a word have an empty set and no link. Rows with equal ids are separate
     rows that share an id. A row whose doc_id is null is returned with component_id null and kept true, and
-    takes no part. MAX_ERRORS of SYMBOLS symbols cover a similarity of 0.85 but for about 4 pairs in a million;
-    lower thresholds than 0.8 need more chunks.
+    takes no part. An empty table gives an empty result. MAX_ERRORS of SYMBOLS symbols cover a similarity of 0.85 but for
+    about 4 pairs in a million; below 0.8 more chunks would be needed, so a lower percent is refused.
     """
+    if percent < 80:
+        raise ValueError("below a similarity of 0.8 the signatures miss too many links")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    schema = "doc_id long, n_shingles long, cls long, cls2 long, sig binary"
-    rows = stored(docs.mapInArrow(_summaries(shingle_words), schema))
-    classes = stored(rows.where("n_shingles > 0 and doc_id is not null").groupBy("cls", "cls2", "n_shingles").agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")))
+    rows = stored(docs.mapInArrow(_summaries(shingle_words), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"))
+    # texts with equal sets are one class, told apart by 128 bits and the size, and numbered in the stored table
+    name = ["h1", "h2", "n_shingles"]
+    classes = stored(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")).withColumn("cls", F.monotonically_increasing_id()))
+    total = classes.count()
     posted = classes.select("cls", "sig").mapInArrow(_post, "key long, cls long")
-    several = posted.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    met = posted.join(several, "key").withColumn("nb", F.ceil(F.col("n") / BUCKET_BLOCK).cast("int"))
+    several = posted.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("nb", F.ceil(F.col("_n") / BUCKET_BLOCK).cast("int"))
+    met = join_counted(posted, several, ["key"], total * SYMBOLS)
     met = met.join(classes.select("cls", "sig"), "cls").withColumn("own", F.pmod(F.col("cls"), F.col("nb")).cast("int"))
     met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "cls", "sig")
     near = met.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_near_in_buckets, "a long, b long")
     members = components(near)
-    size = members.join(classes.select(F.col("cls").alias("node"), "doc_id", "n_shingles"), "node")
-    sizes = size.groupBy("root").agg(F.ceil(F.greatest(F.count("*") / GROUP_BLOCK, F.sum("n_shingles") / GROUP_SHINGLES)).cast("int").alias("nb"))
-    chosen = settle(size.join(sizes, "root").select("doc_id", F.col("node").alias("cls"), "root", "nb"))
-    sets = docs.join(chosen, "doc_id").mapInArrow(_group_sets(shingle_words), "root long, bi int, bj int, cls long, shingles binary")
-    links = sets.repartition("root", "bi", "bj").sortWithinPartitions("root", "bi", "bj").mapInArrow(_confirm(percent), "a long, b long")
-    found = components(links).select(F.col("node").alias("cls"), "root")
-    known = classes.select("cls", F.col("doc_id").alias("least")).join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls"))
-    best = known.groupBy("root").agg(F.min("least").alias("component_id"))
-    ids = settle(known.join(best, "root").select("cls", "component_id"))
-    out = rows.join(ids, "cls", "left")
+    size = settle(members.join(classes.select(F.col("cls").alias("node"), "doc_id", *name), "node"))
+    sizes = size.groupBy("root").agg(F.count("*").alias("_n"), F.ceil(F.greatest(F.count("*") / GROUP_BLOCK, F.sum("n_shingles") / GROUP_SHINGLES)).cast("int").alias("nb"))
+    chosen = settle(join_counted(size, sizes, ["root"], total).select("doc_id", F.col("node").alias("cls"), "root", "nb", "h1", "h2"))
+    sets = stored(docs.join(chosen, "doc_id").mapInArrow(_sets(shingle_words), "root long, nb int, cls long, shingles binary"))
+    found = components(_links(sets, percent)).select(F.col("node").alias("cls"), "root")
+    known = settle(classes.select("cls", *name, F.col("doc_id").alias("least")).join(found, "cls", "left").withColumn("root", F.coalesce("root", "cls")))
+    best = known.groupBy("root").agg(F.min("least").alias("component_id"), F.count("*").alias("_n"))
+    ids = settle(join_counted(known, best, ["root"], total).select(*name, "component_id"))
+    out = rows.join(ids, name, "left")
     component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
     component = F.when(F.col("doc_id").isNotNull(), component)
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"))

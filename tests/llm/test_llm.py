@@ -53,6 +53,24 @@ def test_near_duplicates_against_brute_force(spark):
     assert got == {i: (len(s), root[i], root[i] == i) for i, s in enumerate(sets)}
 
 
+def test_hot_keys(spark, monkeypatch):
+    from paperlane.llm import graph
+
+    monkeypatch.setattr(graph, "HOT_ROWS", 3)
+    r = random.Random(2)
+    edges = [(0, i) for i in range(1, 40)] + [(50 + i, 51 + i) for i in range(20)] + [(r.randrange(100, 400), r.randrange(100, 400)) for _ in range(150)] + [(7, 7), (99, 98)]
+    root = list(range(400))
+    for a, b in edges:
+        a, b = sorted((root[a], root[b]))
+        root = [a if x == b else x for x in root]
+    got = {x.node: x.root for x in graph.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {n: root[n] for e in edges if e[0] != e[1] for n in e}
+    many = spark.createDataFrame([(k, i) for i, k in enumerate([1] * 9 + [2, 2, 3, None])], "k int, i int")
+    one = spark.createDataFrame([(1, "a", 9), (2, "b", 2)], "k int, v string, _n long")
+    for how in ("inner", "left"):
+        assert sorted(graph.join_counted(many, one, ["k"], 13, how).select("i", "v").collect(), key=str) == sorted(many.join(one, "k", how).select("i", "v").collect(), key=str)
+
+
 def test_large_groups_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "GROUP_BLOCK", 8)
     monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", 8)
@@ -60,6 +78,20 @@ def test_large_groups_in_blocks(spark, monkeypatch):
     texts = [" ".join([*base[: i + 1], f"x{i}", *base[i + 2 :]]) for i in range(0, 200, 3)]
     got = near_dedup.near_duplicates(documents(spark, texts)).collect()
     assert {r.component_id for r in got} == {0}
+    # groups that hang together by chains only: most texts aren't linked with their root
+    chain = [" ".join(f"w{i + k}" if i + k < 300 else f"y{i + k}" for i in range(100)) for k in range(0, 220, 3)]
+    far = [" ".join(f"w{i}" for i in range(100)) + " " + " ".join(f"z{k}{i}" for i in range(10)) for k in range(12)]
+    texts = chain + far
+    sets = [{tuple(t.split()[i : i + 5]) for i in range(len(t.split()) - 4)} for t in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if x == b else x for x in root]
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(documents(spark, texts)).collect()} == dict(enumerate(root))
+    with pytest.raises(ValueError):
+        near_dedup.near_duplicates(documents(spark, texts), percent=79)
 
 
 def test_line_dedup_against_sql(spark):
