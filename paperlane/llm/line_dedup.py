@@ -3,17 +3,18 @@
 A line begins a new chunk if the rolling hash over its predecessor's hash and its own says so; the
 boundary moves with the text, so a passage pasted at another place is cut into the same chunks. A
 chunk of at least min_lines lines that stands at more than one place is kept where (doc_id, position)
-is least and removed elsewhere. Chunks are grouped by their bytes, not by hashes alone.
+is least and removed elsewhere. Hashes of 128 bits find the chunks that repeat; only their bytes are then
+compared, and only what has the same bytes is one chunk.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from .graph import settle
+from .graph import join_counted, settle, stored
 
-#: A line begins a chunk if the last hex digit of the rolling hash is one of these: every fourth line on average.
-BOUNDARY = ("0", "4", "8", "c")
+#: A line begins a chunk if the last hex digit of the rolling hash is one of these: every second line on average.
+BOUNDARY = ("0", "2", "4", "6", "8", "a", "c", "e")
 
 
 def with_chunks(docs: DataFrame) -> DataFrame:
@@ -29,19 +30,35 @@ def with_chunks(docs: DataFrame) -> DataFrame:
     return docs.withColumn("_chunks", F.expr(f"split(array_join({marked}, '\\n'), '\\n\u0001b', -1)"))
 
 
+def _hashes(text: str) -> list:
+    return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("again"), text).alias("h2")]
+
+
 def repeated_chunks(docs: DataFrame, min_lines: int = 2) -> DataFrame:
     """(doc_id, version, chunk) of every chunk to be removed: all but the first of those with the same bytes.
 
     version is a hash of the text, so that rows with equal ids and different texts stay apart.
     """
-    cut = with_chunks(docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where("doc_id is not null and text is not null"))
-    each = cut.select("doc_id", "version", F.posexplode("_chunks").alias("chunk", "bytes"))
-    each = each.where(F.length("bytes") - F.length(F.replace("bytes", F.lit("\n"), F.lit(""))) >= min_lines - 1).where(F.length(F.replace("bytes", F.lit("\n"), F.lit(""))) > 0)
-    hashed = each.select("doc_id", "version", "chunk", F.xxhash64("bytes").alias("h"), "bytes")
-    same = hashed.groupBy("h", "bytes").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "version", "chunk")).alias("first"))
-    # of chunks that share a hash but not their bytes (never seen) none is removed
-    known = same.groupBy("h").agg(F.sum("n").alias("n"), F.count("*").alias("texts"), F.min("first").alias("first")).where("n > 1 and texts = 1").select("h", "first")
-    return hashed.select("doc_id", "version", "chunk", "h").join(known, "h").where("struct(doc_id, version, chunk) <> first").select("doc_id", "version", "chunk")
+    texts = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where("doc_id is not null and text is not null")
+    each = with_chunks(texts).select("doc_id", "version", F.posexplode("_chunks").alias("chunk", "bytes"))
+    breaks = F.length("bytes") - F.length(F.replace("bytes", F.lit("\n"), F.lit("")))
+    each = each.where((breaks >= min_lines - 1) & (F.length("bytes") > breaks))
+    key, place = ["h1", "h2"], F.struct("doc_id", "version", "chunk")
+    places = stored(each.select("doc_id", "version", "chunk", *_hashes("bytes")))
+    known = places.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1")
+    total = places.count()
+    again = settle(join_counted(places, known, key, total))
+    # the bytes of what repeats, each text's from one cut of it
+    wanted = again.groupBy("doc_id", "version").agg(F.collect_set("chunk").alias("_wanted"))
+    cut = with_chunks(texts.join(wanted, ["doc_id", "version"]))
+    read = cut.select("doc_id", "version", F.expr("inline(transform(_wanted, c -> struct(c AS chunk, element_at(_chunks, c + 1) AS bytes)))")).select("*", *_hashes("bytes"))
+    firsts = settle(read.groupBy(*key, "bytes").agg(F.min(place).alias("first"), F.count("*").alias("_n")))
+    kinds = firsts.groupBy(*key).agg(F.count("*").alias("kinds"), F.min("first").alias("first"), F.sum("_n").alias("_n"))
+    gone = join_counted(again, kinds.where("kinds = 1").drop("kinds"), key, total)
+    if not kinds.where("kinds > 1").isEmpty():  # chunks that share 128 bits and not their bytes
+        met = read.join(kinds.where("kinds > 1").select(*key), key, "left_semi")
+        gone = gone.unionByName(met.join(firsts.drop("_n"), [*key, "bytes"]).select(gone.columns))
+    return gone.where(place != F.col("first")).select("doc_id", "version", "chunk").distinct()
 
 
 def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
@@ -72,7 +89,7 @@ WITH l AS (
     SELECT doc_id, lines, unnest(range(1, len(lines) + 1)) AS pos
     FROM (SELECT doc_id, string_split(text, chr(10)) AS lines FROM {docs} WHERE text IS NOT NULL))),
 b AS (
-  SELECT *, CASE WHEN pos = 0 OR right(md5(md5(lag(line) OVER w) || md5(line)), 1) IN ('0', '4', '8', 'c') THEN 1 ELSE 0 END AS starts
+  SELECT *, CASE WHEN pos = 0 OR right(md5(md5(lag(line) OVER w) || md5(line)), 1) IN ('0', '2', '4', '6', '8', 'a', 'c', 'e') THEN 1 ELSE 0 END AS starts
   FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY pos)),
 n AS (SELECT *, sum(starts) OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS chunk FROM b),
 c AS (SELECT doc_id, chunk, count(*) AS k, string_agg(line, chr(10) ORDER BY pos) AS bytes, bool_or(line <> '') AS filled FROM n GROUP BY doc_id, chunk),

@@ -94,7 +94,12 @@ def test_large_groups_in_blocks(spark, monkeypatch):
         near_dedup.near_duplicates(documents(spark, texts), percent=79)
 
 
-def test_line_dedup_against_sql(spark):
+@pytest.mark.parametrize("hashes", ["own", "weak"])
+def test_line_dedup_against_sql(spark, monkeypatch, hashes):
+    from pyspark.sql import functions as F
+
+    if hashes == "weak":  # many chunks share a hash and not their bytes
+        monkeypatch.setattr(line_dedup, "_hashes", lambda text: [(F.length(text) % 3).cast("long").alias("h1"), F.lit(0).cast("long").alias("h2")])
     r = random.Random(3)
     passage = [[f"line {i} of {k}" for i in range(12)] for k in range(4)]
     texts = [None, "", "\n\n\n", "a\x01e\nb", "a\x01e\nb"]
