@@ -1,15 +1,16 @@
 """SentencePiece encoding and decoding by a batched numpy Viterbi.
 
-Texts are cut into words at their spaces; each distinct word is encoded once. Words of equal length
-advance together, a character at a time: for every piece length the hashes of the substrings that end
-here are looked up in the sorted hashes of the pieces, and a vectorised maximum over the lengths
-stores score and backpointer. For a unigram model that is all. A BPE model's encoding is the only
+Texts are cut into words at their spaces, and between characters that stand together in no piece; each distinct
+word is encoded once. Words of about equal length, padded to one length, advance together. The hashes of all their
+substrings, by prefix sums, are looked up in the sorted hashes of the pieces beforehand; then, a character at a time, all
+pieces that end here are tried together, and a vectorised maximum stores score and backpointer. For a unigram model that is all. A BPE model's encoding is the only
 path on which every two neighbouring pieces would also be split so on their own; there, a step to a
 piece that isn't compatible with the last piece of its prefix is barred.
 """
 
 from __future__ import annotations
 
+import heapq
 import zlib
 from collections.abc import Iterator
 
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .bytetext import Words, chunks, mix, text_buffer
+from .bytetext import Words, chunks, mix, powers, text_buffer
 
 SPACE = "▁"
 #: Distinct words whose ids a worker remembers.
@@ -28,8 +29,18 @@ _ONLY_SPACE = np.zeros(256, bool)
 _ONLY_SPACE[32] = True
 _IDENTITY = np.arange(256, dtype=np.uint8)
 _PREFIXED = np.uint64(0x5851F42D4C957F2D)
-_STEP = np.uint64(0xD6E8FEB86659FD93)
 _UNKNOWN = -2
+#: Words up to so many characters advance with those of their own length alone.
+SHORT = 24
+
+
+def _span_hashes(chars: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of all substrings of one size of rows of characters, each as of the substring alone."""
+    p, q = powers(chars.shape[1] + 1)
+    prefix = np.zeros((len(chars), chars.shape[1] + 1), np.uint64)
+    np.cumsum(mix(chars + np.uint64(1)) * p[:-1], axis=1, out=prefix[:, 1:])
+    starts = np.arange(chars.shape[1] - size + 1)
+    return mix((prefix[:, starts + size] - prefix[:, starts]) * q[starts] + np.uint64(size))
 
 
 class Codec:
@@ -53,21 +64,18 @@ class Codec:
                 self.bytes_of.append(piece.replace(SPACE, " ").encode())
                 normal[piece] = i
         self.ids, self.bpe = normal, bpe
-        # two ASCII characters that stand together in no piece are never joined, so a word can be cut between them
-        self.joins = np.zeros((256, 256), bool)
-        self.joins[128:], self.joins[:, 128:] = True, True
-        for piece in normal:
-            for a, b in zip(piece, piece[1:]):
-                if a < "\x80" and b < "\x80":
-                    self.joins[ord(a), ord(b)] = True
+        # two characters that stand together in no piece are never joined, so a word can be cut between them
+        self.joins = np.array(sorted({ord(a) << 32 | ord(b) for piece in normal for a, b in zip(piece, piece[1:])}), np.int64)
+        self.joins_ascii = np.zeros((256, 256), bool)
+        some = self.joins[((self.joins >> 32) < 128) & ((self.joins & 0xFFFFFFFF) < 128)]
+        self.joins_ascii[some >> 32, some & 0xFFFFFFFF] = True
         self.scores = np.array([model.get_score(i) for i in range(n)])
         self.longest = max(map(len, normal))
         keys = {}
         for piece, i in normal.items():
-            h = np.zeros(1, np.uint64)
-            for c in piece:
-                h = (h + np.uint64(ord(c) + 1)) * _STEP
-            keys[int(mix(h)[0])] = i
+            keys[int(_span_hashes(np.array([[ord(c) for c in piece]], np.uint64), len(piece))[0, 0])] = i
+        if len(keys) < len(normal):
+            raise ValueError("two pieces have the same hash")
         order = sorted(keys)
         self.piece_keys, self.piece_ids = np.array(order, np.uint64), np.array([keys[k] for k in order])
         self.pair_keys, self.pair_fits = np.zeros(0, np.int64), np.zeros(0, bool)
@@ -81,15 +89,28 @@ class Codec:
         self.flat, self.at = np.zeros(0, np.int32), np.zeros(1, np.int64)
 
     def _merged(self, word: str) -> list[str]:
-        """A short string by merging, best score first, the leftmost of equals first."""
-        parts = list(word)
-        while len(parts) > 1:
-            best = max(((self.scores[self.ids[x]], -k) for k in range(len(parts) - 1) if (x := parts[k] + parts[k + 1]) in self.ids), default=None)
-            if best is None:
-                break
-            k = -best[1]
-            parts[k : k + 2] = [parts[k] + parts[k + 1]]
-        return parts
+        """A string by merging, best score first, the leftmost of equals first."""
+        parts, n = list(word), len(word)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        heap: list[tuple] = []
+
+        def offer(k: int) -> None:
+            if 0 <= k and right[k] < n and (made := parts[k] + parts[right[k]]) in self.ids:
+                heapq.heappush(heap, (-self.scores[self.ids[made]], k, made))
+
+        for k in range(n - 1):
+            offer(k)
+        while heap:
+            _, k, made = heapq.heappop(heap)
+            other = right[k]
+            if not parts[k] or other >= n or parts[k] + parts[other] != made:
+                continue
+            parts[k], parts[other], right[k] = made, "", right[other]
+            if right[k] < n:
+                left[right[k]] = k
+            offer(left[k])
+            offer(k)
+        return [x for x in parts if x]
 
     def _fits(self, last: np.ndarray, piece: np.ndarray) -> np.ndarray:
         """Whether each two pieces stay apart when their strings are encoded together."""
@@ -108,48 +129,63 @@ class Codec:
     def viterbi(self, words: list[str]) -> list[list[int]]:
         """Ids of distinct words; characters without a piece become bytes."""
         out: list[list[int]] = [[] for _ in words]
+        # lengths up to SHORT on their own, longer ones with those at most an eighth longer
         by_length: dict[int, list[int]] = {}
         for k, w in enumerate(words):
-            by_length.setdefault(len(w), []).append(k)
-        for length, which in by_length.items():
-            step = max(1, 2_000_000 // (length + 1))
+            n = len(w)
+            by_length.setdefault(n if n <= SHORT else SHORT + int(np.log(n / SHORT) / np.log(1.125)) + 1, []).append(k)
+        for which in by_length.values():
+            step = max(1, 1_000_000 // (max(len(words[k]) for k in which) + 1))
             for p in range(0, len(which), step):
                 some = which[p : p + step]
-                for k, ids in zip(some, self._together([words[k] for k in some], length), strict=True):
+                for k, ids in zip(some, self._together([words[k] for k in some]), strict=True):
                     out[k] = ids
         return out
 
-    def _together(self, words: list[str], length: int) -> list[list[int]]:
-        n = len(words)
-        chars = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32).reshape(n, length).astype(np.uint64) + np.uint64(1)
-        best = np.full((length + 1, n), -np.inf)
+    def _probe(self, chars: np.ndarray, length: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(end, word, size, piece) of every substring that is a piece, and of every single character, sorted by end."""
+        found = []
+        for size in range(1, min(chars.shape[1], self.longest) + 1):
+            h = _span_hashes(chars, size)
+            place = np.minimum(np.searchsorted(self.piece_keys, h), len(self.piece_keys) - 1)
+            piece = np.where(self.piece_keys[place] == h, self.piece_ids[place], _UNKNOWN if size == 1 else -1)
+            word, start = np.nonzero((piece != -1) & (np.arange(h.shape[1]) + size <= length[:, None]))
+            found.append((start + size, word, np.full(len(word), size), piece[word, start]))
+        end, word, size, piece = (np.concatenate(x) for x in zip(*found, strict=True))
+        order = np.lexsort((size, word, end))
+        return end[order], word[order], size[order], piece[order]
+
+    def _together(self, words: list[str]) -> list[list[int]]:
+        n, length = len(words), np.array([len(w) for w in words], np.int64)
+        longest = int(length.max())
+        chars = np.frombuffer("".join(w.ljust(longest, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(n, longest).astype(np.uint64)
+        ends, rows_, sizes, pieces = self._probe(chars, length)
+        at = np.searchsorted(ends, np.arange(longest + 2))
+        gain = np.where(pieces >= 0, self.scores[np.maximum(pieces, 0)], -1e6)
+        best = np.full((longest + 1, n), -np.inf)
         best[0] = 0
-        last, back = np.full((length + 1, n), -1, np.int64), np.zeros((length + 1, n), np.int16)
-        for end in range(1, length + 1):
-            for size in range(1, min(end, self.longest) + 1):
-                h = np.zeros(n, np.uint64)
-                for c in range(end - size, end):
-                    h = (h + chars[:, c]) * _STEP
-                h = mix(h)
-                place = np.minimum(np.searchsorted(self.piece_keys, h), len(self.piece_keys) - 1)
-                found = np.where(self.piece_keys[place] == h, self.piece_ids[place], -1)
-                if size == 1:
-                    found[found < 0] = _UNKNOWN
-                rows = np.flatnonzero((found != -1) & np.isfinite(best[end - size]))
-                piece, before = found[rows], last[end - size, rows]
-                value = best[end - size, rows] + np.where(piece >= 0, self.scores[np.maximum(piece, 0)], -1e6)
-                if self.bpe and len(rows):
-                    ok = np.ones(len(rows), bool)
-                    real = np.flatnonzero(piece >= 0)
-                    ok[real] = self._fits(before[real], piece[real])
-                    rows, piece, value = rows[ok], piece[ok], value[ok]
-                better = value > best[end, rows]
-                rows = rows[better]
-                best[end, rows], last[end, rows], back[end, rows] = value[better], piece[better], size
+        last, back = np.full((longest + 1, n), -1, np.int64), np.zeros((longest + 1, n), np.int16)
+        for end in range(1, longest + 1):
+            s = slice(at[end], at[end + 1])
+            row, size, piece = rows_[s], sizes[s], pieces[s]
+            value = best[end - size, row] + gain[s]
+            ok = np.isfinite(value)
+            if self.bpe:
+                real = np.flatnonzero(ok & (piece >= 0))
+                ok[real] = self._fits(last[end - size[real], row[real]], piece[real])
+            row, size, piece, value = row[ok], size[ok], piece[ok], value[ok]
+            if not len(row):
+                continue
+            # the first of the best of each word: sorted by word, and of one word by size
+            first = np.flatnonzero(np.diff(row, prepend=-1))
+            top = np.maximum.reduceat(value, first)
+            k = np.flatnonzero(value == np.repeat(top, np.diff(np.append(first, len(row)))))
+            k = k[np.diff(row[k], prepend=-1) != 0]
+            best[end, row[k]], last[end, row[k]], back[end, row[k]] = value[k], piece[k], size[k]
         out = []
         for k in range(n):
-            ids, end = [], length
-            if not np.isfinite(best[length, k]):  # no path of compatible pieces
+            ids, end = [], int(length[k])
+            if not np.isfinite(best[end, k]):  # no path of compatible pieces
                 ids = [i for x in self._merged(words[k]) for i in ([self.ids[x]] if x in self.ids else self._as_bytes(x))]
             else:
                 while end:
@@ -178,7 +214,14 @@ class Codec:
         newline = raw == 10
         breaks = newline.copy()
         breaks[1:] |= newline[:-1]
-        breaks[1:] |= ~self.joins[raw[:-1], raw[1:]]
+        breaks[1:] |= (raw[:-1] < 128) & (raw[1:] < 128) & ~self.joins_ascii[raw[:-1], raw[1:]]
+        if (raw >= 128).any():
+            starts = np.flatnonzero((raw & 0xC0) != 0x80)
+            chars = np.frombuffer(raw.tobytes().decode().encode("utf-32-le"), np.uint32).astype(np.int64)
+            wide = np.flatnonzero((chars[:-1] >= 128) | (chars[1:] >= 128))
+            pair = chars[wide] << 32 | chars[wide + 1]
+            there = self.joins[np.minimum(np.searchsorted(self.joins, pair), len(self.joins) - 1)] == pair
+            breaks[starts[wide[~there] + 1]] = True
         words = Words(raw, at, _ONLY_SPACE, _IDENTITY, breaks)
         n, text = len(words), words.texts()
         gap = words.starts - np.concatenate([[0], words.ends[:-1]]) if n else np.zeros(0, np.int64)
@@ -205,7 +248,7 @@ class Codec:
         bare = (gap > 1) & (self.flat[start] == self.ids[SPACE]) if n else np.zeros(0, bool)
         runs = np.where(gap > 1, gap - 1 + bare, 0)
         size, start = size - bare, start + bare
-        run_ids = {int(k): np.array([self.ids[x] for x in self._merged(SPACE * int(k))] if k < 200 else self._long_run(int(k)), np.int32) for k in np.unique(np.concatenate([runs, tail])) if k}
+        run_ids = {int(k): np.array([self.ids[x] for x in self._merged(SPACE * int(k))], np.int32) for k in np.unique(np.concatenate([runs, tail])) if k}
         run_size = np.array([len(run_ids[k]) if k else 0 for k in runs.tolist()], np.int64)
         tail_size = np.array([len(run_ids[k]) if k else 0 for k in tail.tolist()], np.int64)
         ends = np.concatenate([[0], np.cumsum(size + run_size)])
@@ -221,21 +264,6 @@ class Codec:
             out[out_at[k + 1] - tail_size[k] : out_at[k + 1]] = run_ids[int(tail[k])]
         return out, out_at
 
-    def _long_run(self, k: int) -> list[int]:
-        """As merging does it for a long run of spaces: pairs from the left, again and again, while a piece exists."""
-        parts, made = [1] * k, True
-        while made:
-            made, i, out = False, 0, []
-            while i < len(parts):
-                if i + 1 < len(parts) and SPACE * (parts[i] + parts[i + 1]) in self.ids:
-                    out.append(parts[i] + parts[i + 1])
-                    i, made = i + 2, True
-                else:
-                    out.append(parts[i])
-                    i += 1
-            parts = out
-        return [self.ids[SPACE * p] for p in parts]
-
     def decode(self, ids: np.ndarray, at: np.ndarray) -> pa.Array:
         """The texts of lists of ids; the dummy prefix goes. Bytes that are no UTF-8 become U+FFFD."""
         size = self.piece_at[ids + 1] - self.piece_at[ids]
@@ -260,6 +288,7 @@ def encode(docs: DataFrame, model: str, bpe: bool = True) -> DataFrame:
     """(doc_id, ids array<int>) for every row of docs (doc_id, text; other columns are ignored).
 
     A null text has null ids, an empty one none. Repeated rows and null ids of documents are encoded as any other.
+    An empty table gives an empty result.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,7 +317,10 @@ def decode(encoded: DataFrame, model: str) -> DataFrame:
 
 
 def digests(docs: DataFrame, model: str, bpe: bool = True) -> DataFrame:
-    """(doc_id, n_tokens, ids_crc32, text_crc32, same) for every row: of encode()'s ids, and of the text that decode() makes of them."""
+    """(doc_id, n_tokens, ids_crc32, text_crc32, same) for every row: of encode()'s ids, and of the text that decode() makes of them.
+
+    A null text counts as an empty one. Repeated rows and rows without an id have a row each; an empty table gives an empty result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, _, _ in chunks(batches, CHUNK):

@@ -331,12 +331,31 @@ def test_sentencepiece(spark):
     path = queries.tokenizer_path("piece_bpe_32k.model")
     model = sentencepiece.SentencePieceProcessor(model_file=path)
     texts = [*made_texts(), "a  b   c\nd\té", " x ", "   ", "日本語 \U0001f600", " " * 300 + "y"]
+    texts += ["a" + " " * k + "b" + " " * k for k in range(1, 120)] + [" " * k for k in (199, 200, 201, 513)]
+    r = random.Random(6)
+    texts += ["".join(r.choice("日本語中文字的一是不了人我") for _ in range(3000)), "".join(r.choice("aeiouэтовинй̈żółć字的 \n") for _ in range(4000)), "".join(r.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(3000)), "a" * 700, "ab" * 400, "=" * 333 + "-" * 90, "привет" * 60, "".join(chr(r.randrange(0x20, 0x2FFF)) for _ in range(2000))]
     encoded = sentencepiece_codec.encode(documents(spark, texts), path)
     got = {r.doc_id: r.ids for r in encoded.collect()}
     assert got[0] is None and all(got[i] == model.encode(t) for i, t in enumerate(texts) if t is not None)
     assert {r.doc_id: r.text for r in sentencepiece_codec.decode(encoded, path).collect()} == dict(enumerate(texts))
 
 
+def test_long_unspaced_text_is_fast():
+    import time
+
+    import sentencepiece
+
+    path = queries.tokenizer_path("piece_bpe_32k.model")
+    codec, model = sentencepiece_codec.codec(path), sentencepiece.SentencePieceProcessor(model_file=path)
+    r = random.Random(1)
+    for text in ("".join(chr(r.randrange(0x4E00, 0x9000)) for _ in range(20_000)), "".join(r.choice("0123456789abcdef") for _ in range(20_000))):
+        codec.forget()
+        began = time.process_time()
+        ids, _ = codec.encode(pa.array([text]))
+        took = time.process_time() - began
+        assert ids.tolist() == model.encode(text) and took < 8, took
+
+
 def test_conversations_against_sql(spark):
     said = [(1, 0, "user", "Hello there\nHow are you?"), (1, 1, "assistant", "> Hello there\n> How are you?\n\nFine.\n> > x\ny"), (1, 2, "user", ">  how are YOU?\nok"), (2, 0, "user", None), (2, 1, "a", "> Fine.\nq \x01e z"), (2, 5, "a", ""), (2, 5, "a", ""), (None, 1, "a", "b")]
     df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
@@ -358,7 +377,7 @@ def test_empty_tables(spark):
     docs = documents(spark, ["x"]).where("false")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     vectors = spark.createDataFrame([], "vec_id long, embedding array<float>")
-    for df in (near_dedup.near_duplicates(docs), line_dedup.dedup_lines(docs), packing.pack_documents(docs, queries.tokenizer_path("word_bpe_49k.json")), quality.score_quality(docs, labels), toxicity.score_toxicity(docs, labels), licenses.scan_licenses(docs), metric_join.near_vectors(vectors), permutation_index.nearest(vectors, vectors)):
+    for df in (near_dedup.near_duplicates(docs), line_dedup.dedup_lines(docs), packing.pack_documents(docs, queries.tokenizer_path("word_bpe_49k.json")), quality.score_quality(docs, labels), toxicity.score_toxicity(docs, labels), licenses.scan_licenses(docs), metric_join.near_vectors(vectors), permutation_index.nearest(vectors, vectors), sentencepiece_codec.encode(docs, queries.tokenizer_path("piece_bpe_32k.model")), sentencepiece_codec.digests(docs, queries.tokenizer_path("piece_bpe_32k.model"))):
         assert df.count() == 0
     assert pa is not None
 
