@@ -7,8 +7,8 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-#: A key is hot if it has more rows than this, and more than one in HOT_KEYS of all; so there are fewer than HOT_KEYS hot keys.
-HOT_ROWS, HOT_KEYS = 1_000, 10_000
+#: A key is hot if it has more rows than this, and more than one in HOT_KEYS of all; so there are at most HOT_KEYS hot keys, whatever the data.
+HOT_ROWS, HOT_KEYS = 64, 10_000
 
 
 def shared_dir(spark: SparkSession) -> str:
