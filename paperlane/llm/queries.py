@@ -62,7 +62,7 @@ def op9_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    linked = conversations.positions(conversations.link_replies(table(spark, sf_dir, "conversations")))
+    linked = conversations.in_reply_order(conversations.link_replies(table(spark, sf_dir, "conversations")))
     return linked.select("conv_id", "position", "turn", "role", F.col("body").alias("content"), "reply_conv", "reply_turn")
 
 

@@ -361,7 +361,9 @@ def test_conversations_against_sql(spark):
     df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
     from pyspark.sql import functions as F
 
-    got = conversations.build_conversations(df).select("conv_id", F.posexplode("messages").alias("p", "m")).select("conv_id", (F.col("p") + 1).alias("position"), "m.*").toPandas()
+    got = conversations.build_conversations(df).select("conv_id", F.posexplode("messages").alias("p", "m")).select("conv_id", "m.*", "p").toPandas()
+    assert (got.position == got.p + 1).all()
+    got = got.drop(columns="p")
     con = duckdb.connect()
     con.register("conversations", df.toPandas())
     assert rows(got) == rows(con.sql(conversations.SQL).df())
@@ -511,5 +513,100 @@ def test_trimmed_quotes_and_positions(spark, monkeypatch):
     monkeypatch.setattr(conversations, "TURNS", 2)
     said = [(1, 0, "u", "one a\ntwo b\nthree c\n\nfour d\nfive e"), (1, 1, "a", "so\nthree c"), (1, 2, "u", "> two b\n> three c\n> four d\nyes"), (1, 3, "a", "plain"), (1, 7, "u", "> four d\n> five e\nno"), (2, 0, "u", "> Three C\n>\n> four d\n> unknown\nwell")]
     df = spark.createDataFrame(said, "conv_id long, turn long, role string, text string")
-    got = {(r.conv_id, r.turn): (r.position, r.reply_conv, r.reply_turn) for r in conversations.positions(conversations.link_replies(df)).collect()}
+    got = {(r.conv_id, r.turn): (r.position, r.reply_conv, r.reply_turn) for r in conversations.in_reply_order(conversations.link_replies(df)).collect()}
     assert got == {(1, 0): (1, None, None), (1, 1): (2, 1, 0), (1, 2): (3, 1, 0), (1, 3): (4, 1, 2), (1, 7): (5, 1, 0), (2, 0): (1, 1, 0)}
+
+
+def plain_links(said):
+    """Reply and position of every message, by plain Python."""
+    import re
+
+    norm = lambda t: re.sub(r"\s+", " ", t.lower()).strip(" ")
+    mark = re.compile(r"^[ \t]*(?:>[ \t]?)+")
+    parsed = {}
+    for c, t, _, text in said:
+        runs = []
+        for line in (text or "").split("\n"):
+            m = mark.match(line)
+            level = m.group().count(">") if m else 0
+            if not runs or runs[-1][0] != level:
+                runs.append((level, []))
+            runs[-1][1].append(line[m.end() :] if m else line)
+        parsed[c, t] = runs
+    whole, lines = {}, {}
+    for (c, t), runs in sorted(parsed.items()):
+        for at, (level, own) in enumerate(runs):
+            if level == 0:
+                for x in {norm("\n".join(own)), *map(norm, own)} - {""}:
+                    whole.setdefault(x, {}).setdefault(c, t)
+                for k, x in enumerate([norm(x) for x in own if x.strip()]):
+                    lines.setdefault(x, {}).setdefault(c, (t, at * 1_000_000 + k))
+    def place(x, table, c, t, turn):
+        found = table.get(x, {})
+        if c in found and turn(found[c]) < t:
+            return c, found[c]
+        if found and min(found) != c:
+            return min(found), found[min(found)]
+    reply, position = {}, {}
+    for (c, t), runs in parsed.items():
+        best = None
+        for at, (level, own) in enumerate(runs):
+            x = norm("\n".join(own))
+            if not level or not x:
+                continue
+            source = place(x, whole, c, t, lambda v: v)
+            if source is None:
+                counts = {}
+                for k, y in enumerate([norm(y) for y in own if y.strip()]):
+                    p = place(y, lines, c, t, lambda v: v[0])
+                    if p:
+                        key = ((p[0], p[1][0]), p[1][1] - k)
+                        counts[key] = counts.get(key, 0) + 1
+                if counts:
+                    source = min((-n, src[0] != c, src) for (src, _), n in counts.items())[2]
+            if source:
+                best = min(x for x in (best, (level, -at, source)) if x)
+        reply[c, t] = best[2] if best else (c, t - 1) if (c, t - 1) in parsed else None
+    children = {}
+    for m, r in sorted(reply.items()):
+        children.setdefault(r if r and r[0] == m[0] else (m[0], None), []).append(m)
+    for c in {c for c, _ in parsed}:
+        todo, n = list(reversed(children.get((c, None), []))), 0
+        while todo:
+            m = todo.pop()
+            n += 1
+            position[m] = n
+            todo += reversed(children.get(m, []))
+    return {m: (position[m], *(reply[m] or (None, None))) for m in parsed}
+
+
+def test_conversations_against_plain_links(spark, monkeypatch):
+    from paperlane.llm import graph
+
+    monkeypatch.setattr(conversations, "TURNS", 5)
+    monkeypatch.setattr(graph, "HOT_ROWS", 4)
+    r = random.Random(11)
+    word = lambda: r.choice("alpha beta gamma delta eps zeta eta theta iota kappa".split())
+    common = "a very common passage\nof two lines"
+    said, bodies = [], []
+    for c in range(25):
+        for t in range(r.randint(1, 40) if c else 150):
+            if r.random() < 0.1:
+                continue
+            body = common if r.random() < 0.1 else "\n".join("" if r.random() < 0.1 else " ".join(word() for _ in range(r.randint(1, 6))) for _ in range(r.randint(1, 6)))
+            quotes = []
+            for _ in range(r.choice([0, 0, 1, 1, 2])):
+                mine = [b for b in bodies if b[0] == c]
+                source = common if r.random() < 0.2 else r.choice(mine)[2] if mine and r.random() < 0.7 else r.choice(bodies)[2] if bodies else "nobody said this"
+                own = source.split("\n")
+                low = r.randrange(len(own))
+                own = own[low : r.randint(low + 1, len(own))] if r.random() < 0.5 else own
+                own = [x.upper() if r.random() < 0.2 else x.replace(" ", "  ") if r.random() < 0.2 else x + " reworded" if r.random() < 0.1 else x for x in own]
+                quotes.append("\n".join(r.choice(["> ", ">", " > > ", ">> "]) * 1 + x for x in own))
+            said.append((c, t, "u", "\n".join([*quotes, body] if r.random() < 0.8 else [body, *quotes])))
+            bodies.append((c, t, body))
+    said += [(30, 0, "u", None), (30, 1, "u", ""), (30, 2, "u", "> only a quote"), (31, 5, "u", "x " * 50_000 + "\n> " + "y " * 50_000)]
+    df = spark.createDataFrame([(*m, "extra") for m in said], "conv_id long, turn long, role string, text string, position string")
+    got = {(x.conv_id, x.turn): (x.position, x.reply_conv, x.reply_turn) for x in conversations.in_reply_order(conversations.link_replies(df)).collect()}
+    assert got == plain_links(said)
+    assert conversations.in_reply_order(conversations.link_replies(df.where("false"))).count() == 0
