@@ -6,7 +6,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 from .bytetext import chunks
 from .subword import Model
@@ -23,15 +23,23 @@ def held_out(folds: int, fold: int):
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, fold: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bytes, offsets, labels) of at most TRAIN_ROWS labelled rows that aren't held out.
 
-    Of several labels of an id the largest counts; null labels are left out. The bound keeps the sample
+    Of several labels of an id the largest counts; null labels are left out; of several texts of an id the least. A text that
+    doesn't fit into what is left of TRAIN_CHARS, in order of the hash, is passed over. The bound keeps the sample
     a few tens of MB at any size of the corpus, so the driver can hold it.
     """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label).cast("int").alias("y"))
     known = known.where(~held_out(folds, fold)).groupBy("doc_id").agg(F.max("y").alias("y"))
     chosen = known.withColumn("h", F.xxhash64("doc_id")).orderBy("h", "doc_id").limit(TRAIN_ROWS)
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"])
-    sizes = texts.withColumn("total", F.sum(F.length("text")).over(Window.orderBy("h", "doc_id")))  # TRAIN_ROWS rows at most
-    rows = sizes.where((F.col("total") <= TRAIN_CHARS) | (F.col("total") == F.length("text"))).orderBy("h", "doc_id").select("text", "y").toPandas()
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").where("text is not null").join(F.broadcast(chosen), "doc_id")
+    # which texts fit is found from their sizes; the texts themselves come only then
+    sizes = texts.select("doc_id", "h", "y", F.length("text").alias("n"), F.xxhash64("text").alias("v")).groupBy("doc_id", "h", "y").agg(F.min(F.struct("n", "v")).alias("t"))
+    fit, left = [], TRAIN_CHARS
+    for r in sizes.select("doc_id", "y", "t.*").orderBy("h", "doc_id").collect():  # TRAIN_ROWS rows at most
+        if r.n <= left:
+            fit.append((r.doc_id, r.n, r.v, len(fit), r.y))
+            left -= r.n
+    wanted = docs.sparkSession.createDataFrame(fit, "doc_id long, n int, v long, place int, y int")
+    rows = texts.select("doc_id", "text", F.length("text").alias("n"), F.xxhash64("text").alias("v")).join(F.broadcast(wanted), ["doc_id", "n", "v"]).dropDuplicates(["doc_id"]).select("place", "text", "y").toPandas().sort_values("place")
     encoded = [t.encode() for t in rows["text"]]
     at = np.concatenate([[0], np.cumsum([len(t) for t in encoded])]).astype(np.int64)
     return np.frombuffer(b"".join(encoded), np.uint8), at, rows["y"].to_numpy(np.int64)

@@ -1,5 +1,7 @@
+import math
 import os
 import random
+import re
 import sys
 import zlib
 
@@ -11,7 +13,7 @@ import pytest
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from compare import connection, rows  # noqa: E402
 
-from paperlane.llm import conversations, licenses, line_dedup, metric_join, near_dedup, packing, permutation_index, quality, queries, sentencepiece_codec, toxicity  # noqa: E402
+from paperlane.llm import conversations, licenses, line_dedup, metric_join, near_dedup, packing, permutation_index, quality, queries, sentencepiece_codec, subword, toxicity  # noqa: E402
 
 SF = "/root/testdata/sf0.01"
 
@@ -161,6 +163,105 @@ def test_held_out_accuracy(spark, name, label):
     assert (got.predicted == got[label]).mean() > 0.98
 
 
+def plain_toxicity(model, text):
+    """The score of one text by a plain walk over its words and n-grams: the mean of a window's words, the worst window of a text."""
+    # a word said again within two words counts once, as it was said
+    said = re.findall(rb"[0-9a-z\x80-\xff]+", (text or "").encode().lower())
+    words = [w for i, w in enumerate(said) if w not in said[max(0, i - 2) : i]]
+    values = [plain_word(model, w) for w in words]
+    starts = range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE) if words else []
+    tops = [np.mean(values[i : i + toxicity.WINDOW]) for i in starts]
+    return 1 / (1 + math.exp(-(max(tops, default=0.0) + model.bias)))
+
+
+def plain_word(model, word):
+    """A word's value: the mean over itself and its n-grams, each hashed on its own."""
+    one = model.features.words(np.frombuffer(word, np.uint8), np.array([0, len(word)]))
+    mask, buckets = np.uint64(2**subword.BITS - 1), [subword.mix(one.hashes[:1] ^ subword._SALT[0])[0]]
+    for n in model.features.sizes:
+        for i in range(len(word) - n + 1):
+            h = one.spans(np.array([i]), n)
+            if i == 0:
+                h ^= subword._SALT[1]
+            if i == len(word) - n:
+                h ^= subword._SALT[2]
+            buckets.append(subword.mix(h)[0])
+    return float(np.mean([model.values[int(b & mask)] for b in buckets]))
+
+
+def plain_quality(model, text):
+    words = re.findall(rb"[^\x20\x09-\x0d]+", (text or "").encode())
+    if not words:
+        return 1 / (1 + math.exp(-model.bias))
+    total = sum(plain_word(model, w) for w in words)
+    for a, b in zip(words, words[1:]):
+        x, y = (model.features.words(np.frombuffer(w, np.uint8), np.array([0, len(w)])).hashes for w in (a, b))
+        h = subword._SALT[3:4] if a == b else subword.mix(x * np.uint64(3) + y + subword._SALT[4])
+        total += float(model.values[int(subword.mix(h)[0] & np.uint64(2**subword.BITS - 1))])
+    return 1 / (1 + math.exp(-(total / len(words) + model.bias)))
+
+
+@pytest.mark.parametrize(("operator", "score", "plain"), [(toxicity, toxicity.score_toxicity, plain_toxicity), (quality, quality.score_quality, plain_quality)])
+def test_scores_against_plain_scorers(spark, operator, score, plain):
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    model = operator.train(docs, labels)
+    texts = [None, "", " \n", "a", "word word word other word", *[r.text for r in docs.orderBy("doc_id").limit(25).collect()]]
+    got = {r.doc_id: r.score for r in score(documents(spark, texts), labels, model).collect()}
+    for i, t in enumerate(texts):
+        assert abs(got[i] - plain(model, t)) < 1e-5, i
+    again = operator.train(docs.repartition(5), labels)
+    assert (again.values == model.values).all() and again.bias == model.bias
+
+
+def test_training_sample_passes_over_long_texts(spark, monkeypatch):
+    from paperlane.llm import classify
+
+    monkeypatch.setattr(classify, "TRAIN_CHARS", 800)
+    docs = spark.createDataFrame([(i, ("x" * 900 if i % 5 == 0 else f"short {i}")) for i in range(1, 40)] + [(3, "another text"), (3, "short 3")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 40)], "doc_id long, quality int")
+    raw, at, y = classify.training_rows(docs, labels, "quality", 5, 0)
+    texts = [bytes(raw[a:b]).decode() for a, b in zip(at, at[1:])]
+    kept = {i for i in range(1, 40) if zlib.crc32(str(i).encode()) % 5}
+    assert sum(map(len, texts)) <= 800 and sum(t.startswith("short") for t in texts) == len([i for i in kept if i % 5])
+
+
+def test_pipeline_against_plain_stages(spark):
+    """Every stage at sf0.001, each on what the one before kept, against plain Python on the same models."""
+    import corpus_pipeline as c
+    from tokenizers import Tokenizer
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = {r.doc_id: r for r in docs.collect()}
+    good = {i: r for i, r in rows.items() if plain_quality(quality_model, r.text) >= 0.3} if (quality_model := quality.train(docs, labels)) else {}
+    clean_model = toxicity.train(docs, labels)
+    clean = {i: r for i, r in good.items() if plain_toxicity(clean_model, r.text) < 0.3}
+    stage = c.keep_good(spark, docs, sf)
+    assert {r.doc_id: r for r in stage.collect()} == good
+    stage = c.keep_clean(spark, stage, sf)
+    assert {r.doc_id: r for r in stage.collect()} == clean
+    cut = c.drop_repeated_lines(spark, stage, sf).collect()
+    assert {r.doc_id for r in cut} == set(clean)
+    for r in cut:  # what is left stands in the text in that order, and only what another text or an earlier place has is gone
+        left, was = iter((clean[r.doc_id].text or "").split()), (r.text or "").split()
+        assert all(any(w == x for x in left) for w in was), r.doc_id
+    def shingles(t):
+        w = re.findall("[^\x20\x09-\x0d]+", "".join(x.lower() if "A" <= x <= "Z" else x for x in t or ""))
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
+    sets, root = {r.doc_id: shingles(r.text) for r in cut}, {r.doc_id: r.doc_id for r in cut}
+    for i in sets:
+        for j in sets:
+            if j < i and sets[i] and 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = {k: a if x == b else x for k, x in root.items()}
+    final = {i: r for i, r in ((r.doc_id, r) for r in cut) if root[i] == i}
+    packed = c.run(spark, sf).toPandas()
+    t = Tokenizer.from_file(queries.tokenizer_path("word_bpe_49k.json"))
+    want = {i: len(t.encode(r.text or "", add_special_tokens=False).ids) + 1 for i, r in final.items()}
+    assert packed.groupby("doc_id").length.sum().to_dict() == want
+
+
 def test_vectors(spark):
     r = np.random.default_rng(2)
     v = [x.tolist() for x in r.normal(size=(300, 8))]
