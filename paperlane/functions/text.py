@@ -38,12 +38,15 @@ def _undoubled(w: str) -> str:
     return f"CASE WHEN length({w}) > 3 AND right({w}, 1) = left(right({w}, 2), 1) AND right({w}, 1) NOT IN ('l', 's', 'z') THEN left({w}, length({w}) - 1) ELSE {w} END"
 
 
+# Word endings and what takes their place; after None a doubled last letter is made single.
+ENDINGS = (("ies", "y"), ("sses", "ss"), ("xes", "x"), ("ches", "ch"), ("shes", "sh"), ("ing", None), ("ed", None), ("ly", ""), ("s", ""))
+
+
 def stem_sql(w: str) -> str:
-    """The word with one English ending folded; the first rule that leaves three characters wins (portable)."""
-    rules = [("ies", "y"), ("sses", "ss"), ("xes", "x"), ("ches", "ch"), ("shes", "sh"), ("ing", None), ("ed", None), ("ly", ""), ("s", "")]
+    """The word with one English ending folded; the first rule that leaves three characters wins."""
     # nothing else can end in one of the endings; digits can't either
     out = f"CASE WHEN length({w}) <= 3 OR right({w}, 1) NOT IN ('s', 'g', 'd', 'y') THEN {w}"
-    for ending, put in rules:
+    for ending, put in ENDINGS:
         rest = f"left({w}, length({w}) - {len(ending)})"
         out += f" WHEN right({w}, {len(ending)}) = '{ending}' AND length({w}) >= {len(ending) + 3} THEN " + (_undoubled(rest) if put is None else f"{rest} || '{put}'" if put else rest)
     return out + f" ELSE {w} END"
@@ -70,22 +73,22 @@ def tokens(text: str, stopwords: bool = False) -> Column:
 
 
 def _kept(x: Column, stopwords: bool) -> Column:
+    """kept_sql() for a lambda's variable."""
     digits = F.translate(x, "0123456789", "") == ""
     out = (x != "") & ((F.length(x) > 1) | digits)
     return out if stopwords else out & ~x.isin(*dict.fromkeys(STOPWORDS))
 
 
 def _stem(x: Column) -> Column:
-    def cut(n: int) -> Column:
-        return F.substring(x, F.lit(1), F.length(x) - n)
+    """stem_sql() for a lambda's variable."""
 
     def undoubled(s: Column) -> Column:
         twice = F.right(s, F.lit(1)) == F.left(F.right(s, F.lit(2)), F.lit(1))
         return F.when((F.length(s) > 3) & twice & ~F.right(s, F.lit(1)).isin("l", "s", "z"), F.substring(s, F.lit(1), F.length(s) - 1)).otherwise(s)
 
-    out = F.when((F.length(x) <= 3) | (F.translate(x, "0123456789", "") == ""), x)
-    for ending, put in (("ies", "y"), ("sses", "ss"), ("xes", "x"), ("ches", "ch"), ("shes", "sh"), ("ing", None), ("ed", None), ("ly", ""), ("s", "")):
-        rest = cut(len(ending))
+    out = F.when(F.length(x) <= 3, x)
+    for ending, put in ENDINGS:
+        rest = F.substring(x, F.lit(1), F.length(x) - len(ending))
         out = out.when(x.endswith(ending) & (F.length(x) >= len(ending) + 3), undoubled(rest) if put is None else F.concat(rest, F.lit(put)))
     return out.otherwise(x)
 
@@ -122,6 +125,7 @@ def column_index(reference: Column) -> Column:
     return F.aggregate(F.filter(letters, lambda c: c != ""), F.lit(0), lambda a, c: a * 26 + F.ascii(c) - 64) - 1
 
 
+# How an answer cites a place, and how it says that there is none.
 CITATION = r"(?i)\((?:page|part|section|sheet)\s+[^)]{1,60}\)"
 REFUSAL = r"(?i)could not find that in your document"
 
@@ -150,3 +154,28 @@ def salvaged_text(body: Column) -> Column:
     """The first content, response or text string of a broken JSON line."""
     raw = F.regexp_extract(body, r'"(?:content|response|text)"\s*:\s*"((?:\\.|[^"\\])*)', 1)
     return F.replace(F.replace(F.replace(raw, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+
+
+def salvaged_error(body: Column) -> Column:
+    """What went wrong, from a service's error body: its error's message, its error text, or the body itself; 200 characters."""
+    good = F.try_parse_json(body).isNotNull()
+    error = F.get_json_object(F.when(good, body), "$.error")
+    inner = F.when(error.startswith("{"), F.coalesce(F.get_json_object(error, "$.message"), F.lit("")))
+    return F.substring(F.coalesce(inner, F.when(~error.rlike("^[\\[0-9tfn-]"), error), F.trim(body)), 1, 200)
+
+
+def port_of(url: Column) -> Column:
+    """The port that a URL names, else that of its scheme."""
+    named = F.regexp_extract(url, r":(\d{2,5})", 1)
+    return F.when(named != "", named.cast("int")).when(url.startswith("https"), 443).otherwise(80)
+
+
+# The icon of a kind of document, by the first word that it contains.
+ICONS = (("pdf", "📕"), ("word", "📘"), ("spreadsheet", "📗"), ("web", "🌐"))
+
+
+def kind_icon(kind: Column) -> Column:
+    out = F.lit("📄")
+    for word, icon in reversed(ICONS):
+        out = F.when(F.contains(F.lower(F.coalesce(kind, F.lit(""))), F.lit(word)), icon).otherwise(out)
+    return out

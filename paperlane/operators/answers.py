@@ -46,29 +46,37 @@ def messages(extracts: DataFrame, questions: DataFrame | None = None) -> DataFra
     return rows.select("query_id", "doc_id", pair.alias("messages"))
 
 
-def answer_events(questions: DataFrame, documents: DataFrame, hits: DataFrame, answers: DataFrame) -> DataFrame:
-    """(query_id, doc_id, seq, type, payload): the events of answering each question on each document with answers (query_id, doc_id, answer, supported).
+def answer_events(asked: DataFrame, hits: DataFrame, answers: DataFrame) -> DataFrame:
+    """(query_id, doc_id, seq, type, payload): the events of answering each pair of asked (query_id, doc_id) with answers (query_id, doc_id, answer, supported).
 
-    found comes first. Without hits a note and an unfinished end follow; with hits and no answer (no model) no_engine and an
-    unfinished end; else the answer, a warning if it isn't supported, and the end.
+    found comes first, with the number of hits. Without hits a note and an unfinished end follow; with hits and no answer (no model)
+    no_engine and an unfinished end; else the answer, or a note if it is empty, a warning if it isn't supported, and the end.
     """
-    best = hits.groupBy("query_id", "doc_id").agg(F.count("*").alias("n"))
-    rows = best.join(answers, ["query_id", "doc_id"], "full_outer").withColumn("n", F.coalesce("n", F.lit(0)))
+    keys = ["query_id", "doc_id"]
+    best = hits.groupBy(*keys).agg(F.count("*").alias("n"))
+    rows = asked.select(*keys).distinct().join(best, keys, "left").join(answers, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
 
     def event(kind: str, payload: Column, when: Column) -> Column:
         return F.when(when, F.struct(F.lit(kind).alias("type"), payload.cast("string").alias("payload")))
 
     none, silent = F.col("n") == 0, (F.col("n") > 0) & F.col("answer").isNull()
     told = (F.col("n") > 0) & F.col("answer").isNotNull()
-    events = F.array_compact(F.array(event("found", F.col("n"), F.lit(True)), event("note", F.lit("nothing found"), none), event("no_engine", F.lit(""), silent), event("answer", F.col("answer"), told), event("unsupported", F.lit(""), told & ~F.coalesce("supported", F.lit(True))), event("done", told, F.lit(True))))
-    return rows.select("query_id", "doc_id", F.posexplode(events).alias("seq", "e")).select("query_id", "doc_id", "seq", "e.type", "e.payload")
+    blank = F.col("answer") == ""
+    events = F.array_compact(F.array(event("found", F.col("n"), F.lit(True)), event("note", F.lit("nothing found"), none), event("no_engine", F.lit(""), silent), event("answer", F.col("answer"), told & ~blank), event("note", F.lit("nothing was answered"), told & blank), event("unsupported", F.lit(""), told & ~F.coalesce("supported", F.lit(True))), event("done", told, F.lit(True))))
+    return rows.select(*keys, F.posexplode(events).alias("seq", "e")).select(*keys, "seq", "e.type", "e.payload")
 
 
-def export_markdown(turns: DataFrame, title: str) -> DataFrame:
-    """(chat_id, markdown) of turns (chat_id, turn, question, answer, hits array<struct<label, snippet>>); blank turns don't count, chats without any give no row."""
-    kept = turns.where("trim(coalesce(question, '')) <> '' and trim(coalesce(answer, '')) <> ''")
+def export_markdown(turns: DataFrame, title: str, saved: str | None = None) -> DataFrame:
+    """(chat_id, markdown) of turns (chat_id, turn, question, answer, hits array<struct<label, snippet>>), with the date saved, if given.
+
+    Turns with neither question nor answer don't count; chats without any other give no row.
+    """
+    strip = lambda c: F.regexp_replace(F.coalesce(c, F.lit("")), r"^\s+|\s+$", "")
+    kept = turns.withColumn("question", strip(F.col("question"))).withColumn("answer", strip(F.col("answer"))).where("question <> '' or answer <> ''")
     numbered = kept.withColumn("k", F.row_number().over(Window.partitionBy("chat_id").orderBy("turn")))
-    sources = F.array_join(F.transform("hits", lambda h: F.concat(F.lit("\n- "), h["label"], F.lit(": “"), F.substring(h["snippet"], 1, 220), F.lit("”"))), "")
-    block = F.concat(F.lit("## Question "), F.col("k").cast("string"), F.lit("\n\n"), F.trim("question"), F.lit("\n\n"), F.trim("answer"), F.when(F.size("hits") > 0, F.concat(F.lit("\n"), sources)).otherwise(""))
+    said = lambda h: F.when(strip(h["snippet"]) == "", "(a source page)").otherwise(F.concat(F.lit("“"), F.substring(strip(h["snippet"]), 1, 220), F.lit("”")))
+    sources = F.array_join(F.transform("hits", lambda h: F.concat(F.lit("- "), h["label"], F.lit(": "), said(h), F.lit("\n"))), "")
+    block = F.concat(F.lit("## Question "), F.col("k").cast("string"), F.lit("\n\n"), "question", F.lit("\n\n"), "answer", F.lit("\n"), F.when(F.size("hits") > 0, F.concat(F.lit("\n**Where this came from**\n\n"), sources)).otherwise(""))
     one = numbered.groupBy("chat_id").agg(F.array_sort(F.collect_list(F.struct("k", block.alias("b")))).alias("x"))
-    return one.select("chat_id", F.concat(F.lit(f"# {title}\n\n"), F.array_join(F.transform("x", lambda x: x["b"]), "\n\n"), F.lit("\n")).alias("markdown"))
+    head = f"# {title}\n\n" + (f"Saved on {saved}. Every answer keeps the page it came from.\n\n" if saved else "")
+    return one.select("chat_id", F.concat(F.lit(head), F.array_join(F.transform("x", lambda x: x["b"]), "\n")).alias("markdown"))

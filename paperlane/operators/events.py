@@ -26,6 +26,12 @@ def write_lines(events: DataFrame) -> DataFrame:
     return frames.unionByName(done)
 
 
+def joined_pieces(pieces: DataFrame) -> DataFrame:
+    """(stream_id, text): the pieces (stream_id, seq, text) of each stream, joined in order."""
+    one = F.array_sort(F.collect_list(F.struct("seq", "text")))
+    return pieces.groupBy("stream_id").agg(F.array_join(F.transform(one, lambda x: x["text"]), "").alias("text"))
+
+
 def changed_progress(progress: DataFrame) -> DataFrame:
     """progress (stream_id, seq, message) without the messages that repeat the one before."""
     before = F.lag("message").over(Window.partitionBy("stream_id").orderBy("seq"))

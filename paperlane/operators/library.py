@@ -7,9 +7,14 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..functions import text as T
 
 # The settings that exist.
-SETTINGS = ("engine", "model", "custom_url", "custom_key", "theme")
+SETTINGS = ("engine_id", "model", "custom_base_url", "custom_api_key", "last_opened")
 # Parts of the names of small models, most wanted first.
 SMALL_MODELS = ("1b", "1.5b", "2b", "3b", "mini", "small", "tiny")
+# Models that are suggested, with the memory in GB that each needs.
+SUGGESTED_MODELS = (("llama3.2:1b", 2.5), ("qwen2.5:3b", 4.5), ("llama3.1:8b", 9.0))
+# Questions that fit any document, and how one is asked about a keyword.
+GENERIC_QUESTIONS = ("What is this document about?", "What are the most important points?", "Are there any dates or deadlines?", "What does it ask of me?")
+ABOUT_KEYWORD = ("What does it say about “", "”?")
 
 
 def upsert(new: DataFrame, library: DataFrame) -> DataFrame:
@@ -50,7 +55,7 @@ def patch_settings(settings: DataFrame, patch: DataFrame) -> DataFrame:
 def default_models(engines: DataFrame, saved: DataFrame) -> DataFrame:
     """(id, model): each engine's saved model if it has it, else its first small one, else its shortest name."""
     rows = engines.select("id", F.posexplode(F.array_sort("models")).alias("pos", "name")).join(saved, "id", "left")
-    small = F.coalesce(*[F.when(F.contains("name", F.lit(h)), k) for k, h in enumerate(SMALL_MODELS)], F.lit(len(SMALL_MODELS)))
+    small = F.coalesce(*[F.when(F.contains(F.lower("name"), F.lit(h)), k) for k, h in enumerate(SMALL_MODELS)], F.lit(len(SMALL_MODELS)))
     order = Window.partitionBy("id").orderBy(F.when(F.col("name") == F.col("model"), 0).otherwise(1), small, F.when(small == len(SMALL_MODELS), F.length("name")).otherwise(0), "pos")
     return rows.withColumn("k", F.row_number().over(order)).where("k = 1").select("id", F.col("name").alias("model"))
 
@@ -67,3 +72,68 @@ def page_by_label(wanted: DataFrame, pages: DataFrame) -> DataFrame:
     place = F.when(numbered & (F.col("number") != 0), 0).when(F.contains(F.lower(F.coalesce("label", F.lit(""))), F.col("w")), 1).otherwise(2)
     best = both.groupBy("query_id", "doc_id").agg(F.min(F.struct(place.alias("place"), "page_pos", "number", "label")).alias("b"))
     return best.select("query_id", "doc_id", "b.number", "b.label")
+
+
+def picked_engines(engines: DataFrame, saved: DataFrame) -> DataFrame:
+    """(owner, engine, model) for each of engines' owners: the saved engine if it works, else the first that does; its saved or default model.
+
+    engines (owner, pos, id, ok, models); saved (owner, engine, model). An engine works if it is ok and has models; without one both are null.
+    """
+    usable = engines.where("ok and size(models) > 0").join(saved, "owner", "left")
+    first = usable.groupBy("owner").agg(F.min(F.struct((~F.coalesce(F.col("id") == F.col("engine"), F.lit(False))).alias("other"), "pos", "id", "models", "model")).alias("e"))
+    chosen = first.select("owner", F.col("e.id").alias("engine"), F.col("e.models").alias("models"), F.col("e.model").alias("model"))
+    models = default_models(chosen.select(F.col("owner").alias("id"), "models"), chosen.select(F.col("owner").alias("id"), "model")).withColumnRenamed("id", "owner")
+    return engines.select("owner").distinct().join(chosen.select("owner", "engine").join(models, "owner"), "owner", "left")
+
+
+def suggested_models(machines: DataFrame) -> DataFrame:
+    """(machine, name, needs_gb, fits): each suggested model on each of machines (machine, ram_gb); where the memory isn't known, it fits."""
+    offered = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(g).alias("needs_gb")) for n, g in SUGGESTED_MODELS])
+    rows = machines.select("machine", F.coalesce("ram_gb", F.lit(0.0)).alias("ram"), F.inline(offered))
+    return rows.select("machine", "name", "needs_gb", ((F.col("ram") == 0) | (F.col("ram") >= F.col("needs_gb"))).alias("fits"))
+
+
+def suggested_questions(keywords: DataFrame) -> DataFrame:
+    """(doc_id, pos, question) from keywords (doc_id, rank, term): what it is about, up to three keywords of four letters, and general ones; five at most."""
+    terms = keywords.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.length("term") >= 4, F.struct("rank", "term")))).alias("k"))
+    asked = F.transform(F.slice("k", 1, 3), lambda x: F.concat(F.lit(ABOUT_KEYWORD[0]), x["term"], F.lit(ABOUT_KEYWORD[1])))
+    general = [F.lit(q) for q in GENERIC_QUESTIONS]
+    every = F.slice(F.concat(F.array(general[0]), asked, F.array(*general[1:])), 1, 5)
+    return terms.select("doc_id", F.posexplode(every).alias("pos", "question"))
+
+
+def cleared(library: DataFrame) -> DataFrame:
+    """The library without any entry."""
+    return library.where("false")
+
+
+def document_totals(pages: DataFrame) -> DataFrame:
+    """(doc_id, words, pages, parts array<struct<number, label, words>>) of pages (doc_id, page_pos, number, label, text)."""
+    words = F.size(T.words("text"))
+    rows = pages.select("doc_id", "page_pos", "number", "label", words.alias("words"))
+    parts = F.array_sort(F.collect_list(F.struct("page_pos", "number", "label", "words")))
+    return rows.groupBy("doc_id").agg(F.sum("words").alias("words"), F.count("*").alias("pages"), F.transform(parts, lambda x: F.struct(x["number"].alias("number"), x["label"].alias("label"), x["words"].alias("words"))).alias("parts"))
+
+
+def full_texts(pages: DataFrame, between: str = "\n\n") -> DataFrame:
+    """(doc_id, text): a document's pages in order, joined."""
+    one = F.array_sort(F.collect_list(F.struct("page_pos", "text")))
+    return pages.groupBy("doc_id").agg(F.array_join(F.transform(one, lambda x: x["text"]), between).alias("text"))
+
+
+PAGE_JSON = "name string, full_pages array<struct<number: int, text: string, label: string>>"
+
+
+def to_json(pages: DataFrame, names: DataFrame) -> DataFrame:
+    """(doc_id, json): each document of names (doc_id, name) with its pages."""
+    one = F.array_sort(F.collect_list(F.struct("page_pos", F.col("number").cast("int").alias("number"), "text", "label")))
+    held = pages.groupBy("doc_id").agg(F.transform(one, lambda x: F.struct(x["number"].alias("number"), x["text"].alias("text"), x["label"].alias("label"))).alias("full_pages"))
+    empty = F.array().cast("array<struct<number:int,text:string,label:string>>")
+    return names.join(held, "doc_id", "left").select("doc_id", F.to_json(F.struct("name", F.coalesce("full_pages", empty).alias("full_pages"))).alias("json"))
+
+
+def from_json(stored: DataFrame) -> DataFrame:
+    """pages(doc_id, name, page_pos, number, label, text) of stored (doc_id, json): a missing number is the place, a missing text or label empty."""
+    rows = stored.select("doc_id", F.from_json("json", PAGE_JSON).alias("d"))
+    pages = rows.select("doc_id", F.coalesce("d.name", F.lit("")).alias("name"), F.posexplode("d.full_pages").alias("page_pos", "p"))
+    return pages.select("doc_id", "name", "page_pos", F.coalesce("p.number", F.col("page_pos") + 1).alias("number"), F.coalesce("p.label", F.lit("")).alias("label"), F.coalesce("p.text", F.lit("")).alias("text"))

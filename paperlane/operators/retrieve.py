@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from . import passages as P
@@ -11,6 +11,11 @@ K1, B = 1.4, 0.72
 HITS, SNIPPET, STRIDE, QUESTION_CHARS = 6, 46, 6, 500
 
 
+def bm25(tf: str = "tf") -> Column:
+    """A term's share of a passage's score, from idf, tf, len and avg_len."""
+    return F.col("idf") * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
+
+
 def question_terms(questions: DataFrame) -> DataFrame:
     """(query_id, term, pos, n_terms, phrase): the distinct terms of each question (query_id, question), in order.
 
@@ -27,8 +32,7 @@ def _scored(questions: DataFrame, pages: DataFrame, one_page: bool) -> DataFrame
     parts = P.passages(pages, one_page=one_page)
     terms = question_terms(questions)
     weighed = P.term_matches(parts, terms.select("term").distinct()).join(terms, "term")
-    norm = F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("avg_len"))
-    weighed = weighed.withColumn("s", F.col("idf") * F.col("tf") * (K1 + 1) / norm)
+    weighed = weighed.withColumn("s", bm25())
     sums = weighed.groupBy("query_id", "doc_id", "passage_idx", "n_terms", "phrase").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "s"))).alias("m"))
     # summed in the order of the question, for the same last digit each time
     raw = F.aggregate("m", F.lit(0.0), lambda a, x: a + x["s"])
@@ -50,14 +54,25 @@ def search(questions: DataFrame, pages: DataFrame, limit: int = HITS, one_page:
     return ranked.select("query_id", "doc_id", "rank", "passage_idx", "label", "number", "text", F.round("score", 3).alias("score"), "coverage", "matched")
 
 
-def confidence(questions: DataFrame, pages: DataFrame, hits: DataFrame | None = None, one_page: bool = False) -> DataFrame:
-    """(query_id, doc_id, found, coverage, score, reason) for each document with a hit: does it answer the question at all?"""
+def confidence(questions: DataFrame, pages: DataFrame, hits: DataFrame | None = None, one_page: bool = False, asked: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, found, coverage, score, reason): does the document answer the question at all?
+
+    A row for each pair of asked (query_id, doc_id); without asked, for each document with a hit, and one without a document for each
+    question that has none anywhere. Without a hit the reason is empty; with one whose terms the document lacks, nothing.
+    """
     hits = search(questions, pages, 1, one_page) if hits is None else hits.where("rank = 1")
     terms = question_terms(questions)
     held = P.term_matches(P.passages(pages, one_page=one_page), terms.select("term").distinct()).join(terms, "term").groupBy("query_id", "doc_id").agg(F.countDistinct("term").alias("present"), F.first("n_terms").alias("n_terms"))
-    both = hits.select("query_id", "doc_id", "score").join(held, ["query_id", "doc_id"]).withColumn("share", F.col("present") / F.col("n_terms"))
+    both = hits.select("query_id", "doc_id", "score").join(held, ["query_id", "doc_id"], "left").withColumn("share", F.coalesce(F.col("present") / F.col("n_terms"), F.lit(0.0)))
     found = (F.col("share") >= 0.4) & (F.col("score") >= 0.5)
-    return both.select("query_id", "doc_id", found.alias("found"), F.round("share", 2).alias("coverage"), "score", F.when(found, "ok").otherwise("weak").alias("reason"))
+    reason = F.when(F.col("share") == 0, "nothing").when(found, "ok").otherwise("weak")
+    told = both.select("query_id", "doc_id", found.alias("found"), F.round("share", 2).alias("coverage"), "score", reason.alias("reason"))
+    if asked is None:
+        silent = questions.select("query_id").distinct().join(told.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lit(None).cast(pages.schema["doc_id"].dataType).alias("doc_id"))
+    else:
+        silent = asked.select("query_id", "doc_id").distinct().join(told, ["query_id", "doc_id"], "left_anti")
+        told = told.join(asked.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")
+    return told.unionByName(silent.select("query_id", "doc_id", F.lit(False).alias("found"), F.lit(0.0).alias("coverage"), F.lit(0.0).alias("score"), F.lit("empty").alias("reason")))
 
 
 def snippets(hits: DataFrame, questions: DataFrame) -> DataFrame:

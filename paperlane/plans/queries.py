@@ -14,7 +14,9 @@ QUESTION = "Where is the reation of thand and the tioning described?"
 
 
 def _t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table; if it has fewer splits than there are cores, as one file of one row group has, its rows are dealt to all of them."""
+    table, cores = spark.read.parquet(f"{sf_dir}/{name}.parquet"), spark.sparkContext.defaultParallelism
+    return table.repartition(cores) if table.rdd.getNumPartitions() < cores else table
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,7 +34,27 @@ def _benchmark(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---- shared SQL of the oracles ------------------------------------------------------------------
 
 _WORDS = r"regexp_extract_all({}, '\S+')"
-_KEPT, _STEM = T.kept_sql("w"), T.stem_sql("w")
+
+
+def _kept(w: str, stopwords: bool = False) -> str:
+    return rf"({w} <> '' AND (length({w}) > 1 OR regexp_matches({w}, '^[0-9]$'))" + ("" if stopwords else f" AND {w} NOT IN ({T.quoted(T.STOPWORDS)})") + ")"
+
+
+def _single(x: str) -> str:
+    return f"CASE WHEN length({x}) > 3 AND substr({x}, length({x}), 1) = substr({x}, length({x}) - 1, 1) AND NOT regexp_matches({x}, '[lsz]$') THEN substr({x}, 1, length({x}) - 1) ELSE {x} END"
+
+
+# written for this dialect by hand, apart from what the engine runs
+_KEPT = _kept("w")
+_STEM = f"""CASE WHEN length(w) <= 3 THEN w
+  WHEN w LIKE '%ies' AND length(w) > 5 THEN regexp_replace(w, 'ies$', 'y')
+  WHEN w LIKE '%sses' AND length(w) > 6 THEN regexp_replace(w, 'es$', '')
+  WHEN w LIKE '%xes' AND length(w) > 5 THEN regexp_replace(w, 'es$', '')
+  WHEN regexp_matches(w, '[cs]hes$') AND length(w) > 6 THEN regexp_replace(w, 'es$', '')
+  WHEN w LIKE '%ing' AND length(w) > 5 THEN {_single("regexp_replace(w, 'ing$', '')")}
+  WHEN w LIKE '%ed' AND length(w) > 4 THEN {_single("regexp_replace(w, 'ed$', '')")}
+  WHEN w LIKE '%ly' AND length(w) > 4 THEN regexp_replace(w, 'ly$', '')
+  WHEN w LIKE '%s' THEN regexp_replace(w, 's$', '') ELSE w END"""
 _RAW = "unnest(list_transform(regexp_extract_all(lower({}), '[a-z0-9][a-z0-9''’\\-]*'), lambda x: rtrim(x, '''-’'))) AS w, generate_subscripts(regexp_extract_all(lower({}), '[a-z0-9][a-z0-9''’\\-]*'), 1) - 1 AS pos"
 
 _PASSAGES = rf"""
@@ -75,7 +97,7 @@ hits AS (SELECT *, row_number() OVER (PARTITION BY query_id, doc_id ORDER BY sco
 
 _ONE = f"SELECT 'q' AS query_id, '{QUESTION}' AS question"
 _MANY = "SELECT item_id AS query_id, text AS question FROM benchmark"
-_CITE = r"(?i)\((?:page|part|section|sheet)\s+[^)]{1,60}\)"
+_CITE = T.CITATION
 
 # ---- queries ------------------------------------------------------------------------------------
 
@@ -121,7 +143,7 @@ def tokens(spark, d):
 @query(f"WITH d AS (SELECT doc_id, {_RAW.format('text', 'text')} FROM documents) SELECT doc_id, count(*) AS raw_tokens, count(*) FILTER (WHERE {_KEPT}) AS kept_tokens FROM d GROUP BY doc_id")
 def stopword_share(spark, d):
     rows = _t(spark, d, "documents").select("doc_id", F.explode(T.raw_tokens("text")).alias("w"))
-    return rows.groupBy("doc_id").agg(F.count("*").alias("raw_tokens"), F.expr(f"count_if({_KEPT})").alias("kept_tokens"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("raw_tokens"), F.expr(f"count_if({T.kept_sql('w')})").alias("kept_tokens"))
 
 
 @query(f"WITH {_INDEX} SELECT doc_id, term, passage_idx, tf FROM posted")
@@ -158,14 +180,18 @@ def bm25_benchmark_questions(spark, d):
 
 @query(f"""WITH {_search(_MANY)},
 present AS (SELECT query_id, doc_id, count(DISTINCT term) / any_value(n_terms) AS share FROM s1 GROUP BY query_id, doc_id),
-b AS (SELECT query_id, doc_id, round(score, 3) AS score, share FROM hits JOIN present USING (query_id, doc_id) WHERE rank = 1)
-SELECT query_id, doc_id, share >= 0.4 AND score >= 0.5 AS found, round(share, 2) AS coverage, score, CASE WHEN share >= 0.4 AND score >= 0.5 THEN 'ok' ELSE 'weak' END AS reason FROM b""")
+b AS (SELECT query_id, doc_id, round(score, 3) AS score, share FROM hits JOIN present USING (query_id, doc_id) WHERE rank = 1),
+z AS (SELECT item_id AS query_id, text AS question FROM benchmark UNION ALL SELECT -1, 'qzx xqz zzxq'),
+o AS (SELECT query_id, doc_id, share >= 0.4 AND score >= 0.5 AS found, round(share, 2) AS coverage, score, CASE WHEN share >= 0.4 AND score >= 0.5 THEN 'ok' ELSE 'weak' END AS reason FROM b)
+SELECT * FROM o UNION ALL SELECT query_id, NULL, false, 0.0, 0.0, 'empty' FROM z WHERE query_id NOT IN (SELECT query_id FROM o)""")
 def confidence(spark, d):
-    return retrieve.confidence(_benchmark(spark, d), _pages(spark, d), one_page=True)
+    asked = _benchmark(spark, d)
+    nonsense = spark.range(1).select(F.lit(-1).cast(asked.schema["query_id"].dataType).alias("query_id"), F.lit("qzx xqz zzxq").alias("question"))
+    return retrieve.confidence(asked.unionByName(nonsense), _pages(spark, d), one_page=True)
 
 
 @query(rf"""WITH {_search(_ONE)},
-want AS (SELECT DISTINCT {_STEM} AS term FROM q2 WHERE {T.kept_sql("w", True)}),
+want AS (SELECT DISTINCT {_STEM} AS term FROM q2 WHERE {_kept("w", True)}),
 h AS (SELECT doc_id, rank, text, {_WORDS.format("text")} AS words FROM hits),
 u AS (SELECT doc_id, rank, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS i FROM h),
 u2 AS (SELECT doc_id, rank, i, lower(trim(word, '.,;:!?"''()')) AS w FROM u),
@@ -199,7 +225,7 @@ def openings(spark, d):
 
 
 @query(f"""WITH {_INDEX}, {_KEYWORDS.replace("c AS", "c1 AS").replace("FROM c WHERE", "FROM c1 WHERE").replace("r AS", "r1 AS").replace("FROM r)", "FROM r1)")},
-a0 AS (SELECT doc_id, rank, term AS w FROM kw WHERE {T.kept_sql("term")}),
+a0 AS (SELECT doc_id, rank, term AS w FROM kw WHERE rank <= 8 AND {_kept("term")}),
 a1 AS (SELECT doc_id, {_STEM} AS term, min(rank) AS place FROM a0 GROUP BY ALL),
 a AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS pos, count(*) OVER (PARTITION BY doc_id) AS n_terms FROM a1),
 x AS (SELECT doc_id, passage_idx, pos, n_terms, idf * tf * 2.4 / (tf + 1.4 * (0.28 + 0.72 * len / avg_len)) AS s FROM a JOIN posted USING (doc_id, term) JOIN idf USING (doc_id, term) JOIN stats USING (doc_id) JOIN lengths USING (doc_id, passage_idx)),
@@ -210,28 +236,30 @@ def summary_hits(spark, d):
     return about.summary_hits(_pages(spark, d), one_page=True)
 
 
-_BLOCKS = r"(?i)</(?:p|div|li|tr|h[1-6]|section|article|ul|ol|table|blockquote)\s*>"
+# the character references that the pages hold, and those that any page may
+_ENTITIES = (("nbsp", "chr(160)"), ("copy", "'©'"), ("middot", "'·'"), ("eacute", "'é'"), ("mdash", "'—'"), ("ndash", "'–'"), ("hellip", "'…'"), ("quot", "chr(34)"), ("#39", "chr(39)"), ("#x27", "chr(39)"), ("apos", "chr(39)"), ("lt", "'<'"), ("gt", "'>'"), ("amp", "'&'"))
 
 
-def _decoded_sql(out: str) -> str:
-    for name, char in (("nbsp", "chr(32)"), ("copy", "'©'"), ("middot", "'·'"), ("quot", "chr(34)"), ("#39", "chr(39)"), ("apos", "chr(39)"), ("lt", "'<'"), ("gt", "'>'"), ("amp", "'&'")):
-        out = f"replace({out}, '&{name};', {char})"
-    return out
+def _tidied_sql(x: str) -> str:
+    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(replace({x}, chr(160), ' '), '[ \t]{{2,}}', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
 
 
-def _plain_sql(x: str) -> str:
-    out = _decoded_sql(f"regexp_replace(regexp_replace(regexp_replace({x}, '{_BLOCKS}', chr(10), 'g'), '(?s)<!--.*?-->', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g')")
-    return rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace({out}, '[ \t]{{2,}}', ' ', 'g'), '[ \t]+\n', chr(10), 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+|\s+$', '', 'g')"
+def _untagged_sql(x: str) -> str:
+    out = f"regexp_replace({x}, '<[^>]+>', ' ', 'g')"
+    for name, char in _ENTITIES:
+        out = f"replace({out}, '&{name};', {char})" if name != "amp" else f"regexp_replace({out}, '&amp;?', '&', 'g')"  # also without its end
+    return out
 
 
-_STRIPPED = "html"
+_BODY = "html"
 for _tag in ("script", "style", "noscript", "head", "svg"):
-    _STRIPPED = rf"regexp_replace({_STRIPPED}, '(?is)<{_tag}\b[^>]*>.*?</{_tag}\s*>', ' ', 'g')"
+    _BODY = rf"regexp_replace({_BODY}, '(?is)<{_tag}\b.*?</{_tag}>', ' ', 'g')"
+_MARKED = rf"regexp_replace(regexp_replace({_BODY}, '(?is)<h[12][^>]*>(.*?)</h[12]>', chr(1) || '\1' || chr(2), 'g'), '(?i)</(p|div|li|tr|h[1-6]|section|article|br)\s*/?>', chr(10), 'g')"
 
 
-@query(rf"""WITH a AS (SELECT page_id, regexp_replace(regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1), '\s+', ' ', 'g') AS title, string_split(regexp_replace({_STRIPPED}, '(?is)<h[12]\b[^>]*>(.*?)</h[12]\s*>', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM pages),
+@query(rf"""WITH a AS (SELECT page_id, {_tidied_sql(_untagged_sql("regexp_extract(html, '(?is)<title[^>]*>(.*?)</title>', 1)"))} AS title, string_split({_untagged_sql(_MARKED)}, chr(1)) AS parts FROM pages),
 b AS (SELECT page_id, title, unnest(parts) AS part, generate_subscripts(parts, 1) AS i FROM a),
-c AS (SELECT page_id, trim({_decoded_sql("title")}) AS title, i, CASE WHEN i > 1 THEN {_plain_sql("split_part(part, chr(2), 1)")} END AS heading, {_plain_sql("CASE WHEN i > 1 THEN substr(part, instr(part, chr(2)) + 1) ELSE part END")} AS text FROM b),
+c AS (SELECT page_id, title, i, CASE WHEN i > 1 THEN {_tidied_sql("split_part(part, chr(2), 1)")} END AS heading, {_tidied_sql("CASE WHEN i > 1 THEN substr(part, instr(part, chr(2)) + 1) ELSE part END")} AS text FROM b),
 d AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY i) AS number FROM c WHERE text <> '')
 SELECT page_id AS doc_id, title, number, CASE WHEN coalesce(heading, '') <> '' THEN 'section “' || CASE WHEN length(heading) > 48 THEN rtrim(left(heading, 45)) || '…' ELSE heading END || '”' ELSE 'section ' || number END AS label, text FROM d""")
 def html_sections(spark, d):
@@ -248,10 +276,24 @@ def markdown_sections(spark, d):
     return readers.text_parts(chats).select("doc_id", F.col("number").cast("long").alias("number"), "label", "text")
 
 
-@query("""WITH r AS (SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn, 'c_custkey: ' || c_custkey || ', c_name: ' || c_name || ', c_nationkey: ' || c_nationkey AS line FROM customer)
-SELECT c_mktsegment AS doc_id, (floor((rn - 1) / 25))::INTEGER + 1 AS number, 'rows ' || min(rn) || '–' || max(rn) AS label, string_agg(line, chr(10) ORDER BY rn) AS text FROM r WHERE rn <= 20000 GROUP BY c_mktsegment, floor((rn - 1) / 25)""")
+_CUSTOMER = ("c_custkey", "c_name", "c_nationkey", "c_mktsegment", "c_acctbal")
+
+
+@query("""WITH r AS (SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn, 'c_custkey: ' || c_custkey || ', c_name: ' || c_name || ', c_nationkey: ' || c_nationkey || ', c_mktsegment: ' || c_mktsegment || ', c_acctbal: ' || c_acctbal::DECIMAL(12,2) AS line FROM customer)
+SELECT c_mktsegment AS doc_id, (floor((rn - 1) / 25))::INTEGER + 1 AS number, 'rows ' || min(rn) || '–' || max(rn) AS label, string_agg(line, chr(10) ORDER BY rn) AS text FROM r GROUP BY c_mktsegment, floor((rn - 1) / 25)""")
 def csv_parts(spark, d):
-    return readers.csv_pages(_t(spark, d, "customer"), ["c_custkey", "c_name", "c_nationkey"], ["c_custkey"], F.col("c_mktsegment")).select("doc_id", "number", "label", "text")
+    rows = _t(spark, d, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(12,2)"))
+    return readers.csv_pages(rows, list(_CUSTOMER), ["c_custkey"], F.col("c_mktsegment")).select("doc_id", "number", "label", "text")
+
+
+@query("""WITH r AS (SELECT c_mktsegment, row_number() OVER (PARTITION BY c_mktsegment ORDER BY c_custkey) AS rn, 'c_custkey: ' || c_custkey || ', na"me: ' || c_name || ', x, y, column 3: ' || CASE WHEN c_nationkey % 2 = 0 THEN c_nationkey::VARCHAR || ', column 4: more' ELSE c_nationkey::VARCHAR END AS line FROM customer)
+SELECT c_mktsegment AS doc_id, (floor((rn - 1) / 25))::INTEGER + 1 AS number, 'rows ' || min(rn) || '–' || max(rn) AS label, string_agg(line, chr(10) ORDER BY rn) AS text, '' AS note FROM r GROUP BY c_mktsegment, floor((rn - 1) / 25)""")
+def csv_files(spark, d):
+    # a file for each segment: a header with a blank name, a quoted field, and every other row longer than the header
+    c = _t(spark, d, "customer").select("c_mktsegment", "c_custkey", F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit('" '), "c_name", F.lit(', x, y"')), F.col("c_nationkey").cast("string"), F.when(F.col("c_nationkey") % 2 == 0, "more")).alias("line"))
+    one = F.array_sort(F.collect_list(F.struct("c_custkey", "line")))
+    files = c.groupBy(F.col("c_mktsegment").alias("doc_id")).agg(F.concat(F.lit('c_custkey,"na""me", \n,,\n'), F.array_join(F.transform(one, lambda x: x["line"]), "\r\n")).alias("text"))
+    return readers.csv_files(files, None).select("doc_id", "number", "label", "text", "note")
 
 
 @query(r"""SELECT page_id, left(CASE WHEN n = '' THEN 'document' ELSE n END, 180) AS name FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[\\/\x00-\x1f]', '-', 'g'), '\.{2,}', '.', 'g'), '^[\s.]+|[\s.]+$', '', 'g') AS n FROM pages)""")
@@ -291,15 +333,17 @@ def prompts(spark, d):
     return m.select("query_id", "doc_id", F.col("messages")[0]["content"].alias("system"), F.col("messages")[1]["content"].alias("user"))
 
 
-@query("""WITH t AS (SELECT u.conv_id, u.turn, u.text AS question, a.text AS answer FROM conversations u JOIN conversations a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1 WHERE u.role = 'user' AND a.role = 'assistant' AND trim(u.text) <> '' AND trim(a.text) <> ''),
-n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM t)
-SELECT conv_id AS chat_id, '# Conversation' || chr(10) || chr(10) || string_agg('## Question ' || k || chr(10) || chr(10) || trim(question) || chr(10) || chr(10) || trim(answer) || chr(10) || chr(10) || '- turn ' || turn || ': “' || left(question, 220) || '”', chr(10) || chr(10) ORDER BY k) || chr(10) AS markdown FROM n GROUP BY conv_id""")
+@query("""WITH t AS (SELECT coalesce(u.conv_id, a.conv_id) AS conv_id, coalesce(u.turn, a.turn - 1) AS turn, coalesce(trim(u.text, chr(10) || ' '), '') AS question, coalesce(trim(a.text, chr(10) || ' '), '') AS answer
+  FROM (SELECT * FROM conversations WHERE role = 'user') u FULL JOIN (SELECT * FROM conversations WHERE role = 'assistant') a ON a.conv_id = u.conv_id AND a.turn = u.turn + 1),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM t WHERE question <> '' OR answer <> '')
+SELECT conv_id AS chat_id, '# Conversation' || chr(10) || chr(10) || 'Saved on 2026-01-31. Every answer keeps the page it came from.' || chr(10) || chr(10) || string_agg('## Question ' || k || chr(10) || chr(10) || question || chr(10) || chr(10) || answer || chr(10) || chr(10) || '**Where this came from**' || chr(10) || chr(10) || '- turn ' || turn || ': ' || CASE WHEN question = '' THEN '(a source page)' ELSE '“' || left(question, 220) || '”' END || chr(10), chr(10) ORDER BY k) AS markdown FROM n GROUP BY conv_id""")
 def export_markdown(spark, d):
     c = _t(spark, d, "conversations")
     asked = c.where("role = 'user'").select("conv_id", "turn", F.col("text").alias("question"))
     said = c.where("role = 'assistant'").select("conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("answer"))
     source = F.array(F.struct(F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("label"), F.col("question").alias("snippet")))
-    return answers.export_markdown(asked.join(said, ["conv_id", "turn"]).select(F.col("conv_id").alias("chat_id"), "turn", "question", "answer", source.alias("hits")), "Conversation")
+    both = asked.join(said, ["conv_id", "turn"], "full")
+    return answers.export_markdown(both.select(F.col("conv_id").alias("chat_id"), "turn", "question", "answer", source.alias("hits")), "Conversation", "2026-01-31")
 
 
 @query(r"SELECT doc_id, regexp_replace(text, '(?i)\b(?:tion|thand)[0-9A-Za-z_]*', '<mark>\0</mark>', 'g') AS text FROM documents")
@@ -347,11 +391,27 @@ def upload_assembly(spark, d):
     return events.assemble_uploads(e.select(F.col("user_id").alias("upload_id"), "arrival", (ends + F.when(good, 0).otherwise(1)).alias("offset"), size.alias("size")))
 
 
-@query("""SELECT user_id AS stream_id, event_id AS seq, event_type || chr(10) AS text FROM events""")
+@query("""SELECT user_id AS stream_id, event_id AS seq, 'answer' AS type, event_type || chr(10) || '"é' AS payload FROM events""")
 def sse_round_trip(spark, d):
-    e = _t(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.concat("event_type", F.lit("\n")).alias("response"))
-    lines = e.select("stream_id", "seq", F.concat(F.lit("data: "), F.to_json(F.struct("response"))).alias("line"))
-    return events.read_lines(lines).select("stream_id", "seq", "text")
+    e = _t(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.lit("answer").alias("type"), F.concat("event_type", F.lit('\n"é')).alias("payload"))
+    body = F.regexp_replace(F.trim("frame"), "^data: ", "")
+    read = events.write_lines(e).select("stream_id", "seq", F.regexp_replace(body, "[\r\n]+$", "").alias("body")).where("body <> '[DONE]'")
+    return read.select("stream_id", "seq", F.get_json_object("body", "$.type").alias("type"), F.get_json_object("body", "$.payload").alias("payload"))
+
+
+@query("""SELECT user_id AS stream_id, event_id AS seq, CASE event_id % 5 WHEN 4 THEN event_type || '"x' ELSE event_type || chr(10) END AS text FROM events
+WHERE event_id <= coalesce((SELECT min(event_id) FROM events z WHERE z.user_id = events.user_id AND z.event_id % 97 = 96), 1e18) AND event_id % 97 <> 96""")
+def sse_lines(spark, d):
+    # the four protocols and a broken line, by turns; some streams end early
+    e = _t(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("t"), F.concat("event_type", F.lit("\n")).alias("response"))
+    kind = F.col("seq") % 5
+    message = F.to_json(F.struct(F.struct(F.col("response").alias("content")).alias("message")))
+    delta = F.to_json(F.struct(F.array(F.struct(F.struct(F.col("response").alias("content")).alias("delta"))).alias("choices")))
+    plain = F.to_json(F.struct(F.array(F.struct(F.col("response").alias("text"))).alias("choices")))
+    broken = F.concat(F.lit('{"id": 3, "content": "'), "t", F.lit('\\"x'))
+    body = F.when(kind == 0, F.to_json(F.struct("response"))).when(kind == 1, message).when(kind == 2, delta).when(kind == 3, plain).otherwise(broken)
+    line = F.when(F.col("seq") % 97 == 96, "data: [DONE]").otherwise(F.concat(F.when(kind > 1, "data: ").otherwise(""), body))
+    return events.read_lines(e.select("stream_id", "seq", line.alias("line")).unionByName(e.select("stream_id", "seq", F.lit("  ").alias("line")))).select("stream_id", "seq", "text")
 
 
 @query("""WITH c AS (SELECT conv_id, turn, min(role) AS role FROM conversations GROUP BY conv_id, turn),
@@ -364,3 +424,194 @@ def page_by_label(spark, d):
     asked = F.when(F.col("doc_id") % 3 == 0, " 2").when(F.col("doc_id") % 3 == 1, "“Assist”").otherwise("nowhere")
     wanted = turns.select(F.col("doc_id").alias("query_id"), "doc_id", asked.alias("wanted")).distinct()
     return library.page_by_label(wanted, turns).select("doc_id", "number", "label")
+
+
+# ---- files, library, settings, small projections -------------------------------------------------
+
+
+@query(r"""WITH k AS (SELECT page_id, 'p' || page_id || '.' || list_extract(['html', 'HTM', 'txt', 'csv', 'doc', 'xls', 'zzz', 'pdf', 'md'], (page_id % 9 + 1)::INTEGER) AS name, page_id % 9 AS k FROM pages)
+SELECT page_id AS doc_id, CASE k WHEN 0 THEN 'html' WHEN 1 THEN 'html' WHEN 2 THEN 'text' WHEN 3 THEN 'csv' WHEN 4 THEN 'doc' WHEN 5 THEN 'xls' WHEN 6 THEN 'text' WHEN 7 THEN 'pdf' ELSE 'text' END AS kind FROM k""")
+def sniffed_kinds(spark, d):
+    return _files(spark, d).select("doc_id", readers.sniff(F.col("name"), F.col("content")).alias("kind"))
+
+
+def _files(spark: SparkSession, d: str) -> DataFrame:
+    suffix = F.element_at(F.array(*[F.lit(x) for x in ("html", "HTM", "txt", "csv", "doc", "xls", "zzz", "pdf", "md")]), (F.col("page_id") % 9 + 1).cast("int"))
+    return _t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("."), suffix).alias("name"), F.col("html").cast("binary").alias("content"))
+
+
+@query(r"""WITH k AS (SELECT page_id, page_id % 9 AS k FROM pages)
+SELECT page_id::VARCHAR AS doc_id, CASE k WHEN 4 THEN 'old format' WHEN 5 THEN 'old format' WHEN 7 THEN 'no parser' END AS error FROM k WHERE k <> 3""")
+def read_errors(spark, d):
+    files = _files(spark, d)
+    return readers.read_files(files)[0].where("kind <> 'csv'").select("doc_id", "error")
+
+
+@query(r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE '“£5” — é' || doc_id END AS text FROM documents WHERE text IS NOT NULL""")
+def decoded_texts(spark, d):
+    windows = F.concat(F.unhex(F.lit("93A33594209720E9")), F.col("doc_id").cast("string").cast("binary"))
+    content = F.when(F.col("doc_id") % 2 == 0, F.concat(F.unhex(F.lit("EFBBBF")), F.col("text").cast("binary"))).otherwise(windows)
+    return _t(spark, d, "documents").where("text is not null").select("doc_id", readers.decode_text(content).alias("text"))
+
+
+@query(rf"""WITH t AS (SELECT conv_id, turn, text || ' (page ' || turn || ') and (Section “x”, 2) or (sheet "no")' AS text FROM conversations WHERE text IS NOT NULL),
+c AS (SELECT conv_id, turn, regexp_extract_all(text, '(?i)\(((?:page|part|section|sheet)\s+[^)"]{{1,60}})\)', 1) AS c FROM t)
+SELECT conv_id, turn, unnest(c) AS citation, generate_subscripts(c, 1) - 1 AS pos FROM c""")
+def citations(spark, d):
+    c = _t(spark, d, "conversations").where("text is not null")
+    cited = F.concat("text", F.lit(" (page "), F.col("turn").cast("string"), F.lit(') and (Section “x”, 2) or (sheet "no")'))
+    return answers.citations(c.select(F.struct("conv_id", "turn").alias("turn_id"), cited.alias("text"))).select("turn_id.conv_id", "turn_id.turn", "citation", F.col("pos").cast("long").alias("pos"))
+
+
+@query(f"""WITH {_search(_ONE)}, n AS (SELECT doc_id, count(*) AS n FROM hits GROUP BY doc_id),
+a AS (SELECT doc_id, coalesce(n, 0) AS n, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'said ' || doc_id END AS answer, CASE WHEN doc_id % 4 = 3 THEN false ELSE true END AS supported FROM documents LEFT JOIN n USING (doc_id)),
+e AS (SELECT doc_id, list_filter([
+  {{'type': 'found', 'payload': n::VARCHAR}}, CASE WHEN n = 0 THEN {{'type': 'note', 'payload': 'nothing found'}} END,
+  CASE WHEN n > 0 AND answer IS NULL THEN {{'type': 'no_engine', 'payload': ''}} END, CASE WHEN n > 0 AND answer <> '' THEN {{'type': 'answer', 'payload': answer}} END,
+  CASE WHEN n > 0 AND answer = '' THEN {{'type': 'note', 'payload': 'nothing was answered'}} END, CASE WHEN n > 0 AND answer IS NOT NULL AND NOT supported THEN {{'type': 'unsupported', 'payload': ''}} END,
+  {{'type': 'done', 'payload': CASE WHEN n > 0 AND answer IS NOT NULL THEN 'true' ELSE 'false' END}}], lambda x: x IS NOT NULL) AS e FROM a),
+u AS (SELECT doc_id, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS seq FROM e)
+SELECT 'q' AS query_id, doc_id, seq, x.type AS type, x.payload AS payload FROM u""")
+def answer_events(spark, d):
+    q, pages = _question(spark), _pages(spark, d)
+    docs = _t(spark, d, "documents").select(F.lit("q").alias("query_id"), "doc_id")
+    kind = F.col("doc_id") % 4
+    said = docs.select("query_id", "doc_id", F.when(kind == 0, None).when(kind == 1, "").otherwise(F.concat(F.lit("said "), F.col("doc_id").cast("string"))).alias("answer"), (kind != 3).alias("supported"))
+    out = answers.answer_events(docs, retrieve.search(q, pages, one_page=True), said)
+    return out.select("query_id", "doc_id", F.col("seq").cast("long").alias("seq"), "type", "payload")
+
+
+@query(f"WITH {_search(_ONE)} SELECT doc_id, rank, least(100, greatest(6, round(round(score, 3) / 8 * 100))) AS bar FROM hits")
+def score_bars(spark, d):
+    hits = retrieve.search(_question(spark), _pages(spark, d), one_page=True)
+    return hits.select("doc_id", "rank", T.score_bar(F.col("score")).alias("bar"))
+
+
+@query("""SELECT s_suppkey, ((ascii(substr(s, 1, 1)) - 64) * 26 + ascii(substr(s, 2, 1)) - 64) * 26 + ascii(substr(s, 3, 1)) - 65 AS i
+FROM (SELECT s_suppkey, chr((65 + s_suppkey % 26)::INTEGER) || chr((65 + s_suppkey // 26 % 26)::INTEGER) || chr((65 + s_suppkey // 7 % 26)::INTEGER) AS s FROM supplier)""")
+def column_indexes(spark, d):
+    letter = lambda n: F.chr((65 + F.floor(F.col("s_suppkey") / n) % 26).cast("int"))
+    reference = F.concat(F.lower(letter(1)), letter(26), letter(7), F.col("s_suppkey").cast("string"))
+    return _t(spark, d, "supplier").select("s_suppkey", T.column_index(reference).cast("long").alias("i"))
+
+
+def _entries(spark: SparkSession, d: str) -> DataFrame:
+    return library.upsert(_library(spark, d), spark.createDataFrame([], "id string, source_name string, added double, words int")).drop("replaced")
+
+
+_ENTRIES = rf"""d AS (SELECT source || '-' || (doc_id % 40) AS source_name, doc_id::DOUBLE AS added, len({_WORDS.format("text")}) AS words FROM documents),
+lib AS (SELECT left(sha256(source_name), 16) AS id, source_name, max(struct_pack(added := added, words := words)) AS n FROM d GROUP BY source_name)"""
+
+
+@query(f"WITH {_ENTRIES} SELECT id, source_name, n.added AS added, n.words AS words FROM lib WHERE n.added::BIGINT % 3 <> 0")
+def library_delete(spark, d):
+    entries = _entries(spark, d)
+    return library.delete(entries, entries.where(F.col("added").cast("long") % 3 == 0).select("id"))
+
+
+@query(f"WITH {_ENTRIES} SELECT id, source_name, n.added AS added, n.words AS words FROM lib WHERE id = (SELECT left(sha256((SELECT source || '-' || (doc_id % 40) FROM documents WHERE doc_id = (SELECT min(doc_id) FROM documents))), 16))")
+def library_lookup(spark, d):
+    import hashlib
+
+    first = _t(spark, d, "documents").agg(F.min_by(F.concat("source", F.lit("-"), F.pmod("doc_id", F.lit(40)).cast("string")), "doc_id").alias("n")).first().n
+    return library.lookup(_entries(spark, d), hashlib.sha256(first.encode()).hexdigest()[:16])
+
+
+@query(f"WITH {_ENTRIES} SELECT source_name, row_number() OVER (ORDER BY n.added DESC, id) AS place FROM lib")
+def library_newest(spark, d):
+    from pyspark.sql import Window
+
+    # a library is small: its entries, not its documents, are put in order
+    return library.newest_first(_entries(spark, d)).withColumn("place", F.row_number().over(Window.orderBy(F.desc("added"), "id")).cast("long")).select("source_name", "place")
+
+
+@query("""SELECT c_custkey AS owner, CASE WHEN c_custkey % 2 = 0 THEN 'new' ELSE 'old' END AS model, CASE WHEN c_custkey % 3 = 0 THEN c_name ELSE NULL END AS last_opened, NULL AS other FROM customer""")
+def settings_patch(spark, d):
+    c = _t(spark, d, "customer")
+    settings = c.select(F.col("c_custkey").alias("owner"), F.create_map(F.lit("model"), F.lit("old")).alias("settings"))
+    third = F.when(F.col("c_custkey") % 3 == 0, F.create_map(F.lit("last_opened"), F.col("c_name"), F.lit("unknown"), F.lit("x"))).otherwise(F.create_map(F.lit("colour"), F.lit("red")))
+    second = F.when(F.col("c_custkey") % 2 == 0, F.create_map(F.lit("model"), F.lit("new"))).otherwise(F.create_map().cast("map<string,string>"))
+    out = library.patch_settings(settings, c.select(F.col("c_custkey").alias("owner"), F.map_concat(second, third).alias("patch")))
+    return out.select("owner", F.col("settings")["model"].alias("model"), F.col("settings")["last_opened"].alias("last_opened"), F.col("settings")["unknown"].alias("other"))
+
+
+@query("""WITH m AS (SELECT s_suppkey AS id, unnest([p || '-7B', p || '-Mini', p || 'x-3B', p]) AS name, s_suppkey % 3 AS k FROM (SELECT s_suppkey, 'm' || s_suppkey AS p FROM supplier)),
+f AS (SELECT id, name, CASE WHEN k = 0 AND name = 'm' || id || '-7B' THEN -1 ELSE coalesce((SELECT min(i) FROM (SELECT unnest(['1b', '1.5b', '2b', '3b', 'mini', 'small', 'tiny']) AS h, unnest(range(0, 7)) AS i) WHERE contains(lower(name), h)), 7) END AS place FROM m)
+SELECT id AS s_suppkey, name AS model FROM f QUALIFY row_number() OVER (PARTITION BY id ORDER BY place, CASE WHEN place = 7 THEN length(name) ELSE 0 END, name) = 1""")
+def model_defaults(spark, d):
+    p = F.concat(F.lit("m"), F.col("s_suppkey").cast("string"))
+    s = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), F.array(*[F.concat(p, F.lit(x)) for x in ("-7B", "-Mini", "x-3B", "")]).alias("models"))
+    saved = s.where("id % 3 = 0").select("id", F.concat(F.lit("m"), F.col("id").cast("string"), F.lit("-7B")).alias("model"))
+    return library.default_models(s, saved).select(F.col("id").alias("s_suppkey"), "model")
+
+
+@query("""WITH e AS (SELECT n_nationkey AS owner, n_regionkey AS k, n_name FROM nation)
+SELECT owner, CASE WHEN k = 0 THEN NULL WHEN k = 1 THEN 'late' ELSE 'first' END AS engine, CASE WHEN k = 0 THEN NULL WHEN k = 1 THEN 'own' ELSE 'a-1b' END AS model FROM e""")
+def picked_engines(spark, d):
+    n = _t(spark, d, "nation")
+    works = F.col("n_regionkey") != 0
+    one = lambda pos, name, ok, models: F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("id"), ok.alias("ok"), F.array(*[F.lit(m) for m in models]).cast("array<string>").alias("models"))
+    made = n.select(F.col("n_nationkey").alias("owner"), F.inline(F.array(one(0, "dead", F.lit(False), ["x"]), one(1, "empty", F.lit(True), []), one(2, "first", works, ["long-name", "a-1b"]), one(3, "late", works, ["own", "tiny"]))))
+    saved = n.where("n_regionkey = 1").select(F.col("n_nationkey").alias("owner"), F.lit("late").alias("engine"), F.lit("own").alias("model"))
+    return library.picked_engines(made, saved)
+
+
+@query("""SELECT s_suppkey AS machine, name, s_suppkey % 12 = 0 OR s_suppkey % 12 >= needs AS fits FROM supplier, (VALUES ('llama3.2:1b', 2.5), ('qwen2.5:3b', 4.5), ('llama3.1:8b', 9.0)) m(name, needs)""")
+def suggested_models(spark, d):
+    machines = _t(spark, d, "supplier").select(F.col("s_suppkey").alias("machine"), (F.col("s_suppkey") % 12).cast("double").alias("ram_gb"))
+    return library.suggested_models(machines).select("machine", "name", "fits")
+
+
+@query(f"""WITH {_KEYWORDS},
+k AS (SELECT doc_id, list('What does it say about “' || term || '”?' ORDER BY rank) FILTER (WHERE length(term) >= 4) AS k FROM kw GROUP BY doc_id),
+g AS (SELECT doc_id, list_slice(['What is this document about?'] || list_slice(coalesce(k, []), 1, 3) || ['What are the most important points?', 'Are there any dates or deadlines?', 'What does it ask of me?'], 1, 5) AS g FROM k)
+SELECT doc_id, unnest(g) AS question, generate_subscripts(g, 1) - 1 AS pos FROM g""")
+def suggested_questions(spark, d):
+    out = library.suggested_questions(about.keywords(_pages(spark, d)))
+    return out.select("doc_id", "question", F.col("pos").cast("long").alias("pos"))
+
+
+_CHAT_PAGES = "c AS (SELECT conv_id, turn, min(text) AS text FROM conversations WHERE text IS NOT NULL GROUP BY conv_id, turn)"
+
+
+def _chat_pages(spark: SparkSession, d: str) -> DataFrame:
+    c = _t(spark, d, "conversations").where("text is not null").groupBy("conv_id", "turn").agg(F.min("text").alias("text"))
+    return c.select(F.col("conv_id").alias("doc_id"), F.col("turn").alias("page_pos"), F.col("turn").alias("number"), F.concat(F.lit("turn "), F.col("turn").cast("string")).alias("label"), "text")
+
+
+@query(f"WITH {_CHAT_PAGES} SELECT conv_id AS doc_id, sum(len({_WORDS.format('text')}))::BIGINT AS words, count(*) AS pages, string_agg(turn || ':' || len({_WORDS.format('text')}), ' ' ORDER BY turn) AS parts FROM c GROUP BY conv_id")
+def document_totals(spark, d):
+    out = library.document_totals(_chat_pages(spark, d))
+    return out.select("doc_id", "words", "pages", F.array_join(F.transform("parts", lambda p: F.concat(p["number"].cast("string"), F.lit(":"), p["words"].cast("string"))), " ").alias("parts"))
+
+
+@query(f"WITH {_CHAT_PAGES} SELECT conv_id AS doc_id, string_agg(text, chr(10) || chr(10) ORDER BY turn) AS text FROM c GROUP BY conv_id")
+def full_texts(spark, d):
+    return library.full_texts(_chat_pages(spark, d))
+
+
+@query(f"WITH {_CHAT_PAGES} SELECT conv_id AS doc_id, 'chat ' || conv_id AS name, turn AS number, 'turn ' || turn AS label, text FROM c")
+def json_round_trip(spark, d):
+    pages = _chat_pages(spark, d)
+    names = pages.select("doc_id", F.concat(F.lit("chat "), F.col("doc_id").cast("string")).alias("name")).distinct()
+    return library.from_json(library.to_json(pages, names)).select("doc_id", "name", "number", "label", "text")
+
+
+@query("SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 8080 WHEN url LIKE 'https%' THEN 443 ELSE 80 END AS port, CASE page_id % 5 WHEN 0 THEN '📕' WHEN 1 THEN '📘' WHEN 2 THEN '📗' WHEN 3 THEN '🌐' ELSE '📄' END AS icon FROM pages")
+def ports_and_icons(spark, d):
+    url = F.when(F.col("page_id") % 3 == 0, F.concat(F.regexp_replace("url", r":\d+", ""), F.lit(":8080/x"))).otherwise(F.regexp_replace("url", r":\d+", ""))
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("PDF", "Word document", "Spreadsheet (csv)", "Web page", "Text file")]), (F.col("page_id") % 5 + 1).cast("int"))
+    return _t(spark, d, "pages").select("page_id", T.port_of(url).alias("port"), T.kind_icon(kind).alias("icon"))
+
+
+@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN left(event_type || repeat('x', 300), 200) WHEN 1 THEN event_type WHEN 2 THEN 'no json ' || event_type ELSE '{\"other\":\"' || event_type || '\"}' END AS message FROM events")
+def salvaged_errors(spark, d):
+    kind, t = F.col("event_id") % 4, F.col("event_type")
+    inner = F.to_json(F.struct(F.struct(F.concat(t, F.lit("x" * 300)).alias("message")).alias("error")))
+    body = F.when(kind == 0, inner).when(kind == 1, F.to_json(F.struct(t.alias("error")))).when(kind == 2, F.concat(F.lit(" no json "), t)).otherwise(F.to_json(F.struct(t.alias("other"))))
+    return _t(spark, d, "events").select("event_id", T.salvaged_error(body).alias("message"))
+
+
+@query("SELECT user_id AS stream_id, string_agg(event_type, '' ORDER BY event_id) AS text FROM events GROUP BY user_id")
+def joined_answers(spark, d):
+    return events.joined_pieces(_t(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text")))

@@ -2,30 +2,42 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+from html import unescape
+
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 from ..functions import text as T
 
 PARAGRAPHS, CSV_LINES = 12, 25
 
-# Kinds of file by suffix.
+# Kinds of file by suffix, and what one read takes at most.
 SUFFIXES = {
-    "text": ("txt", "log", "rst", "json", "yaml", "yml", "py", "js", "md", "markdown"),
-    "csv": ("csv", "tsv"),
-    "html": ("html", "htm", "xhtml"),
-    "docx": ("docx",),
-    "xlsx": ("xlsx", "xlsm"),
-    "pdf": ("pdf",),
-}
+    "pdf": "pdf", "docx": "docx", "doc": "doc", "xlsx": "xlsx", "xls": "xls",
+    "csv": "csv", "tsv": "csv", "txt": "text", "md": "text", "markdown": "text",
+    "log": "text", "rst": "text", "json": "text", "yaml": "text", "yml": "text",
+    "py": "text", "js": "text", "html": "html", "htm": "html", "xhtml": "html",
+}
+MAX_BYTES, MAX_ROWS = 80 * 1024 * 1024, 20_000
+# The parts of a web page that are dropped, the tags that end a line, headings, and tags.
+DROPPED = r"(?is)<(script|style|noscript|head|svg)\b.*?</\1>"
+BLOCK_END = r"(?i)</(p|div|li|tr|h[1-6]|section|article|br)\s*/?>"
+HEADING = r"(?is)<h[12][^>]*>(.*?)</h[12]>"
+TAG = r"<[^>]+>"
 
 
 def sniff(name: Column, content: Column) -> Column:
     """The kind of a file, by its first bytes, then its suffix, then whether it looks like text; else unknown."""
     head = F.decode(F.substring(content, 1, 4096), "ISO-8859-1")
-    suffix = F.lower(F.substring_index(name, ".", -1))
+    suffix = F.when(F.contains(name, F.lit(".")), F.lower(F.substring_index(name, ".", -1)))
     by_suffix = F.lit(None).cast("string")
-    for kind, suffixes in SUFFIXES.items():
-        by_suffix = F.when(suffix.isin(*suffixes), kind).otherwise(by_suffix)
+    for kind in dict.fromkeys(SUFFIXES.values()):
+        by_suffix = F.when(suffix.isin(*[x for x, k in SUFFIXES.items() if k == kind]), kind).otherwise(by_suffix)
     zipped = F.decode(content, "ISO-8859-1")
     plain = F.length(F.regexp_replace(F.substring(head, 1, 2048), "[^\\x09-\\x0d\\x20-\\x7e\\xa0-\\xff]", "")) / F.length(F.substring(head, 1, 2048)) > 0.9
     return (
@@ -52,51 +64,118 @@ def decode_text(content: Column) -> Column:
     return F.when(F.is_valid_utf8(utf8), marked).when(latin.rlike(f"[{_UNDEFINED}]"), latin).otherwise(windows)
 
 
-def _decoded(out: Column) -> Column:
-    # named entities; the ampersand last, so that nothing is decoded twice
-    for name, char in (("nbsp", " "), ("copy", "©"), ("middot", "·"), ("quot", '"'), ("#39", "'"), ("apos", "'"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
-        out = F.replace(out, F.lit(f"&{name};"), F.lit(char))
-    return out
+@F.pandas_udf(StringType())
+def _unescaped(text: pd.Series) -> pd.Series:
+    return text.map(unescape, na_action="ignore")
 
 
-def _plain(html: Column) -> Column:
-    out = F.regexp_replace(html, r"(?i)</(?:p|div|li|tr|h[1-6]|section|article|ul|ol|table|blockquote)\s*>", "\n")
-    out = F.regexp_replace(F.regexp_replace(out, r"(?s)<!--.*?-->", " "), r"(?s)<[^>]*>", " ")
-    return T.tidy(_decoded(out))
+def decoded(text: Column) -> Column:
+    """The text with its character references, named and numbered, as characters. Only texts that may have one leave the JVM."""
+    some = F.contains(text, F.lit("&"))
+    return F.when(some, _unescaped(F.when(some, text))).otherwise(text)
 
 
 def html_sections(raw: DataFrame) -> DataFrame:
-    """pages of raw (doc_id, html), and title: split at h1 and h2, whose text is the label only; scripts, styles, head dropped; empty sections too."""
-    title = T.tidy(_decoded(F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), r"\s+", " ")))
-    body = F.col("html")
-    for tag in ("script", "style", "noscript", "head", "svg"):
-        body = F.regexp_replace(body, rf"(?is)<{tag}\b[^>]*>.*?</{tag}\s*>", " ")
-    marked = F.regexp_replace(F.regexp_replace(body, r"[\u0001\u0002]", ""), r"(?is)<h[12]\b[^>]*>(.*?)</h[12]\s*>", "\u0001$1\u0002")
-    rows = raw.select("doc_id", title.alias("title"), F.posexplode_outer(F.split(marked, "\u0001")).alias("page_pos", "part"))
-    headed = F.contains(F.col("part"), F.lit("\u0002")) & (F.col("page_pos") > 0)
-    heading = F.when(headed, _plain(F.substring_index("part", "\u0002", 1)))
-    text = _plain(F.when(headed, F.expr("substring(part, instr(part, '\u0002') + 1)")).otherwise(F.col("part")))
-    rows = rows.select("doc_id", "title", "page_pos", heading.alias("heading"), text.alias("text"))
-    # numbered before the filter, which would else be computed from the raw page a second time
-    number = F.count(F.when(F.col("text") != "", 1)).over(Window.partitionBy("doc_id").orderBy("page_pos").rowsBetween(Window.unboundedPreceding, 0)).cast("int")
-    return rows.withColumn("number", number).where("text <> ''").select("doc_id", "title", (F.col("number") - 1).alias("page_pos"), "number", T.section_label(F.col("number"), F.col("heading")).alias("label"), "text")
+    """pages of raw (doc_id, html), and title: split at h1 and h2, whose text is the label only; scripts, styles, head dropped; empty sections too.
+
+    A page is cut and numbered in its own row, so nothing is shuffled.
+    """
+    title = F.regexp_replace(F.regexp_extract("html", r"(?is)<title[^>]*>(.*?)</title>", 1), TAG, " ")
+    body = F.regexp_replace(F.regexp_replace("html", r"[\u0001\u0002]", ""), DROPPED, " ")
+    # character references are decoded once, for the whole page, after the tags are gone; none of them gives the two marks
+    marked = F.regexp_replace(F.regexp_replace(F.regexp_replace(body, HEADING, "\u0001$1\u0002"), BLOCK_END, "\n"), TAG, " ")
+    rows = raw.select("doc_id", decoded(title).alias("title"), decoded(marked).alias("marked"))
+
+    def section(part: Column, at: Column) -> Column:
+        headed = F.contains(part, F.lit("\u0002")) & (at > 0)
+        rest = F.when(headed, F.substr(part, F.instr(part, F.lit("\u0002")) + 1)).otherwise(part)
+        return F.struct(F.when(headed, T.tidy(F.substring_index(part, "\u0002", 1))).alias("heading"), T.tidy(rest).alias("text"))
+
+    sections = F.filter(F.transform(F.split("marked", "\u0001"), section), lambda x: x["text"] != "")
+    cut = rows.select("doc_id", T.tidy(F.col("title")).alias("title"), F.posexplode(sections).alias("page_pos", "s"))
+    number = F.col("page_pos") + 1
+    return cut.select("doc_id", "title", "page_pos", number.alias("number"), T.section_label(number, F.col("s.heading")).alias("label"), "s.text")
 
 
 def text_parts(raw: DataFrame) -> DataFrame:
-    """pages of raw (doc_id, text): Markdown sections if the text has headings (what precedes the first is dropped), else parts of twelve paragraphs."""
-    tidied = raw.select("doc_id", T.tidy(F.col("text")).alias("text"))
-    heading = r"^\s{0,3}#{1,3}\s+(.*\S)\s*$"
-    lines = tidied.select("doc_id", F.posexplode_outer(F.split("text", "\n")).alias("pos", "line")).withColumn("h", F.col("line").rlike(heading))
-    sections = lines.withColumn("k", F.sum(F.col("h").cast("int")).over(Window.partitionBy("doc_id").orderBy("pos"))).where("k > 0")
-    sections = sections.groupBy("doc_id", "k").agg(F.array_sort(F.collect_list(F.struct("pos", "line"))).alias("x"))
-    text = T.tidy(F.array_join(F.transform("x", lambda x: x["line"]), "\n"))
-    sections = sections.select("doc_id", F.col("k").alias("number"), T.section_label(F.col("k"), F.regexp_extract(F.col("x")[0]["line"], heading, 1)).alias("label"), text.alias("text")).where("text <> ''")
-    headed = F.expr(r"regexp_like(text, '(?m)^\\s{0,3}#{1,3}\\s+.*\\S\\s*$')")
-    plain = tidied.where(~headed).select("doc_id", F.filter(F.split("text", "\n\n"), lambda x: F.trim(x) != "").alias("p"))
-    count = F.ceil(F.size("p") / PARAGRAPHS).cast("int")
-    plain = plain.where(F.size("p") > 0).select("doc_id", "p", F.explode(F.sequence(F.lit(1), count)).alias("number"))
-    parts = plain.select("doc_id", "number", F.concat(F.lit("part "), F.col("number").cast("string")).alias("label"), F.array_join(F.slice("p", (F.col("number") - 1) * PARAGRAPHS + 1, F.lit(PARAGRAPHS)), "\n\n").alias("text"))
-    return sections.unionByName(parts).select("doc_id", (F.col("number") - 1).alias("page_pos"), "number", "label", "text")
+    """pages of raw (doc_id, text): Markdown sections if the text has headings (what precedes the first is dropped), else parts of twelve paragraphs.
+
+    A text is cut and numbered in its own row, so nothing is shuffled.
+    """
+    blank = r"[^\S\n]"
+    heading = rf"^{blank}{{0,3}}#{{1,3}}{blank}+(.*\S){blank}*$"
+    tidied = raw.select("doc_id", F.regexp_replace(T.tidy(F.col("text")), "\u0001", "").alias("text"))
+    marked = F.regexp_replace("text", rf"(?md)({heading})", "\u0001$1")
+    rows = tidied.select("doc_id", "text", F.split(marked, "\u0001").alias("p"))
+    sections = F.transform(F.slice("p", 2, F.greatest(F.size("p") - 1, F.lit(0))), lambda x, i: F.struct(T.section_label(i + 1, F.regexp_extract(x, rf"(?md){heading}", 1)).alias("label"), T.tidy(x).alias("text")))
+    paragraphs = F.filter(F.split("text", "\n\n"), lambda x: F.trim(x) != "")
+    rows = rows.select("doc_id", F.when(F.size("p") > 1, sections).alias("s"), F.when(F.size("p") == 1, paragraphs).alias("q"))
+    parts = F.transform(F.sequence(F.lit(1), F.ceil(F.size("q") / PARAGRAPHS).cast("int")), lambda k: F.struct(F.concat(F.lit("part "), k.cast("string")).alias("label"), F.array_join(F.slice("q", (k - 1) * PARAGRAPHS + 1, F.lit(PARAGRAPHS)), "\n\n").alias("text")))
+    cut = rows.select("doc_id", F.posexplode(F.coalesce("s", F.when(F.size("q") > 0, parts))).alias("page_pos", "x"))
+    return cut.select("doc_id", "page_pos", (F.col("page_pos") + 1).alias("number"), "x.label", "x.text")
+
+
+def _csv_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, rn, line) of every row of each file's text with a filled cell, cells named by the first such row."""
+    for batch in batches:
+        for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            header, lines, seen = None, [], 0
+            for row in csv.reader(io.StringIO(text or "")):
+                cells = [c.strip() for c in row]
+                if not any(cells):
+                    continue
+                if header is None:
+                    header = [c or f"column {i + 1}" for i, c in enumerate(cells)]
+                    continue
+                seen += 1
+                lines.append(", ".join(f"{header[i] if i < len(header) else f'column {i + 1}'}: {c}" for i, c in enumerate(cells) if c))
+                if len(lines) == 1000:
+                    yield _csv_batch(doc, seen, lines)
+                    lines = []
+            if lines:
+                yield _csv_batch(doc, seen, lines)
+
+
+def _csv_batch(doc: str, seen: int, lines: list[str]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([doc] * len(lines), pa.string()), pa.array(range(seen - len(lines) + 1, seen + 1), pa.int64()), pa.array(lines, pa.string())], ["doc_id", "rn", "line"])
+
+
+def csv_files(raw: DataFrame, limit: int | None = MAX_ROWS) -> DataFrame:
+    """pages of the texts of CSV files (doc_id, text), and note: each row as ``Header: value, …``, 25 rows a part.
+
+    Blank rows don't count; a blank header, and a cell beyond the header, is called by its column. Of a file the first limit
+    rows are read, or all; the note says if there were more. Fields may be quoted and hold line ends.
+    """
+    rows = raw.select(F.col("doc_id").cast("string").alias("doc_id"), "text").mapInArrow(_csv_rows, "doc_id string, rn long, line string")
+    if limit is not None:
+        rows = rows.where(F.col("rn") <= limit + 1)
+    part = F.floor((F.col("rn") - 1) / CSV_LINES).cast("int")
+    kept = F.lit(True) if limit is None else F.col("rn") <= limit
+    parts = rows.groupBy("doc_id", part.alias("page_pos")).agg(F.min("rn").alias("a"), F.max(F.when(kept, F.col("rn"))).alias("b"), F.array_sort(F.collect_list(F.when(kept, F.struct("rn", "line")))).alias("x"), F.max("rn").alias("last"))
+    label = F.concat(F.lit("rows "), F.col("a").cast("string"), F.lit("–"), F.col("b").cast("string"))
+    more = F.lit("") if limit is None else F.when(F.max("last").over(Window.partitionBy("doc_id")) > limit, f"only the first {limit:,} rows are read").otherwise("")
+    out = parts.withColumn("note", more).where("b is not null")
+    return out.select("doc_id", "page_pos", (F.col("page_pos") + 1).alias("number"), label.alias("label"), T.tidy(F.array_join(F.transform("x", lambda x: x["line"]), "\n")).alias("text"), "note")
+
+
+def read_files(files: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(documents, pages) of files (doc_id, name, content).
+
+    documents has doc_id, name, kind, and error, which says why a file gives no pages: it is too large or empty, of an old format
+    (doc, xls), of one whose parser isn't here (pdf, docx, xlsx), of an unknown one, or without text. pages are those of the others.
+    """
+    size = F.coalesce(F.length("content"), F.lit(0))
+    kind = sniff(F.col("name"), F.col("content"))
+    known = files.select(F.col("doc_id").cast("string").alias("doc_id"), "name", "content", F.when((size > 0) & (size <= MAX_BYTES), kind).alias("kind"), size.alias("size"))
+    refused = F.when(F.col("size") > MAX_BYTES, "too large").when(F.col("size") == 0, "empty").when(F.col("kind").isin("doc", "xls"), "old format").when(F.col("kind").isin("pdf", "docx", "xlsx"), "no parser").when(F.col("kind") == "unknown", "unknown kind")
+    known = known.withColumn("error", refused)
+    texts = known.where("error is null").select("doc_id", "kind", decode_text(F.col("content")).alias("text"))
+    columns = ["doc_id", "page_pos", "number", "label", "text"]
+    pages = html_sections(texts.where("kind = 'html'").withColumnRenamed("text", "html")).select(columns)
+    pages = pages.unionByName(text_parts(texts.where("kind = 'text'"))).unionByName(csv_files(texts.where("kind = 'csv'")).select(columns))
+    filled = pages.groupBy("doc_id").agg(F.count("*").alias("parts"))
+    documents = known.select("doc_id", "name", "kind", "error").join(filled, "doc_id", "left")
+    return documents.select("doc_id", "name", "kind", F.coalesce("error", F.when(F.col("parts").isNull(), "no text")).alias("error"), F.coalesce("parts", F.lit(0)).alias("parts")), pages
 
 
 def csv_pages(rows: DataFrame, columns: list[str], order: list[str], doc_id: Column, limit: int | None = None) -> DataFrame:

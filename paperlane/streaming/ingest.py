@@ -1,4 +1,4 @@
-"""Continuous ingest: a stream of text files, tidied and cut to passages, each micro-batch upserted by document."""
+"""Continuous ingest: a stream of text files, tidied and cut to passages; the last version of each document counts."""
 
 from __future__ import annotations
 
@@ -17,9 +17,19 @@ def text_files(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def ingest(stream: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Writes the passages of each micro-batch to table, one partition per batch: a batch that is repeated after a failure replaces its own."""
+    """Writes the passages of each micro-batch to table, one partition per batch: a batch that is repeated after a failure replaces its own.
+
+    A document that comes again is written again; latest() reads the last version of each.
+    """
 
     def put(batch: DataFrame, epoch: int) -> None:
         passages(text_parts(batch)).withColumn("batch", F.lit(epoch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(table)
 
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def latest(spark: SparkSession, table: str) -> DataFrame:
+    """The passages of each document's last version in an ingested table."""
+    rows = spark.read.parquet(table)
+    last = rows.groupBy("doc_id").agg(F.max("batch").alias("batch"))
+    return rows.join(last, ["doc_id", "batch"]).drop("batch")

@@ -55,7 +55,10 @@ def test_search_finds_the_page(spark, question, page):
 def test_confidence_and_blank_questions(spark):
     asked = spark.createDataFrame([("yes", "how much is the deposit"), ("no", "notice about spacecraft propulsion chemistry regulation budget"), ("blank", "  ")], "query_id string, question string")
     found = {r.query_id: r.found for r in retrieve.confidence(asked, lease(spark)).collect()}
-    assert found == {"yes": True, "no": False}
+    assert found == {"yes": True, "no": False, "blank": False}
+    pairs = spark.createDataFrame([("yes", 1), ("yes", 9), ("blank", 1)], "query_id string, doc_id long")
+    told = {(r.query_id, r.doc_id): r.reason for r in retrieve.confidence(asked, lease(spark), asked=pairs).collect()}
+    assert told == {("yes", 1): "ok", ("yes", 9): "empty", ("blank", 1): "empty"}
 
 
 def test_windows(spark):
@@ -92,12 +95,12 @@ def test_library(spark):
 
 
 def test_settings_and_models(spark):
-    s = spark.createDataFrame([("me", {"model": "a", "theme": "dark"})], "owner string, settings map<string,string>")
+    s = spark.createDataFrame([("me", {"model": "a", "last_opened": "x"})], "owner string, settings map<string,string>")
     p = spark.createDataFrame([("me", {"model": "b", "colour": "red"})], "owner string, patch map<string,string>")
-    assert library.patch_settings(s, p).first().settings == {"model": "b", "theme": "dark"}
-    e = spark.createDataFrame([("x", ["big", "llama-3b", "qwen-1b"]), ("y", ["long-name", "short"]), ("z", ["a", "saved"])], "id string, models array<string>")
+    assert library.patch_settings(s, p).first().settings == {"model": "b", "last_opened": "x"}
+    e = spark.createDataFrame([("x", ["big", "llama-3b", "Qwen-1B"]), ("y", ["long-name", "short"]), ("z", ["a", "saved"])], "id string, models array<string>")
     saved = spark.createDataFrame([("z", "saved")], "id string, model string")
-    assert {r.id: r.model for r in library.default_models(e, saved).collect()} == {"x": "qwen-1b", "y": "short", "z": "saved"}
+    assert {r.id: r.model for r in library.default_models(e, saved).collect()} == {"x": "Qwen-1B", "y": "short", "z": "saved"}
 
 
 def test_events(spark):
@@ -120,6 +123,57 @@ def test_readers(spark):
     assert [r[0] for r in df.select(readers.sniff(F.col("name"), F.col("content"))).collect()] == ["pdf", "docx", "csv", "text", "unknown"]
 
 
+@pytest.mark.parametrize("fragment", ["caf&eacute; &mdash; &#8217;x&#x2019; &amp;lt; &lt;b&gt; &notanentity; &copy &Uuml;", "no reference", "&", "a &#1; b &#0; &#128;"])
+def test_character_references(spark, fragment):
+    from html import unescape
+
+    assert one(spark, readers.decoded(F.col("t")), t=fragment) == unescape(fragment)
+
+
+def test_csv_files(spark):
+    text = 'name,, age \r\n,,\n"Ann, ""A""",x,3,extra\n\n bob,,4\nonly\n"two\nlines",1,2\n'
+    pages = readers.csv_files(spark.createDataFrame([("f", text), ("head", "a,b\n"), ("none", "")], "doc_id string, text string")).collect()
+    assert [(r.doc_id, r.label, r.note) for r in pages] == [("f", "rows 1–4", "")]
+    assert pages[0].text == 'name: Ann, "A", column 2: x, age: 3, column 4: extra\nname: bob, age: 4\nname: only\nname: two\nlines, column 2: 1, age: 2'
+    long = "h\n" + "\n".join(map(str, range(60)))
+    cut = readers.csv_files(spark.createDataFrame([("f", long)], "doc_id string, text string"), 40).orderBy("number").collect()
+    assert [r.label for r in cut] == ["rows 1–25", "rows 26–40"] and {r.note for r in cut} == {"only the first 40 rows are read"}
+
+
+def test_read_files(spark):
+    files = [("1", "a.txt", b"# T\nbody"), ("2", "b.html", b"<h1>A</h1><p>x</p>"), ("3", "c.csv", b"h\n1\n"), ("4", "d.doc", b"x"), ("5", "e.xls", b"x"), ("6", "f", b""), ("7", "g.txt", b"  \n"), ("8", "h", bytes(range(256)) * 20), ("9", "i.PDF", b"%PDF-1.4"), ("10", "j", None)]
+    documents, pages = readers.read_files(spark.createDataFrame([(i, n, None if b is None else bytearray(b)) for i, n, b in files], "doc_id string, name string, content binary"))
+    assert {r.doc_id: r.error for r in documents.collect()} == {"1": None, "2": None, "3": None, "4": "old format", "5": "old format", "6": "empty", "7": "no text", "8": "unknown kind", "9": "no parser", "10": "empty"}
+    assert {(r.doc_id, r.label) for r in pages.collect()} == {("1", "section “T”"), ("2", "section “A”"), ("3", "rows 1–1")}
+
+
+def test_export(spark):
+    hits = "hits array<struct<label: string, snippet: string>>"
+    turns = [("c", 1, "q", "a", [("page 1", " s "), ("page 2", None)]), ("c", 2, " ", "\n", []), ("c", 3, "only asked", None, None), ("d", 1, None, " ", [])]
+    got = answers.export_markdown(spark.createDataFrame(turns, f"chat_id string, turn int, question string, answer string, {hits}"), "T", "2026-02-01").collect()
+    assert [(r.chat_id, r.markdown) for r in got] == [("c", "# T\n\nSaved on 2026-02-01. Every answer keeps the page it came from.\n\n## Question 1\n\nq\n\na\n\n**Where this came from**\n\n- page 1: “s”\n- page 2: (a source page)\n\n## Question 2\n\nonly asked\n\n\n")]
+
+
+def test_summary_falls_back_to_the_title(spark):
+    pages = spark.createDataFrame([(1, 0, 1, "p", "an old cat on the mat"), (2, 0, 1, "p", "of it all")], "doc_id long, page_pos int, number int, label string, text string")
+    titles = spark.createDataFrame([(1, "The Cat"), (2, "Dogs")], "doc_id long, title string")
+    assert {(r.doc_id, r.passage_idx, r.rank) for r in about.summary_hits(pages, titles=titles).collect()} == {(1, 0, 1), (2, 0, 1)}
+
+
+def test_streamed_uploads(spark, tmp_path):
+    from paperlane.streaming import uploads
+
+    steps = [[("u", 1, 999, 10), ("u", 2, 0, 10), ("v", 1, 0, 3)], [("u", 3, 10, 5), ("u", 4, 10, 5), ("v", 2, 3, 1)]]
+    for i, rows_ in enumerate(steps):
+        spark.createDataFrame(rows_, "upload_id string, arrival long, offset long, size long").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("upload_id string, arrival long, offset long, size long").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = uploads.assemble(stream).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    got = {(r.upload_id, r.arrival): (r.accepted, r.expected) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    batch = events.assemble_uploads(spark.read.parquet(str(tmp_path / "in")))
+    assert got == {(r.upload_id, r.arrival): (r.accepted, r.expected) for r in batch.collect()} and got["u", 3] == (True, 10)
+
+
 def test_streaming_ingest(spark, tmp_path):
     from paperlane.streaming import ingest
 
@@ -128,6 +182,18 @@ def test_streaming_ingest(spark, tmp_path):
     q = ingest.ingest(ingest.text_files(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck"))
     q.awaitTermination(120)
     assert [r.text for r in spark.read.parquet(str(tmp_path / "out")).collect()] == ["alpha beta"]
+    import os
+    import time
+
+    (tmp_path / "new.txt").write_text("gamma")
+    os.utime(tmp_path / "new.txt", (time.time() + 5, time.time() + 5))
+    os.replace(tmp_path / "new.txt", tmp_path / "in" / "a2.txt")
+    (tmp_path / "in" / "sub").mkdir()
+    ingest.ingest(ingest.text_files(spark, str(tmp_path / "in")), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
+    assert sorted(r.text for r in ingest.latest(spark, str(tmp_path / "out")).collect()) == ["alpha beta", "gamma"]
+    old = ingest.latest(spark, str(tmp_path / "out")).where("text = 'alpha beta'")
+    old.withColumn("text", F.lit("changed")).withColumn("batch", F.lit(9)).write.mode("append").partitionBy("batch").parquet(str(tmp_path / "out"))
+    assert sorted(r.text for r in ingest.latest(spark, str(tmp_path / "out")).collect()) == ["changed", "gamma"]
 
 
 @pytest.mark.parametrize("data", [b"plain", b"", "caf\u00e9 \u20ac".encode(), b"\xef\xbb\xbfmarked", "\u00a3 5 \u2014 \u201cna\u00efve\u201d".encode("cp1252"), b"\x81 caf\xe9 \x93"])
