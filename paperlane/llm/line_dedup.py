@@ -20,14 +20,15 @@ BOUNDARY = ("0", "2", "4", "6", "8", "a", "c", "e")
 def with_chunks(docs: DataFrame) -> DataFrame:
     """Adds _chunks array<string>: the text's chunks, in which U+0001 is escaped as U+0001 e; joined by line feeds they are the text.
 
-    Each array is the argument of one higher-order function, never read inside a lambda, where it would be computed anew for each element.
+    Each array is the argument of one higher-order function, never read inside a lambda, where it would be computed anew for each element;
+    the lines are a column of their own, so that the text is split once and not for each use of them.
     """
-    lines = "split(coalesce(text, ''), '\\n', -1)"
     last = ", ".join(f"'{c}'" for c in BOUNDARY)
     begins = f"before IS NOT NULL AND right(md5(concat(md5(before), md5(line))), 1) IN ({last})"
-    marked = f"zip_with({lines}, concat(array(cast(null AS string)), {lines}), (line, before) -> concat(if({begins}, '\u0001b', ''), replace(line, '\u0001', '\u0001e')))"
+    marked = f"zip_with(_lines, concat(array(cast(null AS string)), _lines), (line, before) -> concat(if({begins}, '\u0001b', ''), replace(line, '\u0001', '\u0001e')))"
     # the second array has one element more: its line is null, and array_join leaves it out
-    return docs.withColumn("_chunks", F.expr(f"split(array_join({marked}, '\\n'), '\\n\u0001b', -1)"))
+    lines = docs.withColumn("_lines", F.expr("split(coalesce(text, ''), '\\n', -1)"))
+    return lines.withColumn("_chunks", F.expr(f"split(array_join({marked}, '\\n'), '\\n\u0001b', -1)")).drop("_lines")
 
 
 def _hashes(text: str) -> list:
