@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from . import conversations, licenses, line_dedup, metric_join, near_dedup, packing, permutation_index, quality, sentencepiece_codec, toxicity
+from . import bpe_codec, conversations, lexical_search, licenses, line_dedup, metric_join, near_dedup, packing, periodic_runs, permutation_index, quality, sentencepiece_codec, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +66,21 @@ def op10_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return linked.select("conv_id", "position", "turn", "role", F.col("body").alias("content"), "reply_conv", "reply_turn")
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
+def op13_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_codec.digests(table(spark, sf_dir, "documents"), tokenizer_path("byte_bpe_50k.json"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_packing, op2_toxicity, op3_quality, op4_nearest, op5_near_dedup, op6_line_dedup, op7_licenses, op8_sentencepiece, op9_metric_join, op10_conversations)
+    for f in (op1_packing, op2_toxicity, op3_quality, op4_nearest, op5_near_dedup, op6_line_dedup, op7_licenses, op8_sentencepiece, op9_metric_join, op10_conversations, op11_lexical, op12_runs, op13_bpe)
 }
 
 ORACLES: dict[str, str] = {
@@ -87,4 +99,14 @@ SELECT vec_id, (SELECT count(*) FROM p WHERE p.a = vec_id) AS n_links, (SELECT m
 FROM v
 """,
     "op10_conversations": conversations.SQL,
+    "op11_lexical": r"""
+WITH w AS (SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM documents),
+tf AS (SELECT doc_id, t, count(*) AS tf FROM w GROUP BY doc_id, t),
+d AS (SELECT doc_id, sum(tf)::BIGINT AS n FROM tf GROUP BY doc_id),
+c AS (SELECT count(*) AS n_docs, sum(n)::BIGINT AS total FROM d),
+df AS (SELECT t, floor(1000 * ln((2 * n_docs + 2) / (2 * count(*) + 1)))::BIGINT AS w FROM tf, c GROUP BY t, n_docs),
+q AS (SELECT item_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS t FROM benchmark),
+s AS (SELECT item_id, doc_id, sum(w * ((1000000000 * tf) // (1000 * tf + 8 * (100 - 75 + (75 * n * n_docs) // total))))::BIGINT AS score FROM q JOIN tf USING (t) JOIN df USING (t) JOIN d USING (doc_id), c GROUP BY item_id, doc_id)
+SELECT item_id, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+""",
 }
