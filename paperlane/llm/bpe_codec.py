@@ -1,17 +1,20 @@
 """Byte-level BPE by a table of distinct words.
 
 Spark splits texts into words (a regular expression in the JVM). A task turns the words of its rows, block by block,
-into codes into the block's own list of distinct words, so that what is shuffled is a row for each distinct word of a
-block and not for each place. The lists together give the table of distinct words; each of its words is encoded once, by the
-tokenizers library, and joined back to the lists. Then a block's rows meet its list again, and ids take the places of codes.
-Decoding is the same with ids for codes and the table of pieces for the table of words: a block's distinct ids are
-joined to their pieces, which take the places of the ids.
+into codes into the block's own list of distinct words, so that a word is shuffled once for a block and not for each of its
+places. The lists, dealt by the words' hashes, are the table of distinct words: all blocks' copies of a word meet in one bucket,
+where the tokenizers library encodes it once and its ids go back to each block. Then a block's rows meet its list again, and
+ids take the places of codes. Decoding is the same with ids for codes: a block's distinct ids are joined to the table of
+pieces, and the pieces take the places of the ids.
+
+What is shuffled is packed: many words, or a row's codes, are one binary value, with small numbers in few bytes.
 """
 
 from __future__ import annotations
 
 import os
 import re
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -19,10 +22,15 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from .bytetext import groups, text_buffer
 from .graph import stored
 
 #: A block ends when it has so many words; one row's are never parted.
-BLOCK_WORDS = 2_000_000
+BLOCK_WORDS = 5_000_000
+#: Words of a bucket of the table of distinct words, all blocks' copies counted.
+BUCKET_WORDS = 400_000
+#: Words of a list in one row.
+LISTED_WORDS = 500_000
 #: Ids that are put in the places of codes at once.
 ASSEMBLED = 1_000_000
 
@@ -80,16 +88,57 @@ def split_words(text: Column, added: list[str]) -> Column:
     return F.when(text.isNull() | (text == ""), F.array().cast("array<string>")).when(text.rlike(r"\p{Cn}"), F.array(text)).otherwise(out)
 
 
-def _codes(codes: np.ndarray, at: np.ndarray) -> pa.Array:
-    """The codes of each row as bytes: two for a code if all fit, else four; the first byte tells."""
-    wide = bool(len(codes)) and int(codes.max()) >= 1 << 16
-    kind, mark = ("<u4", b"\x04") if wide else ("<u2", b"\x02")
-    data = codes.astype(kind)
-    return pa.array([mark + data[a:b].tobytes() for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)], pa.binary())
+def _short(numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(bytes, how many for each): numbers under 2**28 in one to four bytes, seven bits in each, all but a number's last marked."""
+    n = numbers.astype(np.int64)
+    size = 1 + (n >= 1 << 7) + (n >= 1 << 14) + (n >= 1 << 21)
+    at = np.cumsum(size) - size
+    out = np.empty(int(size.sum()), np.uint8)
+    for k in range(4):
+        some = size > k
+        out[at[some] + k] = (n[some] >> 7 * k & 0x7F) | np.where(size[some] > k + 1, 0x80, 0)
+    return out, size
+
+
+def _long(data: np.ndarray) -> np.ndarray:
+    """The numbers that _short() wrote."""
+    last = np.flatnonzero(data < 0x80)
+    first = np.concatenate([[0], last[:-1] + 1]) if len(last) else last
+    out = np.zeros(len(last), np.int64)
+    for k in range(4):
+        some = np.flatnonzero(first + k <= last)
+        out[some] |= (data[first[some] + k].astype(np.int64) & 0x7F) << 7 * k
+    return out
+
+
+def _packed(*parts: np.ndarray) -> bytes:
+    """Arrays of bytes as one value."""
+    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(p.tobytes() for p in parts)
 
 
-def _codes_of(data: bytes) -> np.ndarray:
-    return np.frombuffer(data, "<u4" if data[:1] == b"\x04" else "<u2", offset=1)
+def _unpacked(value: bytes) -> list[np.ndarray]:
+    n = int.from_bytes(value[:4], "little")
+    ends = 4 * (n + 1) + np.cumsum(np.frombuffer(value, "<u4", n, 4)).astype(int)
+    return [np.frombuffer(value, np.uint8, b - a, a) for a, b in zip([4 * (n + 1), *ends[:-1]], ends, strict=True)]
+
+
+def _pack_words(words: pa.Array, which: np.ndarray) -> list[np.ndarray]:
+    """Sizes and bytes of some of the words (large_binary, without nulls)."""
+    raw, at = text_buffer(words)
+    where, size = _gather(raw, at, which)
+    return [_short(size)[0], where]
+
+
+def _words_of(size: np.ndarray, raw: np.ndarray) -> pa.Array:
+    at = np.concatenate([[0], np.cumsum(_long(size))]).astype(np.int64)
+    return pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw.tobytes())])
+
+
+def _codes(codes: np.ndarray, at: np.ndarray) -> pa.Array:
+    """The codes of each row as a value."""
+    data, size = _short(codes)
+    ends = np.concatenate([[0], np.cumsum(size)])[at]
+    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data.tobytes())]).cast(pa.binary())
 
 
 def _rows(block: int, kind: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
@@ -112,8 +161,14 @@ def _blocks(batches: Iterator[pa.RecordBatch], words: bool) -> Iterator[pa.Recor
         at = np.concatenate([[0], np.cumsum(size)])
         if words:
             coded = flat.combine_chunks().dictionary_encode()
-            codes, listed = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.cast(pa.binary())
-            yield _rows(block, LISTED, len(listed), key=pa.array(np.arange(len(listed), dtype=np.int32)), value=listed)
+            codes, listed = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
+            # frequent words have small codes
+            order = np.argsort(-np.bincount(codes, minlength=len(listed)), kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            codes = place[codes]
+            values = [_packed(*_pack_words(listed, order[i : i + LISTED_WORDS])) for i in range(0, len(order), LISTED_WORDS)]
+            yield _rows(block, LISTED, len(values), key=pa.array(np.arange(0, len(order), LISTED_WORDS, dtype=np.int32)), value=pa.array(values, pa.binary()))
         else:
             codes = flat.combine_chunks().to_numpy(zero_copy_only=False)
             found = np.unique(codes).astype(np.int32)
@@ -140,14 +195,45 @@ def _blocks(batches: Iterator[pa.RecordBatch], words: bool) -> Iterator[pa.Recor
         yield from flush()
 
 
+def _dealer(buckets: int):
+    """Lists as rows (bucket, block, value: the keys and words of the block in the bucket)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, first, value in zip(*(batch.column(c).to_pylist() for c in ("block", "key", "value")), strict=True):
+                words = _words_of(*_unpacked(value))
+                bucket = np.array([zlib.crc32(w) % buckets for w in words.cast(pa.large_binary()).to_pylist()])
+                order = np.argsort(bucket, kind="stable")
+                names, at = np.unique(bucket[order], return_index=True)
+                made = []
+                for a, b in zip(at, [*at[1:], len(order)], strict=True):
+                    which = order[a:b]
+                    made.append(_packed(_short(np.diff(which, prepend=-first))[0], *_pack_words(words, which)))
+                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.full(len(names), block, np.int64)), pa.array(made, pa.binary())], ["bucket", "block", "value"])
+
+    return run
+
+
 def _encoder(path: str):
+    """Buckets of the table of distinct words: each word is encoded once, and its ids go to every block that has it (value: keys, sizes, ids)."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for batch in batches:
-            for i in range(0, batch.num_rows, 20_000):
-                words = batch.column("value").slice(i, 20_000)
-                found = t.encode_batch_fast(words.cast(pa.string()).to_pylist(), add_special_tokens=False)
-                yield pa.RecordBatch.from_arrays([words, pa.array([np.array(e.ids, "<u4").tobytes() for e in found], pa.binary())], ["value", "ids"])
+        for table in groups(batches, ["bucket"]):
+            parts = [_unpacked(v) for v in table.column("value").to_pylist()]
+            lists = [_words_of(size, raw) for _, size, raw in parts]
+            ends = np.cumsum([len(x) for x in lists])
+            coded = pa.concat_arrays(lists).dictionary_encode()
+            code, words = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+            found = []
+            for i in range(0, len(words), 20_000):
+                found += [np.array(e.ids, "<u4") for e in t.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
+            at, flat = np.concatenate([[0], np.cumsum([len(x) for x in found])]), np.concatenate(found)
+            made = []
+            for (keys, _, _), end, words in zip(parts, ends, lists, strict=True):
+                ids, size = _gather(flat, at, code[end - len(words) : end])
+                made.append(_packed(keys, _short(size)[0], _short(ids)[0]))
+            yield pa.RecordBatch.from_arrays([table.column("block").combine_chunks(), pa.array(made, pa.binary())], ["block", "value"])
 
     return run
 
@@ -171,14 +257,22 @@ def _gather(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.nda
 class _Lists:
     """A block's list, from its rows: for each key a slice of one array."""
 
-    def __init__(self, batches: list[pa.RecordBatch], kind: str):
-        key = np.concatenate([b.column("key").to_numpy(zero_copy_only=False) for b in batches] or [np.zeros(0, int)]).astype(np.int64)
-        data = [v or b"" for b in batches for v in b.column("value").to_pylist()]
+    def __init__(self, batches: list[pa.RecordBatch], words: bool):
+        if words:  # many keys and their ids are a row's value
+            parts = [_unpacked(v) for b in batches for v in b.column("value").to_pylist()]
+            key = np.concatenate([np.cumsum(_long(k)) for k, _, _ in parts] or [np.zeros(0, np.int64)])
+            sizes = np.concatenate([_long(n) for _, n, _ in parts] or [np.zeros(0, np.int64)])
+            flat = np.concatenate([_long(x) for _, _, x in parts] or [np.zeros(0, np.int64)]).astype(np.int32)
+        else:
+            data = [v for b in batches for v in b.column("value").to_pylist()]
+            key = np.concatenate([b.column("key").to_numpy(zero_copy_only=False) for b in batches] or [np.zeros(0, np.int64)]).astype(np.int64)
+            sizes, flat = np.array([len(v) for v in data], np.int64), np.frombuffer(b"".join(data), np.uint8)
         order = np.argsort(key, kind="stable")
+        ends = np.concatenate([[0], np.cumsum(sizes)])
+        self.flat = _gather(flat, ends, order)[0]
         size = np.zeros(int(key.max()) + 1 if len(key) else 0, np.int64)
-        size[key] = [len(v) for v in data]
-        self.flat = np.frombuffer(b"".join(data[k] for k in order.tolist()), kind)
-        self.at = np.concatenate([[0], np.cumsum(size)]) // np.dtype(kind).itemsize
+        size[key] = sizes
+        self.at = np.concatenate([[0], np.cumsum(size)])
 
     def put(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What the keys stand for, joined, and how much each gave; a key that isn't listed gives nothing."""
@@ -209,7 +303,7 @@ def _assembler(encode: bool, decode: bool, digest: bool):
                     lists[int(kind[a])].append(part)
                     continue
                 if words is None:
-                    words, pieces = _Lists(lists[LISTED], "<u4") if encode else None, _Lists(lists[PIECE], "u1") if decode else None
+                    words, pieces = _Lists(lists[LISTED], True) if encode else None, _Lists(lists[PIECE], False) if decode else None
                     lists = {LISTED: [], PIECE: []}
                 data = part.column("value").to_pylist()
                 i = 0
@@ -222,9 +316,9 @@ def _assembler(encode: bool, decode: bool, digest: bool):
                     i = j
 
     def documents(doc: pa.Array, data: list[bytes], words: _Lists | None, pieces: _Lists | None) -> pa.RecordBatch:
-        codes = [_codes_of(x) for x in data]
-        at = np.concatenate([[0], np.cumsum([len(x) for x in codes])])
-        ids = np.concatenate(codes).astype(np.int64)
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in data])])
+        raw = np.frombuffer(b"".join(data), np.uint8)
+        ids, at = _long(raw), np.concatenate([[0], np.cumsum(raw < 0x80)])[ends]
         if words:
             ids, size = words.put(ids)
             at = np.concatenate([[0], np.cumsum(size)])[at]
@@ -250,10 +344,13 @@ def _split(docs: DataFrame, path: str) -> DataFrame:
 
 
 def _encoded_lists(blocks: DataFrame, path: str) -> DataFrame:
-    """The blocks' lists with the ids of each word (as bytes) for the word: every distinct word is encoded once."""
+    """The blocks' lists with ids for words: (block, kind, value), a row for each bucket of the table of distinct words that the block has a word in."""
     listed = blocks.where(f"kind = {LISTED}").select("block", "key", "value")
-    table = listed.select("value").distinct().mapInArrow(_encoder(path), "value binary, ids binary")
-    return listed.join(table, "value").select("block", F.lit(LISTED).alias("kind"), "key", F.col("ids").alias("value"))
+    # how many words the lists have follows from their last rows; the table has buckets in proportion
+    total = listed.groupBy("block").agg(F.max("key").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
+    buckets = max(64, -(-(total[0] + total[1] * LISTED_WORDS) // BUCKET_WORDS))
+    dealt = listed.mapInArrow(_dealer(buckets), "bucket long, block long, value binary").repartition("bucket").sortWithinPartitions("bucket")
+    return dealt.mapInArrow(_encoder(path), "block long, value binary").withColumn("kind", F.lit(LISTED))
 
 
 def _pieces(keyed: DataFrame, path: str) -> DataFrame:
@@ -292,14 +389,12 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
 
 def _distinct_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, id) of lists (block, value: ids as bytes), each once a batch."""
+    """(block, id) of lists with ids (block, value), each once a batch."""
     for batch in batches:
-        data = batch.column("value").to_pylist()
-        ids = np.frombuffer(b"".join(data), "<u4").astype(np.int64)
-        block = np.repeat(batch.column("block").to_numpy(), [len(x) // 4 for x in data])
-        names, place = np.unique(block, return_inverse=True)
-        pair = np.unique(place << 32 | ids)
-        yield pa.RecordBatch.from_arrays([pa.array(names[pair >> 32]), pa.array((pair & 0xFFFFFFFF).astype(np.int32))], ["block", "id"])
+        ids = [np.unique(_long(_unpacked(v)[2])) for v in batch.column("value").to_pylist()]
+        names, place = np.unique(batch.column("block").to_numpy(), return_inverse=True)
+        pair = np.unique(np.repeat(place, [len(x) for x in ids]) << 32 | np.concatenate(ids)) if ids else np.zeros(0, np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(names[pair >> 32], pa.int64()), pa.array((pair & 0xFFFFFFFF).astype(np.int32))], ["block", "id"])
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:

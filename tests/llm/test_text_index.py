@@ -227,6 +227,13 @@ def test_bpe_of_tables(spark):
     assert len(got) == docs.count() and bpe_codec.digests(docs.limit(0), BPE).count() == 0 == bpe_codec.encode(docs.limit(0), BPE).count()
 
 
+def test_short_numbers():
+    n = np.array([0, 1, 127, 128, 16_383, 16_384, 2_097_151, 2_097_152, 2**28 - 1])
+    data, size = bpe_codec._short(n)
+    assert bpe_codec._long(data).tolist() == n.tolist() and size.tolist() == [1, 1, 1, 2, 2, 3, 3, 4, 4]
+    assert len(bpe_codec._long(bpe_codec._short(n[:0])[0])) == 0
+
+
 def test_bpe_blocks_split_anywhere(monkeypatch):
     """A block ends between any two rows, and one row may be larger than a block."""
     monkeypatch.setattr(bpe_codec, "BLOCK_WORDS", 5)
@@ -237,7 +244,8 @@ def test_bpe_blocks_split_anywhere(monkeypatch):
     for b in bpe_codec._blocks(iter([batch.slice(0, 4), batch.slice(4)]), True):
         for r in b.to_pylist():
             if r["kind"] == bpe_codec.LISTED:
-                listed[r["block"], r["key"]] = r["value"].decode()
+                words = bpe_codec._words_of(*bpe_codec._unpacked(r["value"])).to_pylist()
+                listed |= {(r["block"], r["key"] + i): w for i, w in enumerate(words)}
             else:
-                back[r["doc_id"]] = [listed[r["block"], c] for c in bpe_codec._codes_of(r["value"]).tolist()]
+                back[r["doc_id"]] = [listed[r["block"], c] for c in bpe_codec._long(np.frombuffer(r["value"], np.uint8)).tolist()]
     assert back == {i: x or [] for i, x in enumerate(items)} and len({b for b, _ in listed}) > 1
