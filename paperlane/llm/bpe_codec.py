@@ -7,7 +7,7 @@ where the tokenizers library encodes it once and its ids go back to each block.
 ids take the places of codes. Decoding is the same with ids for codes: a block's distinct ids are joined to the table of
 pieces, and the pieces take the places of the ids.
 
-What is shuffled is packed: many words, or a row's codes, are one binary value, with small numbers in few bytes.
+What is shuffled is packed: many words, or the codes of many rows, are one compressed value, with small numbers in few bytes.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from .bytetext import groups, text_buffer
 from .graph import stored
 
 #: A block ends when it has so many words; one row's are never parted.
-BLOCK_WORDS = 5_000_000
+BLOCK_WORDS = 4_000_000
 #: Words of a bucket of the table of distinct words, all blocks' copies counted.
 BUCKET_WORDS = 400_000
 #: Words of a list in one row.
@@ -40,7 +40,7 @@ WORD = rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{SPACE}\p{{L}}\p{{N}
 
 #: What a row of a block is; a block's lists come before its documents.
 LISTED, PIECE, DOCUMENT = 0, 1, 2
-_BLOCK = "block long, kind int, key int, value binary, doc_id long, row int"
+_BLOCK = "block long, kind int, key int, value binary"
 
 #: A Python worker's tokenizers, which outlive its tasks.
 _loaded: dict[str, object] = {}
@@ -112,11 +112,13 @@ def _long(data: np.ndarray) -> np.ndarray:
 
 
 def _packed(*parts: np.ndarray) -> bytes:
-    """Arrays of bytes as one value."""
-    return np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(p.tobytes() for p in parts)
+    """Arrays of bytes as one compressed value."""
+    raw = np.array([len(parts), *map(len, parts)], "<u4").tobytes() + b"".join(p.tobytes() for p in parts)
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, "zstd", asbytes=True)
 
 
 def _unpacked(value: bytes) -> list[np.ndarray]:
+    value = pa.decompress(value[8:], int.from_bytes(value[:8], "little"), "zstd", asbytes=True)
     n = int.from_bytes(value[:4], "little")
     ends = 4 * (n + 1) + np.cumsum(np.frombuffer(value, "<u4", n, 4)).astype(int)
     return [np.frombuffer(value, np.uint8, b - a, a) for a, b in zip([4 * (n + 1), *ends[:-1]], ends, strict=True)]
@@ -134,17 +136,20 @@ def _words_of(size: np.ndarray, raw: np.ndarray) -> pa.Array:
     return pa.Array.from_buffers(pa.large_string(), len(at) - 1, [None, pa.py_buffer(at), pa.py_buffer(raw.tobytes())])
 
 
-def _codes(codes: np.ndarray, at: np.ndarray) -> pa.Array:
-    """The codes of each row as a value."""
-    data, size = _short(codes)
-    ends = np.concatenate([[0], np.cumsum(size)])[at]
-    return pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(ends.astype(np.int64)), pa.py_buffer(data.tobytes())]).cast(pa.binary())
+def _pack_documents(doc: pa.Array, codes: np.ndarray, at: np.ndarray) -> Iterator[bytes]:
+    """The ids and codes of documents, some at once, as values."""
+    ids, none = doc.fill_null(0).to_numpy(), doc.is_null().to_numpy(zero_copy_only=False)
+    i = 0
+    while i < len(ids):
+        j = max(i + 1, int(np.searchsorted(at, at[i] + ASSEMBLED, "right")) - 1)
+        yield _packed(ids[i:j].view(np.uint8), none[i:j].view(np.uint8), _short(np.diff(at[i : j + 1]))[0], _short(codes[at[i] : at[j]])[0])
+        i = j
 
 
-def _rows(block: int, kind: int, n: int, **columns: pa.Array) -> pa.RecordBatch:
-    types = {"key": pa.int32(), "value": pa.binary(), "doc_id": pa.int64(), "row": pa.int32()}
-    made = [pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, kind, np.int32))]
-    return pa.RecordBatch.from_arrays(made + [columns[c] if c in columns else pa.nulls(n, t) for c, t in types.items()], ["block", "kind", *types])
+def _rows(block: int, kind: int, values: list | pa.Array, key: np.ndarray | None = None) -> pa.RecordBatch:
+    n = len(values)
+    made = [pa.array(np.full(n, block, np.int64)), pa.array(np.full(n, kind, np.int32)), pa.nulls(n, pa.int32()) if key is None else pa.array(key, pa.int32()), pa.array(values, pa.binary())]
+    return pa.RecordBatch.from_arrays(made, ["block", "kind", "key", "value"])
 
 
 def _blocks(batches: Iterator[pa.RecordBatch], words: bool) -> Iterator[pa.RecordBatch]:
@@ -168,15 +173,13 @@ def _blocks(batches: Iterator[pa.RecordBatch], words: bool) -> Iterator[pa.Recor
             place[order] = np.arange(len(order))
             codes = place[codes]
             values = [_packed(*_pack_words(listed, order[i : i + LISTED_WORDS])) for i in range(0, len(order), LISTED_WORDS)]
-            yield _rows(block, LISTED, len(values), key=pa.array(np.arange(0, len(order), LISTED_WORDS, dtype=np.int32)), value=pa.array(values, pa.binary()))
+            yield _rows(block, LISTED, values, np.arange(0, len(order), LISTED_WORDS))
         else:
             codes = flat.combine_chunks().to_numpy(zero_copy_only=False)
-            found = np.unique(codes).astype(np.int32)
-            yield _rows(block, LISTED, len(found), key=pa.array(found))
-        doc = pa.concat_arrays([b.column("doc_id") for b in held])
-        for i in range(0, len(doc), 2000):
-            j = min(i + 2000, len(doc))
-            yield _rows(block, DOCUMENT, j - i, value=_codes(codes[at[i] : at[j]], at[i : j + 1] - at[i]), doc_id=doc[i:j], row=pa.array(np.arange(i, j, dtype=np.int32)))
+            found = np.unique(codes)
+            yield _rows(block, LISTED, pa.nulls(len(found), pa.binary()), found)
+        for value in _pack_documents(pa.concat_arrays([b.column("doc_id") for b in held]), codes, at):
+            yield _rows(block, DOCUMENT, [value])
 
     for batch in batches:
         batch = batch.set_column(1, "items", batch.column("items").cast(pa.large_list(pa.large_string() if words else pa.int32())))
@@ -305,20 +308,12 @@ def _assembler(encode: bool, decode: bool, digest: bool):
                 if words is None:
                     words, pieces = _Lists(lists[LISTED], True) if encode else None, _Lists(lists[PIECE], False) if decode else None
                     lists = {LISTED: [], PIECE: []}
-                data = part.column("value").to_pylist()
-                i = 0
-                while i < len(data):
-                    j, n = i + 1, len(data[i])
-                    while j < len(data) and n + len(data[j]) <= ASSEMBLED:
-                        n += len(data[j])
-                        j += 1
-                    yield documents(part.column("doc_id").slice(i, j - i), data[i:j], words, pieces)
-                    i = j
-
-    def documents(doc: pa.Array, data: list[bytes], words: _Lists | None, pieces: _Lists | None) -> pa.RecordBatch:
-        ends = np.concatenate([[0], np.cumsum([len(x) for x in data])])
-        raw = np.frombuffer(b"".join(data), np.uint8)
-        ids, at = _long(raw), np.concatenate([[0], np.cumsum(raw < 0x80)])[ends]
+                for value in part.column("value").to_pylist():
+                    yield documents(*_unpacked(value), words, pieces)
+
+    def documents(doc: np.ndarray, none: np.ndarray, sizes: np.ndarray, codes: np.ndarray, words: _Lists | None, pieces: _Lists | None) -> pa.RecordBatch:
+        doc = pa.array(doc.view(np.int64), pa.int64(), mask=none.astype(bool))
+        ids, at = _long(codes), np.concatenate([[0], np.cumsum(_long(sizes))])
         if words:
             ids, size = words.put(ids)
             at = np.concatenate([[0], np.cumsum(size)])[at]
@@ -363,7 +358,7 @@ def _together(parts: list[DataFrame], encode: bool, decode: bool, digest: bool)
     rows = parts[0]
     for p in parts[1:]:
         rows = rows.unionByName(p, allowMissingColumns=True)
-    return rows.select("block", "kind", "key", "value", "doc_id").repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
+    return rows.select("block", "kind", "key", "value").repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
@@ -388,12 +383,19 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     return _together([_pieces(listed, path), blocks.where(f"kind = {DOCUMENT}")], False, True, False)
 
 
-def _distinct_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, id) of lists with ids (block, value), each once a batch."""
+def _some_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, value: the distinct ids, packed) of each row of lists with ids (block, value)."""
     for batch in batches:
-        ids = [np.unique(_long(_unpacked(v)[2])) for v in batch.column("value").to_pylist()]
-        names, place = np.unique(batch.column("block").to_numpy(), return_inverse=True)
-        pair = np.unique(np.repeat(place, [len(x) for x in ids]) << 32 | np.concatenate(ids)) if ids else np.zeros(0, np.int64)
+        found = [_packed(_short(np.diff(np.unique(_long(_unpacked(v)[2])), prepend=0))[0]) for v in batch.column("value").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(found, pa.binary())], ["block", "value"])
+
+
+def _block_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(block, id), each once, of rows of _some_ids() sorted by block."""
+    for table in groups(batches, ["block"]):
+        names, place = np.unique(table.column("block").to_numpy(), return_inverse=True)
+        ids = [np.cumsum(_long(_unpacked(v)[0])) for v in table.column("value").to_pylist()]
+        pair = np.unique(np.repeat(place, [len(x) for x in ids]) << 32 | np.concatenate(ids))
         yield pa.RecordBatch.from_arrays([pa.array(names[pair >> 32], pa.int64()), pa.array((pair & 0xFFFFFFFF).astype(np.int32))], ["block", "id"])
 
 
@@ -404,5 +406,6 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
     """
     blocks = _split(docs, path)
     lists = _encoded_lists(blocks, path)
-    ids = lists.select("block", "value").mapInArrow(_distinct_ids, "block long, id int").distinct()
+    some = lists.select("block", "value").mapInArrow(_some_ids, "block long, value binary")
+    ids = some.repartition("block").sortWithinPartitions("block").mapInArrow(_block_ids, "block long, id int")
     return _together([lists, _pieces(ids, path), blocks.where(f"kind = {DOCUMENT}")], True, True, True)

@@ -247,5 +247,8 @@ def test_bpe_blocks_split_anywhere(monkeypatch):
                 words = bpe_codec._words_of(*bpe_codec._unpacked(r["value"])).to_pylist()
                 listed |= {(r["block"], r["key"] + i): w for i, w in enumerate(words)}
             else:
-                back[r["doc_id"]] = [listed[r["block"], c] for c in bpe_codec._long(np.frombuffer(r["value"], np.uint8)).tolist()]
+                ids, _, sizes, codes = bpe_codec._unpacked(r["value"])
+                words = [listed[r["block"], c] for c in bpe_codec._long(codes).tolist()]
+                for doc, size in zip(ids.view(np.int64).tolist(), bpe_codec._long(sizes).tolist(), strict=True):
+                    back[doc], words = words[:size], words[size:]
     assert back == {i: x or [] for i, x in enumerate(items)} and len({b for b, _ in listed}) > 1
