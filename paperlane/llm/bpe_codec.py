@@ -31,8 +31,8 @@ BLOCK_WORDS = 4_000_000
 BUCKET_WORDS = 400_000
 #: Words of a list in one row.
 LISTED_WORDS = 500_000
-#: Ids that are put in the places of codes at once.
-ASSEMBLED = 1_000_000
+#: Words whose ids are put in their places at once; one row's are never parted.
+ASSEMBLED = 200_000
 
 # White space, and how byte-level tokenizers cut a text to words.
 SPACE = r"\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
