@@ -52,6 +52,7 @@ def stem_sql(w: str) -> str:
     return out + f" ELSE {w} END"
 
 
+# Fixed value: what a word is.
 TOKEN = r"[a-z0-9]++(?:['’\-]++[a-z0-9]++)*+"
 
 
@@ -142,26 +143,64 @@ def score_bar(score: Column) -> Column:
     return F.least(F.lit(100), F.greatest(F.lit(6), F.round(score / 8 * 100)))
 
 
+def _typed(body: Column, path: str, kind: str) -> Column:
+    """What body, parsed JSON, has at path, if it is of that kind; else null."""
+    found = F.try_variant_get(body, path, "variant")
+    return F.when(F.startswith(F.schema_of_variant(found), F.lit(kind)), found)
+
+
+def _string(body: Column, path: str) -> Column:
+    return F.try_variant_get(_typed(body, path, "STRING"), "$", "string")
+
+
 def event_text(body: Column) -> Column:
-    """The text in one event of a language model's stream, whichever protocol it speaks."""
-    get = F.get_json_object
-    return F.when(get(body, "$.message").isNotNull(), F.coalesce(get(body, "$.message.content"), F.lit(""))).otherwise(
-        F.coalesce(get(body, "$.response"), get(body, "$.choices[0].delta.content"), get(body, "$.choices[0].text"), get(body, "$.choices[0].message.content"), F.lit(""))
-    )
+    """The text in one event of a language model's stream, whichever protocol it speaks; of a body that isn't a JSON object, none.
+
+    The body is parsed once; what a value is is asked of the value, not of its text. A message that is an object counts even if it is
+    empty, so does a response that is a string; of the first choice, the first text that isn't empty counts.
+    """
+    v = F.try_parse_json(body)
+    first = [F.nullif(_string(v, f"$.choices[0].{x}"), F.lit("")) for x in ("delta.content", "text", "message.content")]
+    out = F.when(_typed(v, "$.message", "OBJECT").isNotNull(), F.coalesce(_string(v, "$.message.content"), F.lit(""))).otherwise(F.coalesce(_string(v, "$.response"), *first, F.lit("")))
+    return F.when(_typed(v, "$", "OBJECT").isNotNull(), out).otherwise("")
+
+
+# What comes before the text in a broken line, and what the letter after a backslash stands for.
+SALVAGED = r'(?U)"(?:content|response|text)"\s*:\s*"'
+ESCAPES = {"n": "\n", "t": "\t", "r": "\r", "b": "\b", "f": "\f"}
 
 
 def salvaged_text(body: Column) -> Column:
-    """The first content, response or text string of a broken JSON line."""
-    raw = F.regexp_extract(body, r'"(?:content|response|text)"\s*:\s*"((?:\\.|[^"\\])*)', 1)
-    return F.replace(F.replace(F.replace(raw, F.lit("\\n"), F.lit("\n")), F.lit('\\"'), F.lit('"')), F.lit("\\\\"), F.lit("\\"))
+    """The first content, response or text string of a broken JSON line, up to its closing quote or the line's end.
+
+    One pass from left to right over escapes, plain stretches and quotes: a backslash takes the one character after it.
+    """
+    rest = F.regexp_replace(body, rf"(?s)^.*?{SALVAGED}", "")
+    parts = F.regexp_extract_all(F.when(body.rlike(SALVAGED), rest).otherwise(""), F.lit(r'(?s)\\.|[^"\\]+|["\\]'), F.lit(0))
+    end = F.array_position(parts, F.lit('"')).cast("int")
+    said = F.slice(parts, F.lit(1), F.when(end > 0, end - 1).otherwise(F.size(parts)))
+
+    def plain(x: Column) -> Column:
+        after = F.substr(x, F.lit(2))
+        out = after
+        for letter, char in ESCAPES.items():
+            out = F.when(after == letter, char).otherwise(out)
+        return F.when(F.startswith(x, F.lit("\\")) & (after != ""), out).otherwise(x)
+
+    return F.array_join(F.transform(said, plain), "")
 
 
 def salvaged_error(body: Column) -> Column:
-    """What went wrong, from a service's error body: its error's message, its error text, or the body itself; 200 characters."""
-    good = F.try_parse_json(body).isNotNull()
-    error = F.get_json_object(F.when(good, body), "$.error")
-    inner = F.when(error.startswith("{"), F.coalesce(F.get_json_object(error, "$.message"), F.lit("")))
-    return F.substring(F.coalesce(inner, F.when(~error.rlike("^[\\[0-9tfn-]"), error), F.trim(body)), 1, 200)
+    """What went wrong, from a service's error body: its error's message, its error text, or the body itself; 200 characters.
+
+    A message that is no string is as it would be printed: None, True, a number; a list or an object as JSON.
+    """
+    v = F.try_parse_json(body)
+    message = F.try_variant_get(v, "$.error.message", "variant")
+    kind = F.schema_of_variant(message)
+    printed = F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(F.to_json(message))).when(kind == "STRING", F.try_variant_get(message, "$", "string")).otherwise(F.to_json(message))
+    inner = F.when(_typed(v, "$.error", "OBJECT").isNotNull(), F.coalesce(printed, F.lit("")))
+    return F.substring(F.coalesce(inner, _string(v, "$.error"), F.regexp_replace(body, r"(?U)^\s+|\s+$", "")), 1, 200)
 
 
 def port_of(url: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions import text as T
 from . import passages as P, retrieve
+from .index import index_of
 
 KEYWORDS, SUMMARY_KEYWORDS, LABELS, OPENING_WORDS = 12, 8, 6, 60
 
@@ -32,24 +33,21 @@ def openings(pages: DataFrame) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.coalesce(F.min("first")["o"], F.lit("")).alias("opening"), F.transform(labels, lambda x: x["label"]).alias("labels"))
 
 
-def _own_hits(questions: DataFrame, parts: DataFrame, limit: int) -> DataFrame:
-    """(doc_id, passage_idx, rank) of questions (doc_id, question), each asked of its own document; its terms are stemmed as any question's are."""
-    asked = questions.select("doc_id", F.posexplode(F.array_distinct(T.tokens("question"))).alias("pos", "term"))
-    n_terms = asked.groupBy("doc_id").agg(F.count("*").alias("n_terms"))
-    weighed = P.term_matches(parts, asked.select("doc_id", "term")).join(asked, ["doc_id", "term"]).withColumn("s", retrieve.bm25())
-    sums = weighed.groupBy("doc_id", "passage_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "s"))).alias("m"))
-    scored = sums.join(n_terms, "doc_id").withColumn("score", F.aggregate("m", F.lit(0.0), lambda a, x: a + x["s"]) * (0.6 + 0.4 * F.size("m") / F.col("n_terms")))
-    order = Window.partitionBy("doc_id").orderBy(F.desc(F.round("score", 9)), F.col("m")[0]["pos"], "passage_idx")
-    return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("doc_id", "passage_idx", "rank")
+def _own_hits(questions: DataFrame, pages: DataFrame, limit: int, one_page: bool) -> DataFrame:
+    """(doc_id, passage_idx, rank, score) of questions (doc_id, question), each asked of its own document as any question is."""
+    terms = retrieve.question_terms(questions.withColumn("query_id", F.col("doc_id")), "doc_id")
+    index = index_of(pages, one_page, terms.select("doc_id", "term"))
+    return retrieve.ranked(terms, index, limit).select("doc_id", "passage_idx", "rank", "score")
 
 
 def summary_hits(pages: DataFrame, limit: int = 5, one_page: bool = False, titles: DataFrame | None = None) -> DataFrame:
-    """(doc_id, passage_idx, rank): the passages that a summary is written from, found by the document's own first keywords; failing that, by its title in titles (doc_id, title); failing that, the first three."""
-    parts = P.passages(pages, one_page=one_page)
+    """(doc_id, passage_idx, rank, score): the passages that a summary is written from, found by the document's own first keywords; failing that, by its title in titles (doc_id, title); failing that, the first three, whose score is 0."""
     terms = keywords(pages, SUMMARY_KEYWORDS).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k"))
-    found = _own_hits(terms.select("doc_id", F.array_join(F.transform("k", lambda x: x["term"]), " ").alias("question")), parts, limit)
+    found = _own_hits(terms.select("doc_id", F.array_join(F.transform("k", lambda x: x["term"]), " ").alias("question")), pages, limit, one_page)
     if titles is not None:
         left = titles.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
-        found = found.unionByName(_own_hits(left.select("doc_id", F.col("title").alias("question")), parts, limit))
-    rest = parts.where("passage_idx < 3").join(found.select("doc_id").distinct(), "doc_id", "left_anti").select("doc_id", "passage_idx", (F.col("passage_idx") + 1).alias("rank"))
+        some = pages.join(left.select("doc_id"), "doc_id", "left_semi")
+        found = found.unionByName(_own_hits(left.select("doc_id", F.col("title").alias("question")), some, limit, one_page))
+    bare = pages.join(found.select("doc_id").distinct(), "doc_id", "left_anti")
+    rest = P.passages(bare, one_page=one_page).where("passage_idx < 3").select("doc_id", "passage_idx", (F.col("passage_idx") + 1).alias("rank"), F.lit(0.0).alias("score"))
     return found.unionByName(rest)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 
-# What a language model is told.
+#: What a language model is told.
 ANSWER_RULES = "Answer only from the numbered extracts of the document. Say on which page you found it. If the answer is not there, say that you could not find that in your document."
 SUMMARY_RULES = "Summarise the document from the numbered extracts alone, in plain words."
 
@@ -36,36 +36,89 @@ def extract_blocks(hits: DataFrame) -> DataFrame:
     return blocks.select("query_id", "doc_id", F.array_join(F.transform("x", lambda x: x["b"]), "\n\n").alias("extracts"))
 
 
-def messages(extracts: DataFrame, questions: DataFrame | None = None) -> DataFrame:
-    """(query_id, doc_id, messages array<struct<role, content>>) for a model: with questions to answer, without them to summarise."""
+def messages(extracts: DataFrame, questions: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """(query_id, doc_id, messages array<struct<role, content>>) for a model: with questions to answer, without them to summarise.
+
+    names (doc_id, name) has what the document is called; one without a name is called “the document”.
+    """
     if questions is None:
-        rows, rules, body = extracts, SUMMARY_RULES, F.concat(F.lit("Extracts:\n\n"), "extracts")
+        rows, rules, tail = extracts, SUMMARY_RULES, F.lit("")
     else:
-        rows, rules, body = extracts.join(questions, "query_id"), ANSWER_RULES, F.concat(F.lit("Extracts:\n\n"), "extracts", F.lit("\n\nQuestion: "), F.trim(F.substring("question", 1, 500)))
-    pair = F.array(F.struct(F.lit("system").alias("role"), F.lit(rules).alias("content")), F.struct(F.lit("user").alias("role"), body.alias("content")))
+        rows, rules = extracts.join(questions, "query_id"), ANSWER_RULES
+        tail = F.concat(F.lit("\n\nQuestion: "), F.trim(F.substring("question", 1, 500)))
+    rows = rows.withColumn("name", F.lit(None).cast("string")) if names is None else rows.join(names.select("doc_id", "name"), "doc_id", "left")
+    head = F.concat(F.lit("Extracts from “"), F.coalesce("name", F.lit("the document")), F.lit("”"))
+    # a summary is told that the beginning comes first
+    head = F.concat(head, F.lit(" (its beginning, then the parts that stand for it best):\n\n" if questions is None else ":\n\n"))
+    pair = F.array(F.struct(F.lit("system").alias("role"), F.lit(rules).alias("content")), F.struct(F.lit("user").alias("role"), F.concat(head, "extracts", tail).alias("content")))
     return rows.select("query_id", "doc_id", pair.alias("messages"))
 
 
-def answer_events(asked: DataFrame, hits: DataFrame, answers: DataFrame) -> DataFrame:
+def answer_events(asked: DataFrame, hits: DataFrame, answers: DataFrame, confidence: DataFrame | None = None, engines: DataFrame | None = None) -> DataFrame:
     """(query_id, doc_id, seq, type, payload): the events of answering each pair of asked (query_id, doc_id) with answers (query_id, doc_id, answer, supported).
 
-    found comes first, with the number of hits. Without hits a note and an unfinished end follow; with hits and no answer (no model)
-    no_engine and an unfinished end; else the answer, or a note if it is empty, a warning if it isn't supported, and the end.
+    found comes first; its payload is JSON: the hits (rank, label, score, and snippet if hits have one), best first, and the pair's confidence
+    (found, coverage, score, reason), if given. Without hits a note and an unfinished end follow; with hits and no answer, or no engine in
+    engines (query_id, doc_id, name, model), if given, no_engine and an unfinished end. Else engine, with its name and model as JSON, the answer, or
+    a note if it is empty, a warning if it isn't supported, and the end.
     """
     keys = ["query_id", "doc_id"]
-    best = hits.groupBy(*keys).agg(F.count("*").alias("n"))
-    rows = asked.select(*keys).distinct().join(best, keys, "left").join(answers, keys, "left").withColumn("n", F.coalesce("n", F.lit(0)))
+    columns = [c for c in ("rank", "label", "score", "snippet") if c in hits.columns]
+    best = hits.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*columns))).alias("hits"))
+    rows = asked.select(*keys).distinct().join(best, keys, "left").join(answers, keys, "left")
+    parts = [F.coalesce("hits", F.array().cast(best.schema["hits"].dataType)).alias("hits")]
+    if confidence is not None:
+        told = confidence.select(*keys, F.struct("found", "coverage", "score", "reason").alias("confidence"))
+        rows, parts = rows.join(told, keys, "left"), [*parts, F.col("confidence")]
+    if engines is not None:
+        rows = rows.join(engines.select(*keys, F.struct("name", "model").alias("engine")), keys, "left")
+    rows = rows.withColumn("n", F.coalesce(F.size("hits"), F.lit(0)))
 
     def event(kind: str, payload: Column, when: Column) -> Column:
         return F.when(when, F.struct(F.lit(kind).alias("type"), payload.cast("string").alias("payload")))
 
-    none, silent = F.col("n") == 0, (F.col("n") > 0) & F.col("answer").isNull()
-    told = (F.col("n") > 0) & F.col("answer").isNotNull()
-    blank = F.col("answer") == ""
-    events = F.array_compact(F.array(event("found", F.col("n"), F.lit(True)), event("note", F.lit("nothing found"), none), event("no_engine", F.lit(""), silent), event("answer", F.col("answer"), told & ~blank), event("note", F.lit("nothing was answered"), told & blank), event("unsupported", F.lit(""), told & ~F.coalesce("supported", F.lit(True))), event("done", told, F.lit(True))))
+    able = F.col("answer").isNotNull() if engines is None else F.col("answer").isNotNull() & F.col("engine").isNotNull()
+    none, silent, told, blank = F.col("n") <= 0, (F.col("n") > 0) & ~able, (F.col("n") > 0) & able, F.col("answer") == ""
+    named = [] if engines is None else [event("engine", F.to_json("engine"), told)]
+    events = F.array_compact(F.array(event("found", F.to_json(F.struct(*parts)), F.lit(True)), event("note", F.lit("nothing found"), none), event("no_engine", F.lit(""), silent), *named, event("answer", F.col("answer"), told & ~blank), event("note", F.lit("nothing was answered"), told & blank), event("unsupported", F.lit(""), told & ~F.coalesce("supported", F.lit(True))), event("done", told, F.lit(True))))
     return rows.select(*keys, F.posexplode(events).alias("seq", "e")).select(*keys, "seq", "e.type", "e.payload")
 
 
+ANSWER_SENTENCES = 3
+
+
+def extractive_answers(questions: DataFrame, hits: DataFrame, limit: int = ANSWER_SENTENCES) -> DataFrame:
+    """(query_id, doc_id, answer, sentences array<struct<rank, pos, sentence>>): for each pair with hits, sentences of the hits that cover the question; no model is asked.
+
+    Hits' texts are cut to sentences behind full stops, question and exclamation marks and at line ends. A question's term weighs
+    1 + ln(sentences / those that hold it), within the pair's hits. The first sentence is the one whose terms weigh most, each further one adds
+    most to the terms covered so far; ties go to the earlier sentence of the better hit. It ends at limit sentences, or when none adds anything; an
+    answer without a term is empty. Sentences are put together in the order of the hits, each with the place it comes from.
+    """
+    keys = ["query_id", "doc_id"]
+    asked = questions.select("query_id", F.array_distinct(T.tokens("question")).alias("want"))
+    cut = F.filter(F.transform(F.split("text", r"(?<=[.!?…])\s+|\n+"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: x != "")
+    rows = hits.join(asked, "query_id").select(*keys, "rank", "label", "want", F.posexplode(cut).alias("pos", "sentence"))
+    rows = rows.select(*keys, "rank", "pos", "label", "sentence", "want", F.array_intersect("want", T.tokens("sentence")).alias("has"))
+    # one row for each pair: six passages hold few sentences
+    each = rows.groupBy(*keys).agg(F.first("want").alias("want"), F.array_sort(F.collect_list(F.struct("rank", "pos", "label", "sentence", "has"))).alias("s"))
+    weight = F.transform("want", lambda t: F.struct(t.alias("t"), F.size(F.filter("s", lambda x: F.array_contains(x["has"], t))).alias("n")))
+    each = each.withColumn("w", F.map_from_entries(F.transform(F.filter(weight, lambda x: x["n"] > 0), lambda x: F.struct(x["t"], F.round(1 + F.log(F.size("s") / x["n"]), 9)))))
+    # the greedy cover is a fold over the number of sentences to take: (places taken, terms covered)
+    for _ in range(limit):
+        if "taken" not in each.columns:
+            each = each.withColumn("taken", F.array().cast("array<int>")).withColumn("covered", F.array().cast("array<string>"))
+        gain = F.transform("s", lambda x, i: F.struct(F.round(F.aggregate(F.array_except(x["has"], F.col("covered")), F.lit(0.0), lambda a, t: a + F.try_element_at("w", t)), 6).alias("g"), (-i).alias("i")))
+        each = each.withColumn("best", F.array_max(gain))
+        more = F.col("best.g") > 0
+        at = -F.col("best.i")
+        each = each.withColumn("taken", F.when(more, F.array_append("taken", at)).otherwise(F.col("taken"))).withColumn("covered", F.when(more, F.array_union("covered", F.get(F.col("s"), at)["has"])).otherwise(F.col("covered")))
+    chosen = F.transform(F.array_sort("taken"), lambda i: F.get(F.col("s"), i))
+    each = each.select(*keys, chosen.alias("c"))
+    said = F.array_join(F.transform("c", lambda x: F.concat(x["sentence"], F.lit(" ("), x["label"], F.lit(")"))), " ")
+    return each.select(*keys, said.alias("answer"), F.transform("c", lambda x: F.struct(x["rank"].alias("rank"), x["pos"].alias("pos"), x["sentence"].alias("sentence"))).alias("sentences"))
+
+
 def export_markdown(turns: DataFrame, title: str, saved: str | None = None) -> DataFrame:
     """(chat_id, markdown) of turns (chat_id, turn, question, answer, hits array<struct<label, snippet>>), with the date saved, if given.
 

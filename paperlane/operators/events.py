@@ -11,12 +11,13 @@ from ..functions import text as T
 
 
 def read_lines(lines: DataFrame) -> DataFrame:
-    """(stream_id, seq, text) of the events in lines (stream_id, seq, line): blanks skipped, ``data:`` stripped, nothing after [DONE]; broken JSON is salvaged."""
+    """(stream_id, seq, text) of the events in lines (stream_id, seq, line): blanks and events without text skipped, ``data:`` stripped, nothing after [DONE]; broken JSON is salvaged."""
     rows = lines.select("stream_id", "seq", F.trim(F.regexp_replace(F.trim("line"), r"^data:\s*", "")).alias("body")).where("body <> ''")
     end = F.min(F.when(F.col("body") == "[DONE]", F.col("seq"))).over(Window.partitionBy("stream_id"))
     rows = rows.withColumn("end", end).where("end is null or seq < end")
     good = F.expr("try_parse_json(body) is not null")
-    return rows.select("stream_id", "seq", F.when(good, T.event_text(F.when(good, F.col("body")))).otherwise(T.salvaged_text(F.col("body"))).alias("text"))
+    said = F.when(good, T.event_text(F.when(good, F.col("body")))).otherwise(T.salvaged_text(F.col("body")))
+    return rows.select("stream_id", "seq", said.alias("text")).where("text <> ''")
 
 
 def write_lines(events: DataFrame) -> DataFrame:

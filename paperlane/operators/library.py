@@ -86,6 +86,25 @@ def picked_engines(engines: DataFrame, saved: DataFrame) -> DataFrame:
     return engines.select("owner").distinct().join(chosen.select("owner", "engine").join(models, "owner"), "owner", "left")
 
 
+def engine_summary(engines: DataFrame, saved: DataFrame, machines: DataFrame) -> DataFrame:
+    """(owner, engines, ready, engine_id, engine_name, model, suggested) for each owner of engines: what a page says about the engines there are.
+
+    engines (owner, pos, id, name, ok, models, error, why, port), saved as in picked_engines(), machines (owner, ram_gb). engines and suggested are
+    arrays of structs, in order; an owner without an engine that works isn't ready, and its engine and model are empty.
+    """
+    none = lambda c, kind: F.coalesce(c, F.lit({"boolean": False, "string": "", "int": 0}[kind]).cast(kind))
+    one = F.struct("pos", "id", "name", none("ok", "boolean").alias("ok"), F.coalesce("models", F.array().cast("array<string>")).alias("models"), none("error", "string").alias("error"), none("why", "string").alias("why"), none("port", "int").alias("port"))
+    listed = F.transform(F.array_sort(F.collect_list(one)), lambda x: F.struct(*[x[c].alias(c) for c in ("id", "name", "ok", "models", "error", "why", "port")]))
+    # of engines with the same id the first gives the name
+    picked = picked_engines(engines.select("owner", "pos", "id", "ok", "models"), saved)
+    names = engines.groupBy("owner", F.col("id").alias("engine")).agg(F.min_by("name", "pos").alias("engine_name"))
+    offered = suggested_models(machines.select(F.col("owner").alias("machine"), "ram_gb")).withColumnRenamed("machine", "owner")
+    order = F.array_position(F.array(*[F.lit(n) for n, _ in SUGGESTED_MODELS]), F.col("name"))
+    offered = offered.groupBy("owner").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("k"), "name", "needs_gb", "fits"))), lambda x: F.struct(x["name"].alias("name"), x["needs_gb"].alias("needs_gb"), x["fits"].alias("fits"))).alias("suggested"))
+    rows = engines.groupBy("owner").agg(listed.alias("engines")).join(picked, "owner", "left").join(names, ["owner", "engine"], "left").join(offered, "owner", "left")
+    return rows.select("owner", "engines", F.col("engine").isNotNull().alias("ready"), none("engine", "string").alias("engine_id"), none("engine_name", "string").alias("engine_name"), none("model", "string").alias("model"), "suggested")
+
+
 def suggested_models(machines: DataFrame) -> DataFrame:
     """(machine, name, needs_gb, fits): each suggested model on each of machines (machine, ram_gb); where the memory isn't known, it fits."""
     offered = F.array(*[F.struct(F.lit(n).alias("name"), F.lit(g).alias("needs_gb")) for n, g in SUGGESTED_MODELS])
@@ -93,13 +112,14 @@ def suggested_models(machines: DataFrame) -> DataFrame:
     return rows.select("machine", "name", "needs_gb", ((F.col("ram") == 0) | (F.col("ram") >= F.col("needs_gb"))).alias("fits"))
 
 
-def suggested_questions(keywords: DataFrame) -> DataFrame:
-    """(doc_id, pos, question) from keywords (doc_id, rank, term): what it is about, up to three keywords of four letters, and general ones; five at most."""
-    terms = keywords.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.when(F.length("term") >= 4, F.struct("rank", "term")))).alias("k"))
+def suggested_questions(documents: DataFrame, keywords: DataFrame) -> DataFrame:
+    """(doc_id, pos, question) for each of documents (doc_id) from keywords (doc_id, rank, term): what it is about, up to three keywords of four letters, and general ones; five at most."""
+    terms = keywords.where(F.length("term") >= 4).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("rank", "term"))).alias("k"))
     asked = F.transform(F.slice("k", 1, 3), lambda x: F.concat(F.lit(ABOUT_KEYWORD[0]), x["term"], F.lit(ABOUT_KEYWORD[1])))
+    asked = F.coalesce(asked, F.array().cast("array<string>"))
     general = [F.lit(q) for q in GENERIC_QUESTIONS]
     every = F.slice(F.concat(F.array(general[0]), asked, F.array(*general[1:])), 1, 5)
-    return terms.select("doc_id", F.posexplode(every).alias("pos", "question"))
+    return documents.select("doc_id").distinct().join(terms, "doc_id", "left").select("doc_id", F.posexplode(every).alias("pos", "question"))
 
 
 def cleared(library: DataFrame) -> DataFrame:

@@ -32,7 +32,7 @@ def passages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, one_pag
     unit = gcd(size, step)
     blocks = F.expr(rf"regexp_extract_all(regexp_replace(text, r'\s+', ' '), r'[^ ]++(?: [^ ]++){{0,{unit - 1}}}+', 0)")
     cut = pages.select("doc_id", "page_pos", "number", "label", "text", blocks.alias("_b"))
-    words = F.when(F.size("_b") > 0, (F.size("_b") - 1) * unit + F.size(F.split(F.element_at("_b", -1), " "))).otherwise(0)
+    n = F.when(F.size("_b") > 0, (F.size("_b") - 1) * unit + F.size(F.split(F.element_at("_b", -1), " "))).otherwise(0)
     short = F.col("_n") <= size + overlap // 2
     full = F.ceil((F.col("_n") - size) / step).cast("int") + 1
     # a tail of under 30 words is dropped unless it is all there is
@@ -41,11 +41,15 @@ def passages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, one_pag
     window = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice("_b", i * (step // unit) + 1, F.lit(size // unit)), " "))
     whole = F.array(F.regexp_replace("text", r"^\s+|\s+$", ""))
     windows = F.when(F.col("_n") == 0, F.array().cast("array<string>")).when(short, whole).otherwise(window)
-    made = cut.withColumn("_n", words).select("doc_id", "page_pos", "number", "label", windows.alias("_w"))
+    cut = cut.withColumn("_n", n)
+    made = cut.select("doc_id", "page_pos", "number", "label", windows.alias("_w"))
     if one_page:
         return made.select("doc_id", "number", "label", F.posexplode_outer("_w").alias("passage_idx", "text")).where("text is not null").select("doc_id", "passage_idx", "number", "label", "text")
-    before = F.coalesce(F.sum(F.size("_w")).over(Window.partitionBy("doc_id").orderBy("page_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = made.withColumn("_before", before).select("doc_id", "number", "label", "_before", F.posexplode_outer("_w").alias("_i", "text")).where("text is not null")
+    # what is summed through a document is a number for each page; its text stays where it is
+    counted = cut.select("doc_id", "page_pos", F.when(F.col("_n") == 0, 0).when(short, 1).otherwise(count).alias("_k"))
+    before = F.coalesce(F.sum("_k").over(Window.partitionBy("doc_id").orderBy("page_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    placed = counted.select("doc_id", "page_pos", before.alias("_before"))
+    rows = made.join(placed, ["doc_id", "page_pos"]).select("doc_id", "number", "label", "_before", F.posexplode_outer("_w").alias("_i", "text")).where("text is not null")
     return rows.select("doc_id", (F.col("_before") + F.col("_i")).cast("int").alias("passage_idx"), "number", "label", "text")
 
 
@@ -56,7 +60,7 @@ def token_rows(passages_: DataFrame, stopwords: bool = False) -> DataFrame:
 
 
 def postings(passages_: DataFrame) -> DataFrame:
-    """(doc_id, term, passage_idx, tf)."""
+    """(doc_id, term, passage_idx, tf). Of passages that are partitioned by doc_id nothing is shuffled."""
     return token_rows(passages_).groupBy("doc_id", "term", "passage_idx").agg(F.count("*").alias("tf"))
 
 
@@ -81,22 +85,29 @@ def idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.select("doc_id", "term", "df", F.log(1 + (F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def term_matches(passages_: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(doc_id, passage_idx, term, tf, len, n_passages, avg_len, idf) of the postings whose term is in wanted ((term) or (doc_id, term), distinct).
+def posting_lists(pages: DataFrame, one_page: bool = False, wanted: DataFrame | None = None) -> DataFrame:
+    """(doc_id, term, df, n_passages, avg_len, hits array<struct<passage_idx, tf, len>>): what a question needs of each document's index, by term.
 
-    One pass over the tokens: of a passage's other terms only their number goes through the shuffle.
+    With wanted ((term) or (doc_id, term), distinct) only those terms have rows; of a passage's other terms only their number is kept.
+    With one_page the pages are dealt by document once, and everything else is done where they are. Else a document's pages are dealt
+    apart, and only sums meet, so that one giant document isn't one task.
     """
-    raw = passages_.select("doc_id", "passage_idx", F.explode_outer(T.raw_tokens("text")).alias("w"))
-    tokens = raw.select("doc_id", "passage_idx", F.expr(f"CASE WHEN {T.kept_sql('w')} THEN {T.stem_sql('w')} END").alias("token"))
-    asked = wanted.withColumnRenamed("term", "token").withColumn("term", F.col("token"))
-    marked = tokens.join(asked, [c for c in asked.columns if c != "term"], "left")
-    counted = marked.groupBy("doc_id", "passage_idx", "term").agg(F.count("token").alias("tf")).repartition("doc_id")
-    # from here on everything is within a document, and stays where it is
+    parts = passages(pages.repartition("doc_id") if one_page else pages, one_page=one_page)
+    raw = parts.select("doc_id", "passage_idx", F.explode_outer(T.raw_tokens("text")).alias("w"))
+    tokens = raw.select("doc_id", "passage_idx", F.expr(f"CASE WHEN {T.kept_sql('w')} THEN {T.stem_sql('w')} END").alias("term"))
+    if wanted is not None:
+        asked = wanted.withColumn("_asked", F.lit(True))
+        tokens = tokens.join(asked, wanted.columns, "left").select("doc_id", "passage_idx", F.when(F.col("_asked"), F.col("term")).alias("term"), F.col("term").isNotNull().alias("_one"))
+    else:
+        tokens = tokens.withColumn("_one", F.col("term").isNotNull())
+    counted = tokens.groupBy("doc_id", "passage_idx", "term").agg(F.sum(F.col("_one").cast("int")).alias("tf"))
     held = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))
     each = counted.groupBy("doc_id", "passage_idx").agg(F.greatest(F.sum("tf"), F.lit(1)).alias("len"), held.alias("held"))
-    document = Window.partitionBy("doc_id")
-    each = each.withColumn("n_passages", F.count("*").over(document)).withColumn("avg_len", F.avg("len").over(document))
+    if one_page:
+        document = Window.partitionBy("doc_id")
+        each = each.withColumn("n_passages", F.count("*").over(document)).withColumn("avg_len", F.avg("len").over(document))
+    else:
+        each = each.join(document_stats(each.select("doc_id", "passage_idx", "len")), "doc_id")
     rows = each.select("doc_id", "passage_idx", "len", "n_passages", "avg_len", F.inline("held"))
-    df = F.count("*").over(Window.partitionBy("doc_id", "term"))
-    rows = rows.withColumn("df", df)
-    return rows.select("doc_id", "passage_idx", "term", "tf", "len", "n_passages", "avg_len", F.log(1 + (F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
+    hit = F.struct("passage_idx", F.col("tf").cast("int").alias("tf"), F.col("len").cast("int").alias("len"))
+    return rows.groupBy("doc_id", "term").agg(F.count("*").alias("df"), F.first("n_passages").alias("n_passages"), F.first("avg_len").alias("avg_len"), F.collect_list(hit).alias("hits"))

@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
-from . import passages as P
+from .index import Index, index_of
 
 K1, B = 1.4, 0.72
+#: A phrase of more characters than this that stands in a passage raises its score.
+PHRASE, BOOST = 8, 1.8
 HITS, SNIPPET, STRIDE, QUESTION_CHARS = 6, 46, 6, 500
 
 
@@ -16,59 +18,76 @@ def bm25(tf: str = "tf") -> Column:
     return F.col("idf") * F.col(tf) * (K1 + 1) / (F.col(tf) + K1 * (1 - B + B * F.col("len") / F.col("avg_len")))
 
 
-def question_terms(questions: DataFrame) -> DataFrame:
-    """(query_id, term, pos, n_terms, phrase): the distinct terms of each question (query_id, question), in order.
+def question_terms(questions: DataFrame, *keys: str) -> DataFrame:
+    """(query_id, *keys, term, pos, n_terms, phrase, inner): the distinct terms of each question (query_id, *keys, question), in order.
 
-    A question made of stop words alone keeps them.
+    A question made of stop words alone keeps them. inner are the terms that a passage which holds the phrase holds too: all but the
+    first and the last word, which may be parts of longer ones.
     """
-    q = questions.select("query_id", F.trim(F.substring("question", 1, QUESTION_CHARS)).alias("question"))
-    q = q.select("query_id", F.expr(r"trim(regexp_replace(lower(question), '\\s+', ' '))").alias("phrase"), T.tokens("question").alias("some"), T.tokens("question", True).alias("every"))
+    q = questions.select("query_id", *keys, F.trim(F.substring("question", 1, QUESTION_CHARS)).alias("question"))
+    q = q.select("query_id", *keys, F.expr(r"trim(regexp_replace(lower(question), '\\s+', ' '))").alias("phrase"), T.tokens("question").alias("some"), T.tokens("question", True).alias("every"), T.raw_tokens("question").alias("raw"))
     q = q.withColumn("terms", F.array_distinct(F.when(F.size("some") > 0, F.col("some")).otherwise(F.col("every"))))
-    return q.select("query_id", F.posexplode("terms").alias("pos", "term"), F.size("terms").alias("n_terms"), "phrase")
+    between = F.slice("raw", 2, F.greatest(F.size("raw") - 2, F.lit(0)))
+    inner = F.array_distinct(F.transform(F.filter(between, lambda x: T._kept(x, False)), T._stem))
+    return q.select("query_id", *keys, F.posexplode("terms").alias("pos", "term"), F.size("terms").alias("n_terms"), "phrase", inner.alias("inner"))
 
 
-def _scored(questions: DataFrame, pages: DataFrame, one_page: bool) -> DataFrame:
-    """A row for each (question, passage) with a common term. The question terms are the small side of an equi-join on the term."""
-    parts = P.passages(pages, one_page=one_page)
-    terms = question_terms(questions)
-    weighed = P.term_matches(parts, terms.select("term").distinct()).join(terms, "term")
-    weighed = weighed.withColumn("s", bm25())
-    sums = weighed.groupBy("query_id", "doc_id", "passage_idx", "n_terms", "phrase").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "s"))).alias("m"))
+def ranked(terms: DataFrame, index: Index, limit: int) -> DataFrame:
+    """(query_id, doc_id, rank, passage_idx, score, coverage, matched): the best passages of each document for the questions of terms.
+
+    terms are question_terms(); with a doc_id in them a question is asked of that document only. Postings are joined on the term, so
+    the questions' terms are the small side. A passage's text is read only if it may hold the phrase: if it has all the phrase's inner terms.
+    """
+    keys = ["term", *([] if "doc_id" not in terms.columns else ["doc_id"])]
+    found = terms.join(index.postings, keys).withColumn("idf", F.log(1 + (F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
+    rows = found.select("query_id", "doc_id", "term", "pos", "n_terms", "phrase", "inner", "idf", "avg_len", F.inline("hits")).withColumn("s", bm25())
+    sums = rows.groupBy("query_id", "doc_id", "passage_idx").agg(F.array_sort(F.collect_list(F.struct("pos", "term", "s"))).alias("m"), F.first("n_terms").alias("n_terms"), F.first("phrase").alias("phrase"), F.first("inner").alias("inner"))
     # summed in the order of the question, for the same last digit each time
     raw = F.aggregate("m", F.lit(0.0), lambda a, x: a + x["s"])
-    sums = sums.select("query_id", "doc_id", "passage_idx", "phrase", raw.alias("raw"), (F.size("m") / F.col("n_terms")).alias("coverage"), F.col("m")[0]["pos"].alias("first_pos"), F.transform("m", lambda x: x["term"]).alias("matched"))
-    joined = sums.join(parts, ["doc_id", "passage_idx"])
+    sums = sums.select("query_id", "doc_id", "passage_idx", "phrase", "inner", raw.alias("raw"), (F.size("m") / F.col("n_terms")).alias("coverage"), F.col("m")[0]["pos"].alias("first_pos"), F.transform("m", lambda x: x["term"]).alias("matched"))
+    may = (F.length("phrase") > PHRASE) & (F.size(F.array_except("inner", "matched")) == 0)
     hay = F.expr(r"trim(regexp_replace(lower(text), '\\s+', ' '))")
-    boost = F.when((F.length("phrase") > 8) & F.contains(hay, F.col("phrase")), 1.8).otherwise(1.0)
-    return joined.withColumn("score", F.col("raw") * boost * (0.6 + 0.4 * F.col("coverage")))
+    holds = index.texts(sums.where(may).select("query_id", "doc_id", "passage_idx", "phrase")).where(F.contains(hay, F.col("phrase")))
+    boosted = sums.join(holds.select("query_id", "doc_id", "passage_idx", F.lit(BOOST).alias("boost")), ["query_id", "doc_id", "passage_idx"], "left")
+    scored = boosted.withColumn("score", F.col("raw") * F.coalesce("boost", F.lit(1.0)) * (0.6 + 0.4 * F.col("coverage")))
+    order = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "first_pos", "passage_idx")
+    best = scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
+    return best.select("query_id", "doc_id", "rank", "passage_idx", F.round("score", 3).alias("score"), "coverage", "matched")
 
 
-def search(questions: DataFrame, pages: DataFrame, limit: int = HITS, one_page: bool = False) -> DataFrame:
+def _index(questions: DataFrame, pages: DataFrame | None, one_page: bool, index: Index | None) -> Index:
+    return index or index_of(pages, one_page, question_terms(questions).select("term").distinct())
+
+
+def search(questions: DataFrame, pages: DataFrame | None = None, limit: int = HITS, one_page: bool = False, index: Index | None = None, texts: bool = True) -> DataFrame:
     """hits(query_id, doc_id, rank, passage_idx, label, number, text, score, coverage, matched): the best passages of each document for each question.
 
     Scores are ranked unrounded; ties go to the passage whose first matched term stands first in the question, then to the earlier passage.
-    one_page says that every row of pages is a document of its own.
+    Give pages, of which one_page says that every row is a document of its own, or a stored index. Without texts there are no label, number and text.
     """
-    order = Window.partitionBy("query_id", "doc_id").orderBy(F.desc("score"), "first_pos", "passage_idx")
-    ranked = _scored(questions, pages, one_page).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit)
-    return ranked.select("query_id", "doc_id", "rank", "passage_idx", "label", "number", "text", F.round("score", 3).alias("score"), "coverage", "matched")
+    index = _index(questions, pages, one_page, index)
+    best = ranked(question_terms(questions), index, limit)
+    if not texts:
+        return best
+    return index.texts(best).select("query_id", "doc_id", "rank", "passage_idx", "label", "number", "text", "score", "coverage", "matched")
 
 
-def confidence(questions: DataFrame, pages: DataFrame, hits: DataFrame | None = None, one_page: bool = False, asked: DataFrame | None = None) -> DataFrame:
+def confidence(questions: DataFrame, pages: DataFrame | None = None, hits: DataFrame | None = None, one_page: bool = False, asked: DataFrame | None = None, index: Index | None = None) -> DataFrame:
     """(query_id, doc_id, found, coverage, score, reason): does the document answer the question at all?
 
     A row for each pair of asked (query_id, doc_id); without asked, for each document with a hit, and one without a document for each
     question that has none anywhere. Without a hit the reason is empty; with one whose terms the document lacks, nothing.
     """
-    hits = search(questions, pages, 1, one_page) if hits is None else hits.where("rank = 1")
+    index = _index(questions, pages, one_page, index)
+    hits = search(questions, limit=1, index=index, texts=False) if hits is None else hits.where("rank = 1")
     terms = question_terms(questions)
-    held = P.term_matches(P.passages(pages, one_page=one_page), terms.select("term").distinct()).join(terms, "term").groupBy("query_id", "doc_id").agg(F.countDistinct("term").alias("present"), F.first("n_terms").alias("n_terms"))
+    held = terms.join(index.postings.select("doc_id", "term"), "term").groupBy("query_id", "doc_id").agg(F.count("*").alias("present"), F.first("n_terms").alias("n_terms"))
     both = hits.select("query_id", "doc_id", "score").join(held, ["query_id", "doc_id"], "left").withColumn("share", F.coalesce(F.col("present") / F.col("n_terms"), F.lit(0.0)))
     found = (F.col("share") >= 0.4) & (F.col("score") >= 0.5)
     reason = F.when(F.col("share") == 0, "nothing").when(found, "ok").otherwise("weak")
     told = both.select("query_id", "doc_id", found.alias("found"), F.round("share", 2).alias("coverage"), "score", reason.alias("reason"))
     if asked is None:
-        silent = questions.select("query_id").distinct().join(told.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lit(None).cast(pages.schema["doc_id"].dataType).alias("doc_id"))
+        silent = questions.select("query_id").distinct().join(told.select("query_id").distinct(), "query_id", "left_anti").select("query_id", F.lit(None).cast(index.postings.schema["doc_id"].dataType).alias("doc_id"))
     else:
         silent = asked.select("query_id", "doc_id").distinct().join(told, ["query_id", "doc_id"], "left_anti")
         told = told.join(asked.select("query_id", "doc_id").distinct(), ["query_id", "doc_id"], "left_semi")

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions import text as T
 from ..operators import about, answers, events, library, passages as P, retrieve
+from ..operators.index import index_of, update_index
+from ..operators.storage import shared_dir
 from ..sources import readers
 
 QUESTION = "Where is the reation of thand and the tioning described?"
@@ -23,6 +26,11 @@ def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return P.pages_of(_t(spark, sf_dir, "documents"))
 
 
+def _whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As _pages(), for what deals documents out itself."""
+    return P.pages_of(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def _question(spark: SparkSession) -> DataFrame:
     return spark.range(1).select(F.lit("q").alias("query_id"), F.lit(QUESTION).alias("question"))
 
@@ -148,7 +156,7 @@ def stopword_share(spark, d):
 
 @query(f"WITH {_INDEX} SELECT doc_id, term, passage_idx, tf FROM posted")
 def postings(spark, d):
-    return P.postings(P.passages(_pages(spark, d), one_page=True))
+    return P.postings(P.passages(_whole(spark, d).repartition("doc_id"), one_page=True))
 
 
 @query(f"WITH {_INDEX} SELECT doc_id, passage_idx, len FROM lengths")
@@ -163,19 +171,40 @@ def document_stats(spark, d):
 
 @query(f"WITH {_INDEX} SELECT doc_id, term, df, round(idf, 6) AS idf FROM idf")
 def term_idf(spark, d):
-    parts = P.passages(_pages(spark, d), one_page=True)
-    return P.idf(P.document_frequency(P.postings(parts)), P.document_stats(P.passage_lengths(parts))).withColumn("idf", F.round("idf", 6))
+    lists = P.posting_lists(_whole(spark, d), one_page=True)
+    return P.idf(lists.select("doc_id", "term", "df"), lists.select("doc_id", "n_passages").distinct()).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {_search(_ONE)} SELECT query_id, doc_id, rank, passage_idx, round(score, 3) AS score, round(coverage, 6) AS coverage, matched FROM hits")
 def bm25_all_documents(spark, d):
-    hits = retrieve.search(_question(spark), _pages(spark, d), one_page=True)
+    hits = retrieve.search(_question(spark), _whole(spark, d), one_page=True, texts=False)
     return hits.select("query_id", "doc_id", "rank", "passage_idx", "score", F.round("coverage", 6).alias("coverage"), F.array_join("matched", " ").alias("matched"))
 
 
 @query(f"WITH {_search(_MANY)} SELECT query_id, doc_id, rank, passage_idx, round(score, 3) AS score, matched FROM hits")
 def bm25_benchmark_questions(spark, d):
-    return retrieve.search(_benchmark(spark, d), _pages(spark, d), one_page=True).select("query_id", "doc_id", "rank", "passage_idx", "score", F.array_join("matched", " ").alias("matched"))
+    return retrieve.search(_benchmark(spark, d), _whole(spark, d), one_page=True, texts=False).select("query_id", "doc_id", "rank", "passage_idx", "score", F.array_join("matched", " ").alias("matched"))
+
+
+@query(f"WITH {_search(_MANY)} SELECT query_id, doc_id, rank, passage_idx, label, round(score, 3) AS score, text FROM (SELECT *, 'part 1' AS label FROM hits) WHERE rank = 1")
+def stored_index(spark, d):
+    # the index is written as tables; questions join its postings, and the passages of the hits are read from it
+    name = f"ix_{uuid.uuid4().hex}"
+    index = update_index(_whole(spark, d), name, f"{shared_dir(spark)}/{name}", one_page=True)
+    return retrieve.search(_benchmark(spark, d), limit=1, index=index).select("query_id", "doc_id", "rank", "passage_idx", "label", "score", "text")
+
+
+_CHANGED = "documents AS (SELECT doc_id, CASE WHEN doc_id % 7 = 1 THEN 'Here the tioning is: ' || text ELSE text END AS text FROM main.documents WHERE doc_id % 7 <> 2)"
+
+
+@query(f"WITH {_CHANGED}, {_search(_ONE)} SELECT query_id, doc_id, rank, passage_idx, round(score, 3) AS score, matched FROM hits")
+def stored_index_after_changes(spark, d):
+    # a seventh of the documents comes again, changed, and another is taken out
+    name, pages = f"ix_{uuid.uuid4().hex}", _whole(spark, d)
+    update_index(pages, name, f"{shared_dir(spark)}/{name}", one_page=True)
+    changed = pages.where("doc_id % 7 = 1").withColumn("text", F.concat(F.lit("Here the tioning is: "), "text"))
+    index = update_index(changed, name, f"{shared_dir(spark)}/{name}", pages.where("doc_id % 7 = 2").select("doc_id"), one_page=True)
+    return retrieve.search(_question(spark), index=index, texts=False).select("query_id", "doc_id", "rank", "passage_idx", "score", F.array_join("matched", " ").alias("matched"))
 
 
 @query(f"""WITH {_search(_MANY)},
@@ -224,16 +253,31 @@ def openings(spark, d):
     return about.openings(_pages(spark, d)).select("doc_id", "opening", F.array_join("labels", ", ").alias("labels"))
 
 
-@query(f"""WITH {_INDEX}, {_KEYWORDS.replace("c AS", "c1 AS").replace("FROM c WHERE", "FROM c1 WHERE").replace("r AS", "r1 AS").replace("FROM r)", "FROM r1)")},
+_SUMMARY = f"""{_INDEX}, {_KEYWORDS.replace("c AS", "c1 AS").replace("FROM c WHERE", "FROM c1 WHERE").replace("r AS", "r1 AS").replace("FROM r)", "FROM r1)")},
 a0 AS (SELECT doc_id, rank, term AS w FROM kw WHERE rank <= 8 AND {_kept("term")}),
 a1 AS (SELECT doc_id, {_STEM} AS term, min(rank) AS place FROM a0 GROUP BY ALL),
 a AS (SELECT doc_id, term, row_number() OVER (PARTITION BY doc_id ORDER BY place) AS pos, count(*) OVER (PARTITION BY doc_id) AS n_terms FROM a1),
 x AS (SELECT doc_id, passage_idx, pos, n_terms, idf * tf * 2.4 / (tf + 1.4 * (0.28 + 0.72 * len / avg_len)) AS s FROM a JOIN posted USING (doc_id, term) JOIN idf USING (doc_id, term) JOIN stats USING (doc_id) JOIN lengths USING (doc_id, passage_idx)),
-y AS (SELECT doc_id, passage_idx, min(pos) AS first_pos, list_sum(list(s ORDER BY pos)) * (0.6 + 0.4 * count(*) / any_value(n_terms)) AS score FROM x GROUP BY doc_id, passage_idx),
-f AS (SELECT doc_id, passage_idx, row_number() OVER (PARTITION BY doc_id ORDER BY round(score, 9) DESC, first_pos, passage_idx) AS rank FROM y QUALIFY rank <= 5)
-SELECT doc_id, passage_idx, rank FROM f UNION ALL SELECT doc_id, passage_idx, passage_idx + 1 FROM p WHERE passage_idx < 3 AND doc_id NOT IN (SELECT doc_id FROM f)""")
+y AS (SELECT doc_id, passage_idx, min(pos) AS first_pos, list_sum(list(s ORDER BY pos)) * (0.6 + 0.4 * count(*) / any_value(n_terms)) AS raw FROM x GROUP BY doc_id, passage_idx),
+asked AS (SELECT doc_id, lower(string_agg(term, ' ' ORDER BY rank)) AS phrase FROM kw WHERE rank <= 8 GROUP BY doc_id),
+v AS (SELECT y.*, raw * CASE WHEN length(phrase) > 8 AND contains(trim(regexp_replace(lower(p.text), '\\s+', ' ', 'g')), phrase) THEN 1.8 ELSE 1.0 END AS score FROM y JOIN asked USING (doc_id) JOIN p USING (doc_id, passage_idx)),
+f AS (SELECT doc_id, passage_idx, score, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, first_pos, passage_idx) AS rank FROM v QUALIFY rank <= 5),
+summary AS (SELECT doc_id, passage_idx, rank, round(score, 3) AS score FROM f UNION ALL SELECT doc_id, passage_idx, passage_idx + 1, 0 FROM p WHERE passage_idx < 3 AND doc_id NOT IN (SELECT doc_id FROM f))"""
+
+
+@query(f"WITH {_SUMMARY} SELECT * FROM summary")
 def summary_hits(spark, d):
-    return about.summary_hits(_pages(spark, d), one_page=True)
+    return about.summary_hits(_whole(spark, d), one_page=True)
+
+
+@query(f"""WITH {_SUMMARY}
+SELECT doc_id, '{answers.SUMMARY_RULES}' AS system, 'Extracts from “' || CASE WHEN doc_id % 5 = 0 THEN 'the document' ELSE 'doc ' || doc_id END || '” (its beginning, then the parts that stand for it best):' || chr(10) || chr(10) || string_agg('[' || rank || '] (part 1)' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS user
+FROM summary JOIN p USING (doc_id, passage_idx) GROUP BY doc_id""")
+def summary_prompts(spark, d):
+    pages = _whole(spark, d)
+    hits = index_of(pages, one_page=True).texts(about.summary_hits(pages, one_page=True)).withColumn("query_id", F.lit("summary"))
+    m = answers.messages(answers.extract_blocks(hits), names=_names(spark, d))
+    return m.select("doc_id", F.col("messages")[0]["content"].alias("system"), F.col("messages")[1]["content"].alias("user"))
 
 
 # the character references that the pages hold, and those that any page may
@@ -301,6 +345,12 @@ def safe_names(spark, d):
     return _t(spark, d, "pages").select("page_id", T.safe_name(F.col("url")).alias("name"))
 
 
+def _names(spark: SparkSession, d: str) -> DataFrame:
+    """What documents are called; every fifth has no name."""
+    docs = spark.read.parquet(f"{d}/documents.parquet").where("doc_id % 5 <> 0")
+    return docs.select("doc_id", F.concat(F.lit("doc "), F.col("doc_id").cast("string")).alias("name"))
+
+
 _TURNS = "SELECT a.conv_id, a.turn, a.text AS answer, b.text AS sources FROM conversations a JOIN conversations b ON b.conv_id = a.conv_id AND b.turn = a.turn - 1 WHERE a.role = 'assistant'"
 
 
@@ -326,10 +376,10 @@ def extract_blocks(spark, d):
     return answers.extract_blocks(retrieve.search(_question(spark), _pages(spark, d), one_page=True))
 
 
-@query(f"WITH {_search(_ONE)}, x AS (SELECT query_id, doc_id, string_agg('[' || rank || '] (part 1)' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS e FROM hits GROUP BY query_id, doc_id) SELECT query_id, doc_id, '{answers.ANSWER_RULES}' AS system, 'Extracts:' || chr(10) || chr(10) || e || chr(10) || chr(10) || 'Question: {QUESTION}' AS user FROM x")
+@query(f"WITH {_search(_ONE)}, x AS (SELECT query_id, doc_id, string_agg('[' || rank || '] (part 1)' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS e FROM hits GROUP BY query_id, doc_id) SELECT query_id, doc_id, '{answers.ANSWER_RULES}' AS system, 'Extracts from “' || CASE WHEN doc_id % 5 = 0 THEN 'the document' ELSE 'doc ' || doc_id END || '”:' || chr(10) || chr(10) || e || chr(10) || chr(10) || 'Question: {QUESTION}' AS user FROM x")
 def prompts(spark, d):
     q = _question(spark)
-    m = answers.messages(answers.extract_blocks(retrieve.search(q, _pages(spark, d), one_page=True)), q)
+    m = answers.messages(answers.extract_blocks(retrieve.search(q, _whole(spark, d), one_page=True)), q, _names(spark, d))
     return m.select("query_id", "doc_id", F.col("messages")[0]["content"].alias("system"), F.col("messages")[1]["content"].alias("user"))
 
 
@@ -463,27 +513,63 @@ def citations(spark, d):
     return answers.citations(c.select(F.struct("conv_id", "turn").alias("turn_id"), cited.alias("text"))).select("turn_id.conv_id", "turn_id.turn", "citation", F.col("pos").cast("long").alias("pos"))
 
 
-@query(f"""WITH {_search(_ONE)}, n AS (SELECT doc_id, count(*) AS n FROM hits GROUP BY doc_id),
-a AS (SELECT doc_id, coalesce(n, 0) AS n, CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'said ' || doc_id END AS answer, CASE WHEN doc_id % 4 = 3 THEN false ELSE true END AS supported FROM documents LEFT JOIN n USING (doc_id)),
+@query(f"""WITH {_search(_ONE)}, n AS (SELECT doc_id, count(*) AS n, string_agg(rank || ' part 1', ', ' ORDER BY rank) AS listed, max(round(score, 3)) AS best FROM hits GROUP BY doc_id),
+h AS (SELECT doc_id, count(DISTINCT term) / any_value(n_terms) AS share FROM s1 GROUP BY doc_id),
+a AS (SELECT doc_id, coalesce(n, 0) AS n, coalesce(listed, '') AS listed, CASE WHEN n IS NULL THEN 'empty' WHEN share >= 0.4 AND best >= 0.5 THEN 'ok' ELSE 'weak' END || ' ' || coalesce(round(share, 2) >= 0.4 AND best >= 0.5, false)::VARCHAR || ' ' || round(100 * coalesce(share, 0))::BIGINT AS sure,
+  CASE doc_id % 4 WHEN 0 THEN NULL WHEN 1 THEN '' ELSE 'said ' || doc_id END AS answer, doc_id % 4 <> 3 AS supported, doc_id % 9 <> 0 AS engine FROM documents LEFT JOIN n USING (doc_id) LEFT JOIN h USING (doc_id)),
 e AS (SELECT doc_id, list_filter([
-  {{'type': 'found', 'payload': n::VARCHAR}}, CASE WHEN n = 0 THEN {{'type': 'note', 'payload': 'nothing found'}} END,
-  CASE WHEN n > 0 AND answer IS NULL THEN {{'type': 'no_engine', 'payload': ''}} END, CASE WHEN n > 0 AND answer <> '' THEN {{'type': 'answer', 'payload': answer}} END,
-  CASE WHEN n > 0 AND answer = '' THEN {{'type': 'note', 'payload': 'nothing was answered'}} END, CASE WHEN n > 0 AND answer IS NOT NULL AND NOT supported THEN {{'type': 'unsupported', 'payload': ''}} END,
-  {{'type': 'done', 'payload': CASE WHEN n > 0 AND answer IS NOT NULL THEN 'true' ELSE 'false' END}}], lambda x: x IS NOT NULL) AS e FROM a),
+  {{'type': 'found', 'payload': listed || '; ' || sure}}, CASE WHEN n = 0 THEN {{'type': 'note', 'payload': 'nothing found'}} END,
+  CASE WHEN n > 0 AND (answer IS NULL OR NOT engine) THEN {{'type': 'no_engine', 'payload': ''}} END, CASE WHEN n > 0 AND engine AND answer IS NOT NULL THEN {{'type': 'engine', 'payload': '{{"name":"E ' || doc_id || '","model":"m"}}'}} END,
+  CASE WHEN n > 0 AND engine AND answer <> '' THEN {{'type': 'answer', 'payload': answer}} END,
+  CASE WHEN n > 0 AND engine AND answer = '' THEN {{'type': 'note', 'payload': 'nothing was answered'}} END, CASE WHEN n > 0 AND engine AND answer IS NOT NULL AND NOT supported THEN {{'type': 'unsupported', 'payload': ''}} END,
+  {{'type': 'done', 'payload': CASE WHEN n > 0 AND engine AND answer IS NOT NULL THEN 'true' ELSE 'false' END}}], lambda x: x IS NOT NULL) AS e FROM a),
 u AS (SELECT doc_id, unnest(e) AS x, generate_subscripts(e, 1) - 1 AS seq FROM e)
 SELECT 'q' AS query_id, doc_id, seq, x.type AS type, x.payload AS payload FROM u""")
 def answer_events(spark, d):
-    q, pages = _question(spark), _pages(spark, d)
-    docs = _t(spark, d, "documents").select(F.lit("q").alias("query_id"), "doc_id")
+    q, pages = _question(spark), _whole(spark, d)
+    docs = spark.read.parquet(f"{d}/documents.parquet").select(F.lit("q").alias("query_id"), "doc_id")
     kind = F.col("doc_id") % 4
     said = docs.select("query_id", "doc_id", F.when(kind == 0, None).when(kind == 1, "").otherwise(F.concat(F.lit("said "), F.col("doc_id").cast("string"))).alias("answer"), (kind != 3).alias("supported"))
-    out = answers.answer_events(docs, retrieve.search(q, pages, one_page=True), said)
-    return out.select("query_id", "doc_id", F.col("seq").cast("long").alias("seq"), "type", "payload")
+    engines = docs.where("doc_id % 9 <> 0").select("query_id", "doc_id", F.concat(F.lit("E "), F.col("doc_id").cast("string")).alias("name"), F.lit("m").alias("model"))
+    hits = retrieve.search(q, pages, one_page=True)
+    out = answers.answer_events(docs, hits, said, retrieve.confidence(q, pages, hits, one_page=True, asked=docs), engines)
+    # of what was found, the hits' ranks and labels, and the confidence
+    told = F.from_json("payload", "hits array<struct<rank: int, label: string, score: double>>, confidence struct<found: boolean, coverage: double, reason: string>")
+    listed = F.array_join(F.transform(told["hits"], lambda h: F.concat(h["rank"].cast("string"), F.lit(" "), h["label"])), ", ")
+    sure = F.concat_ws(" ", told["confidence"]["reason"], told["confidence"]["found"].cast("string"), F.round(100 * told["confidence"]["coverage"]).cast("long").cast("string"))
+    payload = F.when(F.col("type") == "found", F.concat(listed, F.lit("; "), sure)).otherwise(F.col("payload"))
+    return out.select("query_id", "doc_id", F.col("seq").cast("long").alias("seq"), "type", payload.alias("payload"))
+
+
+_PICKS = []
+for _k in range(3):
+    _left = "" if not _k else f" AND NOT EXISTS (SELECT 1 FROM has z JOIN (SELECT doc_id, ord FROM pick0{''.join(f' UNION ALL SELECT doc_id, ord FROM pick{_i}' for _i in range(1, _k))}) y USING (doc_id, ord) WHERE z.doc_id = has.doc_id AND z.term = has.term)"
+    _PICKS.append(f"pick{_k} AS (SELECT doc_id, ord FROM (SELECT has.doc_id, ord, round(sum(weight), 6) AS g FROM has JOIN weights USING (doc_id, term) WHERE true{_left} GROUP BY has.doc_id, ord) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY g DESC, ord) = 1)")
+
+
+@query(rf"""WITH {_search(_ONE)},
+c0 AS (SELECT doc_id, rank, string_split(regexp_replace(regexp_replace(text, '([.!?…])\s+', '\1' || chr(1), 'g'), '
++', chr(1), 'g'), chr(1)) AS c FROM hits),
+c1 AS (SELECT doc_id, rank, unnest(c) AS sentence, generate_subscripts(c, 1) AS i FROM c0),
+sentences AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY rank, i) AS ord, rank, regexp_replace(sentence, '^\s+|\s+$', '', 'g') AS sentence FROM c1 WHERE trim(sentence, ' ' || chr(9) || chr(13)) <> ''),
+h0 AS (SELECT doc_id, ord, {_RAW.format("sentence", "sentence")} FROM sentences),
+h1 AS (SELECT DISTINCT doc_id, ord, {_STEM} AS term FROM h0 WHERE {_KEPT}),
+has AS (SELECT h1.* FROM h1 JOIN q USING (term)),
+weights AS (SELECT doc_id, term, round(1 + ln(s / count(*)), 9) AS weight FROM has JOIN (SELECT doc_id, count(*) AS s FROM sentences GROUP BY doc_id) USING (doc_id) GROUP BY doc_id, term, s),
+{", ".join(_PICKS)},
+picked AS (SELECT * FROM pick0 UNION ALL SELECT * FROM pick1 UNION ALL SELECT * FROM pick2)
+SELECT doc_id, coalesce(string_agg(sentence || ' (part 1)', ' ' ORDER BY ord) FILTER (WHERE picked.ord IS NOT NULL), '') AS answer, true AS found FROM sentences LEFT JOIN picked USING (doc_id, ord) GROUP BY doc_id""")
+def extractive_answers(spark, d):
+    q = _question(spark)
+    hits = retrieve.search(q, _whole(spark, d), one_page=True)
+    texts = hits.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("rank", "text"))).alias("texts"))
+    found = F.forall("sentences", lambda x: F.contains(F.try_element_at("texts", x["rank"]), x["sentence"]))
+    return answers.extractive_answers(q, hits).join(texts, "doc_id").select("doc_id", "answer", found.alias("found"))
 
 
 @query(f"WITH {_search(_ONE)} SELECT doc_id, rank, least(100, greatest(6, round(round(score, 3) / 8 * 100))) AS bar FROM hits")
 def score_bars(spark, d):
-    hits = retrieve.search(_question(spark), _pages(spark, d), one_page=True)
+    hits = retrieve.search(_question(spark), _whole(spark, d), one_page=True, texts=False)
     return hits.select("doc_id", "rank", T.score_bar(F.col("score")).alias("bar"))
 
 
@@ -564,10 +650,10 @@ def suggested_models(spark, d):
 
 @query(f"""WITH {_KEYWORDS},
 k AS (SELECT doc_id, list('What does it say about “' || term || '”?' ORDER BY rank) FILTER (WHERE length(term) >= 4) AS k FROM kw GROUP BY doc_id),
-g AS (SELECT doc_id, list_slice(['What is this document about?'] || list_slice(coalesce(k, []), 1, 3) || ['What are the most important points?', 'Are there any dates or deadlines?', 'What does it ask of me?'], 1, 5) AS g FROM k)
+g AS (SELECT doc_id, list_slice(['What is this document about?'] || list_slice(coalesce(k, []), 1, 3) || ['What are the most important points?', 'Are there any dates or deadlines?', 'What does it ask of me?'], 1, 5) AS g FROM documents LEFT JOIN k USING (doc_id))
 SELECT doc_id, unnest(g) AS question, generate_subscripts(g, 1) - 1 AS pos FROM g""")
 def suggested_questions(spark, d):
-    out = library.suggested_questions(about.keywords(_pages(spark, d)))
+    out = library.suggested_questions(_t(spark, d, "documents"), about.keywords(_pages(spark, d)))
     return out.select("doc_id", "question", F.col("pos").cast("long").alias("pos"))
 
 
@@ -604,12 +690,74 @@ def ports_and_icons(spark, d):
     return _t(spark, d, "pages").select("page_id", T.port_of(url).alias("port"), T.kind_icon(kind).alias("icon"))
 
 
-@query("SELECT event_id, CASE event_id % 4 WHEN 0 THEN left(event_type || repeat('x', 300), 200) WHEN 1 THEN event_type WHEN 2 THEN 'no json ' || event_type ELSE '{\"other\":\"' || event_type || '\"}' END AS message FROM events")
+def _shapes(spark: SparkSession, d: str, shapes: list[tuple[str, str]]) -> DataFrame:
+    """Each event's type put for @ into one of the bodies, by turns."""
+    body = F.element_at(F.array(*[F.lit(x) for x, _ in shapes]), (F.col("event_id") % len(shapes) + 1).cast("int"))
+    return _t(spark, d, "events").select("event_id", F.replace(body, F.lit("@"), F.col("event_type")).alias("body"))
+
+
+def _shapes_sql(shapes: list[tuple[str, str]], column: str) -> str:
+    cases = " ".join(f"WHEN {i} THEN '{want.replace(chr(39), chr(39) * 2)}'" for i, (_, want) in enumerate(shapes))
+    return f"SELECT event_id, replace(CASE event_id % {len(shapes)} {cases} END, '@', event_type) AS {column} FROM events"
+
+
+# bodies, and the text that each must give, as these protocols are read
+_EVENTS = [
+    ('{"message": {"content": "@"}, "response": "no"}', "@"), ('{"message": {}, "response": "no"}', ""), ('{"message": "plain", "response": "@"}', "@"), ('{"message": {"content": null}}', ""),
+    ('{"response": "", "choices": [{"text": "no"}]}', ""), ('{"response": 5, "choices": [{"text": "@"}]}', "@"), ('{"response": "1 @"}', "1 @"), ('{"response": "{\\"a\\": 1}"}', '{"a": 1}'),
+    ('{"choices": [{"delta": {"content": ""}, "text": "@"}]}', "@"), ('{"choices": [{"delta": {"content": "@"}, "text": "no"}]}', "@"), ('{"choices": [{"delta": null, "message": {"content": "true @"}}]}', "true @"),
+    ('{"choices": []}', ""), ('{"choices": ["@"]}', ""), ('["@"]', ""), ('"@"', ""), ('{"other": "@"}', ""), ("{broken @", ""),
+]
+
+
+@query(_shapes_sql(_EVENTS, "text"))
+def event_texts(spark, d):
+    return _shapes(spark, d, _EVENTS).select("event_id", T.event_text(F.col("body")).alias("text"))
+
+
+# broken lines, and what is saved of them: every escape, a letter that has none, a backslash before n, the end within a string
+_BROKEN = [
+    ('{"content": "a\\nb\\tc\\rd@', "a\nb\tc\rd@"), ('x "response" : "\\"@\\" \\/ \\b\\f" , "content": "no"', '"@" / \b\f'), ('{"text":"@\\\\nothing\\\\', "@\\nothing\\"), ('{"content":"\\u00e9 \\q@\\', "u00e9 q@\\"),
+    ('{"content": 5, "text": "line\n@"', "line\n@"), ('{"other": "@"', ""), ('{"content":""@', ""), ('{"content":"@\\\\", "x": "', "@\\"),
+]
+
+
+@query(_shapes_sql(_BROKEN, "text"))
+def salvaged_texts(spark, d):
+    return _shapes(spark, d, _BROKEN).select("event_id", T.salvaged_text(F.col("body")).alias("text"))
+
+
+_ERRORS = [
+    ('{"error": {"message": "@' + "x" * 300 + '"}}', "@" + "x" * 300), ('{"error": "not @"}', "not @"), ('{"error": "true @"}', "true @"), ('{"error": "1 @"}', "1 @"), ('{"error": "[@"}', "[@"), ('{"error": {"code": 5}}', ""),
+    ('{"error": {"message": null}}', "None"), ('{"error": {"message": 5}}', "5"), ('{"error": {"message": true}}', "True"), (' {"error": 5} ', '{"error": 5}'), ('{"error": null}', '{"error": null}'), ("\n no json @\t", "no json @"), ('{"other": "@"}', '{"other": "@"}'), ('["error"]', '["error"]'),
+]
+
+
+@query(_shapes_sql(_ERRORS, "message").replace("event_type)", "event_type)", 1).replace("replace(CASE", "left(replace(CASE", 1).replace("event_type) AS", "event_type), 200) AS", 1))
 def salvaged_errors(spark, d):
-    kind, t = F.col("event_id") % 4, F.col("event_type")
-    inner = F.to_json(F.struct(F.struct(F.concat(t, F.lit("x" * 300)).alias("message")).alias("error")))
-    body = F.when(kind == 0, inner).when(kind == 1, F.to_json(F.struct(t.alias("error")))).when(kind == 2, F.concat(F.lit(" no json "), t)).otherwise(F.to_json(F.struct(t.alias("other"))))
-    return _t(spark, d, "events").select("event_id", T.salvaged_error(body).alias("message"))
+    return _shapes(spark, d, _ERRORS).select("event_id", T.salvaged_error(F.col("body")).alias("message"))
+
+
+@query("""SELECT n_nationkey AS owner, n_regionkey <> 0 AS ready, CASE n_regionkey WHEN 0 THEN '' WHEN 1 THEN 'late' ELSE 'first' END AS engine_id, CASE n_regionkey WHEN 0 THEN '' WHEN 1 THEN 'Late' ELSE 'First ' || n_name END AS engine_name,
+  CASE n_regionkey WHEN 0 THEN '' WHEN 1 THEN 'own' ELSE 'a-1b' END AS model, 'dead Dead false [x] refused 0, first First ' || n_name || ' ' || CASE WHEN n_regionkey = 0 THEN 'false' ELSE 'true' END || ' [long-name a-1b]  11434, late Late ' || CASE WHEN n_regionkey = 0 THEN 'false' ELSE 'true' END || ' [own]  0' AS engines,
+  CASE WHEN n_nationkey % 3 = 0 THEN 'true true true' WHEN n_nationkey % 3 = 1 THEN 'true false false' ELSE 'true true false' END AS fits FROM nation""")
+def engine_summary(spark, d):
+    n = _t(spark, d, "nation")
+    works = F.col("n_regionkey") != 0
+    one = lambda pos, name, label, ok, models, error, port: F.struct(F.lit(pos).alias("pos"), F.lit(name).alias("id"), label.alias("name"), ok.alias("ok"), F.array(*[F.lit(m) for m in models]).alias("models"), F.lit(error).cast("string").alias("error"), F.lit(None).cast("string").alias("why"), F.lit(port).cast("int").alias("port"))
+    made = n.select(F.col("n_nationkey").alias("owner"), F.inline(F.array(one(2, "late", F.lit("Late"), works, ["own"], None, None), one(0, "dead", F.lit("Dead"), F.lit(False), ["x"], "refused", None), one(1, "first", F.concat(F.lit("First "), "n_name"), works, ["long-name", "a-1b"], None, 11434))))
+    saved = n.where("n_regionkey = 1").select(F.col("n_nationkey").alias("owner"), F.lit("late").alias("engine"), F.lit("own").alias("model"))
+    machines = n.select(F.col("n_nationkey").alias("owner"), F.element_at(F.array(F.lit(None).cast("double"), F.lit(3.0), F.lit(5.0)), (F.col("n_nationkey") % 3 + 1).cast("int")).alias("ram_gb"))
+    out = library.engine_summary(made, saved, machines)
+    listed = F.array_join(F.transform("engines", lambda e: F.concat_ws(" ", e["id"], e["name"], e["ok"].cast("string"), F.concat(F.lit("["), F.array_join(e["models"], " "), F.lit("]")), e["error"], e["port"].cast("string"))), ", ")
+    return out.select("owner", "ready", "engine_id", "engine_name", "model", listed.alias("engines"), F.array_join(F.transform("suggested", lambda x: x["fits"].cast("string")), " ").alias("fits"))
+
+
+@query(f"WITH {_ENTRIES} SELECT count(*) AS documents, 0 AS left_documents, 0 AS left_words FROM lib")
+def library_clear(spark, d):
+    entries = _entries(spark, d)
+    left = library.stats(library.cleared(entries)).select(F.col("documents").alias("left_documents"), F.col("words").alias("left_words"))
+    return entries.agg(F.count("*").alias("documents")).join(left, how="full")
 
 
 @query("SELECT user_id AS stream_id, string_agg(event_type, '' ORDER BY event_id) AS text FROM events GROUP BY user_id")
