@@ -23,14 +23,15 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from .bytetext import groups, text_buffer
-from .graph import stored
 
 #: A block ends when it has so many words; one row's are never parted.
 BLOCK_WORDS = 4_000_000
-#: Words of a bucket of the table of distinct words, all blocks' copies counted.
-BUCKET_WORDS = 400_000
+#: Buckets of the table of distinct words for each part of the input, and at least; a part has some hundred thousand distinct words.
+BUCKETS, LEAST_BUCKETS = 4, 64
 #: Words of a list in one row.
 LISTED_WORDS = 500_000
+#: Blocks whose ids a task remembers.
+SEEN = 256
 #: Words whose ids are put in their places at once; one row's are never parted.
 ASSEMBLED = 200_000
 
@@ -161,24 +162,27 @@ def _blocks(batches: Iterator[pa.RecordBatch], words: bool) -> Iterator[pa.Recor
 
     def flush() -> Iterator[pa.RecordBatch]:
         lists = [b.column("items") for b in held]
-        flat = pa.chunked_array([x.flatten() for x in lists], pa.large_string() if words else pa.int32())
+        flat = pa.chunked_array([x.flatten() for x in lists], pa.large_string() if words else pa.int32()).combine_chunks()
         size = np.concatenate([np.nan_to_num(x.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64) for x in lists])
         at = np.concatenate([[0], np.cumsum(size)])
         if words:
-            coded = flat.combine_chunks().dictionary_encode()
+            coded = flat.dictionary_encode()
+            del flat
             codes, listed = coded.indices.to_numpy(zero_copy_only=False), coded.dictionary
             # frequent words have small codes
             order = np.argsort(-np.bincount(codes, minlength=len(listed)), kind="stable")
-            place = np.empty(len(order), np.int64)
-            place[order] = np.arange(len(order))
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
             codes = place[codes]
             values = [_packed(*_pack_words(listed, order[i : i + LISTED_WORDS])) for i in range(0, len(order), LISTED_WORDS)]
             yield _rows(block, LISTED, values, np.arange(0, len(order), LISTED_WORDS))
         else:
-            codes = flat.combine_chunks().to_numpy(zero_copy_only=False)
+            codes = flat.to_numpy(zero_copy_only=False)
             found = np.unique(codes)
-            yield _rows(block, LISTED, pa.nulls(len(found), pa.binary()), found)
-        for value in _pack_documents(pa.concat_arrays([b.column("doc_id") for b in held]), codes, at):
+            yield _rows(block, PIECE, pa.nulls(len(found), pa.binary()), found)
+        doc = pa.concat_arrays([b.column("doc_id") for b in held])
+        held.clear()
+        for value in _pack_documents(doc, codes, at):
             yield _rows(block, DOCUMENT, [value])
 
     for batch in batches:
@@ -196,33 +200,53 @@ def _blocks(batches: Iterator[pa.RecordBatch], words: bool) -> Iterator[pa.Recor
                 block, held, total = block + 1, [], 0
     if held:
         yield from flush()
+    pa.default_memory_pool().release_unused()
 
 
 def _dealer(buckets: int):
-    """Lists as rows (bucket, block, value: the keys and words of the block in the bucket)."""
+    """Blocks with a column deal: a list's words fall into rows by their bucket, documents are spread by numbers of their own, below 0."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        number = TaskContext.get().partitionId() << 40
+        for batch in _blocks(batches, True):
+            if not batch.num_rows:
+                continue
+            if batch.column("kind")[0].as_py() == DOCUMENT:
+                deal = -1 - number - np.arange(batch.num_rows)
+                number += batch.num_rows
+                yield _dealt(batch, deal)
+                continue
             for block, first, value in zip(*(batch.column(c).to_pylist() for c in ("block", "key", "value")), strict=True):
                 words = _words_of(*_unpacked(value))
                 bucket = np.array([zlib.crc32(w) % buckets for w in words.cast(pa.large_binary()).to_pylist()])
                 order = np.argsort(bucket, kind="stable")
                 names, at = np.unique(bucket[order], return_index=True)
-                made = []
-                for a, b in zip(at, [*at[1:], len(order)], strict=True):
-                    which = order[a:b]
-                    made.append(_packed(_short(np.diff(which, prepend=-first))[0], *_pack_words(words, which)))
-                yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(np.full(len(names), block, np.int64)), pa.array(made, pa.binary())], ["bucket", "block", "value"])
+                parts = [order[a:b] for a, b in zip(at, [*at[1:], len(order)], strict=True)]
+                yield _dealt(_rows(block, LISTED, [_packed(_short(np.diff(which, prepend=-first))[0], *_pack_words(words, which)) for which in parts]), names)
 
     return run
 
 
+def _dealt(rows: pa.RecordBatch, deal: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([*rows.columns, pa.array(deal, pa.int64())], [*rows.schema.names, "deal"])
+
+
 def _encoder(path: str):
-    """Buckets of the table of distinct words: each word is encoded once, and its ids go to every block that has it (value: keys, sizes, ids)."""
+    """Buckets of the table of distinct words, sorted by deal: each word is encoded once, and its ids go to every block that has it (value: keys, sizes, ids).
+
+    For each id that a block has there is a row of kind PIECE too, at most once for some thousand of the task's rows. Documents go through.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        for table in groups(batches, ["bucket"]):
+        seen: dict[int, np.ndarray] = {}
+        for table in groups(batches, ["deal"]):
+            documents = table.column("deal").to_numpy() < 0
+            if documents.any():
+                yield from table.filter(pa.array(documents)).select(["block", "kind", "key", "value"]).to_batches()
+                table = table.filter(pa.array(~documents))
+            if not table.num_rows:
+                continue
             parts = [_unpacked(v) for v in table.column("value").to_pylist()]
             lists = [_words_of(size, raw) for _, size, raw in parts]
             ends = np.cumsum([len(x) for x in lists])
@@ -232,11 +256,17 @@ def _encoder(path: str):
             for i in range(0, len(words), 20_000):
                 found += [np.array(e.ids, "<u4") for e in t.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
             at, flat = np.concatenate([[0], np.cumsum([len(x) for x in found])]), np.concatenate(found)
-            made = []
-            for (keys, _, _), end, words in zip(parts, ends, lists, strict=True):
+            for block, (keys, _, _), end, words in zip(table.column("block").to_pylist(), parts, ends, lists, strict=True):
                 ids, size = _gather(flat, at, code[end - len(words) : end])
-                made.append(_packed(keys, _short(size)[0], _short(ids)[0]))
-            yield pa.RecordBatch.from_arrays([table.column("block").combine_chunks(), pa.array(made, pa.binary())], ["block", "value"])
+                yield _rows(block, LISTED, [_packed(keys, _short(size)[0], _short(ids)[0])])
+                if block not in seen:
+                    if len(seen) == SEEN:
+                        seen.clear()
+                    seen[block] = np.zeros(t.get_vocab_size(with_added_tokens=True), bool)
+                new = np.unique(ids)
+                new = new[~seen[block][new]]
+                seen[block][new] = True
+                yield _rows(block, PIECE, pa.nulls(len(new), pa.binary()), new)
 
     return run
 
@@ -267,14 +297,15 @@ class _Lists:
             sizes = np.concatenate([_long(n) for _, n, _ in parts] or [np.zeros(0, np.int64)])
             flat = np.concatenate([_long(x) for _, _, x in parts] or [np.zeros(0, np.int64)]).astype(np.int32)
         else:
-            data = [v for b in batches for v in b.column("value").to_pylist()]
+            data = [v or b"" for b in batches for v in b.column("value").to_pylist()]
             key = np.concatenate([b.column("key").to_numpy(zero_copy_only=False) for b in batches] or [np.zeros(0, np.int64)]).astype(np.int64)
             sizes, flat = np.array([len(v) for v in data], np.int64), np.frombuffer(b"".join(data), np.uint8)
-        order = np.argsort(key, kind="stable")
+        # several tasks may have told of a piece
+        key, order = np.unique(key, return_index=True)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         self.flat = _gather(flat, ends, order)[0]
-        size = np.zeros(int(key.max()) + 1 if len(key) else 0, np.int64)
-        size[key] = sizes
+        size = np.zeros(int(key[-1]) + 1 if len(key) else 0, np.int64)
+        size[key] = sizes[order]
         self.at = np.concatenate([[0], np.cumsum(size)])
 
     def put(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -333,31 +364,25 @@ def _assembler(encode: bool, decode: bool, digest: bool):
     return run, schema
 
 
-def _split(docs: DataFrame, path: str) -> DataFrame:
-    items = docs.select(docs["doc_id"].cast("long").alias("doc_id"), split_words(docs["text"].cast("string"), _added(path)).alias("items"))
-    return stored(items.mapInArrow(lambda batches: _blocks(batches, True), _BLOCK))
-
+def _encoded(docs: DataFrame, path: str) -> DataFrame:
+    """Blocks (block, kind, key, value): lists with the ids of each word, rows of kind PIECE for the ids that a block has, and documents.
 
-def _encoded_lists(blocks: DataFrame, path: str) -> DataFrame:
-    """The blocks' lists with ids for words: (block, kind, value), a row for each bucket of the table of distinct words that the block has a word in."""
-    listed = blocks.where(f"kind = {LISTED}").select("block", "key", "value")
-    # how many words the lists have follows from their last rows; the table has buckets in proportion
-    total = listed.groupBy("block").agg(F.max("key").alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    buckets = max(64, -(-(total[0] + total[1] * LISTED_WORDS) // BUCKET_WORDS))
-    dealt = listed.mapInArrow(_dealer(buckets), "bucket long, block long, value binary").repartition("bucket").sortWithinPartitions("bucket")
-    return dealt.mapInArrow(_encoder(path), "block long, value binary").withColumn("kind", F.lit(LISTED))
+    One pass over the texts and one shuffle: lists meet by bucket, documents are dealt evenly beside them.
+    """
+    items = docs.select(docs["doc_id"].cast("long").alias("doc_id"), split_words(docs["text"].cast("string"), _added(path)).alias("items"))
+    buckets = max(LEAST_BUCKETS, BUCKETS * docs.rdd.getNumPartitions())
+    dealt = items.mapInArrow(_dealer(buckets), f"{_BLOCK}, deal long").repartition("deal").sortWithinPartitions("deal")
+    return dealt.mapInArrow(_encoder(path), _BLOCK)
 
 
-def _pieces(keyed: DataFrame, path: str) -> DataFrame:
-    """The pieces of the distinct ids of keyed (block, id), by a join with the table of pieces, whose size the vocabulary bounds."""
-    return keyed.join(F.broadcast(piece_table(keyed.sparkSession, path)), "id").select("block", F.lit(PIECE).alias("kind"), F.col("id").alias("key"), F.col("piece").alias("value"))
+def _with_pieces(rows: DataFrame, path: str) -> DataFrame:
+    """Blocks whose rows of kind PIECE have the piece of their id, by a join with the table of pieces, whose size the vocabulary bounds."""
+    table = F.broadcast(piece_table(rows.sparkSession, path)).withColumn("kind", F.lit(PIECE)).withColumnRenamed("id", "key")
+    return rows.join(table, ["kind", "key"], "left").select("block", "kind", "key", F.coalesce("value", "piece").alias("value"))
 
 
-def _together(parts: list[DataFrame], encode: bool, decode: bool, digest: bool) -> DataFrame:
+def _together(rows: DataFrame, encode: bool, decode: bool, digest: bool) -> DataFrame:
     run, schema = _assembler(encode, decode, digest)
-    rows = parts[0]
-    for p in parts[1:]:
-        rows = rows.unionByName(p, allowMissingColumns=True)
     return rows.select("block", "kind", "key", "value").repartition("block").sortWithinPartitions("block", "kind").mapInArrow(run, schema)
 
 
@@ -368,8 +393,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
     or empty text has no ids; a null doc_id stays null. Other columns are ignored. An empty table gives an empty result.
     One text is held whole, with some twenty bytes for each of its bytes.
     """
-    blocks = _split(docs, path)
-    return _together([_encoded_lists(blocks, path), blocks.where(f"kind = {DOCUMENT}")], True, False, False)
+    return _together(_encoded(docs, path).where(f"kind <> {PIECE}"), True, False, False)
 
 
 def decode(rows: DataFrame, path: str) -> DataFrame:
@@ -378,25 +402,7 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     Null or empty ids give an empty text, ids that the vocabulary hasn't nothing, and bytes that aren't UTF-8 the replacement character.
     """
     items = rows.select(rows["doc_id"].cast("long").alias("doc_id"), F.filter(F.coalesce("ids", F.array().cast("array<int>")), lambda x: x >= 0).alias("items"))
-    blocks = stored(items.mapInArrow(lambda batches: _blocks(batches, False), _BLOCK))
-    listed = blocks.where(f"kind = {LISTED}").select("block", F.col("key").alias("id"))
-    return _together([_pieces(listed, path), blocks.where(f"kind = {DOCUMENT}")], False, True, False)
-
-
-def _some_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, value: the distinct ids, packed) of each row of lists with ids (block, value)."""
-    for batch in batches:
-        found = [_packed(_short(np.diff(np.unique(_long(_unpacked(v)[2])), prepend=0))[0]) for v in batch.column("value").to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(found, pa.binary())], ["block", "value"])
-
-
-def _block_ids(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(block, id), each once, of rows of _some_ids() sorted by block."""
-    for table in groups(batches, ["block"]):
-        names, place = np.unique(table.column("block").to_numpy(), return_inverse=True)
-        ids = [np.cumsum(_long(_unpacked(v)[0])) for v in table.column("value").to_pylist()]
-        pair = np.unique(np.repeat(place, [len(x) for x in ids]) << 32 | np.concatenate(ids))
-        yield pa.RecordBatch.from_arrays([pa.array(names[pair >> 32], pa.int64()), pa.array((pair & 0xFFFFFFFF).astype(np.int32))], ["block", "id"])
+    return _together(_with_pieces(items.mapInArrow(lambda batches: _blocks(batches, False), _BLOCK), path), False, True, False)
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
@@ -404,8 +410,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     Nulls, empties and repeated rows as in encode().
     """
-    blocks = _split(docs, path)
-    lists = _encoded_lists(blocks, path)
-    some = lists.select("block", "value").mapInArrow(_some_ids, "block long, value binary")
-    ids = some.repartition("block").sortWithinPartitions("block").mapInArrow(_block_ids, "block long, id int")
-    return _together([lists, _pieces(ids, path), blocks.where(f"kind = {DOCUMENT}")], True, True, True)
+    return _together(_with_pieces(_encoded(docs, path), path), True, True, True)
