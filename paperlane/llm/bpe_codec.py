@@ -30,8 +30,6 @@ BLOCK_WORDS = 4_000_000
 BUCKETS, LEAST_BUCKETS = 4, 64
 #: Words of a list in one row.
 LISTED_WORDS = 500_000
-#: Blocks whose ids a task remembers.
-SEEN = 256
 #: Words whose ids are put in their places at once; one row's are never parted.
 ASSEMBLED = 200_000
 
@@ -234,12 +232,12 @@ def _dealt(rows: pa.RecordBatch, deal: np.ndarray) -> pa.RecordBatch:
 def _encoder(path: str):
     """Buckets of the table of distinct words, sorted by deal: each word is encoded once, and its ids go to every block that has it (value: keys, sizes, ids).
 
-    For each id that a block has there is a row of kind PIECE too, at most once for some thousand of the task's rows. Documents go through.
+    Before the first row with an id there is one of kind PIECE for it, once in a task. Documents go through.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t = tokenizer(path)
-        seen: dict[int, np.ndarray] = {}
+        seen = np.zeros(t.get_vocab_size(with_added_tokens=True), bool)
         for table in groups(batches, ["deal"]):
             documents = table.column("deal").to_numpy() < 0
             if documents.any():
@@ -256,21 +254,38 @@ def _encoder(path: str):
             for i in range(0, len(words), 20_000):
                 found += [np.array(e.ids, "<u4") for e in t.encode_batch_fast(words[i : i + 20_000], add_special_tokens=False)]
             at, flat = np.concatenate([[0], np.cumsum([len(x) for x in found])]), np.concatenate(found)
+            new = np.unique(flat)
+            new = new[~seen[new]]
+            seen[new] = True
+            yield _rows(-1, PIECE, pa.nulls(len(new), pa.binary()), new)
             for block, (keys, _, _), end, words in zip(table.column("block").to_pylist(), parts, ends, lists, strict=True):
                 ids, size = _gather(flat, at, code[end - len(words) : end])
                 yield _rows(block, LISTED, [_packed(keys, _short(size)[0], _short(ids)[0])])
-                if block not in seen:
-                    if len(seen) == SEEN:
-                        seen.clear()
-                    seen[block] = np.zeros(t.get_vocab_size(with_added_tokens=True), bool)
-                new = np.unique(ids)
-                new = new[~seen[block][new]]
-                seen[block][new] = True
-                yield _rows(block, PIECE, pa.nulls(len(new), pa.binary()), new)
-
     return run
 
 
+def _binder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lists with the pieces of their ids (value: keys, sizes, ids, distinct ids, sizes and bytes of their pieces), from the task's rows of kind PIECE before them."""
+    known: dict[int, bytes] = {}
+    for batch in batches:
+        kind = batch.column("kind").to_numpy()
+        cuts = np.flatnonzero(np.diff(kind)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows], strict=True):
+            part = batch.slice(a, b - a)
+            if a < b and kind[a] == PIECE:
+                known |= {k: v or b"" for k, v in zip(part.column("key").to_pylist(), part.column("value").to_pylist(), strict=True)}
+            elif a < b and kind[a] == LISTED:
+                bound = []
+                for value in part.column("value").to_pylist():
+                    keys, size, ids = _unpacked(value)
+                    own = np.unique(_long(ids))
+                    pieces = [known[i] for i in own.tolist()]
+                    bound.append(_packed(keys, size, ids, _short(np.diff(own, prepend=0))[0], _short(np.array([len(x) for x in pieces], np.int64))[0], np.frombuffer(b"".join(pieces), np.uint8)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(bound, pa.binary())], part.schema.names)
+            elif a < b:
+                yield part
+
+
 def piece_table(spark: SparkSession, path: str) -> DataFrame:
     """(id, piece binary): the bytes that each id of the tokenizer stands for. As long as its vocabulary, whatever the data."""
     # the printable bytes stand for themselves, the others for the characters from 256 on
@@ -287,20 +302,26 @@ def _gather(flat: np.ndarray, at: np.ndarray, which: np.ndarray) -> tuple[np.nda
     return flat[shift + np.arange(len(shift))], size
 
 
+def _by_key(rows: list[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, list]]:
+    for b in rows:
+        key, values = b.column("key").to_numpy(), b.column("value").to_pylist()
+        order = np.argsort(key)
+        yield key[order].astype(np.int64), [values[i] for i in order.tolist()]
+
+
 class _Lists:
-    """A block's list, from its rows: for each key a slice of one array."""
-
-    def __init__(self, batches: list[pa.RecordBatch], words: bool):
-        if words:  # many keys and their ids are a row's value
-            parts = [_unpacked(v) for b in batches for v in b.column("value").to_pylist()]
-            key = np.concatenate([np.cumsum(_long(k)) for k, _, _ in parts] or [np.zeros(0, np.int64)])
-            sizes = np.concatenate([_long(n) for _, n, _ in parts] or [np.zeros(0, np.int64)])
-            flat = np.concatenate([_long(x) for _, _, x in parts] or [np.zeros(0, np.int64)]).astype(np.int32)
-        else:
-            data = [v or b"" for b in batches for v in b.column("value").to_pylist()]
-            key = np.concatenate([b.column("key").to_numpy(zero_copy_only=False) for b in batches] or [np.zeros(0, np.int64)]).astype(np.int64)
-            sizes, flat = np.array([len(v) for v in data], np.int64), np.frombuffer(b"".join(data), np.uint8)
-        # several tasks may have told of a piece
+    """A block's list, from its rows: for each key a slice of one array. A list's rows hold the ids of words, and may hold the pieces of ids."""
+
+    def __init__(self, listed: list[pa.RecordBatch], rows: list[pa.RecordBatch], pieces: bool):
+        parts = [_unpacked(v) for b in listed for v in b.column("value").to_pylist()]
+        if pieces:
+            parts = [x[3:] for x in parts]
+            # rows of their own, as decode() has them
+            parts += [[_short(np.diff(k, prepend=0))[0], _short(np.array([len(v or b"") for v in values], np.int64))[0], np.frombuffer(b"".join(v or b"" for v in values), np.uint8)] for k, values in _by_key(rows)]
+        key = np.concatenate([np.cumsum(_long(x[0])) for x in parts] or [np.zeros(0, np.int64)])
+        sizes = np.concatenate([_long(x[1]) for x in parts] or [np.zeros(0, np.int64)])
+        flat = np.concatenate([x[2] if pieces else _long(x[2]).astype(np.int32) for x in parts] or [np.zeros(0, np.uint8)])
+        # several rows may tell of a piece
         key, order = np.unique(key, return_index=True)
         ends = np.concatenate([[0], np.cumsum(sizes)])
         self.flat = _gather(flat, ends, order)[0]
@@ -337,7 +358,7 @@ def _assembler(encode: bool, decode: bool, digest: bool):
                     lists[int(kind[a])].append(part)
                     continue
                 if words is None:
-                    words, pieces = _Lists(lists[LISTED], True) if encode else None, _Lists(lists[PIECE], False) if decode else None
+                    words, pieces = _Lists(lists[LISTED], [], False) if encode else None, _Lists(lists[LISTED], lists[PIECE], True) if decode else None
                     lists = {LISTED: [], PIECE: []}
                 for value in part.column("value").to_pylist():
                     yield documents(*_unpacked(value), words, pieces)
@@ -365,7 +386,7 @@ def _assembler(encode: bool, decode: bool, digest: bool):
 
 
 def _encoded(docs: DataFrame, path: str) -> DataFrame:
-    """Blocks (block, kind, key, value): lists with the ids of each word, rows of kind PIECE for the ids that a block has, and documents.
+    """Blocks (block, kind, key, value): lists with the ids of each word, rows of kind PIECE for the ids that a task has, and documents.
 
     One pass over the texts and one shuffle: lists meet by bucket, documents are dealt evenly beside them.
     """
@@ -410,4 +431,4 @@ def digests(docs: DataFrame, path: str) -> DataFrame:
 
     Nulls, empties and repeated rows as in encode().
     """
-    return _together(_with_pieces(_encoded(docs, path), path), True, True, True)
+    return _together(_with_pieces(_encoded(docs, path), path).mapInArrow(_binder, _BLOCK), True, True, True)
