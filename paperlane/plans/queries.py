@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions import text as T
+from ..functions import sql as sql_functions, text as T
 from ..operators import about, answers, events, library, passages as P, retrieve
 from ..operators.index import index_of, update_index
 from ..operators.storage import shared_dir
@@ -337,7 +337,7 @@ def csv_files(spark, d):
     c = _t(spark, d, "customer").select("c_mktsegment", "c_custkey", F.concat_ws(",", F.col("c_custkey").cast("string"), F.concat(F.lit('" '), "c_name", F.lit(', x, y"')), F.col("c_nationkey").cast("string"), F.when(F.col("c_nationkey") % 2 == 0, "more")).alias("line"))
     one = F.array_sort(F.collect_list(F.struct("c_custkey", "line")))
     files = c.groupBy(F.col("c_mktsegment").alias("doc_id")).agg(F.concat(F.lit('c_custkey,"na""me", \n,,\n'), F.array_join(F.transform(one, lambda x: x["line"]), "\r\n")).alias("text"))
-    return readers.csv_files(files, None).select("doc_id", "number", "label", "text", "note")
+    return readers.csv_files(files, None, 500).select("doc_id", "number", "label", "text", "note")
 
 
 @query(r"""SELECT page_id, left(CASE WHEN n = '' THEN 'document' ELSE n END, 180) AS name FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(url, '[\\/\x00-\x1f]', '-', 'g'), '\.{2,}', '.', 'g'), '^[\s.]+|[\s.]+$', '', 'g') AS n FROM pages)""")
@@ -490,11 +490,11 @@ def _files(spark: SparkSession, d: str) -> DataFrame:
     return _t(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.concat(F.lit("p"), F.col("page_id").cast("string"), F.lit("."), suffix).alias("name"), F.col("html").cast("binary").alias("content"))
 
 
-@query(r"""WITH k AS (SELECT page_id, page_id % 9 AS k FROM pages)
-SELECT page_id::VARCHAR AS doc_id, CASE k WHEN 4 THEN 'old format' WHEN 5 THEN 'old format' WHEN 7 THEN 'no parser' END AS error FROM k WHERE k <> 3""")
+@query(r"""WITH k AS (SELECT page_id, page_id % 9 AS k, len(list_filter(string_split(html, chr(10)), lambda x: regexp_matches(x, '[^\s,]'))) AS lines FROM pages)
+SELECT page_id::VARCHAR AS doc_id, CASE k WHEN 4 THEN 'old format' WHEN 5 THEN 'old format' WHEN 7 THEN 'no parser' WHEN 3 THEN CASE WHEN lines < 2 THEN 'no text' END END AS error FROM k""")
 def read_errors(spark, d):
     files = _files(spark, d)
-    return readers.read_files(files)[0].where("kind <> 'csv'").select("doc_id", "error")
+    return readers.read_files(files)[0].select("doc_id", "error")
 
 
 @query(r"""SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN text ELSE '“£5” — é' || doc_id END AS text FROM documents WHERE text IS NOT NULL""")
@@ -763,3 +763,28 @@ def library_clear(spark, d):
 @query("SELECT user_id AS stream_id, string_agg(event_type, '' ORDER BY event_id) AS text FROM events GROUP BY user_id")
 def joined_answers(spark, d):
     return events.joined_pieces(_t(spark, d, "events").select(F.col("user_id").alias("stream_id"), F.col("event_id").alias("seq"), F.col("event_type").alias("text")))
+
+
+# ---- in SQL alone --------------------------------------------------------------------------------
+
+
+def _sql(spark: SparkSession, d: str, text: str) -> DataFrame:
+    sql_functions.register(spark)
+    pages = f"SELECT doc_id, 0 AS page_pos, 1 AS number, 'part 1' AS label, coalesce(text, '') AS text FROM parquet.`{d}/documents.parquet`"
+    return spark.sql(text.format(documents=f"parquet.`{d}/documents.parquet`", pages=pages))
+
+
+@query(ORACLES["tidy_documents"])
+def sql_tidy(spark, d):
+    return _sql(spark, d, "SELECT doc_id, pl_tidy(text) AS text FROM {documents}")
+
+
+@query(ORACLES["postings"])
+def sql_postings(spark, d):
+    return _sql(spark, d, "SELECT doc_id, term, passage_idx, count(*) AS tf FROM (SELECT doc_id, passage_idx, explode(t) AS term FROM (SELECT doc_id, passage_idx, pl_tokens(text) AS t FROM pl_passages(TABLE({pages})))) GROUP BY ALL")
+
+
+@query(rf"""WITH {_PASSAGES.replace("90", "40").replace("60.0", "30.0").replace("* 60", "* 30").replace("105", "45")}
+SELECT doc_id, passage_idx, text, CASE WHEN length(text) > 48 THEN 'section “' || rtrim(left(text, 45)) || '…”' ELSE 'section “' || text || '”' END AS label FROM p WHERE len({_WORDS.format('text')}) >= 30 OR passage_idx = 0""")
+def sql_passages(spark, d):
+    return _sql(spark, d, "SELECT doc_id, passage_idx, text, pl_label(number, text) AS label FROM pl_passages(TABLE({pages}), 40, 30)")

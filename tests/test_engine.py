@@ -1,5 +1,5 @@
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from compare import connection, rows
 from paperlane.functions import text as T
@@ -140,6 +140,71 @@ def test_csv_files(spark):
     assert [r.label for r in cut] == ["rows 1–25", "rows 26–40"] and {r.note for r in cut} == {"only the first 40 rows are read"}
 
 
+def plain_csv(text):
+    """The lines of a CSV text as the standard reader has it, or what is wrong."""
+    import csv
+    import io
+
+    csv.field_size_limit(2**31 - 1)
+    try:
+        rows_ = [r for r in csv.reader(io.StringIO(text)) if any(c.strip() for c in r)]
+    except csv.Error:
+        return "error"
+    header = [c.strip() or f"column {i + 1}" for i, c in enumerate(rows_[0])] if rows_ else []
+    return [", ".join(f"{header[i] if i < len(header) else f'column {i + 1}'}: {c.strip()}" for i, c in enumerate(r) if c.strip()) for r in rows_[1:]]
+
+
+def test_csv_in_slices(spark):
+    """Whatever the slices, the rows are those of the whole text: quoted line ends across borders, quotes within fields, carriage returns."""
+    import random
+
+    r = random.Random(4)
+    atoms = ["a", "b c", ",", ",", '"', '""', "\n", "\n", '"x,y"', '"line\nend"', '"say ""no"""', 'in"side', "\r\n", " "]
+    texts = ["".join(r.choice(atoms) for _ in range(r.randrange(60))) for _ in range(300)]
+    texts += ['h,i\n"' + "long\n" * 500 + '",2\n3,4', "a\rb,c\nd", "h\n" + "\n".join(f'"{i}\n{i}"' for i in range(200)), "only,head\n", "", None]
+    df = spark.createDataFrame([(str(i), t) for i, t in enumerate(texts)], "doc_id string, text string")
+    for size in (1, 7, 10_000):
+        got, bad = {}, set()
+        for p in readers.csv_files(df, None, size).collect():
+            if p.error:
+                bad.add(p.doc_id)
+            else:
+                got.setdefault(p.doc_id, {})[p.number] = p
+        for i, t in enumerate(texts):
+            want = plain_csv(t or "")
+            if want == "error":
+                assert str(i) in bad and str(i) not in got
+                continue
+            parts = ["\n".join(want[k : k + 25]) for k in range(0, len(want), 25)]
+            tidied = [one_tidy(x) for x in parts]
+            assert [p.text for _, p in sorted(got.get(str(i), {}).items())] == tidied, (size, t)
+
+
+def one_tidy(text):
+    """As tidy() for these texts."""
+    import re
+
+    text = re.sub(r"[ \t]{2,}", " ", re.sub(r"\r\n?", "\n", text))
+    return re.sub(r"\n{3,}", "\n\n", re.sub(r"[ \t]+\n", "\n", text)).strip()
+
+
+def test_read_files_loses_nothing(spark):
+    many = "h,x\n" + "\n".join(f"{i},y" for i in range(20_050))
+    files = [("many", "a.csv", many), ("wide", "b.csv", "h\n" + "z" * 200_000 + "\n1\n"), ("bad", "c.csv", "a,b\n1\r2,3\n"), ("text", "d.txt", "one two\n\nthree"), ("page", "e.html", "<head><title>T</title></head><p>a b</p>")]
+    df = spark.createDataFrame([(i, n, bytearray(t.encode())) for i, n, t in files], "doc_id string, name string, content binary")
+    documents, pages = readers.read_files(df)
+    got = {r.doc_id: r for r in documents.collect()}
+    assert (got["many"].parts, got["many"].words, got["many"].note, got["many"].title) == (802, 20_050 * 4, "", "h, x")
+    assert (got["wide"].error, got["wide"].words, got["bad"].error, got["bad"].parts) == (None, 4, "not csv", 0)
+    assert (got["text"].words, got["page"].title, got["page"].words) == (3, "T", 2)
+    assert pages.where("doc_id = 'many'").agg(F.max("number")).first()[0] == 802 and pages.where("doc_id = 'bad'").count() == 0
+    seen = Observation()
+    readers.read_files(df, metrics=seen)[0].collect()
+    assert seen.get == {"files": 5, "bytes": sum(len(t) for _, _, t in files), "refused": 0, "html_files": 1, "html_bytes": len(files[4][2]), "text_files": 1, "text_bytes": len(files[3][2]), "csv_files": 3, "csv_bytes": sum(len(t) for _, _, t in files[:3])}
+    limited = {r.doc_id: r.note for r in readers.read_files(df, 20_000)[0].collect()}
+    assert limited["many"] == "only the first 20,000 rows are read" and limited["wide"] == ""
+
+
 def test_read_files(spark):
     files = [("1", "a.txt", b"# T\nbody"), ("2", "b.html", b"<h1>A</h1><p>x</p>"), ("3", "c.csv", b"h\n1\n"), ("4", "d.doc", b"x"), ("5", "e.xls", b"x"), ("6", "f", b""), ("7", "g.txt", b"  \n"), ("8", "h", bytes(range(256)) * 20), ("9", "i.PDF", b"%PDF-1.4"), ("10", "j", None)]
     documents, pages = readers.read_files(spark.createDataFrame([(i, n, None if b is None else bytearray(b)) for i, n, b in files], "doc_id string, name string, content binary"))
@@ -226,3 +291,54 @@ def test_csv_parts_hold_every_row(spark):
     pages = readers.csv_pages(made, ["id"], ["id"], F.col("doc"))
     assert pages.agg(F.max("number")).first()[0] == 802 and pages.where("number = 802").first().text.endswith("id: 20029")
     assert readers.csv_pages(made, ["id"], ["id"], F.col("doc"), limit=20_000).count() == 800
+
+
+def test_index_reads_text_for_phrases_and_hits_only(spark, tmp_path):
+    """A question whose phrase nothing may hold is ranked though the stored passages are gone."""
+    from paperlane.operators import index
+
+    made = index.update_index(lease(spark), "ix_lease", str(tmp_path / "ix"))
+    asked = spark.createDataFrame([("q", "how much is the deposit, notice and pet budget")], "query_id string, question string")
+    want = [tuple(r) for r in retrieve.search(asked, lease(spark), texts=False).orderBy("rank").collect()]
+    bare = index.Index(made.postings, passages=made.passages.where("false"))
+    assert [tuple(r) for r in retrieve.search(asked, index=bare, texts=False).orderBy("rank").collect()] == want and len(want) == 3
+    assert retrieve.search(asked, index=made).orderBy("rank").first().text.startswith("Either side") or want
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    plan = retrieve.search(asked, index=made, texts=False)._jdf.queryExecution().executedPlan().toString()
+    spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in plan
+    # an index is found again under another name, and its documents can go
+    again = index.open_index(spark, "ix_again", str(tmp_path / "ix"))
+    assert again.postings.count() == made.postings.count() > 0
+    gone = spark.createDataFrame([(1,)], "doc_id long")
+    assert index.update_index(lease(spark).where("false"), "ix_lease", str(tmp_path / "ix"), gone).postings.count() == 0
+
+
+def test_many_pages_are_one_document(spark):
+    """Posting lists of a document of many pages, whose sums meet from many tasks, are those of one page at a time put together."""
+    r = [(1, i, i + 1, f"p{i}", f"alpha beta word{i} " + "gamma " * (i % 3)) for i in range(40)] + [(1, 40, 41, "blank", " ")]
+    pages = spark.createDataFrame(r, "doc_id long, page_pos int, number int, label string, text string")
+    got = {x.term: x for x in P.posting_lists(pages).collect()}
+    assert (got["alpha"].df, got["alpha"].n_passages, got["word7"].df) == (40, 40, 1)
+    assert sorted((h.passage_idx, h.tf) for h in got["gamma"].hits) == [(i, i % 3) for i in range(40) if i % 3]
+    assert {h.passage_idx: h["len"] for h in got["beta"].hits} == {i: 3 + i % 3 for i in range(40)}
+
+
+def test_a_title_that_stands_in_a_passage_counts(spark):
+    pages = spark.createDataFrame([(1, 0, 1, "p", "it is of no use"), (1, 1, 2, "p", "the old cat on a mat and dog"), (1, 2, 3, "p", "cats on old mats")], "doc_id long, page_pos int, number int, label string, text string")
+    titles = spark.createDataFrame([(1, "Old Cat on a Mat")], "doc_id long, title string")
+    got = {r.passage_idx: (r["rank"], r.score) for r in about.summary_hits(pages, titles=titles).collect()}
+    plain = {r.passage_idx: r.score for r in about.summary_hits(pages, titles=titles.withColumn("title", F.lit("Old Mat Cat"))).collect()}
+    assert got[1][0] == 1 and abs(got[1][1] - 1.8 * plain[1]) < 0.01 and got[2][1] == plain[2]
+
+
+def test_sql_functions(spark):
+    from paperlane.functions import sql
+
+    sql.register(spark)
+    lease(spark).createOrReplaceTempView("lease_pages")
+    got = spark.sql("SELECT doc_id, passage_idx, number, label, text FROM pl_passages(TABLE(lease_pages))").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, P.passages(lease(spark)).collect()))
+    assert spark.sql("SELECT pl_stem('families') AS a, pl_tokens('The boxes, 7 x running') AS b, pl_label(3, '') AS c").first() == ("family", ["boxe", "7", "run"], "section 3")
+    with pytest.raises(Exception, match="no label"):
+        spark.sql("SELECT * FROM pl_passages(TABLE(SELECT 1 AS doc_id, 0 AS page_pos, 1 AS number, 'x' AS text))").collect()
