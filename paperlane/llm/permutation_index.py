@@ -95,7 +95,8 @@ def _searcher(middle: np.ndarray, k: int, share: float, each: int):
                 away = vectors - middle
                 posted, asked = files(away @ axes.T), files(_unit(rows[qi]) @ axes.T)
                 count = int(np.ceil(share * len(vi))) + each * k
-                out_q, out_v, out_s = [], [], []
+                query = part.column("node").to_numpy()
+                out_q, out_n, out_v, out_s = [], [], [], []
                 for q, best in zip(qi, candidates(posted, np.linalg.norm(away, axis=1), asked, count), strict=True):
                     exact = (vectors[best] * rows[q]).sum(1)
                     # one more than k: a vector may have the query's own id alone
@@ -107,9 +108,10 @@ def _searcher(middle: np.ndarray, k: int, share: float, each: int):
                     found, score = np.repeat(held_id[at], times), np.repeat(np.repeat(score, size), times)
                     top = np.lexsort((found, -score))[:k]
                     out_q.append(np.full(len(top), ids[q]))
+                    out_n.append(np.full(len(top), query[q]))
                     out_v.append(found[top])
                     out_s.append(score[top])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_v, out_s)], ["query_id", "vec_id", "score"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(x)) for x in (out_q, out_n, out_v, out_s)], ["query_id", "query", "vec_id", "score"])
 
     return run
 
@@ -123,7 +125,8 @@ def _top(exact: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float = SHARE, each: int = EACH) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row of queries the k rows of vectors found with the largest inner product.
 
-    Both have (vec_id, embedding); other columns are ignored. Rows with the query's own vec_id are no candidates.
+    Both have (vec_id, embedding); other columns are ignored. Equal rows of queries are one query, and rows with one id and several vectors
+    several queries, each with its own ranks. Rows with the query's own vec_id are no candidates.
     Vectors that are null or zero or hold null or non-finite components, and rows without an id, take no part, nor do those
     whose number of components isn't that of most vectors (of equals the smaller one). Ties go to the smaller vec_id;
     repeated rows are candidates each. Empty tables give an empty result.
@@ -133,6 +136,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     if dim is None:
         return asked.where("false").select(F.col("vec_id").alias("query_id"), F.lit(0).alias("rank"), "vec_id", F.lit(0.0).alias("score"))
     fine, asked = (x.where(F.size("vector") == dim.d).withColumn("node", F.xxhash64("vector")) for x in (fine, asked))
+    asked = asked.dropDuplicates(["vec_id", "node"])
     # of each distinct vector the k + 1 least ids, with their numbers of rows: cut in parts, then together
     ids = fine.groupBy("node", "vec_id").agg(F.count("*").alias("n")).withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(PARTS)))
     for keys in (["node", "part"], ["node"]):
@@ -142,10 +146,10 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, share: float =
     sample = nodes.withColumn("h", F.hash("node")).orderBy("h", "node").limit(SAMPLE).select("vector").toPandas()["vector"]
     middle = np.array([list(v) for v in sample]).mean(0)
     blocks, query_blocks = max(1, -(-nodes.count() // BLOCK)), max(1, -(-asked.count() // QUERY_BLOCK))
-    own = nodes.select("vec_id", "held", "vector", F.lit(False).alias("asks"), F.pmod("node", F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
+    own = nodes.select("vec_id", "node", "held", "vector", F.lit(False).alias("asks"), F.pmod("node", F.lit(blocks)).cast("int").alias("block"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("query_block"))
     none = F.lit(None).cast(own.schema["held"].dataType).alias("held")
-    ask = asked.select("vec_id", none, "vector", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("query_block"))
+    ask = asked.select("vec_id", "node", none, "vector", F.lit(True).alias("asks"), F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.pmod(F.xxhash64("vec_id"), F.lit(query_blocks)).cast("int").alias("query_block"))
     dealt = own.unionByName(ask.select(own.columns)).repartition("block", "query_block").sortWithinPartitions("block", "query_block")
-    found = dealt.mapInArrow(_searcher(middle, k, share, each), "query_id long, vec_id long, score double")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = dealt.mapInArrow(_searcher(middle, k, share, each), "query_id long, query long, vec_id long, score double")
+    order = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

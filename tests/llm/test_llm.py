@@ -540,6 +540,12 @@ def test_awkward_vectors(spark):
     assert {(r.vec_id, r.n_links, r.component_id) for r in got} == {(None, 0, None), (0, 3, 0), (1, 3, 0), (2, 1, 2), (3, 1, 2), (4, 0, 4), (5, 0, 5), (6, 0, 6), (7, 0, 7), (8, 0, 8), (20, 3, 0)}
     near = permutation_index.nearest(df, df.where("vec_id = 20"), k=3).orderBy("rank").collect()
     assert [(r.rank, r.vec_id, r.score) for r in near] == [(1, 1, 2.0), (2, 0, 1.0), (3, 0, 1.0)]
+    # a query that comes twice is one; an id with two vectors is two queries
+    twice = df.where("vec_id = 20").unionByName(df.where("vec_id = 20"))
+    assert [(r.rank, r.vec_id) for r in permutation_index.nearest(df, twice, k=3).orderBy("rank").collect()] == [(1, 1), (2, 0), (3, 0)]
+    other = spark.createDataFrame([(20, [0.0, 3.0])], "vec_id long, embedding array<double>")
+    found = permutation_index.nearest(df, twice.select("vec_id", "embedding").unionByName(other), k=2).collect()
+    assert sorted((r.rank, r.vec_id, r.score) for r in found) == [(1, 1, 2.0), (1, 2, 3.0), (2, 0, 1.0), (2, 3, 3.0)]
 
 
 def test_awkward_stages(spark):
