@@ -342,3 +342,23 @@ def test_sql_functions(spark):
     assert spark.sql("SELECT pl_stem('families') AS a, pl_tokens('The boxes, 7 x running') AS b, pl_label(3, '') AS c").first() == ("family", ["boxe", "7", "run"], "section 3")
     with pytest.raises(Exception, match="no label"):
         spark.sql("SELECT * FROM pl_passages(TABLE(SELECT 1 AS doc_id, 0 AS page_pos, 1 AS number, 'x' AS text))").collect()
+
+
+def test_extractive_answers(spark):
+    hits = [("q", 1, 1, "page 2", "The deposit is 500. Pets may stay! It is due in May"), ("q", 1, 2, "page 5", "Nothing here.\nA deposit of pets is due."), ("q", 2, 1, "page 1", "No such words."), ("blank", 1, 1, "page 1", "Some text.")]
+    df = spark.createDataFrame(hits, "query_id string, doc_id long, rank int, label string, text string")
+    asked = spark.createDataFrame([("q", "When is the deposit for pets due in May?"), ("blank", "is it")], "query_id string, question string")
+    got = {(r.query_id, r.doc_id): r for r in answers.extractive_answers(asked, df).collect()}
+    assert got["q", 1].answer == "Pets may stay! (page 2) A deposit of pets is due. (page 5)"
+    assert [(s["rank"], s.pos) for s in got["q", 1].sentences] == [(1, 1), (2, 1)]
+    assert (got["q", 2].answer, got["q", 2].sentences, got["blank", 1].answer) == ("", [], "")
+    assert {r.answer for r in answers.extractive_answers(asked.where("query_id = 'q'"), df.where("doc_id = 1"), 1).collect()} == {"A deposit of pets is due. (page 5)"}
+
+
+def test_answer_events_without_engines(spark):
+    pair = "query_id string, doc_id long"
+    asked = spark.createDataFrame([("q", 1), ("q", 2)], pair)
+    hits = spark.createDataFrame([("q", 1, 1, "page 1", 2.5)], f"{pair}, rank int, label string, score double")
+    said = spark.createDataFrame([("q", 1, "yes", False), ("q", 2, "yes", True)], f"{pair}, answer string, supported boolean")
+    got = answers.answer_events(asked, hits, said).orderBy("doc_id", "seq").collect()
+    assert [(r.doc_id, r.type, r.payload) for r in got] == [(1, "found", '{"hits":[{"rank":1,"label":"page 1","score":2.5}]}'), (1, "answer", "yes"), (1, "unsupported", ""), (1, "done", "true"), (2, "found", '{"hits":[]}'), (2, "note", "nothing found"), (2, "done", "false")]
