@@ -104,15 +104,16 @@ def extractive_answers(questions: DataFrame, hits: DataFrame, limit: int = ANSWE
     each = rows.groupBy(*keys).agg(F.first("want").alias("want"), F.array_sort(F.collect_list(F.struct("rank", "pos", "label", "sentence", "has"))).alias("s"))
     weight = F.transform("want", lambda t: F.struct(t.alias("t"), F.size(F.filter("s", lambda x: F.array_contains(x["has"], t))).alias("n")))
     each = each.withColumn("w", F.map_from_entries(F.transform(F.filter(weight, lambda x: x["n"] > 0), lambda x: F.struct(x["t"], F.round(1 + F.log(F.size("s") / x["n"]), 9)))))
-    # the greedy cover is a fold over the number of sentences to take: (places taken, terms covered)
-    for _ in range(limit):
-        if "taken" not in each.columns:
-            each = each.withColumn("taken", F.array().cast("array<int>")).withColumn("covered", F.array().cast("array<string>"))
-        gain = F.transform("s", lambda x, i: F.struct(F.round(F.aggregate(F.array_except(x["has"], F.col("covered")), F.lit(0.0), lambda a, t: a + F.try_element_at("w", t)), 6).alias("g"), (-i).alias("i")))
-        each = each.withColumn("best", F.array_max(gain))
-        more = F.col("best.g") > 0
-        at = -F.col("best.i")
-        each = each.withColumn("taken", F.when(more, F.array_append("taken", at)).otherwise(F.col("taken"))).withColumn("covered", F.when(more, F.array_union("covered", F.get(F.col("s"), at)["has"])).otherwise(F.col("covered")))
+    # the greedy cover is a fold over the number of sentences to take
+    none = F.struct(F.array().cast("array<int>").alias("taken"), F.array().cast("array<string>").alias("covered"))
+
+    def further(done: Column, _: Column) -> Column:
+        gain = F.transform("s", lambda x, i: F.struct(F.round(F.aggregate(F.array_except(x["has"], done["covered"]), F.lit(0.0), lambda a, t: a + F.try_element_at("w", t)), 6).alias("g"), (-i).alias("i")))
+        # one element stands for the best sentence, so that it is found once
+        taken = F.transform(F.array(F.array_max(gain)), lambda best: F.when(best["g"] > 0, F.struct(F.array_append(done["taken"], -best["i"]).alias("taken"), F.array_union(done["covered"], F.get(F.col("s"), -best["i"])["has"]).alias("covered"))).otherwise(done))
+        return F.get(taken, F.lit(0))
+
+    each = each.withColumn("taken", F.aggregate(F.sequence(F.lit(1), F.lit(limit)), none, further)["taken"])
     chosen = F.transform(F.array_sort("taken"), lambda i: F.get(F.col("s"), i))
     each = each.select(*keys, chosen.alias("c"))
     said = F.array_join(F.transform("c", lambda x: F.concat(x["sentence"], F.lit(" ("), x["label"], F.lit(")"))), " ")
