@@ -120,6 +120,7 @@ def in_reply_order(linked: DataFrame) -> DataFrame:
 
     The order is that of a walk through the replies, depth first: a message, then each reply to it with all below it, by turn.
     Messages that reply to none of their conversation begin anew, by turn. A reply always has a later turn than what it replies to.
+    conv_id and turn are not null and no pair of them is given twice, as in the rows of link_replies(); nulls elsewhere change nothing.
 
     Runs of messages that each reply to the turn just before are walked without a stop, so the walk is one over such runs, those
     attached to a run's later messages first. Its steps (into a run, out of it) form a list, which is ranked by pointer doubling:
@@ -153,7 +154,9 @@ def in_reply_order(linked: DataFrame) -> DataFrame:
         steps = settle(known.select("conv_id", F.explode(F.array(into, leave)).alias("s")).select("conv_id", "s.*"))
         for _ in range(ceil(log2(2 * most)) + 1):
             ahead = steps.select("conv_id", F.col("at").alias("to"), F.col("weight").alias("more"), F.col("to").alias("beyond"))
-            steps = settle(steps.join(ahead, ["conv_id", "to"], "left").select("conv_id", "at", (F.col("weight") + F.coalesce("more", F.lit(0).cast("long"))).alias("weight"), F.col("beyond").alias("to")))
+            # steps that have come to the end stay out of the join: they would all meet under the key null
+            moved = steps.where("to is not null").join(ahead, ["conv_id", "to"]).select("conv_id", "at", (F.col("weight") + F.col("more")).alias("weight"), F.col("beyond").alias("to"))
+            steps = settle(moved.unionByName(steps.where("to is null")))
         ranked = steps.where("not at.out").select("conv_id", F.col("at.run").alias("run"), F.col("weight").alias("rest"))
         begins = kept.join(ranked, ["conv_id", "run"], "left").select("conv_id", "run", F.when(F.col("rest").isNotNull(), F.col("messages") - F.col("rest")).otherwise(0).alias("before"))
     # a run is a range of turns, cut at the same ranges, so that no key holds a long run

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 #: A key is hot if it has more rows than this, and more than one in HOT_KEYS of all; so there are at most HOT_KEYS hot keys, whatever the data.
 HOT_ROWS, HOT_KEYS = 64, 10_000
 
+#: What settle() and stored() have written, for each alone() that is at work.
+_written: list[list[str]] = []
+
 
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the session's own checkpoint folder.
@@ -32,13 +36,20 @@ def shared_dir(spark: SparkSession) -> str:
 def settle(df: DataFrame) -> DataFrame:
     """df, computed once and kept in the shared folder: survives lost executors and cuts the lineage."""
     shared_dir(df.sparkSession)
-    return df.checkpoint()
+    out = df.checkpoint()
+    if _written:
+        file = out._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+        if file.isDefined():
+            _written[-1].append(file.get())
+    return out
 
 
 def stored(df: DataFrame) -> DataFrame:
     """As settle(), but as a Parquet table: compact, and read by column."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    if _written:
+        _written[-1].append(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -48,6 +59,21 @@ def removed(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+def alone(spark: SparkSession, make: Callable[[], DataFrame]) -> DataFrame:
+    """stored(make()); the tables that make() has put into the shared folder on its way are deleted, whether it succeeds or not."""
+    made: list[str] = []
+    _written.append(made)
+    try:
+        df = make()
+        _written.pop()
+        return stored(df)
+    finally:
+        if _written and _written[-1] is made:
+            _written.pop()
+        for path in made:
+            removed(spark, path)
+
+
 def join_counted(many: DataFrame, one: DataFrame, keys: list[str], total: int, how: str = "inner") -> DataFrame:
     """many joined (inner or left) with one, which has a row for each of keys and in _n how many rows of many have it, of total.
 

@@ -113,25 +113,87 @@ def _post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64).ravel()), pa.array(np.repeat(batch.column("cls").to_numpy(), SYMBOLS))], ["key", "cls"])
 
 
+def _near(sig: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(left, right) of the pairs within each group, which starts delimit, that differ in MAX_ERRORS symbols at most."""
+    end = np.repeat(starts[1:], np.diff(starts))
+    left, right, i = [], [], np.arange(len(sig))
+    for d in range(1, int(np.diff(starts).max(initial=1))):
+        i = i[i + d < end[i]]
+        for part in np.array_split(i, 1 + len(i) // 100_000):
+            near = part[(sig[part] != sig[part + d]).sum(1) <= MAX_ERRORS]
+            left.append(near)
+            right.append(near + d)
+    return (np.concatenate(left), np.concatenate(right)) if left else (i, i)
+
+
+def _with_hub(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b, key): links in each block of a bucket; b is null for a signature that isn't near its bucket's hub, where the bucket has more blocks.
+
+    All of a block is compared with the hub, which stands in every block of its bucket, and what isn't near it with the rest of the block:
+    two that are near the hub need no comparison. Where a bucket is one block, the rest is compared with all here.
+    """
+    keys = ["key", "block"]
+    for table in groups(batches, keys):
+        sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
+        cls, key, starts = table.column("cls").to_numpy(), table.column("key").to_numpy(), group_starts(table, keys)
+        whole, hub = table.column("nb").to_numpy() == 1, table.column("hub").to_numpy()
+        sizes = np.diff(starts)
+        is_hub = np.flatnonzero(cls == hub)
+        of = np.repeat(is_hub, sizes)  # every block holds its hub once
+        near = (sig != sig[of]).sum(1) <= MAX_ERRORS
+        linked, far = np.flatnonzero(near & (cls != hub)), np.flatnonzero(~near)
+        yield pa.RecordBatch.from_arrays([pa.array(cls[linked]), pa.array(hub[linked]), pa.array(key[linked])], ["a", "b", "key"])
+        open_ = far[~whole[far]]
+        yield pa.RecordBatch.from_arrays([pa.array(cls[open_]), pa.nulls(len(open_), pa.int64()), pa.array(key[open_])], ["a", "b", "key"])
+        # blocks that are a whole bucket and have any that is far from the hub
+        left, right, group = [], [], np.repeat(np.arange(len(sizes)), sizes)
+        for g in np.unique(group[far[whole[far]]]).tolist():
+            rows, rest = np.arange(starts[g], starts[g + 1]), np.flatnonzero(~near[starts[g] : starts[g + 1]]) + starts[g]
+            for x in rest.tolist():
+                found = rows[(sig[rows] != sig[x]).sum(1) <= MAX_ERRORS]
+                found = found[found != x]
+                left.append(np.full(len(found), x))
+                right.append(found)
+        if left:
+            i, j = np.concatenate(left), np.concatenate(right)
+            root = forest(i, j, len(sig))
+            own = np.flatnonzero(root != np.arange(len(sig)))
+            yield pa.RecordBatch.from_arrays([pa.array(cls[own]), pa.array(cls[root[own]]), pa.array(key[own])], ["a", "b", "key"])
+
+
 def _near_in_buckets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A spanning forest of the pairs of each bucket whose signatures differ in MAX_ERRORS symbols at most."""
+    """A spanning forest of the near pairs of each pair of blocks: of signatures far from their hub, and of all of the bucket."""
     keys = ["key", "bi", "bj"]
     for table in groups(batches, keys):
         sig = np.frombuffer(b"".join(table.column("sig").to_pylist()), np.uint16).reshape(-1, SYMBOLS)
-        cls, starts = table.column("cls").to_numpy(), group_starts(table, keys)
-        end = np.repeat(starts[1:], np.diff(starts))
-        left, right, i = [], [], np.arange(len(sig))
-        for d in range(1, int(np.diff(starts).max(initial=1))):
-            i = i[i + d < end[i]]
-            for part in np.array_split(i, 1 + len(i) // 100_000):
-                near = part[(sig[part] != sig[part + d]).sum(1) <= MAX_ERRORS]
-                left.append(near)
-                right.append(near + d)
-        if left:
-            a, b = np.concatenate(left), np.concatenate(right)
-            root = forest(a, b, len(sig))
-            x, y = cls, cls[root]
-            yield pa.RecordBatch.from_arrays([pa.array(x[x != y]), pa.array(y[x != y])], ["a", "b"])
+        cls = table.column("cls").to_numpy()
+        a, b = _near(sig, group_starts(table, keys))
+        root = forest(a, b, len(sig))
+        x, y = cls, cls[root]
+        yield pa.RecordBatch.from_arrays([pa.array(x[x != y]), pa.array(y[x != y])], ["a", "b"])
+
+
+def _candidates(classes: DataFrame, total: int) -> DataFrame:
+    """(a, b): near pairs of signatures, enough to connect all that are near, from the buckets of classes (cls, sig), total rows.
+
+    Of a bucket of many blocks each is first compared with one hub; only those far from it are compared with all of the bucket.
+    """
+    posted = classes.select("cls", "sig").mapInArrow(_post, "key long, cls long")
+    several = posted.groupBy("key").agg(F.count("*").alias("_n"), F.min("cls").alias("hub")).where("_n > 1").withColumn("nb", F.ceil(F.col("_n") / BUCKET_BLOCK).cast("int"))
+    met = join_counted(posted, several, ["key"], total * SYMBOLS).join(classes.select("cls", "sig"), "cls")
+    every, own = F.sequence(F.lit(0), F.col("nb") - 1), F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int")
+    dealt = met.select("key", F.explode(F.when(F.col("cls") == F.col("hub"), every).otherwise(F.array(own))).alias("block"), "nb", "hub", "cls", "sig")
+    first = settle(dealt.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_with_hub, "a long, b long, key long"))
+    links, far = first.where("b is not null").select("a", "b").where("a <> b"), first.where("b is null").select(F.col("a").alias("cls"), "key")
+    rest = settle(far.groupBy("key").agg(F.count("*").alias("_n")).withColumn("rb", F.ceil(F.col("_n") / BUCKET_BLOCK).cast("int")))
+    if rest.isEmpty():
+        return links
+    again = met.join(rest.select("key", "rb"), "key")
+    bi = F.pmod(F.xxhash64("cls"), F.col("rb")).cast("int")
+    some = again.join(far, ["cls", "key"], "left_semi").select("key", bi.alias("bi"), F.explode(every).alias("bj"), "cls", "sig")
+    full = again.select("key", F.explode(F.sequence(F.lit(0), F.col("rb") - 1)).alias("bi"), own.alias("bj"), "cls", "sig")
+    pairs = some.unionByName(full).repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj")
+    return links.unionByName(pairs.mapInArrow(_near_in_buckets, "a long, b long"))
 
 
 def _sets(size: int):
@@ -255,12 +317,7 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5, percent: int = 85)
     name = ["h1", "h2", "n_shingles"]
     classes = stored(rows.where("n_shingles > 0 and doc_id is not null").groupBy(*name).agg(F.min("doc_id").alias("doc_id"), F.first("sig").alias("sig")).withColumn("cls", F.monotonically_increasing_id()))
     total = classes.count()
-    posted = classes.select("cls", "sig").mapInArrow(_post, "key long, cls long")
-    several = posted.groupBy("key").agg(F.count("*").alias("_n")).where("_n > 1").withColumn("nb", F.ceil(F.col("_n") / BUCKET_BLOCK).cast("int"))
-    met = join_counted(posted, several, ["key"], total * SYMBOLS)
-    met = met.join(classes.select("cls", "sig"), "cls").withColumn("own", F.pmod(F.col("cls"), F.col("nb")).cast("int"))
-    met = met.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("nb") - 1))).select("key", F.least("own", "other").alias("bi"), F.greatest("own", "other").alias("bj"), "cls", "sig")
-    near = met.repartition("key", "bi", "bj").sortWithinPartitions("key", "bi", "bj").mapInArrow(_near_in_buckets, "a long, b long")
+    near = _candidates(classes, total)
     members = components(near)
     size = settle(members.join(classes.select(F.col("cls").alias("node"), "doc_id", *name), "node"))
     sizes = size.groupBy("root").agg(F.count("*").alias("_n"), F.ceil(F.greatest(F.count("*") / GROUP_BLOCK, F.sum("n_shingles") / GROUP_SHINGLES)).cast("int").alias("nb"))
