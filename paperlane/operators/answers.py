@@ -15,7 +15,11 @@ def support(answers: DataFrame) -> DataFrame:
     """(turn_id, checked, ratio, supported) for answers (turn_id, answer, sources): how much of an answer's long words its sources hold."""
     cleaned = answers.select("turn_id", F.regexp_replace("answer", T.CITATION, " ").alias("clean"), "answer", "sources")
     rows = cleaned.select("turn_id", F.col("answer").rlike(T.REFUSAL).alias("refused"), F.filter(T.tokens("clean"), lambda x: F.length(x) > 3).alias("said"), F.array_distinct(T.tokens("sources")).alias("known"))
-    covered = F.size(F.filter("said", lambda x: F.array_contains(F.col("known"), x)))
+    # both in one sorted array, a known word before what is said of it: one pass counts, however long the texts are
+    marked = lambda words, said: F.transform(words, lambda x: F.struct(x.alias("word"), F.lit(said).alias("said")))
+    passed = F.struct(F.lit(None).cast("string").alias("known"), F.lit(0).alias("n"))
+    count = lambda a, x: F.struct(F.when(x["said"], a["known"]).otherwise(x["word"]).alias("known"), (a["n"] + F.coalesce(x["said"] & (x["word"] == a["known"]), F.lit(False)).cast("int")).alias("n"))
+    covered = F.aggregate(F.sort_array(F.concat(marked("known", False), marked("said", True))), passed, count, lambda a: a["n"])
     checked = ~F.col("refused") & (F.size("said") > 0) & (F.size("known") > 0)
     rows = rows.select("turn_id", checked.alias("checked"), F.size("said").alias("n"), covered.alias("covered"))
     ratio = F.when(F.col("checked"), F.col("covered") / F.col("n"))

@@ -1,3 +1,5 @@
+import time
+
 import pytest
 from pyspark.sql import Observation, functions as F
 
@@ -73,6 +75,15 @@ def test_about(spark):
     assert about.openings(lease(spark)).first().opening.startswith("The tenant")
 
 
+def test_support_of_long_texts(spark):
+    said = " ".join(f"kilo{i} kilo{i} vain{i}" for i in range(30_000))
+    known = " ".join(f"kilo{i}" for i in range(30_000))
+    began = time.time()
+    got = answers.support(spark.createDataFrame([("a", said, known), ("b", "", known), ("c", said, ""), ("d", None, known)], "turn_id string, answer string, sources string")).collect()
+    assert {r.turn_id: (r.checked, r.ratio, r.supported) for r in got} == {"a": (True, 0.67, True), "b": (False, None, None), "c": (False, None, None), "d": (None, None, None)}
+    assert time.time() - began < 60  # each word with each would be 2.7 billion comparisons
+
+
 def test_support(spark):
     source = "The deposit is five hundred pounds, protected in a scheme."
     said = [("faithful", "The deposit is five hundred pounds (page 1).", source), ("invented", "Landlords always repaint bedrooms every seventeen years.", source), ("refusal", "I could not find that in your document.", source), ("nothing", "It is so.", source), ("no source", "The deposit is large.", "")]
