@@ -96,6 +96,34 @@ def test_large_groups_in_blocks(spark, monkeypatch):
         near_dedup.near_duplicates(documents(spark, texts), percent=79)
 
 
+@pytest.mark.parametrize("block", [8, 2048])
+def test_buckets_with_signatures_far_from_their_hub(spark, monkeypatch, block):
+    monkeypatch.setattr(near_dedup, "BUCKET_BLOCK", block)
+    r = np.random.default_rng(3)
+    sigs = []
+    for n in (40, 30, 20, 1, 1, 1):  # kinds that share a chunk, and so a bucket, and are far from each other
+        kind = np.append([7, 7, 7, 7], r.integers(100, 60_000, 28))
+        for _ in range(n):
+            one = kind.copy()
+            one[r.permutation(28)[: r.integers(0, 9)] + 4] = r.integers(100, 60_000)
+            sigs.append(one)
+    sigs = np.array(sigs, np.uint16)[r.permutation(len(sigs))]
+    df = spark.createDataFrame([(i, bytearray(x.tobytes())) for i, x in enumerate(sigs)], "cls long, sig binary")
+    found = near_dedup._candidates(df, len(sigs)).toPandas()
+    near = (sigs[:, None] != sigs[None]).sum(2) <= near_dedup.MAX_ERRORS
+    assert near[found.a, found.b].all()
+
+    def classes(pairs):
+        root = list(range(len(sigs)))
+        for a, b in pairs:
+            x, y = sorted((root[a], root[b]))
+            root = [x if k == y else k for k in root]
+        return root
+
+    want = classes(np.argwhere(near).tolist())
+    assert classes(zip(found.a, found.b, strict=True)) == want and len(set(want)) > 3
+
+
 @pytest.mark.parametrize("hashes", ["own", "weak"])
 def test_line_dedup_against_sql(spark, monkeypatch, hashes):
     from pyspark.sql import functions as F
