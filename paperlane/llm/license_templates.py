@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 # What short notices call a license, by SPDX identifier.
 NAMES = (
     ("0BSD", "Zero-Clause BSD License", "0BSD License"),
@@ -51,6 +53,17 @@ COMMONS = (
 )
 COMMONS_VERSIONS = (("2.0", "Generic"), ("2.5", "Generic"), ("3.0", "Unported"), ("4.0", "International"))
 
+# The GNU licenses' names, short and long, with the versions that are told apart.
+GNU = (
+    ("GPL", "General Public License", ("2.0", "3.0")),
+    ("LGPL", "Lesser General Public License", ("2.1", "3.0")),
+    ("AGPL", "Affero General Public License", ("3.0",)),
+)
+
+# Licenses that are called by one word, and the words that lead such a one.
+SINGLE = (("MIT", "MIT"), ("ISC", "ISC"), ("Zlib", "zlib"), ("Unlicense", "Unlicense"), ("WTFPL", "WTFPL"), ("0BSD", "0BSD"), ("GPL-2.0-only", "GPLv2"), ("GPL-3.0-only", "GPLv3"), ("LGPL-3.0-only", "LGPLv3"), ("AGPL-3.0-only", "AGPLv3"))
+SINGLE_LEADS = ("License:", "License ::", "Licence:", "Available under", "Available under the", "Under the terms of the", "Under the terms of", "Licensed under", "Licensed under the", "Dual licensed under", "Dual licensed under the")
+
 # The words that lead a short notice.
 LEADS = ("Licensed under", "Licensed under the", "Released under", "Released under the", "Distributed under", "Distributed under the", "This work is licensed under the", "This work is licensed under a")
 
@@ -110,12 +123,38 @@ def _commons() -> list[tuple[str, str]]:
     return out
 
 
+def _gnu_names() -> list[tuple[str, str]]:
+    out = []
+    for short, words, versions in GNU:
+        for version in versions:
+            spellings = (version, version.removesuffix(".0")) if version.endswith(".0") else (version,)
+            for name in (short, words):
+                out += [(f"{short}-{version}-only", form.format(n=name, v=v)) for v in spellings for form in ("{n} version {v}", "{n} v{v}", "{n} {v}", "version {v} of the GNU {n}")]
+    return out
+
+
+def named() -> tuple[tuple[str, str], ...]:
+    """(SPDX identifier, name) of two words or more: what a license is called after words that lead to it."""
+    made = [*((spdx, n) for spdx, *own in NAMES for n in own), *_commons(), *_gnu_names()]
+    made += [(spdx, spdx) for spdx in dict.fromkeys(s for s, _ in made)]
+    first: dict[tuple[str, ...], tuple[str, str]] = {}
+    for spdx, name in made:
+        words = tuple(re.findall("[0-9a-z]+", name.lower()))
+        if len(words) > 1:
+            first.setdefault(words, (spdx, name))
+    return tuple(first.values())
+
+
 def templates() -> tuple[tuple[str, str], ...]:
     """(SPDX identifier, text): whole licenses and file notices, every lead with every name, and SPDX tags; no text twice."""
     names = [(spdx, n) for spdx, *own in NAMES for n in own] + _commons()
     made = [*TEXTS, *((spdx, f"{lead} {n}.") for spdx, n in names for lead in LEADS)]
+    made += [(spdx, f"{lead} {n}") for spdx, n in SINGLE for lead in SINGLE_LEADS]
     made += [(spdx, f"SPDX-License-Identifier: {spdx}") for spdx in dict.fromkeys(s for s, _ in made)]
     return tuple({text: (spdx, text) for spdx, text in made}.values())
 
 
 TEMPLATES = templates()
+NAMED = named()
+#: Members of an expression, by lower-cased identifier; GNU identifiers without "only" are that version alone.
+IDENTIFIERS = {n.lower(): spdx for spdx, n in SINGLE} | {s.lower(): s for s, _ in TEMPLATES} | {s.removesuffix("-only").lower(): s for s, _ in TEMPLATES if s.endswith("-only")}

@@ -12,6 +12,9 @@ for any change at all is posted under its rarest fingerprint alone.
 
 Words that tell licenses apart (names, variants, versions, negations) must agree in their order: what
 lacks one, or holds one more, is no match however much else agrees.
+
+A license's name alone is a template too, if words that lead to a license stand before it in its sentence.
+Behind every notice the other members of an expression are read: "MIT OR Apache-2.0", "the MIT License and ISC".
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from .bytetext import LOWER, PUNCTUATION, Words, chunks, mix
-from .license_templates import TEMPLATES
+from .license_templates import IDENTIFIERS, NAMED, TEMPLATES
 
 GRAM, WINNOW = 2, 2
 #: Least share of a template's words that must be there, and of a place's words that must be the template's.
@@ -36,13 +39,53 @@ COVERAGE = DENSITY = 0.9
 TELLING = frozenset("affero agpl agplv3 apache artistic boost bsd by cc cc0 commons creative eclipse expat gnu gpl gplv2 gplv3 isc later lesser lgpl lgplv3 library mit modified mozilla nc nd never no noderivatives noncommercial not sa sharealike simplified unlicense wtfpl zero zlib".split())
 DENYING = frozenset("aren cannot isn never not wasn without".split())
 
+# Words that make the name after them another license's.
+ALTERING = frozenset("affero clear documentation lesser library modified".split())
+
 _FACTORS = np.random.default_rng(23).integers(0, 2**63, GRAM, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LATER = re.compile(rb"^[^.;\n]{0,80}?\blater\b")
 _MORE_VERSION = re.compile(rb"^\.[1-9]")
-
-
-def fingerprints(words: Words) -> tuple[np.ndarray, np.ndarray]:
-    """(hashes, first words) of the winnowed shingles; a text with fewer than WINNOW shingles keeps its least."""
+#: What leads to a name in its sentence, the end of a sentence, and how far before the name both are looked for.
+_LEADING = re.compile(rb"(?i)\b(?:(?:licen[cs]ed|released|distributed?|redistributed?|available|offered|provided|published|covered|governed)\b[^:]*\b(?:under|by)\b|licen[cs]es?\s*[:=]|spdx-license-identifier)")
+_SENTENCE = re.compile(rb"[.!?;][\s\"')]+(?=[A-Z])|\n\s*\n")
+_BEFORE = 200
+#: A further member of an expression.
+_MEMBER = re.compile(rb"(?i)\s*[,)]?\s*(with\b|and\b|or\b|/)\s*(?:(?:the|under)\s+)*\(?\s*([a-z0-9][a-z0-9.-]*[a-z0-9])(\+?)")
+
+
+def led(before: bytes) -> bool:
+    """Whether the bytes before a name lead to a license in the name's sentence, and don't deny it in the three words before the lead or the name."""
+    sentence = _SENTENCE.split(before)[-1]
+    lead = None
+    for lead in _LEADING.finditer(sentence):
+        pass
+    if lead is None:
+        return False
+    near = [re.findall(rb"[0-9a-z]+", part.lower())[-3:] for part in (sentence[: lead.start()], sentence)]
+    return not DENYING & {w.decode() for words in near for w in words}
+
+
+def members(raw: np.ndarray, at: int, stop: int) -> list[tuple[str, int, int]]:
+    """(identifier, first byte, end) of the further members of an expression, from the byte at, in a text that ends at stop.
+
+    What follows WITH is an exception, no license.
+    """
+    out = []
+    while m := _MEMBER.match(raw, at, stop):
+        at = m.end()
+        name = IDENTIFIERS.get(m[2].decode().lower())
+        if m[1].lower() == b"with":
+            continue
+        if name is None:
+            break
+        if name.endswith("-only") and (m[3] or _LATER.match(bytes(raw[at : min(at + 100, stop)]))):
+            name = name.removesuffix("-only") + "-or-later"
+        out.append((name, m.start(2), m.end(2)))
+    return out
+
+
+def fingerprints(words: Words, also: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first words) of the winnowed shingles; a text with fewer than WINNOW shingles keeps its least. Shingles in also (sorted) are kept in any case."""
     n = np.maximum(np.diff(words.at) - GRAM + 1, 0)
     at = np.concatenate([[0], np.cumsum(n)])
     first = np.repeat(words.at[:-1] - at[:-1], n) + np.arange(at[-1])
@@ -60,6 +103,8 @@ def fingerprints(words: Words) -> tuple[np.ndarray, np.ndarray]:
     keep[best] = True
     for t in np.flatnonzero((n > 0) & (n < WINNOW)):
         keep[at[t] + int(h[at[t] : at[t + 1]].argmin())] = True
+    if also is not None and len(also):
+        keep |= also[np.minimum(np.searchsorted(also, h), len(also) - 1)] == h
     return h[keep], first[keep]
 
 
@@ -82,9 +127,11 @@ def telling(words: list[str], digits: bool) -> list[str]:
 
 
 class Index:
-    """The templates' words, and their fingerprints sorted, with template and place."""
+    """The templates' words, and their fingerprints sorted, with template and place. Names are templates that ask for a lead before them."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...]):
+    def __init__(self, templates: tuple[tuple[str, str], ...], names: tuple[tuple[str, str], ...] = ()):
+        self.bare = np.arange(len(templates) + len(names)) >= len(templates)
+        templates += names
         self.names = [name for name, _ in templates]
         texts = [t.encode() for _, t in templates]
         raw, at = np.frombuffer(b"".join(texts), np.uint8), np.concatenate([[0], np.cumsum([len(t) for t in texts])]).astype(np.int64)
@@ -96,6 +143,8 @@ class Index:
         self.rigid = np.array([changes(len(w)) == (0, 0) for w in self.words])
         h, first = fingerprints(words)
         template = np.searchsorted(words.at, first, "right") - 1
+        # winnowing may pass over a shingle that is a template by itself
+        self.single = np.unique(h[np.diff(words.at)[template] == GRAM])
         # of a template that allows no change all fingerprints are there or none: the rarest is enough
         often = Counter(h.tolist())
         rarest: dict[int, int] = {}
@@ -120,7 +169,7 @@ class Index:
 
     def places(self, words: Words) -> Iterator[tuple[int, int, int]]:
         """(text, template, least shift) where so many fingerprints meet within the band as a match has."""
-        h, first = fingerprints(words)
+        h, first = fingerprints(words, self.single)
         i, k = self.meetings(h)
         text, template = np.searchsorted(words.at, first[i], "right") - 1, self.template[k]
         shift = first[i] - words.at[text] - self.place[k]
@@ -139,9 +188,9 @@ class Index:
 
 
 @cache
-def index_of(templates: tuple[tuple[str, str], ...]) -> Index:
+def index_of(templates: tuple[tuple[str, str], ...], names: tuple[tuple[str, str], ...]) -> Index:
     """A worker's index; it outlives the task."""
-    return Index(templates)
+    return Index(templates, names)
 
 
 _ONE = 1 << 32
@@ -174,9 +223,9 @@ def align(template: np.ndarray, text: np.ndarray, shift: int, before: int, after
     return (tops[end] // _ONE + end - begin) // 2, begin, end
 
 
-def _scanner(templates: tuple[tuple[str, str], ...]):
+def _scanner(templates: tuple[tuple[str, str], ...], names: tuple[tuple[str, str], ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = index_of(templates)
+        index = index_of(templates, names)
         for rows, raw, at in chunks(batches):
             words = Words(raw, at, PUNCTUATION, LOWER)
             found: dict[int, list[tuple]] = {}
@@ -200,9 +249,16 @@ def _scanner(templates: tuple[tuple[str, str], ...]):
                     rest = bytes(raw[stop : min(stop + 100, int(at[t + 1]))])
                     if telling(inside, index.digits[m]) != index.telling[m] or DENYING & set(lead) or (inside[-1].isdigit() and _MORE_VERSION.match(rest)):
                         continue
+                    start = int(words.starts[a + begin])
+                    if index.bare[m] and (ALTERING & set(lead[-1:]) or not led(bytes(raw[max(int(at[t]), start - _BEFORE) : start]))):
+                        continue
                     name = index.names[m]
-                    if name.endswith("-only") and _LATER.match(rest):
+                    if name.endswith("-only") and (rest.startswith(b"+") or _LATER.match(rest)):
                         name = name.removesuffix("-only") + "-or-later"
+                    for other, p, q in members(raw, stop, int(at[t + 1])) if names else ():
+                        # the first and the end of the member's words; it counts as a whole match of them
+                        p, q = int(np.searchsorted(words.starts, p)) - a, int(np.searchsorted(words.starts, q)) - a
+                        found.setdefault(t, []).append((q - p, 1.0, 1.0, m, p, q, other))
                     found.setdefault(t, []).append((equal, equal / size, equal / (end - begin), m, begin, end, name))
             out = []
             for t, spans in found.items():
@@ -222,14 +278,14 @@ def _scanner(templates: tuple[tuple[str, str], ...]):
     return run
 
 
-def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES) -> DataFrame:
-    """A row for each place of docs (doc_id, text; other columns are ignored) where a template stands.
+def scan_licenses(docs: DataFrame, templates: tuple[tuple[str, str], ...] = TEMPLATES, names: tuple[tuple[str, str], ...] = NAMED) -> DataFrame:
+    """A row for each place of docs (doc_id, text; other columns are ignored) where a template stands, a name that is led to, or a further member of its expression.
 
-    license, template (its number), matched_words, coverage (of the template's words), and the span in words and
+    license, template (its number, names after templates; a member has that of what it follows), matched_words, coverage (of the template's words), and the span in words and
     in characters, ends excluded. Of overlapping places the one with the most words, least interrupted, stays; a GNU license
     of one version that is followed by "or later" in its sentence is the one for later versions. Null and
     empty texts have none; repeated rows are scanned each; a null doc_id stays null. Every word of a text is read.
     An empty table gives an empty result.
     """
     schema = "doc_id long, license string, template int, matched_words int, coverage double, first_word long, end_word long, first_char long, end_char long"
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_scanner(templates), schema)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_scanner(templates, names), schema)

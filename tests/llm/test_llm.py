@@ -393,15 +393,91 @@ def test_licenses(spark):
     assert texts[5][got[5].first_char : got[5].end_char] == "Licensed under CC BY-NC 4.0" and {0, 1}.isdisjoint(got)
 
 
+def test_license_names_and_expressions(spark):
+    """Notices that the templates weren't written from, and sentences that grant nothing: all licenses of each, in order."""
+    said = {
+        "distributed under the terms of the GNU General Public License version 2": ["GPL-2.0-only"],
+        "License: GPL-3.0-or-later": ["GPL-3.0-or-later"],
+        "License: MIT": ["MIT"],
+        "license = Apache-2.0": ["Apache-2.0"],
+        "Licensed under the GPL version 3.": ["GPL-3.0-only"],
+        "Licensed under MIT.": ["MIT"],
+        "available under CC BY-SA 3.0": ["CC-BY-SA-3.0"],
+        "Text is available under the Creative Commons Attribution-ShareAlike 4.0 International License; see below": ["CC-BY-SA-4.0"],
+        "SPDX-License-Identifier: MIT OR Apache-2.0": ["MIT", "Apache-2.0"],
+        "SPDX-License-Identifier: Apache-2.0 OR MIT": ["Apache-2.0", "MIT"],
+        "/* SPDX-License-Identifier: (GPL-2.0-only WITH Linux-syscall-note) OR BSD-3-Clause */": ["GPL-2.0-only", "BSD-3-Clause"],
+        "SPDX-License-Identifier: MIT AND (LGPL-2.1+ OR Zlib)": ["MIT", "LGPL-2.1-or-later", "Zlib"],
+        "SPDX-License-Identifier: GPL-2.0+": ["GPL-2.0-or-later"],
+        "Dual licensed under the MIT license and the Apache License, Version 2.0": ["MIT", "Apache-2.0"],
+        "licensed under either the MIT License or ISC at your option": ["MIT", "ISC"],
+        "You may redistribute it under version 2 of the GNU General Public License, or any later version": ["GPL-2.0-or-later"],
+        "Released under the terms of the GNU LGPL v2.1 or later": ["LGPL-2.1-or-later"],
+        "This project is made available under the terms of the Apache License 2.0.": ["Apache-2.0"],
+        "The code is covered by the Mozilla Public License, v. 2.0.": ["MPL-2.0"],
+        "It is offered under the BSD 3-Clause License.": ["BSD-3-Clause"],
+        "SPDX-License-Identifier: MIT" + " OR ISC OR Zlib" * 40: ["MIT"] + ["ISC", "Zlib"] * 40,
+        "I like the MIT License. It is short.": [],
+        "It was released in May. The MIT License is one of many.": [],
+        "This is not distributed under the MIT License": [],
+        "This was never offered for use under the terms of the Apache License 2.0": [],
+        "Distributed under the GNU Library General Public License version 2": [],
+        "Licensed under the Modified MIT License": [],
+        "Apache 2.0 and MIT OR ISC": [],
+        "He has a driving license: class B, under review": [],
+    }
+    texts = list(said)
+    got = {i: [] for i in range(len(texts))}
+    for x in sorted(licenses.scan_licenses(documents(spark, texts)).collect(), key=lambda x: x.first_word):
+        got[x.doc_id].append(x.license)
+        assert texts[x.doc_id][x.first_char : x.end_char].split()[0].strip("(") and x.end_word > x.first_word
+    assert {t: got[i] for i, t in enumerate(texts)} == said
+
+
+def plain_members(rest):
+    """(license, first character, end) of an expression's further members, token by token."""
+    import re
+
+    from paperlane.llm.license_templates import IDENTIFIERS
+
+    tokens = [(x.group(), *x.span()) for x in re.finditer(r"[A-Za-z0-9](?:[A-Za-z0-9.-]*[A-Za-z0-9])?|[^\sA-Za-z0-9]", rest)]
+    out, i = [], 0
+    while True:
+        if i < len(tokens) and tokens[i][0] in (",", ")"):
+            i += 1
+        if i >= len(tokens) or tokens[i][0].lower() not in ("and", "or", "with", "/"):
+            return out
+        exception = tokens[i][0].lower() == "with"
+        i += 1
+        while i < len(tokens) and tokens[i][0].lower() in ("the", "under"):
+            i += 1
+        if i < len(tokens) and tokens[i][0] == "(":
+            i += 1
+        if i >= len(tokens):
+            return out
+        name, first, end = tokens[i][0], *tokens[i][1:]
+        i += 1
+        plus = i < len(tokens) and tokens[i][0] == "+"
+        i += plus
+        if exception:
+            continue
+        found = IDENTIFIERS.get(name.lower())
+        if found is None:
+            return out
+        if found.endswith("-only") and (plus or re.match(r"[^.;\n]{0,80}?\blater\b", rest[end + plus :])):
+            found = found.removesuffix("-only") + "-or-later"
+        out.append((found, first, end))
+
+
 def plain_scan(text):
-    """Every template at every place, by whole alignments in plain Python: (license, first word, end) of the places kept."""
+    """Every template and name at every place, by whole alignments in plain Python: (license, first word, end) of the places kept."""
     import re
 
-    from paperlane.llm.license_templates import TEMPLATES
+    from paperlane.llm.license_templates import NAMED, TEMPLATES
 
     spans = [m.span() for m in re.finditer("[0-9A-Za-z\x80-\U0010ffff]+", text)]
     words, hits = [text[a:b].lower() for a, b in spans], []
-    for m, (name, template) in enumerate(TEMPLATES):
+    for m, (name, template) in enumerate(TEMPLATES + NAMED):
         own = re.findall("[0-9a-z]+", template.lower())
         digits = any(w.isdigit() for w in own)
         none = (-1, 0)
@@ -424,7 +500,13 @@ def plain_scan(text):
                 continue
             if licenses.DENYING & set(words[max(0, begin - 3) : begin]) or (inside[-1].isdigit() and re.match(r"\.[1-9]", rest)):
                 continue
-            later = name.endswith("-only") and re.match(r"[^.;\n]{0,80}?\blater\b", rest)
+            start, stop = spans[begin][0], spans[end - 1][1]
+            if m >= len(TEMPLATES) and (words[begin - 1 : begin] and words[begin - 1] in licenses.ALTERING or not licenses.led(text[max(0, start - 200) : start].encode())):
+                continue
+            for other, p, q in plain_members(rest):
+                first, last = (sum(a < stop + x for a, _ in spans) for x in (p, q))
+                hits.append((first - last, -1.0, m, first, last, other))
+            later = name.endswith("-only") and (rest.startswith("+") or re.match(r"[^.;\n]{0,80}?\blater\b", rest))
             hits.append((-equal * equal / (end - begin), -equal / len(own), m, begin, end, name.removesuffix("-only") + "-or-later" if later else name))
     kept = []
     for x in sorted(hits):
@@ -434,7 +516,7 @@ def plain_scan(text):
 
 
 def test_licenses_against_whole_alignments(spark):
-    from paperlane.llm.license_templates import TEMPLATES
+    from paperlane.llm.license_templates import NAMED, TEMPLATES
 
     r = random.Random(8)
     filler = "the of under license version work this and is public software 2 0 3 general or by in".split()
@@ -447,6 +529,10 @@ def test_licenses_against_whole_alignments(spark):
             words[at : at + 1] = r.choice([[], [r.choice(filler)], [words[at], r.choice(filler)], ["qq"]])
         around = lambda: [r.choice([*filler, "x1", "x2", "x3"]) for _ in range(r.randint(0, 30))]
         texts.append(" ".join([*around(), "zz", *words, "zz", *around()]))
+    for _ in range(40):
+        lead = r.choice(["Licensed under the", "License:", "available here under", "not distributed under", "x", "Released under. The", "Offered by us, under terms of the GNU", "SPDX-License-Identifier:"])
+        more = [f"{r.choice(['or', 'AND', 'with', '/', ', and the', ') or ('])} {r.choice(['MIT', 'Apache-2.0', 'GPL-2.0', 'lgpl-2.1-only', 'zlib', 'qq', 'GPL-3.0+'])}" for _ in range(r.randint(0, 4))]
+        texts.append(" ".join([*around(), lead, r.choice([*NAMED, ("MIT", "MIT")])[1], *more, *around()]))
     got = {i: [] for i in range(len(texts))}
     for x in licenses.scan_licenses(documents(spark, texts)).collect():
         got[x.doc_id].append((x.license, x.first_word, x.end_word))
