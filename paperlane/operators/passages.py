@@ -4,34 +4,38 @@ from __future__ import annotations
 
 from math import gcd
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 
 SIZE, OVERLAP = 90, 30
 
+#: Bytes of files for each part of by_document(): the terms of its documents' passages take some thirty times as much memory. No file is as large as an unknown size.
+PART_BYTES, UNKNOWN_BYTES = 1 << 20, 1 << 55
+
 
 def pages_of(documents: DataFrame) -> DataFrame:
     """Each document as one page."""
     return documents.select("doc_id", F.lit(0).alias("page_pos"), F.lit(1).alias("number"), F.lit("part 1").alias("label"), F.coalesce("text", F.lit("")).alias("text"))
 
 
-def passages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, one_page: bool = False) -> DataFrame:
-    """(doc_id, passage_idx, number, label, text): overlapping windows of each page's words; a short page is one passage, verbatim.
+def parts_of(rows: DataFrame) -> int:
+    """Into how many parts rows are dealt so that a part's memory doesn't grow with the table: by the size that Spark knows from the files, else as the session has it."""
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return -(-size // PART_BYTES) if size < UNKNOWN_BYTES else int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    Windows are numbered through a document. A page's windows follow from its word count alone, so their
-    numbers come from a running sum over its pages, not over its windows. With one_page every row of pages is a
-    document of its own, and nothing is shuffled.
 
-    Text is cut to blocks of as many words as divide both the width and the step of a window; a window joins a
-    few blocks, so that a long page costs no more for each word than a short one. Arrays are exploded with their
-    empties, which are filtered after: an inner explode is given a filter on the array's size before it, and that
-    computes the array from the text again.
-    """
+def by_document(pages: DataFrame, parts: int | None = None) -> DataFrame:
+    """pages, dealt by document; what is grouped by document, or joined with another table so dealt into as many parts, stays where it is."""
+    return pages.repartition(parts or parts_of(pages), "doc_id")
+
+
+def _windows(pages: DataFrame, size: int, overlap: int) -> tuple[DataFrame, Column, Column]:
+    """pages with what their windows are made of, the array of these, and their number."""
     step = max(20, size - overlap)
     unit = gcd(size, step)
     blocks = F.expr(rf"regexp_extract_all(regexp_replace(text, r'\s+', ' '), r'[^ ]++(?: [^ ]++){{0,{unit - 1}}}+', 0)")
-    cut = pages.select("doc_id", "page_pos", "number", "label", "text", blocks.alias("_b"))
+    cut = pages.withColumn("_b", blocks)
     n = F.when(F.size("_b") > 0, (F.size("_b") - 1) * unit + F.size(F.split(F.element_at("_b", -1), " "))).otherwise(0)
     short = F.col("_n") <= size + overlap // 2
     full = F.ceil((F.col("_n") - size) / step).cast("int") + 1
@@ -41,18 +45,48 @@ def passages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, one_pag
     window = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice("_b", i * (step // unit) + 1, F.lit(size // unit)), " "))
     whole = F.array(F.regexp_replace("text", r"^\s+|\s+$", ""))
     windows = F.when(F.col("_n") == 0, F.array().cast("array<string>")).when(short, whole).otherwise(window)
-    cut = cut.withColumn("_n", n)
+    return cut.withColumn("_n", n), windows, F.when(F.col("_n") == 0, 0).when(short, 1).otherwise(count)
+
+
+def passages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, one_page: bool = False) -> DataFrame:
+    """(doc_id, passage_idx, number, label, text): overlapping windows of each page's words; a short page is one passage, verbatim.
+
+    Windows are numbered through a document. A page's windows follow from its word count alone, so their
+    numbers come from a running sum over its pages, not over its windows. With one_page every row of pages is a
+    document of its own, and nothing is shuffled.
+
+    Text is cut to blocks of as many words as divide both the width and the step of a window; a window joins a
+    few blocks, so that a long page costs no more for each word than a short one. Arrays are exploded with their
+    empties, which are filtered after: an inner explode is given a filter on the array's size before it, and that
+    computes the array from the text again.
+    """
+    cut, windows, k = _windows(pages.select("doc_id", "page_pos", "number", "label", "text"), size, overlap)
     made = cut.select("doc_id", "page_pos", "number", "label", windows.alias("_w"))
     if one_page:
         return made.select("doc_id", "number", "label", F.posexplode_outer("_w").alias("passage_idx", "text")).where("text is not null").select("doc_id", "passage_idx", "number", "label", "text")
     # what is summed through a document is a number for each page; its text stays where it is
-    counted = cut.select("doc_id", "page_pos", F.when(F.col("_n") == 0, 0).when(short, 1).otherwise(count).alias("_k"))
+    counted = cut.select("doc_id", "page_pos", k.alias("_k"))
     before = F.coalesce(F.sum("_k").over(Window.partitionBy("doc_id").orderBy("page_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = counted.select("doc_id", "page_pos", before.alias("_before"))
     rows = made.join(placed, ["doc_id", "page_pos"]).select("doc_id", "number", "label", "_before", F.posexplode_outer("_w").alias("_i", "text")).where("text is not null")
     return rows.select("doc_id", (F.col("_before") + F.col("_i")).cast("int").alias("passage_idx"), "number", "label", "text")
 
 
+def passage_texts(keys: DataFrame, pages: DataFrame, only: str | None = None) -> DataFrame:
+    """keys (doc_id, passage_idx, …) with number, label and text of the passage, where every row of pages is a document of its own.
+
+    A document's keys meet its page as one row, and only the windows asked for are put out. Keys without a passage have no row; with only, the
+    name of a column, those in which it is null have a row without a text, and a page of which no text is asked isn't cut.
+    """
+    asked = keys.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in keys.columns if c != "doc_id"])).alias("_keys"))
+    cut, windows, _ = _windows(pages.select("doc_id", "number", "label", "text").join(asked, "doc_id"), SIZE, OVERLAP)
+    wanted = (lambda k: F.lit(True)) if only is None else (lambda k: k[only].isNotNull())
+    whole = cut.select("doc_id", "number", "label", "_keys", F.when(F.exists("_keys", wanted), windows).alias("_w"))
+    found = F.transform("_keys", lambda k: F.struct(k.alias("_key"), F.when(wanted(k), F.get("_w", k["passage_idx"])).alias("text")))
+    rows = whole.select("doc_id", "number", "label", F.inline(found)).select("doc_id", "_key.*", "number", "label", "text")
+    return rows.where(F.col("text").isNotNull() | (F.lit(False) if only is None else F.col(only).isNull()))
+
+
 def token_rows(passages_: DataFrame, stopwords: bool = False) -> DataFrame:
     """(doc_id, passage_idx, pos, term), exploded before stemming so that stems are plain generated code."""
     raw = passages_.select("doc_id", "passage_idx", F.posexplode_outer(T.raw_tokens("text")).alias("pos", "w")).where(T.kept_sql("w", stopwords))
@@ -85,14 +119,14 @@ def idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.select("doc_id", "term", "df", F.log(1 + (F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def posting_lists(pages: DataFrame, one_page: bool = False, wanted: DataFrame | None = None) -> DataFrame:
+def posting_lists(pages: DataFrame, one_page: bool = False, wanted: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """(doc_id, term, df, n_passages, avg_len, hits array<struct<passage_idx, tf, len>>): what a question needs of each document's index, by term.
 
     With wanted ((term) or (doc_id, term), distinct) only those terms have rows; of a passage's other terms only their number is kept.
-    With one_page the pages are dealt by document once, and everything else is done where they are. Else a document's pages are dealt
+    With one_page the pages are dealt by document once, into parts, and everything else is done where they are. Else a document's pages are dealt
     apart, and only sums meet, so that one giant document isn't one task.
     """
-    parts = passages(pages.repartition("doc_id") if one_page else pages, one_page=one_page)
+    parts = passages(by_document(pages, parts) if one_page else pages, one_page=one_page)
     raw = parts.select("doc_id", "passage_idx", F.explode_outer(T.raw_tokens("text")).alias("w"))
     tokens = raw.select("doc_id", "passage_idx", F.expr(f"CASE WHEN {T.kept_sql('w')} THEN {T.stem_sql('w')} END").alias("term"))
     if wanted is not None:

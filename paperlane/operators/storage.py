@@ -27,6 +27,27 @@ def remove(spark: SparkSession, path: str) -> None:
     files.delete(place, True)
 
 
+def names(spark: SparkSession, path: str) -> list[str]:
+    """What is in a folder, by name; nothing, if there is none."""
+    files, place = _at(spark, path)
+    return [f.getPath().getName() for f in files.listStatus(place)] if files.exists(place) else []
+
+
+def move(spark: SparkSession, path: str, to: str) -> None:
+    """Puts a folder in the place of another one, if that is there."""
+    files, place = _at(spark, path)
+    target = _at(spark, to)[1]
+    files.delete(target, True)
+    files.mkdirs(target.getParent())
+    if not files.rename(place, target):
+        raise OSError(f"{path} could not be moved to {to}")
+
+
+def touch(spark: SparkSession, path: str) -> None:
+    files, place = _at(spark, path)
+    files.create(place, True).close()
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or the session's own checkpoint folder; a temporary one for local sessions alone."""
     path = spark.conf.get("spark.checkpoint.dir", None)

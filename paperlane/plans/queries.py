@@ -156,7 +156,7 @@ def stopword_share(spark, d):
 
 @query(f"WITH {_INDEX} SELECT doc_id, term, passage_idx, tf FROM posted")
 def postings(spark, d):
-    return P.postings(P.passages(_whole(spark, d).repartition("doc_id"), one_page=True))
+    return P.postings(P.passages(P.by_document(_whole(spark, d)), one_page=True))
 
 
 @query(f"WITH {_INDEX} SELECT doc_id, passage_idx, len FROM lengths")
@@ -216,7 +216,7 @@ SELECT * FROM o UNION ALL SELECT query_id, NULL, false, 0.0, 0.0, 'empty' FROM z
 def confidence(spark, d):
     asked = _benchmark(spark, d)
     nonsense = spark.range(1).select(F.lit(-1).cast(asked.schema["query_id"].dataType).alias("query_id"), F.lit("qzx xqz zzxq").alias("question"))
-    return retrieve.confidence(asked.unionByName(nonsense), _pages(spark, d), one_page=True)
+    return retrieve.confidence(asked.unionByName(nonsense), _whole(spark, d), one_page=True)
 
 
 @query(rf"""WITH {_search(_ONE)},
@@ -232,7 +232,7 @@ SELECT 'q' AS query_id, h.doc_id, h.rank, CASE WHEN len(words) <= 46 THEN text E
 FROM h LEFT JOIN best USING (doc_id, rank)""")
 def snippets(spark, d):
     q = _question(spark)
-    return retrieve.snippets(retrieve.search(q, _pages(spark, d), one_page=True), q).select("query_id", "doc_id", "rank", "snippet")
+    return retrieve.snippets(retrieve.search(q, _whole(spark, d), one_page=True), q).select("query_id", "doc_id", "rank", "snippet")
 
 
 _KEYWORDS = f"""t0 AS (SELECT doc_id, {_RAW.format("text", "text")} FROM documents),
@@ -245,7 +245,7 @@ kw AS (SELECT doc_id, term, n, row_number() OVER (PARTITION BY doc_id ORDER BY C
 
 @query(f"WITH {_KEYWORDS} SELECT doc_id, rank, term, n FROM kw")
 def about_keywords(spark, d):
-    return about.keywords(_pages(spark, d))
+    return about.keywords(P.by_document(_whole(spark, d)))
 
 
 @query(f"SELECT doc_id, CASE WHEN length(trim(text)) > 40 THEN array_to_string(list_slice({_WORDS.format('text')}, 1, 60), ' ') ELSE '' END AS opening, 'part 1' AS labels FROM documents")
@@ -373,7 +373,7 @@ def answer_support(spark, d):
 
 @query(f"WITH {_search(_ONE)} SELECT query_id, doc_id, string_agg('[' || rank || '] (part 1)' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS extracts FROM hits GROUP BY query_id, doc_id")
 def extract_blocks(spark, d):
-    return answers.extract_blocks(retrieve.search(_question(spark), _pages(spark, d), one_page=True))
+    return answers.extract_blocks(retrieve.search(_question(spark), _whole(spark, d), one_page=True))
 
 
 @query(f"WITH {_search(_ONE)}, x AS (SELECT query_id, doc_id, string_agg('[' || rank || '] (part 1)' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS e FROM hits GROUP BY query_id, doc_id) SELECT query_id, doc_id, '{answers.ANSWER_RULES}' AS system, 'Extracts from “' || CASE WHEN doc_id % 5 = 0 THEN 'the document' ELSE 'doc ' || doc_id END || '”:' || chr(10) || chr(10) || e || chr(10) || chr(10) || 'Question: {QUESTION}' AS user FROM x")
@@ -653,7 +653,7 @@ k AS (SELECT doc_id, list('What does it say about “' || term || '”?' ORDER B
 g AS (SELECT doc_id, list_slice(['What is this document about?'] || list_slice(coalesce(k, []), 1, 3) || ['What are the most important points?', 'Are there any dates or deadlines?', 'What does it ask of me?'], 1, 5) AS g FROM documents LEFT JOIN k USING (doc_id))
 SELECT doc_id, unnest(g) AS question, generate_subscripts(g, 1) - 1 AS pos FROM g""")
 def suggested_questions(spark, d):
-    out = library.suggested_questions(_t(spark, d, "documents"), about.keywords(_pages(spark, d)))
+    out = library.suggested_questions(_t(spark, d, "documents"), about.keywords(P.by_document(_whole(spark, d))))
     return out.select("doc_id", "question", F.col("pos").cast("long").alias("pos"))
 
 

@@ -373,3 +373,69 @@ def test_answer_events_without_engines(spark):
     said = spark.createDataFrame([("q", 1, "yes", False), ("q", 2, "yes", True)], f"{pair}, answer string, supported boolean")
     got = answers.answer_events(asked, hits, said).orderBy("doc_id", "seq").collect()
     assert [(r.doc_id, r.type, r.payload) for r in got] == [(1, "found", '{"hits":[{"rank":1,"label":"page 1","score":2.5}]}'), (1, "answer", "yes"), (1, "unsupported", ""), (1, "done", "true"), (2, "found", '{"hits":[]}'), (2, "note", "nothing found"), (2, "done", "false")]
+
+
+def test_logarithms_are_those_of_sql(spark):
+    """Passages with the same shares in another order are told apart by the last digit of their sums, so it must be that of SQL."""
+    got = spark.range(1, 2000).select((1 + F.col("id") / 7).alias("x")).select("x", retrieve.ln("x").alias("y"), F.log("x").alias("z")).toPandas()
+    con = connection(SF)
+    want = con.execute("SELECT ln(1 + i / 7) FROM range(1, 2000) r(i) ORDER BY i").fetchall()
+    assert [r[0] for r in want] == sorted(got.y) and (got.y != got.z).any()
+
+
+def test_summary_of_long_keywords_is_not_cut(spark):
+    """Keywords of more characters than a question may have are all searched for."""
+    words = ["x" * 200 + str(i) for i in range(6)]
+    text = " ".join(f"{w} {w}" for w in words[:1]) + " filler" * 200 + " " + " ".join(f"{w} {w}" for w in words[1:])
+    docs = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    found = about.summary_hits(P.pages_of(docs), one_page=True).collect()
+    con = connection(SF)
+    con.sql("DROP VIEW documents")
+    con.execute("CREATE TABLE documents AS SELECT 1::BIGINT AS doc_id, ?::VARCHAR AS text", [text])
+    want = con.sql(queries.ORACLES["summary_hits"]).df()
+    assert {(r.passage_idx, r["rank"], r.score) for r in found} == {(r.passage_idx, r["rank"], r.score) for _, r in want.iterrows()}
+
+
+def test_documents_are_dealt_into_parts_of_bounded_size(spark, tmp_path):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.expr("repeat(sha2(cast(id AS string), 512), 20)").alias("text"))
+    docs.repartition(4).write.option("compression", "uncompressed").parquet(str(tmp_path / "d"))
+    pages = P.pages_of(spark.read.parquet(str(tmp_path / "d")))
+    parts = P.parts_of(pages)
+    assert parts >= 3 and P.by_document(pages).rdd.getNumPartitions() == parts
+
+
+@pytest.mark.parametrize("name", ["bm25_all_documents", "bm25_benchmark_questions", "confidence", "term_idf", "postings"])
+def test_what_is_found_stays_with_its_document(spark, monkeypatch, name):
+    """Of a query over single pages only texts, dealt by document, and what is told of questions go through a shuffle."""
+    monkeypatch.setattr(P, "PART_BYTES", 1 << 16)
+    plan = queries.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    dealt = [line.split("hashpartitioning(")[1].split(")")[0] for line in plan.splitlines() if "hashpartitioning(" in line]
+    names = [[c.split("#")[0].strip() for c in keys.split(",")[:-1]] for keys in dealt]
+    assert ["doc_id"] in names and not any("doc_id" in keys and keys != ["doc_id"] for keys in names if keys != ["query_id", "doc_id"] or name != "confidence")
+
+
+def test_a_change_of_the_index_is_finished_by_its_second_try(spark, tmp_path, monkeypatch):
+    """Buckets moved before a failure are neither lost nor moved twice, and emptied ones stay empty."""
+    from paperlane.operators import index
+
+    def docs(ids, word):
+        return spark.createDataFrame([(i, 0, 1, "p", f"{word}{i} common") for i in ids], "doc_id long, page_pos int, number int, label string, text string")
+
+    path, gone = str(tmp_path / "ix"), spark.createDataFrame([(i,) for i in range(20, 40)], "doc_id long")
+    index.update_index(docs(range(40), "old"), "ix_twice", path, one_page=True)
+    real, calls = index.move, []
+
+    def stop(*a):
+        calls.append(a)
+        if len(calls) == 4:
+            raise OSError("stopped")
+        real(*a)
+
+    monkeypatch.setattr(index, "move", stop)
+    with pytest.raises(OSError):
+        index.update_index(docs(range(10), "new"), "ix_twice", path, gone, one_page=True, step="2")
+    monkeypatch.setattr(index, "move", real)
+    made = index.update_index(docs(range(10), "new"), "ix_twice", path, gone, one_page=True, step="2")
+    want = {f"new{i} common" for i in range(10)} | {f"old{i} common" for i in range(10, 20)}
+    assert {r.text for r in made.passages.collect()} == want and made.passages.count() == 20
+    assert sorted(r.doc_id for r in made.postings.where("term = 'common'").collect()) == list(range(20))
