@@ -34,8 +34,10 @@ def quoted(words: list[str]) -> str:
     return ", ".join("'" + w.replace("'", "''") + "'" for w in dict.fromkeys(words))
 
 
-def _undoubled(w: str) -> str:
-    return f"CASE WHEN length({w}) > 3 AND right({w}, 1) = left(right({w}, 2), 1) AND right({w}, 1) NOT IN ('l', 's', 'z') THEN left({w}, length({w}) - 1) ELSE {w} END"
+def _doubled(w: str, end: int) -> str:
+    """1 if a word without its last end characters ends in a doubled letter that is made single, and keeps three characters; else 0."""
+    last = f"substring({w}, {-1 - end}, 1)"
+    return f"CASE WHEN length({w}) > {end + 3} AND {last} = substring({w}, {-2 - end}, 1) AND {last} NOT IN ('l', 's', 'z') THEN 1 ELSE 0 END"
 
 
 # Word endings and what takes their place; after None a doubled last letter is made single.
@@ -43,13 +45,22 @@ ENDINGS = (("ies", "y"), ("sses", "ss"), ("xes", "x"), ("ches", "ch"), ("shes",
 
 
 def stem_sql(w: str) -> str:
-    """The word with one English ending folded; the first rule that leaves three characters wins."""
+    """The word with one English ending folded; the first rule that leaves three characters wins.
+
+    How many characters go is told first, so that the code for it is small: the JVM never compiles a method of over 8,000 bytes.
+    """
     # nothing else can end in one of the endings; digits can't either
-    out = f"CASE WHEN length({w}) <= 3 OR right({w}, 1) NOT IN ('s', 'g', 'd', 'y') THEN {w}"
+    cut = f"CASE WHEN length({w}) <= 3 OR right({w}, 1) NOT IN ('s', 'g', 'd', 'y') THEN 0"
+    added = "''"
     for ending, put in ENDINGS:
-        rest = f"left({w}, length({w}) - {len(ending)})"
-        out += f" WHEN right({w}, {len(ending)}) = '{ending}' AND length({w}) >= {len(ending) + 3} THEN " + (_undoubled(rest) if put is None else f"{rest} || '{put}'" if put else rest)
-    return out + f" ELSE {w} END"
+        fits = f"endswith({w}, '{ending}') AND length({w}) >= {len(ending) + 3}"
+        if put is None:
+            cut += f" WHEN {fits} THEN {len(ending)} + {_doubled(w, len(ending))}"
+        elif ending.startswith(put):
+            cut += f" WHEN {fits} THEN {len(ending) - len(put)}"
+        else:  # the first rule: what takes the ending's place is no part of it
+            cut, added = cut + f" WHEN {fits} THEN {len(ending)}", f"CASE WHEN {fits} THEN '{put}' ELSE '' END"
+    return f"concat(left({w}, length({w}) - {cut} ELSE 0 END), {added})"
 
 
 # Fixed value: what a word is.

@@ -441,3 +441,15 @@ def test_keywords_that_are_stop_words(spark):
     con.register("documents", docs.toPandas())
     want = con.sql(queries.ORACLES["summary_hits"]).df()
     assert rows(got) == rows(want.assign(score=want.score.astype(float))) and got[got.doc_id == 1].score.tolist() == [0.0]
+
+
+def test_no_generated_method_is_too_large_for_the_jvm(spark):
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        for name in ("about_keywords", "suggested_questions", "postings", "tokens", "score_bars", "extractive_answers"):
+            plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan()
+            debug = getattr(getattr(spark._jvm.org.apache.spark.sql.execution.debug, "package$"), "MODULE$")
+            made = debug.codegenStringSeq(plan)
+            assert max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())) <= 8000, name
+    finally:
+        spark.conf.unset("spark.sql.adaptive.enabled")
