@@ -6,7 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from paperlane.llm import near_dedup, packing, passage_dedup, quality, toxicity
+from paperlane.llm import line_dedup, near_dedup, packing, passage_dedup, quality, toxicity
 from paperlane.llm.graph import alone, removed, shared_dir
 from paperlane.llm.queries import table, tokenizer_path
 
@@ -28,14 +28,16 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All rows, without the passages that stand earlier in the corpus, inside lines or across them.
+    """All rows, without the passages that stand earlier in the corpus, inside lines or across them, and without the chunks of lines of op6_line_dedup.
 
+    Passages come first: of a run of lines, op6's chunks leave the ends, which alone would be too short for a passage.
     The classes that the next stage will link are found first: what a class shares is left to that stage, what others had before is cut
     from all of the class alike. Null and empty texts and rows without an id stay as they are; rows with the same id and text are cut
     alike; a text all of which stands earlier becomes empty.
     """
     copies = alone(spark, lambda: near_copies(docs))
-    return passage_dedup.dedup_passages(docs, copies=copies)
+    cut = alone(spark, lambda: passage_dedup.dedup_passages(docs, copies=copies))
+    return line_dedup.dedup_lines(cut, copies=copies).select(docs.columns)
 
 
 def near_copies(docs: DataFrame) -> DataFrame:

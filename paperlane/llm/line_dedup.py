@@ -35,43 +35,47 @@ def _hashes(text: str) -> list:
     return [F.xxhash64(text).alias("h1"), F.xxhash64(F.lit("again"), text).alias("h2")]
 
 
-def repeated_chunks(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def repeated_chunks(docs: DataFrame, min_lines: int = 2, copies: DataFrame | None = None) -> DataFrame:
     """(doc_id, version, chunk) of every chunk to be removed: all but the first of those with the same bytes.
 
-    version is a hash of the text, so that rows with equal ids and different texts stay apart.
+    copies (doc_id, of), a row for each text that goes later and the one of its class that stays, are spared as in passage_dedup. version is a hash of the text, so that rows with equal ids and different texts stay apart.
     """
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("version")).where("doc_id is not null and text is not null")
     each = with_chunks(texts).select("doc_id", "version", F.posexplode("_chunks").alias("chunk", "bytes"))
     breaks = F.length("bytes") - F.length(F.replace("bytes", F.lit("\n"), F.lit("")))
     each = each.where((breaks >= min_lines - 1) & (F.length("bytes") > breaks))
-    key, place = ["h1", "h2"], F.struct("doc_id", "version", "chunk")
+    key, place = ["h1", "h2"], F.struct(F.col("of").isNotNull().alias("goes"), "doc_id", "version", "chunk", "of")
+    classed = lambda rows: rows.withColumn("of", F.lit(None).cast("long")) if copies is None else rows.join(copies.select("doc_id", "of"), "doc_id", "left")
     places = stored(each.select("doc_id", "version", "chunk", *_hashes("bytes")))
     known = places.groupBy(*key).agg(F.count("*").alias("_n")).where("_n > 1")
     total = places.count()
     again = settle(join_counted(places, known, key, total))
     # the bytes of what repeats, each text's from one cut of it
     wanted = again.groupBy("doc_id", "version").agg(F.collect_set("chunk").alias("_wanted"))
-    cut = with_chunks(texts.join(wanted, ["doc_id", "version"]))
-    read = cut.select("doc_id", "version", F.expr("inline(transform(_wanted, c -> struct(c AS chunk, element_at(_chunks, c + 1) AS bytes)))")).select("*", *_hashes("bytes"))
+    cut = with_chunks(classed(texts.join(wanted, ["doc_id", "version"])))
+    read = cut.select("doc_id", "version", "of", F.expr("inline(transform(_wanted, c -> struct(c AS chunk, element_at(_chunks, c + 1) AS bytes)))")).select("*", *_hashes("bytes"))
     firsts = settle(read.groupBy(*key, "bytes").agg(F.min(place).alias("first"), F.count("*").alias("_n")))
     kinds = firsts.groupBy(*key).agg(F.count("*").alias("kinds"), F.min("first").alias("first"), F.sum("_n").alias("_n"))
-    gone = join_counted(again, kinds.where("kinds = 1").drop("kinds"), key, total)
+    gone = join_counted(classed(again), kinds.where("kinds = 1").drop("kinds"), key, total)
     if not kinds.where("kinds > 1").isEmpty():  # chunks that share 128 bits and not their bytes
         met = read.join(kinds.where("kinds > 1").select(*key), key, "left_semi")
         gone = gone.unionByName(met.join(firsts.drop("_n"), [*key, "bytes"]).select(gone.columns))
-    return gone.where(place != F.col("first")).select("doc_id", "version", "chunk").distinct()
+    gone = gone.where("struct(doc_id, version, chunk) <> struct(first.doc_id, first.version, first.chunk)")
+    # not what another text of the same class has first
+    gone = gone.where("coalesce(of, doc_id) <> coalesce(first.of, first.doc_id) or struct(doc_id, version) = struct(first.doc_id, first.version)")
+    return gone.select("doc_id", "version", "chunk").distinct()
 
 
-def dedup_lines(docs: DataFrame, min_lines: int = 2) -> DataFrame:
+def dedup_lines(docs: DataFrame, min_lines: int = 2, copies: DataFrame | None = None) -> DataFrame:
     """docs (doc_id, text, any other columns) with the repeated chunks removed from text; every row stays.
 
     Adds removed_chunks int (an own column of that name is replaced). n_chars, if there, is set to the new
     length. A text all of whose chunks stand elsewhere first becomes empty. Null texts stay null; rows whose
     doc_id is null are not touched. Rows with the same doc_id and text are one text given twice, and are cut
-    alike. Blank chunks and chunks of fewer than min_lines lines stay. An empty table gives an empty result.
+    alike. copies is as in dedup_passages(). Blank chunks and chunks of fewer than min_lines lines stay. An empty table gives an empty result.
     """
     columns = [c for c in docs.columns if c != "removed_chunks"]
-    gone = settle(repeated_chunks(docs, min_lines)).groupBy("doc_id", "version").agg(F.collect_set("chunk").alias("_gone"))
+    gone = settle(repeated_chunks(docs, min_lines, copies)).groupBy("doc_id", "version").agg(F.collect_set("chunk").alias("_gone"))
     # the text isn't in _row as well: both would go through the shuffle
     rest = F.struct(F.lit(0), *[c for c in columns if c not in ("doc_id", "text")]).alias("_row")
     rows = docs.select("doc_id", F.xxhash64("text").alias("version"), F.col("text"), rest)

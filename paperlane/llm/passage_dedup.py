@@ -8,7 +8,7 @@ runs, and runs of at least min_words words or of two whole lines are removed. Th
 Where near-duplicate detection comes after, it must still know its copies. So it may say beforehand which texts it links
 (copies): of such a class one text stays and the others go later. What a class has in common is then not cut within it, and what
 others had before is cut from all of it alike; a text that will go is the first place of nothing that one that stays has too.
-Units are told apart by 64-bit hashes.
+Hashes of 64 bits find what may repeat; only units with the same bytes, but for white space at their end, are one.
 """
 
 from __future__ import annotations
@@ -22,6 +22,9 @@ PAIRS = 6
 #: Words of the shortest run that is removed: a repeated passage of 50 words has so many but for its ends.
 MIN_WORDS = 20
 
+#: What finds units that may be the same.
+HASH = "xxhash64({})"
+
 _SPACE = r"' \t\n\r\f'"
 
 
@@ -41,7 +44,7 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, copies: DataFrame
 
     copies (doc_id, of), a row for each text that goes later and the one of its class that stays, are what dedup_passages() says of them.
     """
-    one = rf"if(unit IS NULL, NULL, struct(xxhash64(rtrim({_SPACE}, unit)) AS h, size(split(trim(BOTH {_SPACE} FROM unit), '\\s+')) AS words, contains(before, '\n') AS starts, contains(unit, '\n') AS ends))"
+    one = rf"if(unit IS NULL, NULL, struct({HASH.format(f"rtrim({_SPACE}, unit)")} AS h, rtrim({_SPACE}, unit) AS bytes, size(split(trim(BOTH {_SPACE} FROM unit), '\\s+')) AS words, contains(before, '\n') AS starts, contains(unit, '\n') AS ends))"
     rows = docs.where("doc_id is not null and text is not null").where(r"text rlike '\\S'").select("doc_id", F.xxhash64("text").alias("version"), "text")
     rows = rows.withColumn("of", F.lit(None).cast("long")) if copies is None else rows.join(copies.select("doc_id", "of"), "doc_id", "left")
     each = with_units(rows, "concat(text, '\\n')").select("doc_id", "version", "of", F.posexplode(F.expr(f"zip_with(_units, concat(array('\\n'), _units), (unit, before) -> {one})")).alias("at", "u")).where("u is not null")
@@ -50,8 +53,8 @@ def repeated_runs(docs: DataFrame, min_words: int = MIN_WORDS, copies: DataFrame
     known, bound = stored(each.groupBy("h").agg(F.count("*").alias("_n")).where("_n > 1")), max(HOT_ROWS, each.count() // HOT_KEYS)
     hot, some = F.broadcast(known.where(F.col("_n") > bound).select("h")), known.where(F.col("_n") <= bound).select("h")
     place, common = F.struct(F.col("of").isNotNull().alias("goes"), "doc_id", "version", "at", "of"), each.join(hot, "h")
-    common = common.join(F.broadcast(common.groupBy("h").agg(F.min(place).alias("first"))), "h")
-    rest = each.join(hot, "h", "left_anti").join(some, "h").withColumn("first", F.min(place).over(Window.partitionBy("h")))
+    common = common.join(F.broadcast(common.groupBy("h", "bytes").agg(F.min(place).alias("first"))), ["h", "bytes"])
+    rest = each.join(hot, "h", "left_anti").join(some, "h").withColumn("first", F.min(place).over(Window.partitionBy("h", "bytes")))
     again = common.unionByName(rest).where("struct(doc_id, version, at) <> struct(first.doc_id, first.version, first.at)")
     # not what another text of the same class has first
     again = again.where("coalesce(of, doc_id) <> coalesce(first.of, first.doc_id) or struct(doc_id, version) = struct(first.doc_id, first.version)")

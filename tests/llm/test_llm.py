@@ -831,3 +831,24 @@ def test_conversations_against_plain_links(spark, monkeypatch):
     got = {(x.conv_id, x.turn): (x.position, x.reply_conv, x.reply_turn) for x in conversations.in_reply_order(conversations.link_replies(df)).collect()}
     assert got == plain_links(said)
     assert conversations.in_reply_order(conversations.link_replies(df.where("false"))).count() == 0
+
+
+def test_stage_compares_bytes_and_takes_op6_chunks(spark, monkeypatch):
+    import corpus_pipeline as c
+    from paperlane.llm import passage_dedup
+
+    say = lambda k, n: " ".join(f"{k}{i}" for i in range(n))
+    docs = documents(spark, [f"{say('a', 30)} {say('b', 30)}", f"{say('c', 9)}\n{say('d', 40)}", say("e", 60), f"{say('f', 9)}\n{say('d', 40)}"])
+    # all units have one hash: what goes is told by their bytes alone
+    monkeypatch.setattr(passage_dedup, "HASH", "0L * xxhash64({})")
+    got = {r.doc_id: r.text for r in passage_dedup.dedup_passages(docs).collect()}
+    assert [got[i] for i in range(3)] == [r.text for r in docs.orderBy("doc_id").limit(3).collect()] and got[3].strip() == say("f", 9)
+    called, plain = [], line_dedup.dedup_lines
+    monkeypatch.setattr(line_dedup, "dedup_lines", lambda *a, **k: called.append(1) or plain(*a, **k))
+    assert c.drop_repeated_lines(spark, docs, "").count() == 4 and called
+    # chunks of lines of one class are left to near-dedup; what others had before goes from all of the class
+    lines = "\n".join(say(k, 4) for k in "ghijklmnopqrst")
+    some = documents(spark, [lines, lines + "\nend one", lines + "\nend two"])
+    spared = spark.createDataFrame([(2, 1)], "doc_id long, of long")
+    cut = {r.doc_id: r.removed_chunks for r in plain(some.where("doc_id > 0"), copies=spared).collect()}
+    assert cut == {1: 0, 2: 0} and all(n > 0 for i, n in ((r.doc_id, r.removed_chunks) for r in plain(some, copies=spared).collect()) if i)
