@@ -531,8 +531,10 @@ def answer_events(spark, d):
     kind = F.col("doc_id") % 4
     said = docs.select("query_id", "doc_id", F.when(kind == 0, None).when(kind == 1, "").otherwise(F.concat(F.lit("said "), F.col("doc_id").cast("string"))).alias("answer"), (kind != 3).alias("supported"))
     engines = docs.where("doc_id % 9 <> 0").select("query_id", "doc_id", F.concat(F.lit("E "), F.col("doc_id").cast("string")).alias("name"), F.lit("m").alias("model"))
-    hits = retrieve.search(q, pages, one_page=True)
-    out = answers.answer_events(docs, hits, said, retrieve.confidence(q, pages, hits, one_page=True, asked=docs), engines)
+    # hits and confidence read the same lists of the question's terms, and hits are read twice: both are kept, so that texts are tokenized once
+    index = index_of(pages, True, retrieve.question_terms(q).select("term").distinct()).kept()
+    hits = retrieve.search(q, index=index).select("query_id", "doc_id", "rank", "label", "score").persist()
+    out = answers.answer_events(docs, hits, said, retrieve.confidence(q, hits=hits, asked=docs, index=index), engines)
     # of what was found, the hits' ranks and labels, and the confidence
     told = F.from_json("payload", "hits array<struct<rank: int, label: string, score: double>>, confidence struct<found: boolean, coverage: double, reason: string>")
     listed = F.array_join(F.transform(told["hits"], lambda h: F.concat(h["rank"].cast("string"), F.lit(" "), h["label"])), ", ")
@@ -561,7 +563,7 @@ picked AS (SELECT * FROM pick0 UNION ALL SELECT * FROM pick1 UNION ALL SELECT *
 SELECT doc_id, coalesce(string_agg(sentence || ' (part 1)', ' ' ORDER BY ord) FILTER (WHERE picked.ord IS NOT NULL), '') AS answer, true AS found FROM sentences LEFT JOIN picked USING (doc_id, ord) GROUP BY doc_id""")
 def extractive_answers(spark, d):
     q = _question(spark)
-    hits = retrieve.search(q, _whole(spark, d), one_page=True)
+    hits = retrieve.search(q, _whole(spark, d), one_page=True).persist()  # read twice
     texts = hits.groupBy("doc_id").agg(F.map_from_entries(F.collect_list(F.struct("rank", "text"))).alias("texts"))
     found = F.forall("sentences", lambda x: F.contains(F.try_element_at("texts", x["rank"]), x["sentence"]))
     return answers.extractive_answers(q, hits).join(texts, "doc_id").select("doc_id", "answer", found.alias("found"))

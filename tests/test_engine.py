@@ -453,3 +453,10 @@ def test_no_generated_method_is_too_large_for_the_jvm(spark):
             assert max(made.apply(i)._3().maxMethodCodeSize() for i in range(made.size())) <= 8000, name
     finally:
         spark.conf.unset("spark.sql.adaptive.enabled")
+
+
+def test_lists_that_are_read_twice_are_kept(spark):
+    for name in ("answer_events", "extractive_answers"):
+        plan = queries.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+        assert "InMemoryRelation" in plan, name
+    spark.catalog.clearCache()
