@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from paperlane.llm import line_dedup, near_dedup, packing, passage_dedup, quality, toxicity
-from paperlane.llm.graph import alone, removed, shared_dir
+from paperlane.llm.graph import alone, removed, shared_dir, stored
 from paperlane.llm.queries import table, tokenizer_path
 
 #: The similarity, in percent, from which the near-duplicate stage links two texts.
@@ -27,15 +27,28 @@ def keep_clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, toxicity.train(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")))
 
 
+def keep_clean_and_classed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The rows of keep_clean() with copy_of: the document of their class that stays, for those that near_copies() has, else null.
+
+    What links documents runs in Python, so the next stage, which is of DataFrame operations only, finds the classes in the table that this one writes.
+    """
+    clean = stored(keep_clean(spark, docs, sf_dir))
+    return clean.join(alone(spark, lambda: near_copies(clean)).withColumnRenamed("of", "copy_of"), "doc_id", "left").select(*clean.columns, "copy_of")
+
+
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, without the passages that stand earlier in the corpus, inside lines or across them, and without the chunks of lines of op6_line_dedup.
 
     Passages come first: of a run of lines, op6's chunks leave the ends, which alone would be too short for a passage.
-    The classes that the next stage will link are found first: what a class shares is left to that stage, what others had before is cut
-    from all of the class alike. Null and empty texts and rows without an id stay as they are; rows with the same id and text are cut
+    The classes that the next stage will link are known first, from copy_of, which is taken off, or found here: what a class shares is left
+    to that stage, what others had before is cut from all of the class alike. Null and empty texts and rows without an id stay as they are; rows with the same id and text are cut
     alike; a text all of which stands earlier becomes empty.
     """
-    copies = alone(spark, lambda: near_copies(docs))
+    if "copy_of" in docs.columns:
+        copies = docs.where("copy_of is not null").select("doc_id", F.col("copy_of").alias("of")).distinct()
+        docs = docs.drop("copy_of")
+    else:
+        copies = alone(spark, lambda: near_copies(docs))
     cut = alone(spark, lambda: passage_dedup.dedup_passages(docs, copies=copies))
     return line_dedup.dedup_lines(cut, copies=copies).select(docs.columns)
 
@@ -64,7 +77,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [
     ("quality", keep_good),
-    ("toxicity", keep_clean),
+    ("toxicity", keep_clean_and_classed),
     ("line_dedup", drop_repeated_lines),
     ("near_dedup", drop_near_copies),
     ("packing", pack),

@@ -852,3 +852,24 @@ def test_stage_compares_bytes_and_takes_op6_chunks(spark, monkeypatch):
     spared = spark.createDataFrame([(2, 1)], "doc_id long, of long")
     cut = {r.doc_id: r.removed_chunks for r in plain(some.where("doc_id > 0"), copies=spared).collect()}
     assert cut == {1: 0, 2: 0} and all(n > 0 for i, n in ((r.doc_id, r.removed_chunks) for r in plain(some, copies=spared).collect()) if i)
+
+
+def test_stage_of_lines_runs_no_python(spark, monkeypatch):
+    """The classes come with the table of the stage before, and are those that the stage would find itself."""
+    import corpus_pipeline as c
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    text = docs.where("length(text) > 900").orderBy("doc_id").first().text
+    docs = docs.unionByName(spark.createDataFrame([(10_001, text), (10_002, text + " end")], "doc_id long, text string"), allowMissingColumns=True).localCheckpoint()
+    monkeypatch.setattr(c, "keep_clean", lambda spark, docs, sf: docs)
+    classed = dict(c.STAGES)["toxicity"](spark, docs, "").localCheckpoint()
+    assert classed.columns == [*docs.columns, "copy_of"] and classed.count() == docs.count() and classed.where("doc_id > 10000 and copy_of is not null").count() == 2
+    want = c.drop_repeated_lines(spark, docs, "").collect()
+
+    def none(*a, **k):
+        raise AssertionError("Python on the executors")
+
+    monkeypatch.setattr(type(docs), "mapInArrow", none)
+    monkeypatch.setattr(type(docs), "mapInPandas", none)
+    got = c.drop_repeated_lines(spark, classed, "")
+    assert got.columns == docs.columns and sorted(map(str, got.collect())) == sorted(map(str, want))
