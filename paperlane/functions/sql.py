@@ -26,6 +26,8 @@ def _replaced(text: str, *steps: tuple[str, str]) -> str:
 FUNCTIONS = (
     ("pl_tidy", "t STRING", "STRING", _replaced(f"translate({_replaced('t', (r'\r\n?', chr(10)), (r'[\x00-\x08\x0b-\x1f\x7f﻿]', ''))}, ' ', ' ')", (r"[ \t]{2,}", " "), (r"[ \t]+\n", "\n"), (r"\n{3,}", "\n\n"), (r"^\s+|\s+$", ""))),
     ("pl_stem", "w STRING", "STRING", T.stem_sql("w")),
+    ("pl_words", "t STRING", "ARRAY<STRING>", f"regexp_extract_all(lower(t), {_quoted(T.TOKEN)}, 0)"),
+    ("pl_kept", "w STRING", "BOOLEAN", T.kept_sql("w")),
     ("pl_tokens", "t STRING", "ARRAY<STRING>", f"transform(filter(regexp_extract_all(lower(t), {_quoted(T.TOKEN)}, 0), w -> {T.kept_sql('w')}), w -> {T.stem_sql('w')})"),
     ("pl_label", "number INT, heading STRING", "STRING", "CASE WHEN coalesce(heading, '') <> '' THEN concat('section “', CASE WHEN length(heading) > 48 THEN concat(rtrim(left(heading, 45)), '…') ELSE heading END, '”') ELSE concat('section ', number) END"),
 )

@@ -479,3 +479,10 @@ def test_scores_stay_where_their_document_is(spark, tmp_path):
     assert len(found) == 7 and (3, None, False, 0.0, 0.0, "empty") in found and {x[3] for x in found if x[0] == 2} == {0.67, 0.33}
     for other in (retrieve.confidence(q, index=index), retrieve.confidence(q, hits=retrieve.search(q, index=index), index=index)):
         assert sorted(map(tuple, other.collect()), key=str) == found
+
+
+def test_sql_postings_are_generated_code(spark):
+    rows = queries.QUERIES["sql_postings"](spark, SF)
+    assert "lambdafunction" not in rows._jdf.queryExecution().executedPlan().toString()
+    row = spark.sql("SELECT transform(filter(pl_words(t), w -> w <> 'the'), w -> w) AS words, pl_kept('the') AS the, pl_kept('7') AS seven, pl_kept('x') AS x FROM VALUES ('The Cat-s and \"DOGS\" 7 x') AS v(t)").first()
+    assert (row.words, row.the, row.seven, row.x) == (["cat-s", "and", "dogs", "7", "x"], False, True, False)
