@@ -32,6 +32,8 @@ BLOCK_TOKENS, HELD_TOKENS = 600_000, 4_000_000
 BUNDLE = 64
 #: Distinct words whose ids a task remembers.
 MEMORY_WORDS = 1_500_000
+#: New words that are encoded at once.
+LINE_WORDS = 500
 
 #: Characters for which str.lower() and str.split() do what the tokenizer's normaliser does: printable ASCII, tab, line feed, carriage return, Latin-1 and Latin Extended-A letters but the dotted capital I.
 _PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\xac\xae-įı-ſ]*")
@@ -85,8 +87,8 @@ class WordTokenizer:
 
     def learn(self, words: list[str]) -> None:
         parts = np.array([1 if w.isalpha() else len(_PARTS.findall(w.lower())) for w in words], np.int64)
-        lines = [" ".join(words[i : i + 500]) for i in range(0, len(words), 500)]
-        ids = np.concatenate([np.array(e.ids, np.uint32) for e in self.tokenizer.encode_batch_fast(lines, add_special_tokens=False)])
+        # few at a time: what the tokenizer returns takes a hundred times as much memory as the ids, and a worker doesn't give it back
+        ids = np.concatenate([np.array(self.tokenizer.encode_batch_fast([" ".join(words[i : i + LINE_WORDS])], add_special_tokens=False)[0].ids, np.uint32) for i in range(0, len(words), LINE_WORDS)])
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != parts.sum():
             raise ValueError("the tokenizer doesn't end each part of a word with an id of its own")
@@ -226,7 +228,7 @@ def _packer(path: str, capacity: int, end: int, with_ids: bool, with_crc: bool):
                 columns["ids"] = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum(length)]).astype(np.int32), pa.array(np.concatenate(cut).astype(np.int32)))
             yield pa.RecordBatch.from_pydict(columns)
 
-        for rows, _, _ in chunks(batches, 4_000_000):
+        for rows, _, _ in chunks(batches):
             ids, at = tokenizer.encode(rows.column("text"), end)
             for doc, a, b in zip(rows.column("doc_id").to_pylist(), at[:-1], at[1:], strict=True):
                 held.append((doc, ids[a:b]))

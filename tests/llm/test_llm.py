@@ -146,6 +146,26 @@ def test_line_dedup_against_sql(spark, monkeypatch, hashes):
     assert got.removed_chunks.sum() > 50
 
 
+def test_packing_encodes_few_words_at_a_time():
+    """What a call of the tokenizer returns is large, and a worker keeps that memory: so a call gets few words."""
+    path = queries.tokenizer_path("word_bpe_49k.json")
+    made, words = packing.WordTokenizer(path), [f"w{i:x}" for i in range(1999)]
+    given, whole = [], made.tokenizer
+
+    class Counted:
+        def encode_batch_fast(self, lines, **options):
+            given.append(sum(len(x.split()) for x in lines))
+            return whole.encode_batch_fast(lines, **options)
+
+        encode = whole.encode
+
+    made.tokenizer = Counted()
+    ids, at = made.encode(pa.array([" ".join(words), None, "w1 w1"]), 2)
+    assert sum(given) == len(words) and max(given) <= 500
+    for text, x, y in zip((" ".join(words), "", "w1 w1"), at[:-1], at[1:], strict=True):
+        assert ids[x:y].tolist() == [*whole.encode(text, add_special_tokens=False).ids, 2]
+
+
 def test_packing_round_trip(spark):
     path = queries.tokenizer_path("word_bpe_49k.json")
     from tokenizers import Tokenizer
