@@ -44,6 +44,10 @@ def _doubled(w: str, end: int) -> str:
 ENDINGS = (("ies", "y"), ("sses", "ss"), ("xes", "x"), ("ches", "ch"), ("shes", "sh"), ("ing", None), ("ed", None), ("ly", ""), ("s", ""))
 
 
+#: A word and its stem begin with the same characters, so many of them; a shorter word is its own stem.
+STEM_KEEPS = 3
+
+
 def stem_sql(w: str) -> str:
     """The word with one English ending folded; the first rule that leaves three characters wins.
 

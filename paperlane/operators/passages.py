@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from dataclasses import dataclass
 from math import gcd
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -30,22 +32,38 @@ def by_document(pages: DataFrame, parts: int | None = None) -> DataFrame:
     return pages.repartition(parts or parts_of(pages), "doc_id")
 
 
-def _windows(pages: DataFrame, size: int, overlap: int) -> tuple[DataFrame, Column, Column]:
-    """pages with what their windows are made of, the array of these, and their number."""
+@dataclass(frozen=True)
+class _Cut:
+    """pages with the blocks of words that their windows are made of (_b), the number of their words (_n), and expressions on these: the number of windows, one of them, and the first and the last window that a block is in."""
+
+    rows: DataFrame
+    count: Column
+    window: Callable[[Column], Column]
+    first: Callable[[Column], Column]
+    last: Callable[[Column], Column]
+
+
+def _windows(pages: DataFrame, size: int, overlap: int, only: Column | None = None) -> _Cut:
+    """How pages are cut; those for which only isn't true aren't, and have no window."""
     step = max(20, size - overlap)
     unit = gcd(size, step)
-    blocks = F.expr(rf"regexp_extract_all(regexp_replace(text, r'\s+', ' '), r'[^ ]++(?: [^ ]++){{0,{unit - 1}}}+', 0)")
-    cut = pages.withColumn("_b", blocks)
+    # white space to one space; single spaces, the most of it, are left as they are
+    blocks = F.expr(rf"regexp_extract_all(regexp_replace(text, r'\s{{2,}}|[^\S ]', ' '), r'[^ ]++(?: [^ ]++){{0,{unit - 1}}}+', 0)")
+    cut = pages.withColumn("_b", blocks if only is None else F.when(only, blocks))
     n = F.when(F.size("_b") > 0, (F.size("_b") - 1) * unit + F.size(F.split(F.element_at("_b", -1), " "))).otherwise(0)
     short = F.col("_n") <= size + overlap // 2
     full = F.ceil((F.col("_n") - size) / step).cast("int") + 1
     # a tail of under 30 words is dropped unless it is all there is
     last = F.least(F.col("_n") - (full - 1) * step, F.lit(size))
-    count = F.when(last < 30, F.greatest(full - 1, F.lit(1))).otherwise(full)
-    window = F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.array_join(F.slice("_b", i * (step // unit) + 1, F.lit(size // unit)), " "))
-    whole = F.array(F.regexp_replace("text", r"^\s+|\s+$", ""))
-    windows = F.when(F.col("_n") == 0, F.array().cast("array<string>")).when(short, whole).otherwise(window)
-    return cut.withColumn("_n", n), windows, F.when(F.col("_n") == 0, 0).when(short, 1).otherwise(count)
+    count = F.when(F.col("_n") == 0, 0).when(short, 1).otherwise(F.when(last < 30, F.greatest(full - 1, F.lit(1))).otherwise(full))
+    per_step, per_window = step // unit, size // unit
+    return _Cut(
+        cut.withColumn("_n", n),
+        count,
+        lambda i: F.when(short, F.regexp_replace("text", r"^\s+|\s+$", "")).otherwise(F.array_join(F.slice("_b", i * per_step + 1, F.lit(per_window)), " ")),
+        lambda i: F.when(short, 0).otherwise(F.greatest(F.lit(0), F.floor((i - per_window + per_step) / per_step).cast("int"))),
+        lambda i: F.when(short, 0).otherwise(F.least(count - 1, F.floor(i / per_step).cast("int"))),
+    )
 
 
 def passages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, one_page: bool = False) -> DataFrame:
@@ -60,12 +78,13 @@ def passages(pages: DataFrame, size: int = SIZE, overlap: int = OVERLAP, one_pag
     empties, which are filtered after: an inner explode is given a filter on the array's size before it, and that
     computes the array from the text again.
     """
-    cut, windows, k = _windows(pages.select("doc_id", "page_pos", "number", "label", "text"), size, overlap)
-    made = cut.select("doc_id", "page_pos", "number", "label", windows.alias("_w"))
+    cut = _windows(pages.select("doc_id", "page_pos", "number", "label", "text"), size, overlap)
+    windows = F.when(F.col("_n") == 0, F.array().cast("array<string>")).otherwise(F.transform(F.sequence(F.lit(0), cut.count - 1), cut.window))
+    made = cut.rows.select("doc_id", "page_pos", "number", "label", windows.alias("_w"))
     if one_page:
         return made.select("doc_id", "number", "label", F.posexplode_outer("_w").alias("passage_idx", "text")).where("text is not null").select("doc_id", "passage_idx", "number", "label", "text")
     # what is summed through a document is a number for each page; its text stays where it is
-    counted = cut.select("doc_id", "page_pos", k.alias("_k"))
+    counted = cut.rows.select("doc_id", "page_pos", cut.count.alias("_k"))
     before = F.coalesce(F.sum("_k").over(Window.partitionBy("doc_id").orderBy("page_pos").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     placed = counted.select("doc_id", "page_pos", before.alias("_before"))
     rows = made.join(placed, ["doc_id", "page_pos"]).select("doc_id", "number", "label", "_before", F.posexplode_outer("_w").alias("_i", "text")).where("text is not null")
@@ -79,10 +98,12 @@ def passage_texts(keys: DataFrame, pages: DataFrame, only: str | None = None) ->
     name of a column, those in which it is null have a row without a text, and a page of which no text is asked isn't cut.
     """
     asked = keys.groupBy("doc_id").agg(F.collect_list(F.struct(*[c for c in keys.columns if c != "doc_id"])).alias("_keys"))
-    cut, windows, _ = _windows(pages.select("doc_id", "number", "label", "text").join(asked, "doc_id"), SIZE, OVERLAP)
     wanted = (lambda k: F.lit(True)) if only is None else (lambda k: k[only].isNotNull())
-    whole = cut.select("doc_id", "number", "label", "_keys", F.when(F.exists("_keys", wanted), windows).alias("_w"))
-    found = F.transform("_keys", lambda k: F.struct(k.alias("_key"), F.when(wanted(k), F.get("_w", k["passage_idx"])).alias("text")))
+    cut = _windows(pages.select("doc_id", "number", "label", "text").join(asked, "doc_id"), SIZE, OVERLAP, None if only is None else F.exists("_keys", wanted))
+    # the number of windows is a column that the lambda reads, and the windows asked for are the only ones that are made
+    whole = cut.rows.withColumn("_k", cut.count)
+    there = lambda k: wanted(k) & (k["passage_idx"] >= 0) & (k["passage_idx"] < F.col("_k"))
+    found = F.transform("_keys", lambda k: F.struct(k.alias("_key"), F.when(there(k), cut.window(k["passage_idx"])).alias("text")))
     rows = whole.select("doc_id", "number", "label", F.inline(found)).select("doc_id", "_key.*", "number", "label", "text")
     return rows.where(F.col("text").isNotNull() | (F.lit(False) if only is None else F.col(only).isNull()))
 
@@ -126,15 +147,31 @@ def posting_lists(pages: DataFrame, one_page: bool = False, wanted: DataFrame |
     With one_page the pages are dealt by document once, into parts, and everything else is done where they are. Else a document's pages are dealt
     apart, and only sums meet, so that one giant document isn't one task.
     """
-    parts = passages(by_document(pages, parts) if one_page else pages, one_page=one_page)
-    raw = parts.select("doc_id", "passage_idx", F.explode_outer(T.raw_tokens("text")).alias("w"))
-    tokens = raw.select("doc_id", "passage_idx", F.expr(f"CASE WHEN {T.kept_sql('w')} THEN {T.stem_sql('w')} END").alias("term"))
-    if wanted is not None:
-        asked = wanted.withColumn("_asked", F.lit(True))
-        tokens = tokens.join(asked, wanted.columns, "left").select("doc_id", "passage_idx", F.when(F.col("_asked"), F.col("term")).alias("term"), F.col("term").isNotNull().alias("_one"))
+    dealt = by_document(pages, parts) if one_page else pages
+    few = one_page and wanted is not None
+    if few:
+        # of few terms little is left of a block of words, so a block, which windows share, is read once and its counts go to its windows
+        cut, i = _windows(dealt.select("doc_id", "text"), SIZE, OVERLAP), F.col("_i")
+        blocks = cut.rows.select("doc_id", "_n", F.posexplode_outer("_b").alias("_i", "text")).where("text is not null")
+        place = ["_first", "_last"]
+        texts = blocks.select("doc_id", cut.first(i).alias("_first"), cut.last(i).alias("_last"), "text").where("_first <= _last")
+    else:
+        place, texts = ["passage_idx"], passages(dealt, one_page=one_page)
+    raw = texts.select("doc_id", *place, F.explode_outer(T.raw_tokens("text")).alias("w"))
+    kept = T.kept_sql("w")
+    if wanted is None:
+        tokens = raw.select("doc_id", *place, F.expr(f"CASE WHEN {kept} THEN {T.stem_sql('w')} END").alias("term")).withColumn("_one", F.col("term").isNotNull())
     else:
-        tokens = tokens.withColumn("_one", F.col("term").isNotNull())
-    counted = tokens.groupBy("doc_id", "passage_idx", "term").agg(F.sum(F.col("_one").cast("int")).alias("tf"))
+        # a word is stemmed only if a term that is asked begins as it does
+        begin = f"left({{}}, {T.STEM_KEEPS})"
+        own = [c for c in wanted.columns if c != "term"]
+        asked = wanted.groupBy(*own, F.expr(begin.format("term")).alias("_begin")).agg(F.collect_set("term").alias("_asked"))
+        tokens = raw.select("doc_id", *place, F.expr(f"CASE WHEN {kept} THEN w END").alias("w")).withColumn("_begin", F.expr(begin.format("w"))).join(asked, [*own, "_begin"], "left")
+        stem = T.stem_sql("w")
+        tokens = tokens.select("doc_id", *place, F.expr(f"CASE WHEN _asked IS NOT NULL AND array_contains(_asked, {stem}) THEN {stem} END").alias("term"), F.col("w").isNotNull().alias("_one"))
+    counted = tokens.groupBy("doc_id", *place, "term").agg(F.sum(F.col("_one").cast("int")).alias("tf"))
+    if few:
+        counted = counted.select("doc_id", F.explode(F.sequence("_first", "_last")).alias("passage_idx"), "term", "tf").groupBy("doc_id", "passage_idx", "term").agg(F.sum("tf").alias("tf"))
     held = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf")))
     each = counted.groupBy("doc_id", "passage_idx").agg(F.greatest(F.sum("tf"), F.lit(1)).alias("len"), held.alias("held"))
     if one_page:

@@ -486,3 +486,18 @@ def test_sql_postings_are_generated_code(spark):
     assert "lambdafunction" not in rows._jdf.queryExecution().executedPlan().toString()
     row = spark.sql("SELECT transform(filter(pl_words(t), w -> w <> 'the'), w -> w) AS words, pl_kept('the') AS the, pl_kept('7') AS seven, pl_kept('x') AS x FROM VALUES ('The Cat-s and \"DOGS\" 7 x') AS v(t)").first()
     assert (row.words, row.the, row.seven, row.x) == (["cat-s", "and", "dogs", "7", "x"], False, True, False)
+
+
+def test_few_terms_are_counted_by_blocks(spark):
+    """Of a question's terms alone, words are counted once by block, and no window is made: the lists are those of the whole index."""
+    word = lambda i: ("running", "tion", "boxes", "the", "x", "7", "cats", "stopped", "flies", "w%d" % i)[i * 7 % 10]
+    texts = ["", None, " \t\n ", "the", "tion", " tion\u00a0cats\n\nRunning  run ", *["\n \t"[i % 3 :].join(map(word, range(n))) for i, n in enumerate((29, 30, 31, 89, 90, 91, 105, 106, 119, 120, 121, 149, 150, 179, 180, 181, 240, 300, 301))]]
+    pages = P.pages_of(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    wanted = spark.createDataFrame([("run",), ("tion",), ("box",), ("7",), ("cat",), ("fly",), ("runn",), ("w5",)], "term string")
+    some, every = P.posting_lists(pages, True, wanted), P.posting_lists(pages, True)
+
+    def lists(rows):
+        return sorted((r.doc_id, r.term, r.df, r.n_passages, r.avg_len, sorted(map(tuple, r.hits))) for r in rows.collect())
+
+    assert lists(some) == lists(every.join(wanted, "term", "left_semi")) and some.count() > 50
+    assert "array_join" not in some._jdf.queryExecution().optimizedPlan().toString()
