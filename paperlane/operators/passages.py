@@ -140,6 +140,34 @@ def idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.select("doc_id", "term", "df", F.log(1 + (F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
+def _blocks(pages: DataFrame, whole: bool = False) -> DataFrame:
+    """(doc_id, n_passages, _first, _last, text): blocks of words, each with the first and the last of the passages that share it; every row of pages is a document of its own. With whole also the block's place _i and its page."""
+    cut, i, more = _windows(pages.select("doc_id", "text"), SIZE, OVERLAP), F.col("_i"), ["_page"] if whole else []
+    blocks = cut.rows.withColumn("_page", F.col("text")).select("doc_id", "_n", *more, F.posexplode_outer("_b").alias("_i", "text")).where("text is not null")
+    return blocks.select("doc_id", cut.count.alias("n_passages"), cut.first(i).alias("_first"), cut.last(i).alias("_last"), "text", *(["_i", "_page"] if whole else [])).where("_first <= _last")
+
+
+def page_words(pages: DataFrame) -> DataFrame:
+    """(doc_id, n_passages, first, last, term, low): the words of each page in order; first to last are the passages that have the word. One that doesn't count has no last and no term.
+
+    The first row of each page, and no other, has low, the page in lower case: every row of pages is a document of its own, and its rows follow each other.
+    Nothing is shuffled or grouped.
+    """
+    words = _blocks(pages, True).select("doc_id", "n_passages", "_first", "_last", "_i", "_page", F.posexplode_outer(T.raw_tokens("text")).alias("_j", "w"))
+    low = F.when((F.col("_i") == 0) & (F.coalesce("_j", F.lit(0)) == 0), F.lower("_page"))
+    words = words.select("doc_id", "n_passages", "_first", "_last", low.alias("low"), F.expr(f"CASE WHEN {T.kept_sql('w')} THEN w END").alias("w"))
+    return words.select("doc_id", "n_passages", F.col("_first").alias("first"), F.when(F.col("w").isNotNull(), F.col("_last")).alias("last"), F.expr(T.stem_sql("w")).alias("term"), "low")
+
+
+def words_held(pages: DataFrame, begin: list[str] | None = None) -> DataFrame:
+    """(term), distinct: the terms of all pages; with begin those alone that begin so, with STEM_KEEPS characters each, or are shorter and one of them. Words are told apart before they are stemmed, and pages stay where they are."""
+    if begin is not None:
+        pages = pages.where(F.exists(F.array(*map(F.lit, begin)), lambda b: F.contains(F.lower("text"), b)))
+    words = pages.select(F.explode(T.raw_tokens("text")).alias("w"))
+    words = (words if begin is None else words.where(F.expr(f"left(w, {T.STEM_KEEPS})").isin(begin))).distinct().where(T.kept_sql("w"))
+    return words.select(F.expr(T.stem_sql("w")).alias("term")).distinct()
+
+
 def posting_lists(pages: DataFrame, one_page: bool = False, wanted: DataFrame | None = None, parts: int | None = None) -> DataFrame:
     """(doc_id, term, df, n_passages, avg_len, hits array<struct<passage_idx, tf, len>>): what a question needs of each document's index, by term.
 
@@ -151,10 +179,7 @@ def posting_lists(pages: DataFrame, one_page: bool = False, wanted: DataFrame |
     few = one_page and wanted is not None
     if few:
         # of few terms little is left of a block of words, so a block, which windows share, is read once and its counts go to its windows
-        cut, i = _windows(dealt.select("doc_id", "text"), SIZE, OVERLAP), F.col("_i")
-        blocks = cut.rows.select("doc_id", "_n", F.posexplode_outer("_b").alias("_i", "text")).where("text is not null")
-        place = ["_first", "_last"]
-        texts = blocks.select("doc_id", cut.first(i).alias("_first"), cut.last(i).alias("_last"), "text").where("_first <= _last")
+        place, texts = ["_first", "_last"], _blocks(dealt)
     else:
         place, texts = ["passage_idx"], passages(dealt, one_page=one_page)
     raw = texts.select("doc_id", *place, F.explode_outer(T.raw_tokens("text")).alias("w"))

@@ -177,13 +177,13 @@ def term_idf(spark, d):
 
 @query(f"WITH {_search(_ONE)} SELECT query_id, doc_id, rank, passage_idx, round(score, 3) AS score, round(coverage, 6) AS coverage, matched FROM hits")
 def bm25_all_documents(spark, d):
-    hits = retrieve.search(_question(spark), _whole(spark, d), one_page=True, texts=False)
+    hits = retrieve.search(_question(spark), _pages(spark, d), one_page=True, texts=False)
     return hits.select("query_id", "doc_id", "rank", "passage_idx", "score", F.round("coverage", 6).alias("coverage"), F.array_join("matched", " ").alias("matched"))
 
 
 @query(f"WITH {_search(_MANY)} SELECT query_id, doc_id, rank, passage_idx, round(score, 3) AS score, matched FROM hits")
 def bm25_benchmark_questions(spark, d):
-    return retrieve.search(_benchmark(spark, d), _whole(spark, d), one_page=True, texts=False).select("query_id", "doc_id", "rank", "passage_idx", "score", F.array_join("matched", " ").alias("matched"))
+    return retrieve.search(_benchmark(spark, d), _pages(spark, d), one_page=True, texts=False).select("query_id", "doc_id", "rank", "passage_idx", "score", F.array_join("matched", " ").alias("matched"))
 
 
 @query(f"WITH {_search(_MANY)} SELECT query_id, doc_id, rank, passage_idx, label, round(score, 3) AS score, text FROM (SELECT *, 'part 1' AS label FROM hits) WHERE rank = 1")
@@ -216,7 +216,7 @@ SELECT * FROM o UNION ALL SELECT query_id, NULL, false, 0.0, 0.0, 'empty' FROM z
 def confidence(spark, d):
     asked = _benchmark(spark, d)
     nonsense = spark.range(1).select(F.lit(-1).cast(asked.schema["query_id"].dataType).alias("query_id"), F.lit("qzx xqz zzxq").alias("question"))
-    return retrieve.confidence(asked.unionByName(nonsense), _whole(spark, d), one_page=True)
+    return retrieve.confidence(asked.unionByName(nonsense), _pages(spark, d), one_page=True)
 
 
 @query(rf"""WITH {_search(_ONE)},
@@ -232,7 +232,7 @@ SELECT 'q' AS query_id, h.doc_id, h.rank, CASE WHEN len(words) <= 46 THEN text E
 FROM h LEFT JOIN best USING (doc_id, rank)""")
 def snippets(spark, d):
     q = _question(spark)
-    return retrieve.snippets(retrieve.search(q, _whole(spark, d), one_page=True), q).select("query_id", "doc_id", "rank", "snippet")
+    return retrieve.snippets(retrieve.search(q, _pages(spark, d), one_page=True), q).select("query_id", "doc_id", "rank", "snippet")
 
 
 _KEYWORDS = f"""t0 AS (SELECT doc_id, {_RAW.format("text", "text")} FROM documents),
@@ -373,13 +373,13 @@ def answer_support(spark, d):
 
 @query(f"WITH {_search(_ONE)} SELECT query_id, doc_id, string_agg('[' || rank || '] (part 1)' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS extracts FROM hits GROUP BY query_id, doc_id")
 def extract_blocks(spark, d):
-    return answers.extract_blocks(retrieve.search(_question(spark), _whole(spark, d), one_page=True))
+    return answers.extract_blocks(retrieve.search(_question(spark), _pages(spark, d), one_page=True))
 
 
 @query(f"WITH {_search(_ONE)}, x AS (SELECT query_id, doc_id, string_agg('[' || rank || '] (part 1)' || chr(10) || text, chr(10) || chr(10) ORDER BY rank) AS e FROM hits GROUP BY query_id, doc_id) SELECT query_id, doc_id, '{answers.ANSWER_RULES}' AS system, 'Extracts from “' || CASE WHEN doc_id % 5 = 0 THEN 'the document' ELSE 'doc ' || doc_id END || '”:' || chr(10) || chr(10) || e || chr(10) || chr(10) || 'Question: {QUESTION}' AS user FROM x")
 def prompts(spark, d):
     q = _question(spark)
-    m = answers.messages(answers.extract_blocks(retrieve.search(q, _whole(spark, d), one_page=True)), q, _names(spark, d))
+    m = answers.messages(answers.extract_blocks(retrieve.search(q, _pages(spark, d), one_page=True)), q, _names(spark, d))
     return m.select("query_id", "doc_id", F.col("messages")[0]["content"].alias("system"), F.col("messages")[1]["content"].alias("user"))
 
 
@@ -571,7 +571,7 @@ def extractive_answers(spark, d):
 
 @query(f"WITH {_search(_ONE)} SELECT doc_id, rank, least(100, greatest(6, round(round(score, 3) / 8 * 100))) AS bar FROM hits")
 def score_bars(spark, d):
-    hits = retrieve.search(_question(spark), _whole(spark, d), one_page=True, texts=False)
+    hits = retrieve.search(_question(spark), _pages(spark, d), one_page=True, texts=False)
     return hits.select("doc_id", "rank", T.score_bar(F.col("score")).alias("bar"))
 
 

@@ -501,3 +501,67 @@ def test_few_terms_are_counted_by_blocks(spark):
 
     assert lists(some) == lists(every.join(wanted, "term", "left_semi")) and some.count() > 50
     assert "array_join" not in some._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _texts(n):
+    """Pages of some words of few kinds, with phrases in them."""
+    word = lambda i: ("roof", "tenants", "the", "paying", "Rent", "7", "of", "houses", "x", "landlord's")[(i * i + n * i // 3) % 10]
+    return [" ".join("\n " * (i % 11 == 0) + word(i * (k + 1)) for i in range(k * 23 % 400)) + ("  The  tenants\npaying the rent " if k % 3 == 0 else "") for k in range(n)]
+
+
+def test_few_questions_are_scored_where_documents_are(spark, tmp_path):
+    """By row of a document, by word or by list, in pieces or at once, scores are those by passage; words aren't grouped in Spark, and nothing is shuffled behind them."""
+    import pyarrow as pa
+
+    from paperlane.operators import scores
+    from paperlane.operators.index import index_of, update_index
+
+    pages = P.pages_of(spark.createDataFrame([*enumerate(_texts(40)), (90, None), (91, " \n ")], "doc_id long, text string"))
+    q = spark.createDataFrame([(3, "are the tenants paying the rent?"), (4, "Tenants paying the rent"), (7, "roof houses 7 landlord's"), (8, "nothing such"), (9, "the of")], "query_id long, question string")
+    terms = retrieve.question_terms(q)
+    wanted = terms.select("term").distinct()
+    made, stored = index_of(pages, True, wanted), update_index(pages, "few_scored", str(tmp_path / "ix"), one_page=True)
+
+    def told(rows):
+        return sorted((r.query_id, r.doc_id, r["rank"], r.passage_idx, r.score, r.coverage, tuple(r.matched), r.share) for r in rows.collect())
+
+    for limit in (1, 4):
+        want = told(retrieve._by_passage(terms, made, limit, share=True, few=True))
+        assert len(want) > 100 and any(x[0] == 4 and x[4] > 2 for x in want)
+        for index in (made, stored, index_of(pages, True, wanted).kept()):
+            assert told(retrieve.ranked(terms, index, limit, share=True)) == want
+    plan = retrieve.search(q, pages, one_page=True, texts=False)._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Aggregate" not in plan and "hashpartitioning" not in plan
+    asked, rows = scores.asked_of(terms, retrieve.PHRASE), P.page_words(pages.coalesce(1)).toArrow()
+    whole = pa.Table.from_batches(scores.scorer(asked, 4, retrieve.K1, retrieve.B, retrieve.BOOST, P.SIZE, P.OVERLAP, True)(iter(rows.to_batches()))).to_pylist()
+    kept = scores.MATCHES, scores.WORDS
+    try:
+        scores.MATCHES, scores.WORDS = 50, 300
+        pieces = pa.Table.from_batches(scores.scorer(asked, 4, retrieve.K1, retrieve.B, retrieve.BOOST, P.SIZE, P.OVERLAP, True)(iter(rows.to_batches(max_chunksize=97)))).to_pylist()
+    finally:
+        scores.MATCHES, scores.WORDS = kept
+    order = lambda x: (x["query_id"], x["doc_id"], x["rank"])
+    assert sorted(pieces, key=order) == sorted(whole, key=order) and len(whole) > 100
+
+
+def test_large_documents_of_an_index_are_scored_by_passage(spark, tmp_path, monkeypatch):
+    from paperlane.operators.index import update_index
+
+    pages = P.pages_of(spark.createDataFrame(list(enumerate(_texts(20))), "doc_id long, text string"))
+    q = spark.createDataFrame([(3, "are the tenants paying the rent?"), (7, "roof houses 7 landlord's")], "query_id long, question string")
+    index = update_index(pages, "large_scored", str(tmp_path / "ix"), one_page=True)
+    want = sorted(map(str, retrieve.search(q, index=index, texts=False).collect()))
+    monkeypatch.setattr(retrieve, "ROW_PASSAGES", 2)
+    assert sorted(map(str, retrieve.search(q, index=index, texts=False).collect())) == want and len(want) > 20
+
+
+def test_questions_without_a_hit_are_found_in_few_pages(spark, monkeypatch):
+    """All pages are searched for the terms of questions that the first pages don't answer, but only pages that may hold them are cut to words."""
+    from paperlane.operators import index
+
+    monkeypatch.setattr(index, "FIRST", 1)
+    pages = P.pages_of(spark.createDataFrame([(1, "roof"), (2, "annexes"), (3, "a zebra's tail"), (4, "cat 7")], "doc_id long, text string"))
+    q = spark.createDataFrame([(1, "roof"), (2, "annex"), (3, "the zebra's"), (4, "zebras"), (5, "7"), (6, ""), (7, "qzx roofing")], "query_id long, question string")
+    told = retrieve.confidence(q, pages, one_page=True)
+    assert {r.query_id for r in told.collect() if r.reason == "empty"} == {4, 6} and {r.query_id for r in told.collect() if r.doc_id} == {1, 2, 3, 5, 7}
+    assert "Aggregate" not in retrieve.search(q, pages, one_page=True, texts=False)._jdf.queryExecution().executedPlan().toString()
