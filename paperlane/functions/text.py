@@ -109,6 +109,22 @@ def _stem(x: Column) -> Column:
     return out.otherwise(x)
 
 
+def term_of(w: str) -> str | None:
+    """The stem of a raw token, as stem_sql() has it; None for one that kept_sql() leaves out. For tasks that tell words apart first, and ask for each once."""
+    if not w or (len(w) == 1 and not "0" <= w <= "9") or w in _STOP:
+        return None
+    for ending, put in ENDINGS if len(w) > 3 else ():
+        if w.endswith(ending) and len(w) >= len(ending) + 3:
+            rest = w[: -len(ending)]
+            if put is None:
+                return rest[:-1] if len(rest) > 3 and rest[-1] == rest[-2] and rest[-1] not in "lsz" else rest
+            return rest + put
+    return w
+
+
+_STOP = frozenset(STOPWORDS)
+
+
 def words(text: str) -> Column:
     """array<string>: the words between white space."""
     return F.expr(rf"regexp_extract_all({text}, '\\S+', 0)")

@@ -140,23 +140,22 @@ def idf(df: DataFrame, stats: DataFrame) -> DataFrame:
     return joined.select("doc_id", "term", "df", F.log(1 + (F.col("n_passages") - F.col("df") + 0.5) / (F.col("df") + 0.5)).alias("idf"))
 
 
-def _blocks(pages: DataFrame, whole: bool = False) -> DataFrame:
-    """(doc_id, n_passages, _first, _last, text): blocks of words, each with the first and the last of the passages that share it; every row of pages is a document of its own. With whole also the block's place _i and its page."""
-    cut, i, more = _windows(pages.select("doc_id", "text"), SIZE, OVERLAP), F.col("_i"), ["_page"] if whole else []
-    blocks = cut.rows.withColumn("_page", F.col("text")).select("doc_id", "_n", *more, F.posexplode_outer("_b").alias("_i", "text")).where("text is not null")
-    return blocks.select("doc_id", cut.count.alias("n_passages"), cut.first(i).alias("_first"), cut.last(i).alias("_last"), "text", *(["_i", "_page"] if whole else [])).where("_first <= _last")
+def _blocks(pages: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """(doc_id, n_passages, _first, _last, text): blocks of words, each with the first and the last of the passages that share it; every row of pages is a document of its own. With more also the block's place _i and these columns of its page; _page is the text."""
+    more = more or []
+    cut, i = _windows(pages.withColumn("_page", F.col("text")).select("doc_id", "text", *more), SIZE, OVERLAP), F.col("_i")
+    blocks = cut.rows.select("doc_id", "_n", *more, F.posexplode_outer("_b").alias("_i", "text")).where("text is not null")
+    return blocks.select("doc_id", cut.count.alias("n_passages"), cut.first(i).alias("_first"), cut.last(i).alias("_last"), "text", *(["_i", *more] if more else [])).where("_first <= _last")
 
 
-def page_words(pages: DataFrame) -> DataFrame:
-    """(doc_id, n_passages, first, last, term, low): the words of each page in order; first to last are the passages that have the word. One that doesn't count has no last and no term.
+def page_words(pages: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, n_passages, first, last, words, low, *more): the words of each page in order, some in a row; first to last are the passages that have them.
 
-    The first row of each page, and no other, has low, the page in lower case: every row of pages is a document of its own, and its rows follow each other.
-    Nothing is shuffled or grouped.
+    The first row of each page, and no other, has low, the page in lower case, and more of its columns: every row of pages is a document of its own, and its rows follow each other.
+    Nothing is shuffled or grouped. A row for each word would cost much: Spark measures an Arrow batch anew with each row that it puts in.
     """
-    words = _blocks(pages, True).select("doc_id", "n_passages", "_first", "_last", "_i", "_page", F.posexplode_outer(T.raw_tokens("text")).alias("_j", "w"))
-    low = F.when((F.col("_i") == 0) & (F.coalesce("_j", F.lit(0)) == 0), F.lower("_page"))
-    words = words.select("doc_id", "n_passages", "_first", "_last", low.alias("low"), F.expr(f"CASE WHEN {T.kept_sql('w')} THEN w END").alias("w"))
-    return words.select("doc_id", "n_passages", F.col("_first").alias("first"), F.when(F.col("w").isNotNull(), F.col("_last")).alias("last"), F.expr(T.stem_sql("w")).alias("term"), "low")
+    blocks, first = _blocks(pages, ["_page", *more]), F.col("_i") == 0
+    return blocks.select("doc_id", "n_passages", F.col("_first").alias("first"), F.col("_last").alias("last"), T.raw_tokens("text").alias("words"), F.when(first, F.lower("_page")).alias("low"), *[F.when(first, F.col(c)).alias(c) for c in more])
 
 
 def words_held(pages: DataFrame, begin: list[str] | None = None) -> DataFrame:

@@ -533,11 +533,11 @@ def test_few_questions_are_scored_where_documents_are(spark, tmp_path):
     plan = retrieve.search(q, pages, one_page=True, texts=False)._jdf.queryExecution().executedPlan().toString()
     assert "MapInArrow" in plan and "Aggregate" not in plan and "hashpartitioning" not in plan
     asked, rows = scores.asked_of(terms, retrieve.PHRASE), P.page_words(pages.coalesce(1)).toArrow()
-    whole = pa.Table.from_batches(scores.scorer(asked, 4, retrieve.K1, retrieve.B, retrieve.BOOST, P.SIZE, P.OVERLAP, True)(iter(rows.to_batches()))).to_pylist()
+    whole = pa.Table.from_batches(scores.scorer(asked, retrieve.scoring(4), True)(iter(rows.to_batches()))).to_pylist()
     kept = scores.MATCHES, scores.WORDS
     try:
         scores.MATCHES, scores.WORDS = 50, 300
-        pieces = pa.Table.from_batches(scores.scorer(asked, 4, retrieve.K1, retrieve.B, retrieve.BOOST, P.SIZE, P.OVERLAP, True)(iter(rows.to_batches(max_chunksize=97)))).to_pylist()
+        pieces = pa.Table.from_batches(scores.scorer(asked, retrieve.scoring(4), True)(iter(rows.to_batches(max_chunksize=97)))).to_pylist()
     finally:
         scores.MATCHES, scores.WORDS = kept
     order = lambda x: (x["query_id"], x["doc_id"], x["rank"])
@@ -565,3 +565,21 @@ def test_questions_without_a_hit_are_found_in_few_pages(spark, monkeypatch):
     told = retrieve.confidence(q, pages, one_page=True)
     assert {r.query_id for r in told.collect() if r.reason == "empty"} == {4, 6} and {r.query_id for r in told.collect() if r.doc_id} == {1, 2, 3, 5, 7}
     assert "Aggregate" not in retrieve.search(q, pages, one_page=True, texts=False)._jdf.queryExecution().executedPlan().toString()
+
+
+def test_words_of_tasks_are_stemmed_as_in_spark(spark):
+    words = "families family buildings passes running adding falling is gas 2027 7 x the landlord' boxes annexes churches wishes falls only onlyed ssing zzed abbed a1 stopped fly flies ies eding".split() + [""]
+    got = spark.createDataFrame([(w,) for w in words], "w string").select("w", F.expr(f"CASE WHEN {T.kept_sql('w')} THEN {T.stem_sql('w')} END").alias("term")).collect()
+    assert [(r.w, T.term_of(r.w)) for r in got] == [(r.w, r.term) for r in got]
+
+
+def test_summaries_shuffle_pages_alone(spark):
+    """Words are neither dealt by their beginning nor grouped: only documents are dealt, by their id, and what is found."""
+    import re
+
+    docs = spark.createDataFrame([*enumerate(_texts(40)), (90, None), (91, " \n "), (92, "it is"), (93, "cat onlyed dog onlyed " * 90)], "doc_id long, text string")
+    new = about.summary_hits(P.pages_of(docs), one_page=True)
+    dealt = set(re.findall(r"hashpartitioning\((\w+)#\d+L?(, \w+)?", new._jdf.queryExecution().executedPlan().toString()))
+    assert dealt == {("doc_id", ", 8")} or dealt == {("doc_id", "")}, dealt
+    old = about.summary_hits(P.pages_of(docs), one_page=True, titles=spark.createDataFrame([], "doc_id long, title string"))
+    assert sorted(map(str, new.collect())) == sorted(map(str, old.select(new.columns).collect())) and new.where("doc_id = 93 and score = 0").count() == 3
